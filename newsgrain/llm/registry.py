@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, tokens, urls
+from . import fingerprints, jaccard, media, mixing, packing, pii, quality, tokens, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_fingerprints": fingerprints.op1_fingerprints,
+        "op2_quality": quality.op2_quality,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_jaccard_join": jaccard.op4_jaccard_join,
         "op5_media": media.op5_media,
         "op6_token_counts": tokens.op6_token_counts,
         "op7_pack": packing.op7_pack,
         "op8_url_filter": urls.op8_url_filter,
         "op9_mix_sources": mixing.op9_mix_sources,
+        "op10_pii": pii.op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": mixing.OP9_SQL}
+    return {"op4_jaccard_join": jaccard.OP4_SQL, "op9_mix_sources": mixing.OP9_SQL}
