@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ from .common import bounded_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Texts of these characters only are normalised by lower-casing alone; any other goes to the library whole.
-_OTHER = re.compile("[^\t\n\r -~¡-¬®-ÿ]|<\\|")
+_PLAIN = bytes([9, 10, 13, *range(32, 127), *range(161, 173), *range(174, 256)])
 #: The split pattern of the vocabulary file's pre-tokenizer.
 _PRE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -35,14 +34,24 @@ def _byte_letters() -> dict[int, str]:
     return table
 
 
+def plain(text: str) -> bool:
+    """Whether a text may be looked up by chunks: nothing but common Latin characters, and no start of a special string."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not raw.translate(None, _PLAIN) and "<|" not in text
+
+
 class WordCoder:
     """Ids of texts by white-space chunks: a chunk's ids do not depend on its neighbours, so they can be looked up.
 
-    ``keep`` bounds either cache; a full cache is emptied. A chunk is looked up whole, then by its pre-tokens, and only
-    an unknown pre-token is encoded.
+    A chunk is looked up whole, then by its pre-tokens, and only an unknown pre-token is encoded. A full cache (``keep``
+    entries) becomes the old one and gives way to an empty one, into which old entries are taken as they are met; so
+    either cache holds at most twice ``keep``.
     """
 
-    def __init__(self, path: str, keep: int = 300_000, lengths: dict[str, int] | None = None):
+    def __init__(self, path: str, keep: int = 600_000, lengths: dict[str, int] | None = None):
         import regex
         from tokenizers import Tokenizer
 
@@ -50,49 +59,57 @@ class WordCoder:
         self.model = self.whole.model
         self.find = regex.compile(_PRE).findall
         self.letters, self.keep = _byte_letters(), keep
+        self.four = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         self.frequent = lengths or {}
         self.chunks: dict = {}
+        self.old_chunks: dict = {}
         self.pre: dict[str, bytes] = {}
+        self.old_pre: dict[str, bytes] = {}
 
     def _pre_ids(self, word: str) -> bytes:
         got = self.pre.get(word)
         if got is None:
+            got = self.old_pre.get(word)
+            if got is None:
+                spelt = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+                four = self.four
+                got = b"".join([four[t.id] for t in self.model.tokenize(spelt)])
             if len(self.pre) >= self.keep:
-                self.pre.clear()
-            if not (word.isascii()):
-                spelt = "".join(self.letters[b] for b in word.encode())
-            else:
-                spelt = word
-            got = self.pre[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt))
+                self.old_pre, self.pre = self.pre, {}
+            self.pre[word] = got
         return got
 
-    def chunk_ids(self, chunk: str) -> bytes:
-        got = b"".join([self._pre_ids(w) for w in self.find(chunk.lower())])
+    def _split(self, low: str) -> list[str]:
+        if low.isalpha():
+            return [low]
+        if low[-1] in ",." and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.find(low)
+
+    def _keep(self, chunk: str, got):
         if len(self.chunks) >= self.keep:
-            self.chunks.clear()
+            self.old_chunks, self.chunks = self.chunks, {}
         self.chunks[chunk] = got
         return got
 
+    def chunk_ids(self, chunk: str) -> bytes:
+        return self._keep(chunk, self.old_chunks.get(chunk) or b"".join([self._pre_ids(w) for w in self._split(chunk)]))
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids, as the library gives them without special tokens added."""
-        if _OTHER.search(text):
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-            return b"".join(i.to_bytes(4, "little") for i in ids)
+        if not plain(text):
+            return b"".join([self.four[i] for i in self.whole.encode(text, add_special_tokens=False).ids])
         known, own = self.chunks.get, self.chunk_ids
-        return b"".join([known(c) or own(c) for c in text.split()])
+        return b"".join([known(c) or own(c) for c in text.lower().split()])
 
     def chunk_length(self, chunk: str) -> int:
-        got = sum([len(self._pre_ids(w)) for w in self.find(chunk.lower())]) // 4
-        if len(self.chunks) >= self.keep:
-            self.chunks.clear()
-        self.chunks[chunk] = got
-        return got
+        return self._keep(chunk, self.old_chunks.get(chunk) or sum([len(self._pre_ids(w)) for w in self._split(chunk)]) // 4)
 
     def count(self, text: str) -> int:
-        if _OTHER.search(text):
+        if not plain(text):
             return len(self.whole.encode(text, add_special_tokens=False).ids)
         first, second, own = self.frequent.get, self.chunks.get, self.chunk_length
-        return sum([first(c) or second(c) or own(c) for c in text.split()])
+        return sum([first(c) or second(c) or own(c) for c in text.lower().split()])
 
 
 def frequent_chunks(docs: DataFrame, text_col: str = "text", top: int = 65_536, per_task: int = 8_192, held: int = 200_000) -> DataFrame:
@@ -132,7 +149,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     coder = WordCoder(path)
     words = [r[0] for r in frequent_chunks(docs, text_col, top).select("chunk").collect()]
-    lengths = spark.sparkContext.broadcast({w: coder.count(w) for w in words if not _OTHER.search(w)})
+    lengths = spark.sparkContext.broadcast({w: coder.count(w) for w in words if plain(w)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(path, lengths=lengths.value)
