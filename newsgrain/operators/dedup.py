@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import HashingTF, MinHashLSH
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.url import url_key
+from ..functions.vector import jaccard
 
 
 def first_per(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -121,19 +121,23 @@ def usable_fingerprints(events: DataFrame, fp: str, when: str, cap: int = 30) ->
     return events.where(F.col(when).isNotNull()).join(n, fp, "left_semi")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text: str, distance: float = 0.3, shingle: int = 3, features: int = 1 << 18, tables: int = 8) -> DataFrame:
-    """Pairs (a, b, distance) of texts whose word shingles' Jaccard distance is at most ``distance``, by MinHash.
+def near_duplicates(df: DataFrame, id_col: str, text: str, least: float = 0.7, shingle: int = 3, bands: int = 8, rows: int = 2) -> DataFrame:
+    """Links (a, b, jaccard) of texts whose word shingles are at least ``least`` alike, found by MinHash bands.
 
-    Equal texts are hashed once, so copies make no pairs among themselves.
+    Equal texts count once, by their least id. In each band's bucket every text is compared with the bucket's least id
+    only, so a large group of near copies makes about as many links as it has members.
     """
     words = F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+")
     n = F.size(words) - shingle + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(shingle)), " "))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(shingle)), " ")))
     x = df.groupBy(F.sha2(F.coalesce(text, F.lit("")), 256).alias("_h")).agg(F.min(id_col).alias("id"), F.first(F.coalesce(text, F.lit(""))).alias(text)).select("id", F.array_distinct(grams).alias("g"))
-    v = HashingTF(numFeatures=features, inputCol="g", outputCol="v", binary=True).transform(x)
-    model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=tables, seed=11).fit(v)
-    p = model.approxSimilarityJoin(v, v, distance, "distance").where("datasetA.id < datasetB.id")
-    return p.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.round("distance", 6).alias("distance"))
+    sign = lambda k: F.array_min(F.transform("g", lambda v: F.xxhash64(v, F.lit(k))))
+    keys = F.array(*[F.xxhash64(F.lit(b), *[sign(b * rows + r) for r in range(rows)]) for b in range(bands)])
+    b = x.select("id", F.explode(keys).alias("k"))
+    heads = b.groupBy("k").agg(F.min("id").alias("a"))
+    links = b.join(heads, "k").where("id != a").select("a", F.col("id").alias("b")).distinct()
+    y = links.join(x.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(x.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+    return y.select("a", "b", F.round(jaccard(F.col("ga"), F.col("gb")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def fabricated(df: DataFrame, fp: str, cap: int) -> DataFrame:

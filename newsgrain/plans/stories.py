@@ -1,38 +1,490 @@
-"""Story queries over the order tables: an order plays a story, a line item a member article, a supplier its source."""
+"""Story queries: an order plays a story, a line item a member article, a supplier its source, a part an entity, a customer a user."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import display_slug
+from ..operators import compare, dedup, gates, scoring, serving, story
+
 NOW = "2001-08-01"
+EARLY, RECENT = "1999-08-01", "2001-01-01"
+
+
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _ts(x):
+    return F.lit(x).cast("timestamp_ntz")
+
+
+def _members(spark, d):
+    return _t(spark, d, "lineitem")
+
+
+def ranked(spark, d):
+    """Live rank of every story, age in days (the table is years long), from one aggregate of its members."""
+    m = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count_distinct("l_suppkey").alias("sources"), F.count_if((F.col("l_shipdate") > _ts(RECENT)) & (F.col("l_shipdate") <= _ts(NOW))).alias("recent"))
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_custkey", "o_totalprice").join(m, "o_orderkey", "left").na.fill(0, ["sources", "recent"])
+    days = F.timestamp_diff("SECOND", F.col("o_orderdate"), _ts(NOW)) / 3600.0 / 24.0
+    return o.withColumn("rank_score", F.round(scoring.trending_rank(F.col("sources"), days, F.col("recent")), 6))
 
 
 def win5_trending(spark, d):
-    """The 20 stories with the highest live rank among those first seen in the last two years before NOW."""
-    now = F.lit(NOW).cast("timestamp_ntz")
-    stories = (spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate")
-               .where((F.col("o_orderdate") <= now) & (F.col("o_orderdate") > F.lit("1999-08-01").cast("timestamp_ntz"))))
-    members = (spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey")
-               .agg(F.count_distinct("l_suppkey").alias("sources"),
-                    F.count_if((F.col("l_shipdate") > F.lit("2001-01-01").cast("timestamp_ntz")) & (F.col("l_shipdate") <= now)).alias("recent")))
-    hours = F.greatest(F.timestamp_diff("SECOND", F.col("o_orderdate"), now) / 3600.0 / 24.0, F.lit(0.0))
-    rank = (0.35 * F.least(F.log(1 + F.coalesce("sources", F.lit(0))) / F.log(F.lit(6.0)), F.lit(1.2))
-            + 0.35 * F.exp(-0.1155 * hours) + 0.30 * F.least(F.coalesce("recent", F.lit(0)) / 5.0, F.lit(1.0)))
-    return (stories.join(members, stories.o_orderkey == members.l_orderkey, "left")
-            .select("o_orderkey", F.coalesce("sources", F.lit(0)).alias("sources"), F.round(rank, 6).alias("rank_score"))
-            .orderBy(F.desc("rank_score"), "o_orderkey").limit(20))
+    r = ranked(spark, d).where((F.col("o_orderdate") <= _ts(NOW)) & (F.col("o_orderdate") > _ts(EARLY)))
+    return gates.page(r, [F.desc("rank_score"), "o_orderkey"], 20).select("o_orderkey", "sources", "rank_score")
+
+
+def win16(spark, d):
+    return gates.page(_t(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), [F.desc("o_totalprice"), "o_orderkey"], 25).select("o_orderkey", "o_totalprice")
+
+
+def win6(spark, d):
+    o = _t(spark, d, "orders")
+    a = gates.page(o, [F.desc("o_orderdate"), "o_orderkey"], 20).select("o_orderkey", F.lit("first_seen").alias("sort"))
+    return a.unionByName(gates.page(o, [F.desc("o_totalprice"), "o_orderkey"], 20, 20).select("o_orderkey", F.lit("score").alias("sort")))
+
+
+def flt2(spark, d):
+    n = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), "r_name")
+    return gates.facet(_t(spark, d, "supplier"), n, "s_nationkey", "r_name", "ASIA").select("s_suppkey")
+
+
+def flt3(spark, d):
+    return gates.after(_t(spark, d, "orders"), "o_orderdate", F.lit("2001-06-01 05:30:00").cast("timestamp"), "Asia/Kolkata").select("o_orderkey")
+
+
+def flt5(spark, d):
+    return gates.eligible(_t(spark, d, "orders").where("o_orderstatus = 'O'"), "o_orderdate", _ts(NOW), 720, 40, [F.desc("o_orderdate"), "o_orderkey"]).select("o_orderkey")
+
+
+def flt10(spark, d):
+    m = _members(spark, d).groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("sources"))
+    o = _t(spark, d, "orders").join(m, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    top = (F.col("o_orderdate") >= _ts(NOW) - F.expr("INTERVAL 60 DAYS")) & (F.coalesce("sources", F.lit(0)) >= 3)
+    return o.select("o_orderkey", top.alias("top_story"))
+
+
+def flt14(spark, d):
+    return gates.check_embedding_space(_t(spark, d, "embeddings"), F.when(F.col("label") < 5, "m1").otherwise("m2"), "embedding")
+
+
+def flt15(spark, d):
+    return gates.page(_t(spark, d, "customer").select("c_custkey"), ["c_custkey"], 10, 5)
+
+
+def ded13(spark, d):
+    m = _members(spark, d).select("l_orderkey", "l_partkey")
+    old = dedup.changed_clusters(m.where("l_partkey % 50 <> 0"), m.limit(0).select("l_orderkey", F.lit("").alias("members_hash")), "l_orderkey", "l_partkey")
+    return dedup.changed_clusters(m, old, "l_orderkey", "l_partkey")
+
+
+def _events(spark, d):
+    """An event a line item: type by flag, the part and its number as actors, the supplier as target."""
+    return _members(spark, d).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate", F.col("l_returnflag").alias("kind"),
+                                     F.array(F.concat(F.lit(" P"), F.col("l_partkey") % 40), F.concat(F.lit("Q"), F.col("l_quantity").cast("int") % 5)).alias("actors"),
+                                     F.array(F.concat(F.lit("S"), F.col("l_suppkey") % 10)).alias("targets"), F.concat(F.lit("City "), F.col("l_suppkey") % 4).alias("location"))
+
+
+def _with_fp(spark, d):
+    return _events(spark, d).withColumn("fp", dedup.event_fingerprint(F.col("kind"), F.col("actors"), F.col("targets"), F.col("location"), F.to_date("l_shipdate")))
+
+
+def ded15(spark, d):
+    return _with_fp(spark, d).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ded16(spark, d):
+    e = _with_fp(spark, d).withColumn("fp", F.substring("fp", 1, 3)).withColumn("at", F.when(F.col("l_linenumber") != 7, F.col("l_shipdate")))
+    return dedup.usable_fingerprints(e, "fp", "at", 14).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sc9(spark, d):
+    e = _events(spark, d).withColumn("parent", F.when(F.col("kind").isin("A", "R"), "x").otherwise("y")).withColumn("date", F.to_date("l_shipdate")).where("l_orderkey % 5 = 0")
+    keys = ("kind", "parent", "actors", "targets", "location", "date")
+    a = e.select("l_orderkey", F.col("l_linenumber").alias("i"), *[F.col(k).alias(f"a_{k}") for k in keys])
+    b = e.select("l_orderkey", F.col("l_linenumber").alias("j"), *[F.col(k).alias(f"b_{k}") for k in keys])
+    sim = scoring.event_similarity({k: F.col(f"a_{k}") for k in keys}, {k: F.col(f"b_{k}") for k in keys})
+    return a.join(b, "l_orderkey").where("i < j").groupBy("l_orderkey").agg(F.round(F.avg(sim), 6).alias("similarity"), F.count(F.lit(1)).alias("pairs"))
+
+
+def sc12(spark, d):
+    m = _members(spark, d).groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("s"))
+    o = _t(spark, d, "orders").join(m, F.col("o_orderkey") == F.col("l_orderkey"))
+    days = F.timestamp_diff("SECOND", F.col("o_orderdate"), _ts(NOW)) / 86400.0
+    return o.select("o_orderkey", F.round(scoring.trending_score(F.col("s"), days, F.col("o_custkey") % 100, F.col("o_custkey") % 10, F.col("o_custkey") % 7), 6).alias("score"))
+
+
+def sc13(spark, d):
+    return ranked(spark, d).select("o_orderkey", "rank_score")
+
+
+def sc14(spark, d):
+    m = _t(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("articles"), F.count_distinct("o_orderpriority").alias("sources"), F.max("o_orderdate").alias("last"),
+                                                       (F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1))).alias("conflict"))
+    state = F.element_at(F.array(*[F.lit(x) for x in ("emerging", "developing", "monitoring", "stable", "archived")]), (F.col("o_custkey") % 5 + 1).cast("int"))
+    idle = F.timestamp_diff("HOUR", F.col("last"), _ts(NOW)) / 24.0
+    return m.select("o_custkey", scoring.lifecycle(state, F.col("articles"), F.lit(1.0) - F.col("conflict") / 4, F.col("sources"), F.col("conflict"), idle, idle - 20).alias("state"))
+
+
+def sc15(spark, d):
+    return scoring.hhi(_members(spark, d), "l_orderkey", "l_suppkey").select("l_orderkey", F.round("hhi", 6).alias("hhi"))
+
+
+def sc16(spark, d):
+    m = _members(spark, d)
+    x = scoring.hhi(m, "l_orderkey", "l_suppkey").join(m.groupBy("l_orderkey").agg(F.min("l_discount").alias("cos"), F.count_if(F.col("l_tax") > 0.04).alias("missing"), F.count_distinct("l_returnflag").alias("fps"),
+                                                                             F.count_if(F.col("l_quantity") > 49).alias("contra")), "l_orderkey")
+    score, action = scoring.quality_gate(F.col("hhi"), F.col("cos") * 20, F.col("missing"), F.col("fps"), F.col("l_orderkey") % 17 == 0, F.col("contra"))
+    return x.select("l_orderkey", F.round(score, 6).alias("score"), action.alias("action"))
+
+
+def sc20(spark, d):
+    m = _members(spark, d)
+    a = m.select("l_orderkey", F.col("l_linenumber").alias("i"), F.col("l_quantity").cast("string").alias("x"))
+    b = m.select("l_orderkey", F.col("l_linenumber").alias("j"), F.when(F.col("l_linenumber") == 3, "many").otherwise(F.col("l_quantity").cast("string")).alias("y"))
+    return a.join(b, "l_orderkey").where("i < j").groupBy("l_orderkey").agg(F.count_if(scoring.numbers_conflict(F.col("x"), F.col("y"))).alias("conflicts"))
+
+
+KNOWN, SYNONYMS = ("PROMO", "LARGE", "STANDARD_TYPE"), (("small", "TINY"), ("eco", "CHEAP"), ("medium size", "MIDDLE"))
+
+
+def sc21(spark, d):
+    return _t(spark, d, "part").select("p_partkey", scoring.canonical_event_type(F.col("p_type"), KNOWN, SYNONYMS).alias("kind"))
+
+
+def sc22(spark, d):
+    n = _t(spark, d, "nation").join(_t(spark, d, "region").where("r_regionkey < 3"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return n.select("n_name", F.coalesce("r_name", F.lit("OTHER")).alias("parent"))
+
+
+def _prices(spark):
+    return spark.createDataFrame([("A", 1.5, 6.0), ("R", 0.1, 0.4)], "l_returnflag string, price_in double, price_out double")
+
+
+def sc27(spark, d):
+    return scoring.token_cost(_members(spark, d), _prices(spark), "l_returnflag", "l_quantity", "l_extendedprice").groupBy("l_returnflag").agg(F.count("cost").alias("priced"), F.round(F.sum("cost"), 4).alias("cost"))
+
+
+def sc28(spark, d):
+    limits = _t(spark, d, "orders").select("o_orderpriority").distinct().withColumn("budget", F.lit(5e8))
+    return scoring.budget_flags(_t(spark, d, "orders"), limits, "o_orderpriority", "o_totalprice", {"reflection": 0.5, "comparison": 0.8})
+
+
+def sc33(spark, d):
+    return _t(spark, d, "part").select("p_partkey", display_slug(F.concat(F.lit("--"), F.col("p_name"), F.lit(" & "), F.col("p_type"), F.lit("!")), 2024).alias("slug"))
+
+
+def sc34(spark, d):
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise("soon")
+    return _t(spark, d, "orders").select("o_orderkey", F.coalesce(F.try_to_timestamp(raw, F.lit("yyyy-MM-dd")), F.try_to_timestamp(raw, F.lit("MM/dd/yyyy"))).cast("date").alias("at"))
+
+
+def sc37(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", F.sha2(F.concat(F.lit("salt"), "c_name"), 256).alias("h"))
+
+
+def sc38(spark, d):
+    m = _members(spark, d).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("s"), F.max("l_discount").alias("c"), F.count_if(F.col("l_tax") > 0.06).alias("v"))
+    why = scoring.needs_reflection(F.col("l_orderkey") % 10 == 0, F.col("l_orderkey") % 13 == 0, F.col("c") * 8.5, F.col("v"), F.col("l_orderkey") % 5, F.col("s"), F.col("n"))
+    return m.select("l_orderkey", why.alias("reason"))
+
+
+def jn1(spark, d):
+    m = _members(spark, d).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+    c = story.story_cards(_t(spark, d, "orders").select("o_orderkey"), m, _t(spark, d, "supplier").select("s_suppkey", "s_name"), "o_orderkey", "s_suppkey", "s_name")
+    return c.select("o_orderkey", "articles", "sources", F.array_join("logos", ",").alias("logos"))
+
+
+def jn2(spark, d):
+    return serving.unclustered(_t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders"), "c_custkey", "o_custkey")
+
+
+def jn6(spark, d):
+    c = compare.contradictions(_events(spark, d).withColumn("at", F.to_date("l_shipdate")), "l_orderkey", "l_linenumber", "l_suppkey", {"target": F.col("targets")[0], "location": F.col("location")}, "at", "l_quantity")
+    return c.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("stories"))
+
+
+def jn7(spark, d):
+    e = _events(spark, d).withColumn("at", F.to_date("l_shipdate"))
+    args = ("l_orderkey", "l_linenumber", "l_suppkey", {"target": F.col("targets")[0], "location": F.col("location")}, "at", "l_quantity")
+    known = compare.contradictions(e.where("l_linenumber <= 4 AND l_orderkey % 2 = 0"), *args)
+    return compare.contradictions_incremental(e.where("l_linenumber > 2"), e.where("l_linenumber <= 2"), known, *args).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def jn8(spark, d):
+    p = _t(spark, d, "part")
+    r = compare.build_resolver(p.select(F.col("p_name").alias("surface"), F.col("p_partkey").alias("id"), F.col("p_size").alias("order")), p.select("p_partkey", F.col("p_brand").alias("name"), F.array("p_type").alias("aliases")), "p_partkey")
+    return r
+
+
+def jn9(spark, d):
+    m = _members(spark, d).select("l_orderkey", F.concat(F.lit(" nation_"), F.col("l_partkey") % 30, F.lit(" ")).alias("mention"))
+    return compare.link_entities(m, _t(spark, d, "nation").select("n_nationkey", "n_name"), "mention", "n_name", "n_nationkey").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def jn10(spark, d):
+    from ..functions.url import host_of
+
+    refs = _t(spark, d, "pages").select("page_id", host_of(F.col("url")).alias("name"))
+    src = spark.createDataFrame([(1, "therhe.example.com", "x", "nowhere"), (2, "X", "spam-farm.example.org", "none"), (3, "Y", "y", "example.net")], "source_id long, name string, slug string, domain string")
+    return compare.resolve_sources(refs, src, "name").select("page_id", "source_id", "how")
+
+
+def jn11(spark, d):
+    o = _t(spark, d, "orders").where("o_orderkey < 2000")
+    return compare.baseline_run(o, "o_orderkey", "o_orderpriority", "o_orderdate", 24).select("o_orderkey", "baseline")
+
+
+def jn12(spark, d):
+    m = _members(spark, d).withColumn("year", F.year("l_shipdate"))
+    return compare.compare_runs(m.where("year = 1999"), m.where("year = 2000"), "l_returnflag", {"n": F.count(F.lit(1)).cast("double"), "qty": F.sum("l_quantity"), "tax": F.avg("l_tax")})
+
+
+def jn13(spark, d):
+    m = _members(spark, d).where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_suppkey")
+    cov = _t(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("coverage"))
+    return m.join(cov, "l_suppkey", "left").select("l_orderkey", "l_linenumber", F.coalesce("coverage", F.lit("General coverage")).alias("coverage"))
+
+
+def jn14(spark, d):
+    links = _members(spark, d).select("l_partkey", F.col("l_orderkey").alias("o_orderkey"))
+    return serving.entity_timeline(links, _t(spark, d, "orders").select("o_orderkey", "o_orderdate"), "l_partkey", "o_orderkey", "o_orderdate", 3).select("l_partkey", "o_orderkey", "rank")
+
+
+def jn16(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    out = story.story_detail(o, "o_orderkey", {"spans": (_members(spark, d).select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_suppkey"), ["l_linenumber", "l_suppkey"])})
+    return out.select("o_orderkey", "o_custkey", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_suppkey"].cast("string"))), ",").alias("spans"))
+
+
+def jn17(spark, d):
+    return _t(spark, d, "orders").join(_t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select("o_orderkey", "o_custkey")
+
+
+def _users(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 4 + 1).cast("int").alias("story_count"),
+                                           F.when(F.col("c_nationkey") < 10, F.element_at(F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "none")]), F.col("c_nationkey") % 3 + 1)).alias("pref_o_orderpriority"))
+
+
+def jn18(spark, d):
+    s = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
+    return serving.personal_feed(_users(spark, d), s, "c_custkey", "o_orderpriority", [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("c_custkey", "o_orderkey", "rank")
+
+
+def win11(spark, d):
+    s = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    return serving.digests(_users(spark, d), s, "c_custkey", "story_count", "o_orderpriority", [F.desc("o_orderdate"), F.col("o_orderkey")]).select("c_custkey", "o_orderkey", "rank")
+
+
+def win12(spark, d):
+    subs = _t(spark, d, "customer").select("c_custkey", F.element_at(F.array(F.lit("morning"), F.lit("evening"), F.lit("weekly")), (F.col("c_custkey") % 3 + 1).cast("int")).alias("edition"),
+                                           F.when(F.col("c_custkey") % 4 == 0, "18:30").when(F.col("c_custkey") % 4 == 1, "bad").alias("at"))
+    return serving.digests_due(subs, F.lit(18), "edition", "at", 18, False, {"morning": 7, "evening": 18, "weekly": 9}).select("c_custkey", "edition")
+
+
+def jn19(spark, d):
+    nodes, edges = story.knowledge_graph(_t(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("l_orderkey")), _members(spark, d), _t(spark, d, "part").where("p_size < 20").select(F.col("p_partkey").alias("l_partkey")),
+                                         "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).unionByName(edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+
+
+def jn20(spark, d):
+    m = _members(spark, d).select(F.col("l_orderkey").alias("story"), F.col("l_partkey").alias("member"))
+    merges = _t(spark, d, "orders").where("o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("story"), (F.col("o_orderkey") - 1).alias("survivor"))
+    return compare.apply_merges(m, merges, "story", "survivor", "member").groupBy("story").agg(F.count(F.lit(1)).alias("n"), F.sum("member").alias("members"))
+
+
+def jn21(spark, d):
+    s = _t(spark, d, "supplier").where("s_suppkey < 60").select(F.concat(F.lit("Acme "), F.col("s_nationkey") % 5).alias("a"), F.concat(F.lit("acme "), F.col("s_suppkey") % 5, F.when(F.col("s_suppkey") % 2 == 0, " Inc").otherwise(" Bank")).alias("b"), "s_suppkey")
+    return s.select("s_suppkey", compare.same_organisation(F.col("a"), F.col("b")).alias("same"), compare.same_person(F.concat(F.lit("Mr "), F.element_at(F.split("a", " "), 2)), F.col("b")).alias("same_person"))
+
+
+def jn22(spark, d):
+    m = _members(spark, d).select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_suppkey", "l_partkey")
+    x = story.story_detail(_t(spark, d, "orders").select("o_orderkey"), "o_orderkey", {"members": (m, ["l_linenumber"]), "sources": (m.select("o_orderkey", "l_suppkey").distinct(), ["l_suppkey"]), "entities": (m.select("o_orderkey", "l_partkey").distinct(), ["l_partkey"])})
+    return x.select("o_orderkey", *[F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).alias(c) for c in ("members", "sources", "entities")])
+
+
+def jn23(spark, d):
+    m = _members(spark, d).select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate", "l_linenumber", "l_extendedprice").groupBy("o_orderkey", "l_linenumber").agg(F.max("l_shipdate").alias("l_shipdate"), F.sum("l_extendedprice").alias("l_extendedprice"))
+    x = story.story_inspector(_t(spark, d, "orders").select("o_orderkey"), m, "o_orderkey", "l_shipdate", "l_linenumber", "l_extendedprice")
+    return x.select("o_orderkey", "cost", F.array_join(F.col("latest").cast("array<string>"), ",").alias("latest"))
+
+
+def agg29(spark, d):
+    x = story.facts_by_source(_members(spark, d).withColumn("k", F.struct("l_linenumber", "l_partkey", "l_quantity")), "l_orderkey", "l_suppkey", "l_partkey", "l_quantity", "k")
+    return x.select("l_orderkey", "l_suppkey", F.array_join(F.col("facts").cast("array<string>"), ",").alias("facts"), "first_number")
+
+
+def agg30(spark, d):
+    e = F.concat(F.col("l_returnflag"), F.lit(" reported by "), F.col("l_suppkey"))
+    t = story.timeline(_members(spark, d), "l_orderkey", F.col("l_shipdate"), e, "l_linenumber")
+    return t.select("l_orderkey", F.array_join(F.transform("timeline", lambda x: x["entry"]), "; ").alias("timeline"))
+
+
+def agg31(spark, d):
+    m = _members(spark, d).withColumn("w", F.struct("l_shipdate", "l_linenumber", "l_partkey"))
+    x = story.seed_anchor(m, m, "l_orderkey", "l_partkey", "w", "l_suppkey", 3)
+    return x.select("l_orderkey", "headline", F.array_join(F.col("entities").cast("array<string>"), ",").alias("entities"))
+
+
+def agg42(spark, d):
+    m = _members(spark, d).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_name", "l_linenumber")
+    x = story.story_tags(m, m.where("l_linenumber = 1").select("l_orderkey", F.lower("p_name").alias("tag")).distinct(), "l_orderkey", "p_name", "tag", 4)
+    return x
+
+
+def agg40(spark, d):
+    return story.time_conflict(_members(spark, d), "l_orderkey", F.when(F.col("l_linenumber") == 2, " ").otherwise(F.date_format("l_shipdate", "yyyy"))).select("l_orderkey", "conflict")
+
+
+def agg39(spark, d):
+    x = _members(spark, d).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count_distinct("l_orderkey").alias("stories"))
+    return gates.page(x, [F.desc("stories"), "p_brand"], 4)
+
+
+def src8(spark, d):
+    c = _t(spark, d, "customer").where("c_custkey < 200").select("c_custkey", "c_name")
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    x = serving.export_users(c, "c_custkey", {"orders": (o, ["o_orderkey", "o_orderstatus"])})
+    return x.select("c_custkey", F.length("document").cast("long").alias("n"))
+
+
+def win9(spark, d):
+    return serving.next_version(_members(spark, d), "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+def win10(spark, d):
+    m = _members(spark, d).groupBy("l_orderkey", "l_linenumber", "l_returnflag").agg(F.max("l_partkey").alias("p"))
+    return serving.as_of_version(m, "l_orderkey", "l_linenumber", "l_returnflag", "p", ["A", "N", "R"], 4)
+
+
+def win15(spark, d):
+    return serving.recent(_t(spark, d, "orders"), "o_custkey", [F.desc("o_orderdate"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank")
+
+
+def win13(spark, d):
+    m = _members(spark, d).select("l_returnflag", "l_linenumber").distinct()
+    return serving.recent(m, "l_returnflag", [F.desc("l_linenumber")], 100)
+
+
+def clu1(spark, d):
+    m = _members(spark, d).where("l_orderkey % 3 = 0").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_suppkey", F.col("p_name").alias("fact"))
+    return compare.unique_facts(m, "l_orderkey", "l_suppkey", "fact").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+def clu2(spark, d):
+    m = _members(spark, d).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey", "l_suppkey").agg(F.collect_set("p_type").alias("f"))
+    a, b = m.select("l_orderkey", F.col("l_suppkey").alias("i"), F.col("f").alias("x")), m.select("l_orderkey", F.col("l_suppkey").alias("j"), F.col("f").alias("y"))
+    return a.join(b, "l_orderkey").where("i < j").groupBy("l_orderkey").agg(F.count_if(compare.share_fact(F.col("x"), F.col("y"))).alias("sharing"))
+
+
+def clu12(spark, d):
+    o = _t(spark, d, "orders").where("o_orderkey < 3000")
+    before, after = o.select((F.col("o_custkey") % 50).alias("story"), F.col("o_orderkey").alias("member")), o.where("o_orderkey % 4 <> 0").select((F.col("o_custkey") % 45).alias("story"), F.col("o_orderkey").alias("member"))
+    return compare.story_changes(before, after, "story", "member").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FP = """substr(sha256(l_returnflag || '::' || array_to_string(list_sort(['p' || (l_partkey % 40), 'q' || (CAST(l_quantity AS INTEGER) % 5)]), ',') || '::' || 's' || (l_suppkey % 10) || '::' || 'city ' || (l_suppkey % 4) || '::' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR)), 1, 32)"""
+_RANK = f"""r AS (SELECT o_orderkey, o_orderdate, coalesce(sources, 0) AS sources, round(0.35 * least(ln(1 + coalesce(sources, 0)) / ln(6.0), 1.2) + 0.35 * exp(-0.1155 * greatest(date_diff('second', o_orderdate, TIMESTAMP '{NOW}') / 3600.0 / 24.0, 0)) + 0.30 * least(coalesce(recent, 0) / 5.0, 1.0), 6) AS rank_score
+  FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_suppkey) AS sources, count(*) FILTER (l_shipdate > TIMESTAMP '{RECENT}' AND l_shipdate <= TIMESTAMP '{NOW}') AS recent FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
+_PAIRS = """e AS (SELECT l_orderkey AS s, l_linenumber AS i, l_suppkey AS src, CAST(l_shipdate AS DATE) AS at, l_quantity AS q, 'S' || (l_suppkey % 10) AS target, 'City ' || (l_suppkey % 4) AS location FROM lineitem),
+  p AS (SELECT DISTINCT a.s, least(a.src, b.src) AS x, greatest(a.src, b.src) AS y, unnest([CASE WHEN a.target <> b.target THEN 'target' END, CASE WHEN a.location <> b.location THEN 'location' END, CASE WHEN abs(date_diff('day', a.at, b.at)) > 1 THEN 'time' END, CASE WHEN abs(a.q - b.q) > 1 AND abs(a.q - b.q) / greatest(a.q, b.q) > 0.1 THEN 'number' END]) AS kind {cols}
+    FROM e a JOIN e b ON a.s = b.s AND {on} AND a.src <> b.src)"""
+_USERS = "u AS (SELECT c_custkey, CAST(c_custkey % 4 + 1 AS INTEGER) AS story_count, CASE WHEN c_nationkey < 10 THEN ['1-URGENT', '2-HIGH', 'none'][c_nationkey % 3 + 1] END AS pref FROM customer)"
 
 
 QUERIES = {
-    "win5_trending": (win5_trending, f"""
-        WITH m AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS sources,
-                          count(*) FILTER (l_shipdate > TIMESTAMP '2001-01-01' AND l_shipdate <= TIMESTAMP '{NOW}') AS recent
-                   FROM lineitem GROUP BY l_orderkey)
-        SELECT o_orderkey, coalesce(sources, 0) AS sources,
-               round(0.35 * least(ln(1 + coalesce(sources, 0)) / ln(6.0), 1.2)
-                     + 0.35 * exp(-0.1155 * greatest(date_diff('second', o_orderdate, TIMESTAMP '{NOW}') / 3600.0 / 24.0, 0))
-                     + 0.30 * least(coalesce(recent, 0) / 5.0, 1.0), 6) AS rank_score
-        FROM orders LEFT JOIN m ON o_orderkey = l_orderkey
-        WHERE o_orderdate <= TIMESTAMP '{NOW}' AND o_orderdate > TIMESTAMP '1999-08-01'
-        ORDER BY rank_score DESC, o_orderkey LIMIT 20"""),
+    "win5_trending": (win5_trending, f"WITH {_RANK} SELECT o_orderkey, sources, rank_score FROM r WHERE o_orderdate <= TIMESTAMP '{NOW}' AND o_orderdate > TIMESTAMP '{EARLY}' ORDER BY rank_score DESC, o_orderkey LIMIT 20"),
+    "win6_list_orders": (win6, "(SELECT o_orderkey, 'first_seen' AS sort FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20) UNION ALL (SELECT o_orderkey, 'score' FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 20)"),
+    "win16_trending_stored": (win16, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey LIMIT 25"),
+    "flt2_facets": (flt2, "SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
+    "flt3_after": (flt3, "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01 00:00:00'"),
+    "flt5_eligible": (flt5, f"SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 720 HOUR AND o_orderdate <= TIMESTAMP '{NOW}' ORDER BY o_orderdate DESC, o_orderkey LIMIT 40"),
+    "flt10_top_story": (flt10, f"SELECT o_orderkey, o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 60 DAY AND coalesce((SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_orderkey = o_orderkey), 0) >= 3 AS top_story FROM orders"),
+    "flt14_embedding_space": (flt14, "SELECT CASE WHEN label < 5 THEN 'm1' ELSE 'm2' END AS model, CAST(len(embedding) AS INTEGER) AS dims, count(*) AS n FROM embeddings GROUP BY 1, 2"),
+    "flt15_page": (flt15, "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 5"),
+    "ded13_changed_clusters": (ded13, """WITH h AS (SELECT l_orderkey, sha256(array_to_string(list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))), '::')) AS members_hash FROM lineitem GROUP BY 1),
+        o AS (SELECT l_orderkey, sha256(array_to_string(list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))), '::')) AS h FROM lineitem WHERE l_partkey % 50 <> 0 GROUP BY 1)
+        SELECT h.* FROM h LEFT JOIN o USING (l_orderkey) WHERE members_hash IS DISTINCT FROM o.h"""),
+    "ded15_event_fingerprint": (ded15, f"SELECT {_FP} AS fp, count(*) AS n FROM lineitem GROUP BY 1"),
+    "ded16_usable_fingerprints": (ded16, f"SELECT substr({_FP}, 1, 3) AS fp, count(*) AS n FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1 HAVING count(*) <= 14"),
+    "sc9_event_similarity": (sc9, """WITH e AS (SELECT l_orderkey, l_linenumber AS i, l_returnflag AS k, CASE WHEN l_returnflag IN ('A', 'R') THEN 'x' ELSE 'y' END AS p, [' P' || (l_partkey % 40), 'Q' || (CAST(l_quantity AS INTEGER) % 5)] AS a, l_suppkey % 10 AS t, l_suppkey % 4 AS l, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_orderkey % 5 = 0)
+        SELECT x.l_orderkey, round(avg(0.25::DOUBLE * len(list_intersect(x.a, y.a)) / len(list_distinct(x.a || y.a)) + CASE WHEN x.t = y.t THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN x.l = y.l THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN x.k = y.k THEN 0.15::DOUBLE WHEN x.p = y.p THEN 0.075::DOUBLE ELSE 0 END + CASE WHEN x.d = y.d THEN 0.10::DOUBLE ELSE 0 END), 6) AS similarity, count(*) AS pairs
+        FROM e x JOIN e y ON x.l_orderkey = y.l_orderkey AND x.i < y.i GROUP BY 1"""),
+    "sc12_trending_stored": (sc12, f"""SELECT o_orderkey, round(0.40::DOUBLE * least(s / 5.0, 1.0) + 0.35::DOUBLE * exp(-0.1155 * date_diff('second', o_orderdate, TIMESTAMP '{NOW}') / 86400.0) + 0.25::DOUBLE * least((o_custkey % 100 + 3 * (o_custkey % 10) + 5 * (o_custkey % 7)) / 500.0, 1.0), 6) AS score
+        FROM orders JOIN (SELECT l_orderkey, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey"""),
+    "sc13_trending_rank": (sc13, f"WITH {_RANK} SELECT o_orderkey, rank_score FROM r"),
+    "sc14_lifecycle": (sc14, f"""WITH m AS (SELECT o_custkey, count(*) AS a, count(DISTINCT o_orderpriority) AS s, date_sub('hour', max(o_orderdate), TIMESTAMP '{NOW}') / 24.0 AS idle, count(*) FILTER (o_orderstatus = 'F') / count(*)::DOUBLE AS c, ['emerging', 'developing', 'monitoring', 'stable', 'archived'][o_custkey % 5 + 1] AS st FROM orders GROUP BY o_custkey)
+        SELECT o_custkey, CASE WHEN st = 'archived' OR (idle >= 168 AND idle - 20 >= 168) THEN 'archived' WHEN st = 'monitoring' AND 1.0 - c / 4 >= 0.95 AND idle >= 24 AND s >= 5 AND c <= 0.1 THEN 'stable' WHEN st = 'developing' AND 1.0 - c / 4 >= 0.8 AND idle >= 6 AND s >= 3 AND c <= 0.2 THEN 'monitoring' WHEN st = 'emerging' AND a >= 3 THEN 'developing' ELSE st END AS state FROM m"""),
+    "sc15_hhi": (sc15, "SELECT l_orderkey, round(sum(n * n) / (sum(n) * sum(n)), 6) AS hhi FROM (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1"),
+    "sc16_quality_gate": (sc16, """WITH h AS (SELECT l_orderkey, sum(n * n) / (sum(n) * sum(n)) AS hhi FROM (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1),
+        m AS (SELECT l_orderkey, min(l_discount) * 20 AS c, count(*) FILTER (l_tax > 0.04) AS m, count(DISTINCT l_returnflag) AS f, count(*) FILTER (l_quantity > 49) AS k FROM lineitem GROUP BY 1),
+        s AS (SELECT l_orderkey, round(1.0::DOUBLE - CASE WHEN hhi > 0.6 THEN 0.15 ELSE 0 END - CASE WHEN c < 0.65 THEN 0.15 ELSE 0 END - CASE WHEN m > 3 THEN 0.15 ELSE 0 END - CASE WHEN f > 1 THEN 0.10 ELSE 0 END, 6) AS score, k FROM h JOIN m USING (l_orderkey))
+        SELECT l_orderkey, score, CASE WHEN score < 0.85 OR l_orderkey % 17 = 0 OR k > 0 THEN 'needs_review' ELSE 'publish' END AS action FROM s"""),
+    "sc20_numbers_conflict": (sc20, """SELECT a.l_orderkey, count(*) FILTER (CASE WHEN b.l_linenumber = 3 THEN true ELSE abs(a.l_quantity - b.l_quantity) > 1 AND abs(a.l_quantity - b.l_quantity) / greatest(a.l_quantity, b.l_quantity) > 0.1 END) AS conflicts
+        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY 1"""),
+    "sc21_event_type": (sc21, "SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 'TINY' WHEN 'ECONOMY' THEN 'CHEAP' WHEN 'MEDIUM' THEN 'MIDDLE' ELSE p_type END AS kind FROM part"),
+    "sc22_parent_type": (sc22, "SELECT n_name, coalesce(r_name, 'OTHER') AS parent FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey"),
+    "sc27_token_cost": (sc27, """SELECT l_returnflag, count(*) FILTER (l_returnflag <> 'N') AS priced, round(sum(CASE l_returnflag WHEN 'A' THEN round(l_quantity / 1e6 * 1.5 + l_extendedprice / 1e6 * 6.0, 8) WHEN 'R' THEN round(l_quantity / 1e6 * 0.1 + l_extendedprice / 1e6 * 0.4, 8) END), 4) AS cost FROM lineitem GROUP BY 1"""),
+    "sc28_budget_flags": (sc28, "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS spent, 5e8 AS budget, round(sum(o_totalprice) / 5e8, 6) AS share, sum(o_totalprice) / 5e8 >= 0.5 AS skip_reflection, sum(o_totalprice) / 5e8 >= 0.8 AS skip_comparison FROM orders GROUP BY 1"),
+    "sc33_slug": (sc33, "SELECT p_partkey, trim(substr(trim(regexp_replace(lower(p_name || ' & ' || p_type), '[^a-z0-9]+', '-', 'g'), '-'), 1, 50), '-') || '-2024' AS slug FROM part"),
+    "sc34_event_time": (sc34, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS at FROM orders"),
+    "sc37_hash_pii": (sc37, "SELECT c_custkey, sha256('salt' || c_name) AS h FROM customer"),
+    "sc38_needs_reflection": (sc38, """SELECT l_orderkey, CASE WHEN l_orderkey % 10 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN 'high_stakes' WHEN max(l_discount) * 8.5 >= 0.8 THEN 'contradiction' WHEN count(*) FILTER (l_tax > 0.06) >= 2 THEN 'divergent_sources'
+        WHEN l_orderkey % 5 < 2 AND count(DISTINCT l_suppkey) >= 3 THEN 'breaking' WHEN count(*) >= 5 THEN 'large_story' END AS reason FROM lineitem GROUP BY 1"""),
+    "jn1_story_cards": (jn1, """SELECT o_orderkey, count(s_suppkey) AS articles, count(DISTINCT s_suppkey) AS sources, CASE WHEN count(s_suppkey) > 0 THEN array_to_string(list_sort(list(DISTINCT s_name) FILTER (s_name IS NOT NULL))[1:5], ',') END AS logos
+        FROM orders LEFT JOIN (lineitem JOIN supplier ON l_suppkey = s_suppkey) ON o_orderkey = l_orderkey GROUP BY 1"""),
+    "jn2_unclustered": (jn2, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "jn6_contradictions": (jn6, "WITH " + _PAIRS.format(on="a.i < b.i", cols="") + " SELECT kind, count(*) AS n, count(DISTINCT s) AS stories FROM p WHERE kind IS NOT NULL GROUP BY 1"),
+    "jn7_contradictions_incremental": (jn7, "WITH " + _PAIRS.format(on="a.i < b.i", cols=", a.i AS ai, b.i AS bi") + """, k AS (SELECT DISTINCT s, x, y, kind FROM p WHERE kind IS NOT NULL AND ai <= 4 AND bi <= 4 AND s % 2 = 0), n AS (SELECT DISTINCT s, x, y, kind FROM p WHERE kind IS NOT NULL AND ai <= 2 AND bi > 2)
+        SELECT kind, count(*) AS n FROM n ANTI JOIN k USING (s, x, y, kind) GROUP BY 1"""),
+    "jn8_resolver": (jn8, """WITH a AS (SELECT lower(p_name) AS key, p_partkey AS id, 0 AS r, p_size AS o FROM part UNION ALL SELECT replace(lower(p_brand), '#', ' '), p_partkey, 1, 0 FROM part UNION ALL SELECT lower(p_type), p_partkey, 2, 0 FROM part)
+        SELECT key, arg_min(id, (r, o, id)) AS id FROM a GROUP BY key"""),
+    "jn9_link_entities": (jn9, "SELECT CASE WHEN l_partkey % 30 < 25 THEN 'linked' ELSE 'needs_review' END AS status, count(*) AS n FROM lineitem GROUP BY 1"),
+    "jn10_resolve_sources": (jn10, r"""WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') AS name FROM pages)
+        SELECT page_id, CASE WHEN name = 'therhe.example.com' THEN 1 WHEN name = 'spam-farm.example.org' THEN 2 WHEN ends_with(name, '.example.net') THEN 3 END AS source_id, CASE WHEN name = 'therhe.example.com' THEN 'name' WHEN name = 'spam-farm.example.org' THEN 'slug' WHEN ends_with(name, '.example.net') THEN 'domain' ELSE 'new' END AS how FROM h"""),
+    "jn11_baseline_run": (jn11, """WITH o AS (SELECT * FROM orders WHERE o_orderkey < 2000)
+        SELECT a.o_orderkey, arg_min(b.o_orderkey, (abs(date_diff('second', b.o_orderdate, a.o_orderdate - INTERVAL 24 HOUR)), b.o_orderkey)) AS baseline FROM o a JOIN o b ON a.o_orderpriority = b.o_orderpriority AND a.o_orderkey <> b.o_orderkey GROUP BY 1"""),
+    "jn12_compare_runs": (jn12, """WITH a AS (SELECT l_returnflag, count(*)::DOUBLE AS n, sum(l_quantity) AS qty, avg(l_tax) AS tax FROM lineitem WHERE year(l_shipdate) = 1999 GROUP BY 1), b AS (SELECT l_returnflag, count(*)::DOUBLE AS n, sum(l_quantity) AS qty, avg(l_tax) AS tax FROM lineitem WHERE year(l_shipdate) = 2000 GROUP BY 1)
+        SELECT l_returnflag, round(coalesce(b.n, 0) - coalesce(a.n, 0), 6) AS n_diff, round(CASE WHEN coalesce(a.n, 0) = 0 THEN 0 ELSE 100 * (coalesce(b.n, 0) - a.n) / a.n END, 6) AS n_percent, round(coalesce(b.qty, 0) - coalesce(a.qty, 0), 6) AS qty_diff, round(CASE WHEN coalesce(a.qty, 0) = 0 THEN 0 ELSE 100 * (coalesce(b.qty, 0) - a.qty) / a.qty END, 6) AS qty_percent,
+          round(coalesce(b.tax, 0) - coalesce(a.tax, 0), 6) AS tax_diff, round(CASE WHEN coalesce(a.tax, 0) = 0 THEN 0 ELSE 100 * (coalesce(b.tax, 0) - a.tax) / a.tax END, 6) AS tax_percent FROM a FULL JOIN b USING (l_returnflag)"""),
+    "jn13_comparison_view": (jn13, "SELECT l_orderkey, l_linenumber, coalesce(s_name, 'General coverage') AS coverage FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) ON l_suppkey = s_suppkey WHERE l_linenumber <= 2"),
+    "jn14_entity_timeline": (jn14, """WITH x AS (SELECT DISTINCT l_partkey, o_orderkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT * FROM (SELECT l_partkey, o_orderkey, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS rank FROM x) WHERE rank <= 3"""),
+    "jn16_lineage": (jn16, "SELECT o_orderkey, o_custkey, CASE WHEN count(l_linenumber) > 0 THEN array_to_string(list_transform(list_sort(list((l_linenumber, l_suppkey))), lambda x: x[1] || ':' || x[2]), ',') END AS spans FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2"),
+    "jn17_bookmarked": (jn17, "SELECT o_orderkey, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'"),
+    "jn18_personal_feed": (jn18, f"""WITH {_USERS}, b AS (SELECT o_orderkey, o_orderpriority AS c, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders UNION ALL SELECT o_orderkey, '*', row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) FROM orders)
+        SELECT c_custkey, o_orderkey, CAST(rank AS INTEGER) AS rank FROM u JOIN b ON c = coalesce(pref, '*') WHERE rank <= 3"""),
+    "jn19_knowledge_graph": (jn19, """WITH m AS (SELECT * FROM lineitem WHERE l_orderkey % 7 = 0 AND l_orderkey IN (SELECT o_orderkey FROM orders)), e AS (SELECT * FROM m WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 20))
+        SELECT 'article' AS kind, count(DISTINCT (l_orderkey, l_linenumber)) AS n FROM m UNION ALL SELECT 'source', count(DISTINCT (l_orderkey, l_suppkey)) FROM m UNION ALL SELECT 'entity', count(DISTINCT (l_orderkey, l_partkey)) FROM e
+        UNION ALL SELECT 'reported_by', count(DISTINCT (l_orderkey, l_linenumber, l_suppkey)) FROM m UNION ALL SELECT 'names', count(DISTINCT (l_orderkey, l_linenumber, l_partkey)) FROM m WHERE (l_orderkey, l_partkey) IN (SELECT (l_orderkey, l_partkey) FROM e)"""),
+    "jn20_apply_merges": (jn20, """SELECT story, count(*) AS n, CAST(sum(member) AS BIGINT) AS members FROM (SELECT DISTINCT CASE WHEN o_orderkey IS NOT NULL THEN l_orderkey - 1 ELSE l_orderkey END AS story, l_partkey AS member FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 1) ON o_orderkey = l_orderkey) GROUP BY 1"""),
+    "jn21_coreference": (jn21, "SELECT s_suppkey, s_nationkey % 5 = s_suppkey % 5 AND s_suppkey % 2 = 0 AS same, s_nationkey % 5 = s_suppkey % 5 AS same_person FROM supplier WHERE s_suppkey < 60"),
+    "jn22_story_detail": (jn22, "SELECT o_orderkey, CAST(count(l_linenumber) AS INTEGER) AS members, CAST(count(DISTINCT l_suppkey) AS INTEGER) AS sources, CAST(count(DISTINCT l_partkey) AS INTEGER) AS entities FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"),
+    "jn23_story_inspector": (jn23, """WITH m AS (SELECT l_orderkey, l_linenumber, max(l_shipdate) AS at, sum(l_extendedprice) AS c FROM lineitem GROUP BY 1, 2)
+        SELECT o_orderkey, round(sum(c), 2) AS cost, CASE WHEN count(c) > 0 THEN array_to_string(list_transform(list_reverse_sort(list(struct_pack(a := m.at, b := l_linenumber)))[1:3], lambda x: x.b), ',') END AS latest FROM orders LEFT JOIN m ON o_orderkey = l_orderkey GROUP BY 1"""),
+    "agg29_facts_by_source": (agg29, "SELECT l_orderkey, l_suppkey, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS facts, arg_min(l_quantity, (l_linenumber, l_partkey, l_quantity)) AS first_number FROM lineitem GROUP BY 1, 2"),
+    "agg30_timeline": (agg30, "SELECT l_orderkey, array_to_string(list_transform(list_sort(list((l_shipdate, l_linenumber, l_returnflag || ' reported by ' || l_suppkey))), lambda x: x[3]), '; ') AS timeline FROM lineitem GROUP BY 1"),
+    "agg31_anchor": (agg31, "SELECT l_orderkey, arg_max(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS headline, array_to_string(list_sort(list(DISTINCT l_suppkey))[1:3], ',') AS entities FROM lineitem GROUP BY 1"),
+    "agg39_trending_topics": (agg39, "SELECT p_brand, count(DISTINCT l_orderkey) AS stories FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY stories DESC, p_brand LIMIT 4"),
+    "agg40_time_conflict": (agg40, "SELECT l_orderkey, count(DISTINCT CASE WHEN l_linenumber <> 2 THEN year(l_shipdate) END) > 1 AS conflict FROM lineitem GROUP BY 1"),
+    "agg42_story_tags": (agg42, """WITH m AS (SELECT l_orderkey, l_linenumber, lower(p_name) AS tag FROM lineitem JOIN part ON l_partkey = p_partkey), h AS (SELECT DISTINCT l_orderkey, tag FROM m WHERE l_linenumber = 1), c AS (SELECT l_orderkey, count(*) AS k FROM h GROUP BY 1),
+        n AS (SELECT DISTINCT l_orderkey, tag FROM m WHERE length(tag) < 30 EXCEPT SELECT * FROM h), r AS (SELECT l_orderkey, tag, row_number() OVER (PARTITION BY l_orderkey ORDER BY tag) AS rn FROM n) SELECT l_orderkey, tag FROM r LEFT JOIN c USING (l_orderkey) WHERE rn <= 4 - coalesce(k, 0)"""),
+    "src8_user_export": (src8, """SELECT c_custkey, length('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"' || CASE WHEN count(o_orderkey) > 0 THEN ',"orders":[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',') || ']' ELSE '' END || '}') AS n
+        FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_custkey < 200 GROUP BY c_custkey, c_name"""),
+    "win9_next_version": (win9, "SELECT l_orderkey, max(l_linenumber) + 1 AS next_version, round(sum(l_extendedprice), 2) AS cost FROM lineitem GROUP BY 1"),
+    "win10_as_of_version": (win10, """WITH m AS (SELECT l_orderkey, l_linenumber AS v, l_returnflag AS k, max(l_partkey) AS p FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2, 3) SELECT l_orderkey, arg_max(p, v) FILTER (k = 'A') AS "A", arg_max(p, v) FILTER (k = 'N') AS "N", arg_max(p, v) FILTER (k = 'R') AS "R" FROM m GROUP BY 1"""),
+    "win11_digests": (win11, f"""WITH {_USERS}, b AS (SELECT o_orderkey, o_orderpriority AS c, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders UNION ALL SELECT o_orderkey, '*', row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) FROM orders)
+        SELECT c_custkey, o_orderkey, CAST(rank AS INTEGER) AS rank FROM u JOIN b ON c = CASE WHEN pref IN (SELECT o_orderpriority FROM orders) THEN pref ELSE '*' END WHERE rank <= least(story_count, 10)"""),
+    "win12_digests_due": (win12, "SELECT c_custkey, ['morning', 'evening', 'weekly'][c_custkey % 3 + 1] AS edition FROM customer WHERE c_custkey % 3 <> 2 AND (c_custkey % 4 = 0 OR c_custkey % 3 = 1)"),
+    "win13_prompt_versions": (win13, "SELECT l_returnflag, l_linenumber, CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY l_linenumber DESC) AS INTEGER) AS rank FROM (SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem)"),
+    "win15_recent": (win15, "SELECT * FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS rank FROM orders) WHERE rank <= 3"),
+    "clu1_unique_facts": (clu1, """WITH f AS (SELECT DISTINCT l_orderkey AS s, l_suppkey AS src, p_name AS f FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 3 = 0)
+        SELECT s AS l_orderkey, count(*) AS n FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.s = b.s AND a.src <> b.src AND (a.f = b.f OR (length(a.f) >= 5 AND length(b.f) >= 5 AND (contains(a.f, b.f) OR contains(b.f, a.f) OR list_has_all(string_split(a.f, ' '), string_split(b.f, ' ')) OR list_has_all(string_split(b.f, ' '), string_split(a.f, ' ')))))) GROUP BY 1"""),
+    "clu2_shared_facts": (clu2, """WITH f AS (SELECT l_orderkey, l_suppkey, list(DISTINCT p_type) AS f FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT a.l_orderkey, count(*) FILTER (list_has_any(a.f, b.f)) AS sharing FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1"""),
+    "clu12_story_changes": (clu12, """WITH b AS (SELECT o_custkey % 50 AS s, o_orderkey AS m FROM orders WHERE o_orderkey < 3000), a AS (SELECT o_custkey % 45 AS s, o_orderkey AS m FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 4 <> 0)
+        SELECT CASE WHEN b.m IS NULL THEN 'added' WHEN a.m IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'moved' ELSE 'kept' END AS change, count(*) AS n FROM b FULL JOIN a ON a.m = b.m GROUP BY 1"""),
 }
