@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules that register queries, each with a dict QUERIES of name -> (callable, SQL or None).
-MODULES = ("newsgrain.plans.stories", "newsgrain.plans.articles", "newsgrain.plans.telemetry")
+MODULES = ("newsgrain.plans.stories", "newsgrain.plans.articles", "newsgrain.plans.telemetry", "newsgrain.plans.clusters", "newsgrain.plans.streams")
 
 
 def _all() -> dict[str, tuple[Callable, str | None]]:
