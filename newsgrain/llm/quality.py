@@ -57,7 +57,7 @@ class ByteNet:
         high = np.maximum.reduceat(h, first, axis=0)
         avg = np.add.reduceat(h, first, axis=0) / counts[:, None].astype(np.float32)
         d = np.concatenate([high, avg], axis=1)
-        score = 1 / (1 + np.exp(-(d @ p["out"] + p["out_bias"])))
+        score = 1 / (1 + np.exp(-np.clip((d @ p["out"] + p["out_bias"]).astype(np.float64), -500, 500)))
         return (score, (data, chunks, counts, a, y, top, v, h, high, d)) if keep else score
 
     def gradients(self, texts: list[bytes], target: np.ndarray, weight: np.ndarray):
