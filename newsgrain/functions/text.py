@@ -13,6 +13,11 @@ HEADLINE_PREFIXES = ("breaking", "live", "exclusive", "update", "watch", "live u
 STOP_FIRST_WORDS = ("the", "a", "an", "this", "what", "how", "why", "who", "when", "where", "if", "in", "on", "at", "by", "for", "with")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inside a lambda an outer expression is computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
@@ -75,17 +80,21 @@ def extract_context(text: Column, most: int = 6000, marker: str = "[...]") -> Co
 
     Texts of at most ``most`` characters are unchanged. If first and last do not fit, the text is cut.
     """
-    parts = F.filter(F.transform(F.split(text, r"\n+"), lambda p: F.trim(p)), lambda p: p != "")
-    n = F.size(parts)
-    head, tail = parts[0], F.element_at(parts, -1)
-    room = F.lit(most) - F.length(head) - F.length(tail) - len(marker) - 6
-    middle = F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0)))
-    start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.lit(0).alias("kept"))
-    taken = F.aggregate(middle, start, lambda a, p: F.when(a["full"] | (a["used"] + F.length(p) + 2 > room), F.struct(a["used"].alias("used"), F.lit(True).alias("full"), a["kept"].alias("kept")))
-                        .otherwise(F.struct((a["used"] + F.length(p) + 2).alias("used"), F.lit(False).alias("full"), (a["kept"] + 1).alias("kept"))))
-    kept = F.slice(middle, F.lit(1), taken["kept"])
-    short = F.array_join(F.concat(F.array(head), kept, F.when(taken["full"], F.array(F.lit(marker))).otherwise(F.array().cast("array<string>")), F.array(tail)), "\n\n")
-    return F.when(F.length(text) <= most, text).when((n < 2) | (room < 0), F.substring(text, 1, most)).otherwise(short)
+    every = F.filter(F.transform(F.split(text, r"\n+"), lambda p: F.trim(p)), lambda p: p != "")
+
+    def shorten(parts: Column) -> Column:
+        head, tail = parts[0], F.element_at(parts, -1)
+        middle = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+        return let(F.lit(most - len(marker) - 6) - F.length(head) - F.length(tail), lambda room: F.when(room < 0, F.lit(None)).otherwise(fill(parts, middle, room)))
+
+    def fill(parts: Column, middle: Column, room: Column) -> Column:
+        start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.lit(0).alias("kept"))
+        taken = F.aggregate(middle, start, lambda a, p: F.when(a["full"] | (a["used"] + F.length(p) + 2 > room), F.struct(a["used"].alias("used"), F.lit(True).alias("full"), a["kept"].alias("kept")))
+                            .otherwise(F.struct((a["used"] + F.length(p) + 2).alias("used"), F.lit(False).alias("full"), (a["kept"] + 1).alias("kept"))))
+        return let(taken, lambda t: F.array_join(F.concat(F.array(parts[0]), F.slice(parts, F.lit(2), t["kept"]), F.when(t["full"], F.array(F.lit(marker))).otherwise(F.array().cast("array<string>")), F.array(F.element_at(parts, -1))), "\n\n"))
+
+    short = let(every, lambda parts: F.when(F.size(parts) >= 2, shorten(parts)))
+    return F.when(F.length(text) <= most, text).otherwise(F.coalesce(short, F.substring(text, 1, most)))
 
 
 def facts_equivalent(a: Column, b: Column, least: int = 5) -> Column:

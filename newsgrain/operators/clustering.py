@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -151,24 +152,46 @@ def split_clusters(events: DataFrame, cluster: str, id_col: str, actors: str, ta
     members; between ``review`` and ``auto`` a row joins but needs review."""
     kind, ckind = events.schema[id_col].dataType.simpleString(), events.schema[cluster].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(c, rows: list[tuple]) -> list[tuple]:
         jac = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
         parts: list[list[tuple]] = []
         out = []
-        for r in pdf.sort_values(id_col, kind="stable").to_dict("records"):
-            me = (set(r[actors]), set(r[targets]))
+        for i, x, y in rows:
+            me = (set(x), set(y))
             score = [sum(0.6 * jac(me[0], a) + 0.4 * jac(me[1], t) for a, t in p) / len(p) for p in parts]
-            best = max(range(len(parts)), key=lambda i: (score[i], -i), default=None)
+            best = max(range(len(parts)), key=lambda k: (score[k], -k), default=None)
             if best is not None and score[best] >= review:
                 status = "auto" if score[best] >= auto else "needs_review"
                 parts[best].append(me)
             else:
                 best, status = len(parts), "auto"
                 parts.append([me])
-            out.append((r[cluster], r[id_col], best, status))
-        return pd.DataFrame(out, columns=[cluster, id_col, "part", "status"])
-
-    return events.select(cluster, id_col, actors, targets).groupBy(cluster).applyInPandas(run, f"{cluster} {ckind}, {id_col} {kind}, part int, status string")
+            out.append((c, i, best, status))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, rows, types = [cluster, id_col, "part", "status"], None, [], None
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*types, pa.int32(), pa.string()), strict=True)], names)
+
+        for b in batches:
+            types = types or (b.schema.field(0).type, b.schema.field(1).type)
+            out = []
+            for c, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if rows and c != held:
+                    out += one(held, rows)
+                    rows = []
+                held = c
+                rows.append(tuple(row))
+            yield batch(out)
+        if rows:
+            yield batch(one(held, rows))
+
+    # clusters arrive one after the other, so a task holds one of them at a time and there is no call a cluster
+    ordered = events.select(cluster, id_col, actors, targets).repartition(cluster).sortWithinPartitions(cluster, id_col)
+    return ordered.mapInArrow(run, f"{cluster} {ckind}, {id_col} {kind}, part int, status string")
 
 
 def split_story(members: DataFrame, story: str, id_col: str, vec: str, least: float = 0.80) -> DataFrame:

@@ -127,16 +127,19 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, least: float = 0.7, s
     Equal texts count once, by their least id. In each band's bucket every text is compared with the bucket's least id
     only, so a large group of near copies makes about as many links as it has members.
     """
-    words = F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+")
-    n = F.size(words) - shingle + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(shingle)), " ")))
-    x = df.groupBy(F.sha2(F.coalesce(text, F.lit("")), 256).alias("_h")).agg(F.min(id_col).alias("id"), F.first(F.coalesce(text, F.lit(""))).alias(text)).select("id", F.array_distinct(grams).alias("g"))
-    sign = lambda k: F.array_min(F.transform("g", lambda v: F.xxhash64(v, F.lit(k))))
-    keys = F.array(*[F.xxhash64(F.lit(b), *[sign(b * rows + r) for r in range(rows)]) for b in range(bands)])
-    b = x.select("id", F.explode(keys).alias("k"))
+    x = df.groupBy(F.sha2(F.coalesce(text, F.lit("")), 256).alias("_h")).agg(F.min(id_col).alias("id"), F.first(F.coalesce(text, F.lit(""))).alias(text))
+    x = x.select("id", F.split(F.lower(F.trim(text)), r"\s+").alias("w"))
+    runs = F.arrays_zip(*[F.slice("w", i + 1, F.greatest(F.size("w") - shingle + 1, F.lit(1))).alias(f"w{i}") for i in range(shingle)])
+    grams = x.select("id", F.inline(runs)).select("id", F.xxhash64(*[f"w{i}" for i in range(shingle)]).alias("v"))
+    # minima are sums of parts: one aggregate over exploded shingles, compiled, instead of a pass over an array for each
+    lows = grams.groupBy("id").agg(*[F.min(F.xxhash64("v", F.lit(k))).alias(f"m{k}") for k in range(bands * rows)])
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
+    b = lows.select("id", F.explode(keys).alias("k"))
     heads = b.groupBy("k").agg(F.min("id").alias("a"))
     links = b.join(heads, "k").where("id != a").select("a", F.col("id").alias("b")).distinct()
-    y = links.join(x.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(x.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+    wanted = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = grams.join(wanted, "id").groupBy("id").agg(F.collect_set("v").alias("g"))
+    y = links.join(sets.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     return y.select("a", "b", F.round(jaccard(F.col("ga"), F.col("gb")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
 
 

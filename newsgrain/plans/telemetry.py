@@ -247,7 +247,7 @@ def agg38(spark, d):
 
 
 def agg41(spark, d):
-    return _li(spark, d).groupBy("l_shipdate", "l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("tokens"), F.count(F.lit(1)).alias("calls"), F.count_if(F.col("l_tax") > 0.06).alias("errors"), F.round(F.avg("l_extendedprice"), 4).alias("latency"))
+    return _li(spark, d).groupBy("l_shipdate", "l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("tokens"), F.count(F.lit(1)).alias("calls"), F.count_if(F.col("l_tax") > 0.06).alias("errors"), F.round(F.avg("l_extendedprice"), 6).alias("latency"))
 
 
 def win7(spark, d):
@@ -366,7 +366,7 @@ QUERIES = {
     "agg37_histogram": (agg37b, "SELECT CAST(CASE WHEN value <= 1 THEN 1 WHEN value <= 5 THEN 5 WHEN value <= 10 THEN 10 WHEN value <= 30 THEN 30 WHEN value <= 60 THEN 60 WHEN value <= 120 THEN 120 ELSE 'inf'::DOUBLE END AS DOUBLE) AS upto, count(*) AS n FROM events GROUP BY 1"),
     "agg38_domain_policy": (agg38, """WITH x AS (SELECT user_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS age, count(*) OVER (PARTITION BY user_id) AS n FROM events)
         SELECT user_id, count(*) AS attempts, round(sum(pow(0.9::DOUBLE, age) * CASE WHEN age = n - 1 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END * value), 6) AS average, round(count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE, 6) AS success FROM x GROUP BY 1"""),
-    "agg41_daily_usage": (agg41, "SELECT l_shipdate, l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS tokens, count(*) AS calls, count(*) FILTER (l_tax > 0.06) AS errors, round(avg(l_extendedprice), 4) AS latency FROM lineitem GROUP BY 1, 2, 3"),
+    "agg41_daily_usage": (agg41, "SELECT l_shipdate, l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS tokens, count(*) AS calls, count(*) FILTER (l_tax > 0.06) AS errors, round(avg(l_extendedprice), 6) AS latency FROM lineitem GROUP BY 1, 2, 3"),
     "win7_worst_attempts": (win7, "SELECT l_orderkey, l_linestatus, l_returnflag, l_shipdate, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END DESC, l_shipdate DESC, l_partkey DESC) AS rn FROM lineitem) WHERE rn = 1"),
     "win8_latest_run": (win8, "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey = (SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)"),
     "win14_velocity": (win14, "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS velocity FROM events"),
