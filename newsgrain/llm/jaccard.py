@@ -152,13 +152,17 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .mapInArrow(run, f"doc_id {kind}, n long, sk long, m0 long, m1 long, token long, cnt long"))
 
 
+#: A pair within the similarity shares this many tokens of the two prefixes (all that it must share, if that is less).
+COMMON = 3
+
+
 def postings(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """(token, sk, n, pos, often): the prefix of each different set in the global order of tokens.
+    """(token, sk, w): the prefix of each different set in the global order of tokens. ``w`` packs n, the place in the
+    order, whether the token is frequent, and whether the prefix reaches frequent tokens.
 
     Tokens that are not in ``frequent`` come first, by hash; then the frequent ones, rarest first (``frequent`` lists
-    them so). A set of n tokens that is to share 75 % with another shares a token of its first n - ceil(0.75 n) + 1; if
-    that prefix reaches the frequent tokens, it is extended by one, so that sets which share only frequent tokens there
-    share two of them.
+    them so). A set of n tokens that shares 75 % with another shares a token of its first n - ceil(0.75 n) + 1, and
+    ``COMMON`` of the prefix that is longer by ``COMMON`` - 1.
     """
     spark = docs.sparkSession
     by_value = np.argsort(frequent)
@@ -168,7 +172,7 @@ def postings(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
         values, rank = known.value
         done: set[int] = set()
         for b in batches:
-            cols = [[], [], [], [], []]
+            cols = [[], [], []]
             for s in shingle_sets(_texts(b.column(0))):
                 n = len(s)
                 if not n:
@@ -179,35 +183,40 @@ def postings(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
                 if len(done) > 100_000:
                     done.clear()
                 done.add(key)
-                p = n - -(-PERCENT * n // 100) + 1
+                p = n - -(-PERCENT * n // 100) + COMMON
+                rare, own = s[:p], s[:0]
                 if len(values):
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     hot = values[at] == s
-                    rare = s[~hot]
-                    if len(rare) < p:
-                        own = s[hot][np.argsort(rank[at[hot]])]
-                        own = own[: p + 1 - len(rare)]
-                    else:
-                        own, rare = s[:0], rare[:p]
-                else:
-                    rare, own = s[:p], s[:0]
+                    if hot.any():
+                        rare = s[~hot][:p]
+                        own = s[hot][np.argsort(rank[at[hot]])][: p - len(rare)]
                 k = len(rare) + len(own)
-                cols[0].append(np.concatenate([rare, own]))
+                cols[0] += [rare, own]
                 cols[1].append(np.full(k, key, np.int64))
-                cols[2].append(np.full(k, n, np.int32))
-                cols[3].append(np.arange(k, dtype=np.int32))
-                cols[4].append(np.arange(k) >= len(rare))
+                place = np.arange(k, dtype=np.int64)
+                cols[2].append((n << 32) | (place << 2) | ((place >= len(rare)) << 1) | (len(own) > 0))
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sk", "n", "pos", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sk", "w"])
+
+    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "token long, sk long, w long")
+
 
-    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "token long, sk long, n int, pos int, often boolean")
+def _unpacked(df: DataFrame) -> DataFrame:
+    w = F.col("w")
+    return (df.withColumn("n", F.shiftright(w, 32)).withColumn("pos", F.shiftright(w.bitwiseAND(F.lit(0xFFFFFFFF)), 2))
+            .withColumn("often", w.bitwiseAND(F.lit(2)) != 0).withColumn("reach", w.bitwiseAND(F.lit(1)) != 0).drop("w"))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, at_once: int = 500_000) -> DataFrame:
-    """(sk, tokens) of the sets in ``wanted`` (sk, rep: a document that has the set). Up to ``at_once`` wanted sets are
-    broadcast, so that texts stay where they are; more are joined by a shuffle."""
-    ids = cut(wanted.select(F.col("rep").alias("_rep")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= at_once else ids.hint("shuffle_hash")
+def _small(df: DataFrame, at_once: int = 1_000_000) -> DataFrame:
+    """A written table of a few long columns: broadcast if it has at most ``at_once`` rows, else the built side of a shuffle."""
+    return F.broadcast(df) if df.count() <= at_once else df.hint("shuffle_hash")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(sk, tokens) of the sets in ``wanted`` (rep: a document that has the set). Few wanted documents are broadcast, so
+    that texts stay where they are; many are joined by a shuffle. Sets of other rows with these ids may come along."""
+    ids = _small(cut(wanted.select(F.col("rep").alias("_rep")).distinct()))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t"))
     texts = texts.join(ids, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("t")
 
@@ -220,13 +229,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, at_o
 
 
 def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of set keys whose Jaccard similarity is 0.75 or more, by their whole sets."""
+    """The pairs (a, b) of set keys whose Jaccard similarity is 0.75 or more, by their whole sets.
+
+    Each b's set meets its pairs where it is made (or by a shuffle of many pairs) and goes to a's set, once a pair; sets
+    of the a's, of which there are fewer, go there too.
+    """
     pairs = cut(pairs.distinct())
-    keys = pairs.select(F.col("a").alias("sk")).unionByName(pairs.select(F.col("b").alias("sk"))).distinct()
-    whole = cut(sets_of(docs, sets.join(keys, "sk").select("sk", "rep"), id_col, text_col))
-    x = whole.select(F.col("sk").alias("a"), F.col("tokens").alias("ta"))
-    y = whole.select(F.col("sk").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(y, "b").join(x, "a")
+    first = lambda c: sets_of(docs, sets.join(pairs.select(F.col(c).alias("sk")).distinct(), "sk").select("rep"), id_col, text_col)
+    x = first("a").select(F.col("sk").alias("a"), F.col("tokens").alias("ta"))
+    y = first("b").select(F.col("sk").alias("b"), F.col("tokens").alias("tb"))
+    both = y.join(_small(pairs), "b").join(x, "a")
     shared = F.size(F.array_intersect("ta", "tb")).cast("long")
     return cut(both.where(100 * shared >= PERCENT * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct())
 
@@ -267,10 +279,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        of prefixes.
     2. Sets that share a least shingle are verified against one of them each. This settles large groups of near copies
        with about one comparison a member.
-    3. Every set lists its prefix. Only tokens whose sets lie in different classes so far are kept. Rare tokens are
-       indexed singly; of frequent ones all combinations of two are, where a set has at most ``few`` (if it has more,
-       single ones, which then also look up the sets with few). Pairs across classes that pass the bounds on size and
-       position are verified.
+    3. Every set lists its prefix, extended so that a linked pair shares three tokens of it. Only tokens whose sets lie
+       in different classes so far are kept. Rare tokens are indexed singly, and pairs must meet three times, unless
+       both prefixes reach frequent tokens; of frequent ones all combinations of two are indexed, where a set has at most
+       ``few`` (if it has more, single ones, which then also look up the sets with few). Pairs across classes that pass
+       the bounds on size and position are verified.
 
     Null and empty texts and those without words have 0 shingles and link with nothing; their component is their own id.
     Ids may be null or repeat: rows are told apart by their sets, and nulls are ignored where a least id is taken. An
@@ -292,29 +305,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = postings(docs, text_col, frequent).repartition(parts, "token")
-    spread = dealt.groupBy("token").agg(F.min("sk").alias("lo"), F.max("sk").alias("hi")).where("lo != hi").select("token")
-    shared = cut(dealt.join(spread.hint("shuffle_hash"), "token").distinct())
-    shared = shared.join(known, "sk", "left").withColumn("root", F.coalesce("root", "sk"))
-    shared = cut(shared)
-    open_tokens = shared.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    left = cut(shared.join(open_tokens, "token"))
-
-    single = left.where(~F.col("often")).select(F.col("token").alias("sign"), F.lit(0).alias("t2"), "sk", "n", "pos", "root", F.lit(True).alias("big"))
+    # the last aggregate only makes both readers of the exchange ask for the same columns, so that it is written once
+    spread = dealt.groupBy("token").agg(F.min("sk").alias("lo"), F.max("sk").alias("hi"), F.bit_or("w").alias("w0")).where("lo != hi AND w0 >= 0").select("token")
+    shared = cut(dealt.join(spread.hint("shuffle_hash"), "token"))
+    rooted = shared.join(_small(known), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
+    open_tokens = cut(rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token"))
+    left = cut(_unpacked(rooted.join(_small(open_tokens), "token").distinct()))
+
+    single = left.where(~F.col("often")).select(F.col("token").alias("sign"), F.lit(0).cast("long").alias("t2"), "sk", "n", "pos", "root", "reach", F.lit(True).alias("big"))
     mine = left.where("often").groupBy("sk", "n", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("ts"))
     several = mine.where(F.size("ts") <= few)
+    yes = F.lit(True)
     twos = (several.select("sk", "n", "root", F.posexplode("ts").alias("i", "x"), "ts")
             .select("sk", "n", "root", "x", F.explode(F.expr("slice(ts, i + 2, size(ts))")).alias("y"))
-            .select(F.col("x.token").alias("sign"), F.col("y.token").alias("t2"), "sk", "n", F.col("x.pos").alias("pos"), "root", F.lit(True).alias("big")))
-    ones = mine.select("sk", "n", "root", (F.size("ts") > few).alias("big"), F.explode("ts").alias("x")).select(F.col("x.token").alias("sign"), F.lit(0).alias("t2"), "sk", "n", F.col("x.pos").alias("pos"), "root", "big")
+            .select(F.col("x.token").alias("sign"), F.col("y.token").alias("t2"), "sk", "n", F.col("x.pos").alias("pos"), "root", yes.alias("reach"), yes.alias("big")))
+    ones = mine.select("sk", "n", "root", (F.size("ts") > few).alias("big"), F.explode("ts").alias("x")).select(F.col("x.token").alias("sign"), F.lit(0).cast("long").alias("t2"), "sk", "n", F.col("x.pos").alias("pos"), "root", yes.alias("reach"), "big")
     asked = ones.groupBy("sign").agg(F.max("big").alias("any")).where("any").select("sign")
     ones = ones.join(asked, "sign")
     signs = cut(single.unionByName(twos).unionByName(ones))
-    r = signs.select("sign", "t2", *[F.col(c).alias(f"{c}2") for c in ("sk", "n", "pos", "root", "big")])
+    r = signs.select("sign", "t2", *[F.col(c).alias(f"{c}2") for c in ("sk", "n", "pos", "root", "reach", "big")])
     room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    must = F.ceil(PERCENT * (F.col("n") + F.col("n2")) / F.lit(100.0 + PERCENT))
+    # sets that both reach frequent tokens may share some of them, which single signs do not show
+    enough = F.when(F.col("reach") & F.col("reach2"), 1).otherwise(F.least(F.lit(COMMON), must))
     pairs = (signs.join(r, ["sign", "t2"])
-             .where((F.col("sk") < F.col("sk2")) & (F.col("root") != F.col("root2")) & (F.col("big") | F.col("big2")) & fits(F.col("n"), F.col("n2"))
-                    & ((100 + PERCENT) * room.cast("long") >= PERCENT * (F.col("n") + F.col("n2"))))
-             .select(F.col("sk").alias("a"), F.col("sk2").alias("b")))
+             .where((F.col("sk") < F.col("sk2")) & (F.col("root") != F.col("root2")) & (F.col("big") | F.col("big2")) & fits(F.col("n"), F.col("n2")))
+             .groupBy(F.col("sk").alias("a"), F.col("sk2").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(room).alias("room"), F.max(must).alias("must"), F.max(enough).alias("enough"))
+             .where((F.col("c") >= F.col("enough")) & (F.col("room") >= F.col("must"))).select("a", "b"))
     more = verified(docs, pairs, sets, id_col, text_col)
 
     every = cut(components(links.unionByName(more)))
