@@ -208,6 +208,13 @@ def _unpacked(df: DataFrame) -> DataFrame:
             .withColumn("often", w.bitwiseAND(F.lit(2)) != 0).withColumn("reach", w.bitwiseAND(F.lit(1)) != 0).drop("w"))
 
 
+def _open(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """Postings, with their classes so far, of the tokens whose sets lie in different classes."""
+    rooted = shared.join(_small(known), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
+    open_tokens = cut(rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token"))
+    return cut(_unpacked(rooted.join(_small(open_tokens), "token").distinct()))
+
+
 def _small(df: DataFrame, at_once: int = 1_000_000) -> DataFrame:
     """A written table of a few long columns: broadcast if it has at most ``at_once`` rows, else the built side of a shuffle."""
     return F.broadcast(df) if df.count() <= at_once else df.hint("shuffle_hash")
@@ -267,7 +274,7 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("sk"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("sk"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", often: int = 64, most: int = 1_000_000, few: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", often: int = 64, most: int = 1_000_000, few: int = 24, crowd: int = 16, rounds: int = 4) -> DataFrame:
     """Classes of near-duplicate texts: (doc_id, n_shingles, component_id), a row a row of ``docs``.
 
     Two texts link if their sets of distinct five-word shingles (A-Z lower-cased; fewer words: the whole sequence) have
@@ -278,7 +285,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        ``often`` times go last in the global token order; any order is correct, and this one keeps shared passages out
        of prefixes.
     2. Sets that share a least shingle are verified against one of them each. This settles large groups of near copies
-       with about one comparison a member.
+       with about one comparison a member. Step 3 does the same, up to ``rounds`` times, for tokens that ``crowd`` sets or
+       more of different classes still share, each time led by other sets.
     3. Every set lists its prefix, extended so that a linked pair shares three tokens of it. Only tokens whose sets lie
        in different classes so far are kept. Rare tokens are indexed singly, and pairs must meet three times, unless
        both prefixes reach frequent tokens; of frequent ones all combinations of two are indexed, where a set has at most
@@ -308,9 +316,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the last aggregate only makes both readers of the exchange ask for the same columns, so that it is written once
     spread = dealt.groupBy("token").agg(F.min("sk").alias("lo"), F.max("sk").alias("hi"), F.bit_or("w").alias("w0")).where("lo != hi AND w0 >= 0").select("token")
     shared = cut(dealt.join(spread.hint("shuffle_hash"), "token"))
-    rooted = shared.join(_small(known), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
-    open_tokens = cut(rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token"))
-    left = cut(_unpacked(rooted.join(_small(open_tokens), "token").distinct()))
+    left, seen = _open(shared, known), links
+    for r in range(rounds):
+        # large groups first: in open buckets of `crowd` sets or more, each set meets a few sets that lead such buckets
+        crowded = left.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("sk", "n", "root"), F.xxhash64("sk", "token", F.lit(r))).alias("l")).where(F.col("c") >= crowd)
+        met = left.join(crowded.select("token", F.col("l.sk").alias("a"), F.col("l.n").alias("na"), F.col("l.root").alias("ra")), "token")
+        turn = F.xxhash64("token", F.lit(r))
+        few_each = (met.where((F.col("sk") != F.col("a")) & (F.col("root") != F.col("ra")) & fits(F.col("n"), F.col("na")))
+                    .groupBy("sk", F.pmod(turn, F.lit(3)).alias("k")).agg(F.min_by("a", turn).alias("a")).select("a", F.col("sk").alias("b")))
+        found = verified(docs, few_each, sets, id_col, text_col)
+        if not found.limit(1).count():
+            break
+        seen = seen.unionByName(found)
+        left = _open(shared, cut(components(seen)))
+    links = seen
 
     single = left.where(~F.col("often")).select(F.col("token").alias("sign"), F.lit(0).cast("long").alias("t2"), "sk", "n", "pos", "root", "reach", F.lit(True).alias("big"))
     mine = left.where("often").groupBy("sk", "n", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("ts"))
@@ -329,7 +348,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # sets that both reach frequent tokens may share some of them, which single signs do not show
     enough = F.when(F.col("reach") & F.col("reach2"), 1).otherwise(F.least(F.lit(COMMON), must))
     pairs = (signs.join(r, ["sign", "t2"])
-             .where((F.col("sk") < F.col("sk2")) & (F.col("root") != F.col("root2")) & (F.col("big") | F.col("big2")) & fits(F.col("n"), F.col("n2")))
+             .where((F.col("sk") < F.col("sk2")) & (F.col("root") != F.col("root2")) & (F.col("big") | F.col("big2")) & fits(F.col("n"), F.col("n2"))
+                    & (room + (COMMON - 1) >= must))  # so much room has each of the first COMMON shared tokens of a linked pair
              .groupBy(F.col("sk").alias("a"), F.col("sk2").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(room).alias("room"), F.max(must).alias("must"), F.max(enough).alias("enough"))
              .where((F.col("c") >= F.col("enough")) & (F.col("room") >= F.col("must"))).select("a", "b"))
     more = verified(docs, pairs, sets, id_col, text_col)
