@@ -331,25 +331,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = _open(shared, cut(components(seen)))
     links = seen
 
-    single = left.where(~F.col("often")).select(F.col("token").alias("sign"), F.lit(0).cast("long").alias("t2"), "sk", "n", "pos", "root", "reach", F.lit(True).alias("big"))
+    single = left.where(~F.col("often")).select(F.col("token").alias("sign"), F.lit(0).cast("long").alias("t2"), "sk", "n", "pos", F.col("pos").alias("posb"), "root", "reach", F.lit(True).alias("big"))
     mine = left.where("often").groupBy("sk", "n", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("ts"))
     several = mine.where(F.size("ts") <= few)
     yes = F.lit(True)
     twos = (several.select("sk", "n", "root", F.posexplode("ts").alias("i", "x"), "ts")
             .select("sk", "n", "root", "x", F.explode(F.expr("slice(ts, i + 2, size(ts))")).alias("y"))
-            .select(F.col("x.token").alias("sign"), F.col("y.token").alias("t2"), "sk", "n", F.col("x.pos").alias("pos"), "root", yes.alias("reach"), yes.alias("big")))
-    ones = mine.select("sk", "n", "root", (F.size("ts") > few).alias("big"), F.explode("ts").alias("x")).select(F.col("x.token").alias("sign"), F.lit(0).cast("long").alias("t2"), "sk", "n", F.col("x.pos").alias("pos"), "root", yes.alias("reach"), "big")
+            .select(F.col("x.token").alias("sign"), F.col("y.token").alias("t2"), "sk", "n", F.col("x.pos").alias("pos"), F.col("y.pos").alias("posb"), "root", yes.alias("reach"), yes.alias("big")))
+    ones = mine.select("sk", "n", "root", (F.size("ts") > few).alias("big"), F.explode("ts").alias("x")).select(F.col("x.token").alias("sign"), F.lit(0).cast("long").alias("t2"), "sk", "n", F.col("x.pos").alias("pos"), F.col("x.pos").alias("posb"), "root", yes.alias("reach"), "big")
     asked = ones.groupBy("sign").agg(F.max("big").alias("any")).where("any").select("sign")
     ones = ones.join(asked, "sign")
     signs = cut(single.unionByName(twos).unionByName(ones))
-    r = signs.select("sign", "t2", *[F.col(c).alias(f"{c}2") for c in ("sk", "n", "pos", "root", "reach", "big")])
+    r = signs.select("sign", "t2", *[F.col(c).alias(f"{c}2") for c in ("sk", "n", "pos", "posb", "root", "reach", "big")])
     room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    roomb = F.least(F.col("n") - F.col("posb"), F.col("n2") - F.col("posb2"))
     must = F.ceil(PERCENT * (F.col("n") + F.col("n2")) / F.lit(100.0 + PERCENT))
     # sets that both reach frequent tokens may share some of them, which single signs do not show
     enough = F.when(F.col("reach") & F.col("reach2"), 1).otherwise(F.least(F.lit(COMMON), must))
     pairs = (signs.join(r, ["sign", "t2"])
              .where((F.col("sk") < F.col("sk2")) & (F.col("root") != F.col("root2")) & (F.col("big") | F.col("big2")) & fits(F.col("n"), F.col("n2"))
-                    & (room + (COMMON - 1) >= must))  # so much room has each of the first COMMON shared tokens of a linked pair
+                    # so much room have the first shared tokens of a linked pair, as many as are asked for, and the second of two
+                    & (room + enough - 1 >= must) & (roomb + enough >= must))
              .groupBy(F.col("sk").alias("a"), F.col("sk2").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(room).alias("room"), F.max(must).alias("must"), F.max(enough).alias("enough"))
              .where((F.col("c") >= F.col("enough")) & (F.col("room") >= F.col("must"))).select("a", "b"))
     more = verified(docs, pairs, sets, id_col, text_col)
