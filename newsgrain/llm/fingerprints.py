@@ -31,8 +31,9 @@ def _signed(hashed: str) -> Column:
     return F.lpad(F.lower(F.hex(bits)), 16, "0")
 
 
-def simhash(texts: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    """(key columns, fingerprint): ``key`` must tell different texts apart.
+def simhash(texts: DataFrame, key: list[str], text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key columns, carried columns, fingerprint): ``key`` must tell different texts apart; ``carry`` names columns of
+    longs that depend on the key.
 
     Terms are the runs of three words of the lower-cased text (shorter texts: all their words). A term votes with weight
     1 + its length in code points / 8, at most 8, once an occurrence, on 128 signed bits. Votes are summed where the text
@@ -40,14 +41,15 @@ def simhash(texts: DataFrame, key: list[str], text_col: str = "text") -> DataFra
     Counters hold 2**32 weighted votes. Texts without words, null ones too, have fingerprint 0.
     """
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    w = texts.select(*key, words.alias("_w")).withColumn("_n", F.size("_w"))
-    pad = F.concat("_w", F.array_repeat(F.lit(""), F.greatest(F.lit(SHINGLE) - F.col("_n"), F.lit(0))))
-    w = w.where("_n > 0").select(*key, pad.alias("_w")).withColumn("_n", F.size("_w") - (SHINGLE - 1))
-    terms = w.select(*key, F.inline(F.slice(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.col("_n")).alias("b"), F.slice("_w", 3, F.col("_n")).alias("c")), F.lit(1), F.col("_n"))))
-    terms = terms.select(*key, F.xxhash64("a", "b", "c").alias("p"), F.xxhash64("c", "b", "a", F.lit(1)).alias("q"),
-                         F.least(F.lit(8), 1 + F.floor((F.length("a") + F.length("b") + F.length("c")) / 8)).cast("long").alias("weight"))
-    votes = terms.groupBy(*key).agg(F.sum("weight").alias("total"), *_votes("p", "weight"), *_votes("q", "weight"))
-    return votes.select(*key, F.concat(_signed("p"), _signed("q")).alias("fingerprint"))
+    w = texts.select(*key, *carry, words.alias("_w"))
+    pad = F.concat("_w", F.array_repeat(F.lit(""), F.greatest(F.lit(SHINGLE) - F.size("_w"), F.lit(0))))
+    w = w.select(*key, *carry, pad.alias("_w")).withColumn("_n", F.size("_w") - (SHINGLE - 1))
+    terms = w.select(*key, *carry, F.inline(F.slice(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.col("_n")).alias("b"), F.slice("_w", 3, F.col("_n")).alias("c")), F.lit(1), F.col("_n"))))
+    size = F.length("a") + F.length("b") + F.length("c")
+    terms = terms.select(*key, *carry, F.xxhash64("a", "b", "c").alias("p"), F.xxhash64("c", "b", "a", F.lit(1)).alias("q"),
+                         F.when(size == 0, 0).otherwise(F.least(F.lit(8), 1 + F.floor(size / 8))).cast("long").alias("weight"))
+    votes = terms.groupBy(*key).agg(*[F.max(c).alias(c) for c in carry], F.sum("weight").alias("total"), *_votes("p", "weight"), *_votes("q", "weight"))
+    return votes.select(*key, *carry, F.concat(_signed("p"), _signed("q")).alias("fingerprint"))
 
 
 ZERO = "0" * (BITS // 4)
@@ -124,32 +126,32 @@ def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, fingerprint) of every whole text; rows equal in id and text give one row. See ``simhash``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    found = simhash(rows, ["doc_id", "text_hash"])
-    none = rows.where(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text_hash", F.lit(ZERO).alias("fingerprint")).distinct()
-    return found.unionByName(none)
+    return simhash(rows.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"])
+
+
+def _as_longs(digest: Column) -> list[Column]:
+    return [F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long").alias(f"_s{i}") for i in range(4)]
 
 
 def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of texts and of their edited forms, and how alike they and those of the next documents are.
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). Rows that are equal in id
-    and text give one row. An empty table gives an empty result. With one document the next is itself.
+    and text give one row. An empty table gives an empty result. With one document the next is itself. Both forms of a
+    text are built and hashed in one pass; what else is asked of them travels with the votes, as numbers.
     """
-    pairs = edited_texts(docs, id_col, text_col).withColumn("_h", F.xxhash64("text"))
-    both = pairs.select("doc_id", "_h", "next_id", F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("text")), F.struct(F.lit(1).alias("form"), F.col("edited").alias("text")))).alias("f"))
-    both = both.select("doc_id", "_h", "next_id", "f.form", "f.text")
-    facts = pairs.select("doc_id", "_h", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    facts = cut(facts.distinct())
-    prints = simhash(both, ["doc_id", "_h", "form"])
-    prints = cut(prints.groupBy("doc_id", "_h").agg(F.max(F.when(F.col("form") == 0, F.col("fingerprint"))).alias("fingerprint"),
-                                                    F.max(F.when(F.col("form") == 1, F.col("fingerprint"))).alias("edited_fingerprint")))
-    p = prints.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), "fingerprint", "edited_fingerprint")
-    out = facts.join(p, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left").drop("_d", "_g")
-    out = out.withColumn("fingerprint", F.coalesce("fingerprint", F.lit(ZERO))).withColumn("edited_fingerprint", F.coalesce("edited_fingerprint", F.lit(ZERO)))
+    pairs = edited_texts(docs, id_col, text_col)
+    pairs = pairs.select("doc_id", "next_id", F.xxhash64("text").alias("_h"), F.length("text").cast("long").alias("n_chars"), *_as_longs(F.sha2("edited", 256)),
+                         F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("text")), F.struct(F.lit(1).alias("form"), F.col("edited").alias("text")))).alias("f"))
+    facts = ("n_chars", *[f"_s{i}" for i in range(4)])
+    both = pairs.select("doc_id", "next_id", "_h", *facts, "f.form", "f.text")
+    prints = simhash(both, ["doc_id", "next_id", "_h", "form"], carry=facts)
+    pick = lambda k: F.max(F.when(F.col("form") == k, F.col("fingerprint")))
+    out = cut(prints.groupBy("doc_id", "next_id", "_h").agg(*[F.max(c).alias(c) for c in facts], pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")))
     after = out.groupBy(F.col("doc_id").alias("_n")).agg(F.min("fingerprint").alias("_next"))
     out = out.join(after, out.next_id == after["_n"], "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    sha = F.concat(*[F.lpad(F.lower(F.hex(f"_s{i}")), 16, "0") for i in range(4)])
+    return out.select("doc_id", "n_chars", sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
                       likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
                       likeness(F.col("fingerprint"), F.coalesce("_next", F.lit(ZERO))).alias("near_next"))
 
