@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
@@ -36,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted_cut(df: DataFrame, *more: Column) -> tuple:
+    """What ``cut`` gives, with the number of rows, and more aggregates, all taken while the table is written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(f"m{i}") for i, c in enumerate(more)]))
+    return out, seen.get["n"], *[seen.get[f"m{i}"] for i in range(len(more))]
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Hold Arrow batches to ``rows`` rows, so that a worker holds few texts at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,5 +1,5 @@
 """Similarity join of documents on word shingles: prefixes over a global token order, with token combinations for
-frequent tokens, then exact verification; classes are the components of the links."""
+crowded tokens, then exact verification; classes are the components of the links."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, table
+from .common import bounded_batches, counted_cut, cut, table
 
 GRAM, PERCENT = 5, 75
 _SPACE = np.zeros(256, bool)
@@ -109,67 +109,67 @@ _old = np.seterr(over="ignore")
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """In one pass over the texts: a row a document (doc_id, n, sk: the set's key, m0 and m1: minima of two orders of its
-    shingles) and, with n null, counts of shingles that a task has seen more than once (token, cnt)."""
+    """In one pass over the texts: a row a document (doc_id, n, sk: the set's key, tk: a hash of the text) and, with n
+    null, counts of shingles that different sets of a task share (token, cnt)."""
     kind = docs.schema[id_col].dataType.simpleString()
     held = 1 << 22
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "sk", "m0", "m1", "token", "cnt"]
-        pend, n_pend, id_type = [], 0, None
+        names = ["doc_id", "n", "sk", "tk", "token", "cnt"]
+        pend, n_pend, done, id_type = [], 0, set(), None
 
         def counts():
-            every = np.concatenate(pend)
-            token, cnt = np.unique(every, return_counts=True)
+            token, cnt = np.unique(np.concatenate(pend), return_counts=True)
             token, cnt = token[cnt > 1], cnt[cnt > 1]
             z = pa.nulls(len(token), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.nulls(len(token), id_type), z, z, z, z, pa.array(token), pa.array(cnt.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(token), id_type), z, z, z, pa.array(token), pa.array(cnt.astype(np.int64))], names)
 
         for b in batches:
             id_type = b.schema.field(0).type
-            n, sk, m0, m1 = [], [], [], []
+            n, sk = [], []
             for s in shingle_sets(_texts(b.column(1))):
                 n.append(len(s))
-                if len(s):
-                    sk.append(set_key(s))
-                    m0.append(int(s[0]))
-                    m1.append(int(_mix(s.view(np.uint64) ^ _TURN[2]).min().view(np.int64)))
+                sk.append(set_key(s) if len(s) else None)
+                if len(s) and sk[-1] not in done:  # copies would make all of their tokens look shared
+                    done.add(sk[-1])
                     pend.append(s)
                     n_pend += len(s)
-                else:
-                    sk.append(None)
-                    m0.append(None)
-                    m1.append(None)
             z = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in (n, sk, m0, m1)], z, z], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sk, pa.int64()), b.column(2), z, z], names)
             if n_pend >= held:
                 yield counts()
-                pend, n_pend = [], 0
+                pend, n_pend, done = [], 0, set()
         if pend:
             yield counts()
 
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-            .mapInArrow(run, f"doc_id {kind}, n long, sk long, m0 long, m1 long, token long, cnt long"))
+    text = F.col(text_col)
+    return (docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("tk"))
+            .mapInArrow(run, f"doc_id {kind}, n long, sk long, tk long, token long, cnt long"))
+
+
+#: A posting's ``w`` has, from its upper end: n (29 bits), the token's place in the set's order (26), how frequent the
+#: set's tokens are on average (7) and whether this token is frequent (1).
+_N, _PLACE, _CENT = 34, 8, 1
 
 
-#: A pair within the similarity shares this many tokens of the two prefixes (all that it must share, if that is less).
-COMMON = 3
+def classes_for(n):
+    """Into how many classes the crowded tokens of sets of ``n`` tokens or a few more are dealt."""
+    return np.maximum(1, n // 32)
 
 
-def postings(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """(token, sk, w): the prefix of each different set in the global order of tokens. ``w`` packs n, the place in the
-    order, whether the token is frequent, and whether the prefix reaches frequent tokens.
+def postings(docs: DataFrame, text_col: str, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(token, sk, w): the extended prefix of each different set in the global order of tokens.
 
     Tokens that are not in ``frequent`` come first, by hash; then the frequent ones, rarest first (``frequent`` lists
-    them so). A set of n tokens that shares 75 % with another shares a token of its first n - ceil(0.75 n) + 1, and
-    ``COMMON`` of the prefix that is longer by ``COMMON`` - 1.
+    them so, with how often they occur in ``counts``). A set of n tokens that shares 75 % with another shares a token of
+    its first n - ceil(0.75 n) + 1, and m + 1 tokens of the prefix that is longer by m = ``classes_for``(n).
     """
     spark = docs.sparkSession
     by_value = np.argsort(frequent)
-    known = spark.sparkContext.broadcast((frequent[by_value], by_value))
+    known = spark.sparkContext.broadcast((frequent[by_value], by_value, np.log2(counts[by_value] + 1.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, rank = known.value
+        values, rank, logs = known.value
         done: set[int] = set()
         for b in batches:
             cols = [[], [], []]
@@ -183,54 +183,79 @@ def postings(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
                 if len(done) > 100_000:
                     done.clear()
                 done.add(key)
-                p = n - -(-PERCENT * n // 100) + COMMON
-                rare, own = s[:p], s[:0]
+                p = n - -(-PERCENT * n // 100) + 1 + int(classes_for(n))
+                rare, own, cent = s[:p], s[:0], 0
                 if len(values):
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     hot = values[at] == s
                     if hot.any():
                         rare = s[~hot][:p]
                         own = s[hot][np.argsort(rank[at[hot]])][: p - len(rare)]
+                        cent = min(127, int(3 * logs[at[hot]].sum() / n))
                 k = len(rare) + len(own)
                 cols[0] += [rare, own]
                 cols[1].append(np.full(k, key, np.int64))
                 place = np.arange(k, dtype=np.int64)
-                cols[2].append((n << 32) | (place << 2) | ((place >= len(rare)) << 1) | (len(own) > 0))
+                cols[2].append((n << _N) | (place << _PLACE) | (cent << _CENT) | (place >= len(rare)))
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "sk", "w"])
 
     return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "token long, sk long, w long")
 
 
-def _unpacked(df: DataFrame) -> DataFrame:
-    w = F.col("w")
-    return (df.withColumn("n", F.shiftright(w, 32)).withColumn("pos", F.shiftright(w.bitwiseAND(F.lit(0xFFFFFFFF)), 2))
-            .withColumn("often", w.bitwiseAND(F.lit(2)) != 0).withColumn("reach", w.bitwiseAND(F.lit(1)) != 0).drop("w"))
+def shared_postings(docs: DataFrame, text_col: str, frequent: np.ndarray, counts: np.ndarray, salts: int = 16) -> DataFrame:
+    """The postings of tokens that several sets list, once a set and token; frequent tokens are kept in any case.
+
+    One exchange, which both sides of the join read. Frequent tokens are spread over ``salts`` places.
+    """
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    often = F.col("w").bitwiseAND(F.lit(1)) != 0
+    dealt = (postings(docs, text_col, frequent, counts).withColumn("salt", F.when(often, F.pmod("sk", F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+             .repartition(parts, "token", "salt"))
+    several = (dealt.groupBy("token", "salt").agg(F.min("sk").alias("lo"), F.max("sk").alias("hi"), F.bit_or("w").alias("any"))
+               .where((F.col("lo") != F.col("hi")) | (F.col("any").bitwiseAND(F.lit(1)) != 0)).select("token", "salt"))
+    return dealt.join(several.hint("shuffle_hash"), ["token", "salt"]).groupBy("token", "salt", "sk").agg(F.min("w").alias("w")).drop("salt")
+
+
+def _size() -> Column:
+    return F.shiftright("w", _N)
 
 
-def _open(shared: DataFrame, known: DataFrame) -> DataFrame:
-    """Postings, with their classes so far, of the tokens whose sets lie in different classes."""
-    rooted = shared.join(_small(known), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
-    open_tokens = cut(rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token"))
-    return cut(_unpacked(rooted.join(_small(open_tokens), "token").distinct()))
+def _fits(x: Column, y: Column) -> Column:
+    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
 
 
-def _small(df: DataFrame, at_once: int = 1_000_000) -> DataFrame:
-    """A written table of a few long columns: broadcast if it has at most ``at_once`` rows, else the built side of a shuffle."""
-    return F.broadcast(df) if df.count() <= at_once else df.hint("shuffle_hash")
+def leaders(shared: DataFrame) -> DataFrame:
+    """(a, b): every set b with the set a that it meets most often among the leaders of its tokens.
+
+    A token's leader is the set whose tokens are the most frequent on average: of edited copies, the one nearest to the
+    common original.
+    """
+    cent = F.shiftright("w", _CENT).bitwiseAND(F.lit(127))
+    lead = (shared.groupBy("token").agg(F.max(F.struct(cent.alias("cent"), F.xxhash64("sk").alias("turn"), F.col("sk").alias("a"), _size().alias("na"))).alias("l"), F.count(F.lit(1)).alias("c"))
+            .where("c > 1").select("token", "l.a", "l.na"))
+    met = shared.join(lead, "token").where((F.col("sk") != F.col("a")) & _fits(_size(), F.col("na"))).groupBy("sk", "a").agg(F.count(F.lit(1)).alias("c"))
+    return met.groupBy(F.col("sk").alias("b")).agg(F.max(F.struct("c", "a"))["a"].alias("a")).select("a", "b")
+
+
+def _small(table: DataFrame, rows: int, at_once: int = 1_000_000) -> DataFrame:
+    """A written table of a few long columns: broadcast if it has at most ``at_once`` rows, else left to the planner."""
+    return F.broadcast(table) if rows <= at_once else table
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(sk, tokens) of the sets in ``wanted`` (rep: a document that has the set). Few wanted documents are broadcast, so
-    that texts stay where they are; many are joined by a shuffle. Sets of other rows with these ids may come along."""
-    ids = _small(cut(wanted.select(F.col("rep").alias("_rep")).distinct()))
+    """(sk, tokens) of the sets in ``wanted`` (doc_id, tk: a document that has the set). Up to a million wanted documents
+    are broadcast, so that texts stay where they are; more are joined by a shuffle."""
+    ids = _small(*counted_cut(wanted.select(F.col("doc_id").alias("_rep"), F.col("tk").alias("_tk")).distinct()))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t"))
-    texts = texts.join(ids, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("t")
+    texts = texts.join(ids, F.col("_id").eqNullSafe(F.col("_rep")) & (F.xxhash64("t") == F.col("_tk")), "left_semi").select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
-            found = [s for s in shingle_sets(_texts(b.column(0))) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["sk", "tokens"])
+            found = {k: s for s in shingle_sets(_texts(b.column(0))) if len(s) and (k := set_key(s)) not in done}
+            done |= found.keys()
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["sk", "tokens"])
 
     return texts.mapInArrow(run, "sk long, tokens array<long>")
 
@@ -238,137 +263,189 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
 def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of set keys whose Jaccard similarity is 0.75 or more, by their whole sets.
 
-    Each b's set meets its pairs where it is made (or by a shuffle of many pairs) and goes to a's set, once a pair; sets
-    of the a's, of which there are fewer, go there too.
+    Sets are made once, for those in ``pairs`` only, and written. A set that is in many pairs is split by the planner.
     """
-    pairs = cut(pairs.distinct())
-    first = lambda c: sets_of(docs, sets.join(pairs.select(F.col(c).alias("sk")).distinct(), "sk").select("rep"), id_col, text_col)
-    x = first("a").select(F.col("sk").alias("a"), F.col("tokens").alias("ta"))
-    y = first("b").select(F.col("sk").alias("b"), F.col("tokens").alias("tb"))
-    both = y.join(_small(pairs), "b").join(x, "a")
+    pairs = cut(pairs)
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("sk")).distinct()
+    found = cut(sets_of(docs, sets.join(keys, "sk").select("doc_id", "tk"), id_col, text_col).dropDuplicates(["sk"]))
+    both = pairs.join(found.select(F.col("sk").alias("b"), F.col("tokens").alias("tb")), "b").join(found.select(F.col("sk").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return cut(both.where(100 * shared >= PERCENT * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct())
+    return cut(both.where(100 * shared >= PERCENT * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(sk, root) for every key in ``links`` (a, b): the least key of its component.
 
     Two alternating steps, each a minimum by key and a join: every key's larger neighbours, then its smaller ones, are
-    re-hung on its least neighbour, until nothing changes. Neighbour lists are never gathered.
+    re-hung on its least neighbour, until nothing changes. Neighbour lists are never gathered. Each round at least
+    halves what a path still lacks, so the rounds are about the logarithm of the longest one.
     """
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    before = None
-    for _ in range(50):
+    before = now = None
+    while before is None or now != before:
+        before = now or ()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        e = cut(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+        e, *now = counted_cut(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(),
+                              F.sum(F.xxhash64("u", "v") % 1_000_003))
     return e.select(F.col("u").alias("sk"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("sk"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", often: int = 64, most: int = 1_000_000, few: int = 24, crowd: int = 16, rounds: int = 4) -> DataFrame:
+@functools.lru_cache(1)
+def size_bands() -> np.ndarray:
+    """The least sizes of bands that are five per cent wide (one size each below 20)."""
+    edges = [1]
+    while edges[-1] < 1 << 29:
+        edges.append(max(edges[-1] + 1, edges[-1] * 105 // 100))
+    return np.array(edges, np.int64)
+
+
+def signs_of(n: int, pos: np.ndarray, token: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signs under which a set of ``n`` tokens is indexed, and the places of the (first and second) tokens that make them.
+
+    A linked pair shares ``must`` tokens, so the first shared one has at least so many from it on in both sets, the
+    next one less, and so on. Each token that few sets list is a sign of its own. The crowded ones are dealt into m
+    classes: if the first m + 1 shared tokens are all crowded, two of them are in one class, so every combination of
+    two in a class is a sign. Their signs also name the bands of both sets' sizes, and a combination is left out for
+    partners of a band if too few tokens remain after it. So crowded tokens that come late in a set, as those of
+    an original in much edited copies do, make no signs for partners of its size.
+    """
+    few = ~crowded
+    out = [(_mix(token[few].view(np.uint64) * _TURN[2]), pos[few], pos[few])]
+    edges, own_pos, own = size_bands(), pos[crowded], token[crowded]
+    if len(own) > 1:
+        band = int(np.searchsorted(edges, n, "right")) - 1
+        smallest, largest = -(-PERCENT * n // 100), 100 * n // PERCENT
+        for k in range(int(np.searchsorted(edges, smallest, "right")) - 1, int(np.searchsorted(edges, largest, "right"))):
+            low, high = min(band, k), max(band, k)
+            m = int(classes_for(edges[low]))
+            must = -(-PERCENT * (n + max(smallest, int(edges[k]))) // (100 + PERCENT))
+            use = n - own_pos + m >= must
+            if use.sum() < 2:
+                continue
+            at, t = own_pos[use], own[use].view(np.uint64)
+            kind = t % np.uint64(m)
+            order = np.lexsort((at, kind))
+            at, t, kind = at[order], t[order], kind[order]
+            ends = np.searchsorted(kind, kind, "right")
+            count = ends - np.arange(len(t)) - 1
+            count[n - at + m - 1 < must] = 0
+            i = np.repeat(np.arange(len(t)), count)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + i + 1
+            out.append((_mix(_mix(t[i] * _TURN[3]) + t[j] * _TURN[4] + np.uint64((low << 16) | high)), at[i], at[j]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def signs(left: DataFrame) -> DataFrame:
+    """(sign, sk, n, root, reach, x, y): see ``signs_of``; ``reach``: the set lists crowded tokens. ``left`` has a row a
+    set (sk, root, n, ts: its open postings, in the order of their places)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ts = b.column(3)
+            flat, ends = ts.flatten(), np.cumsum(np.array([len(x) for x in ts], np.int64))
+            pos, token, crowded = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            first, cols = 0, [[], [], [], [], [], [], []]
+            for i, last in enumerate(ends):
+                n, mine = b.column(2)[i].as_py(), crowded[first:last]
+                s, x, y = signs_of(n, pos[first:last], token[first:last], mine)
+                for c, v in zip(cols, (s.view(np.int64), np.full(len(s), b.column(0)[i].as_py(), np.int64), np.full(len(s), n, np.int64), np.full(len(s), b.column(1)[i].as_py(), np.int64), np.full(len(s), mine.any()), x, y), strict=True):
+                    c.append(v)
+                first = last
+            if len(ends):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["sign", "sk", "n", "root", "reach", "x", "y"])
+
+    return left.select("sk", "root", "n", "ts").mapInArrow(run, "sign long, sk long, n long, root long, reach boolean, x long, y long")
+
+
+def candidates(shared: DataFrame, known: DataFrame, crowd: int) -> DataFrame:
+    """(a, b): pairs of sets in different classes that share signs enough to be linked; ``known`` (sk, root) has the
+    classes so far. Only tokens whose sets lie in different classes are indexed."""
+    rooted = shared.join(known, "sk", "left").select("token", "sk", "w", F.coalesce("root", "sk").alias("root"))
+    tokens = (rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"))
+              .where("lo != hi").select("token", (F.col("c") >= crowd).alias("crowded")))
+    place = F.shiftright("w", _PLACE).bitwiseAND(F.lit((1 << 26) - 1))
+    left = (rooted.join(tokens, "token").groupBy("sk", "root", _size().alias("n")).agg(F.array_sort(F.collect_list(F.struct(place.alias("pos"), "token", "crowded"))).alias("ts"))
+            .where(F.size("ts") > 1))
+    found = cut(signs(left))
+    other = found.select("sign", *[F.col(c).alias(f"{c}2") for c in ("sk", "n", "root", "reach", "x", "y")])
+    must = F.ceil(PERCENT * (F.col("n") + F.col("n2")) / F.lit(100.0 + PERCENT))
+    m = F.greatest(F.lit(1).cast("long"), F.shiftright(F.least("n", "n2"), 5))
+    room = lambda c: F.least(F.col("n") - F.col(c), F.col("n2") - F.col(f"{c}2"))
+    # pairs of which one lists no crowded token share m + 1 single ones
+    enough = F.when(F.col("reach") & F.col("reach2"), F.lit(1).cast("long")).otherwise(F.least(m + 1, must))
+    return (found.join(other, "sign")
+            .where((F.col("sk") < F.col("sk2")) & (F.col("root") != F.col("root2")) & _fits(F.col("n"), F.col("n2")) & (room("x") + m >= must) & (room("y") + m >= must))
+            .groupBy(F.col("sk").alias("a"), F.col("sk2").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(room("x")).alias("room"), F.max(must).alias("must"), F.max(m).alias("m"), F.max(enough).alias("enough"))
+            .where("c >= enough").select("a", "b"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, often: int, most: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """The profiles of all rows (doc_id, n, sk, tk), and (sk, root, component_id) of all different sets."""
+    bounded_batches(docs.sparkSession)
+    prof = cut(profiles(docs, id_col, text_col))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "tk")
+    sets = cut(prof.where("sk is not null").groupBy("sk").agg(F.min(first).alias("x"), F.min("doc_id").alias("least")).select("sk", "least", "x.doc_id", "x.tk"))
+    counted = (prof.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("df")).where(F.col("df") > often)
+               .orderBy(F.desc("df"), "token").limit(most).orderBy("df", "token")).toPandas()
+    shared = cut(shared_postings(docs, text_col, counted["token"].to_numpy(np.int64), counted["df"].to_numpy(np.int64)))
+
+    links = verified(docs, leaders(shared), sets, id_col, text_col)
+    known = _small(*counted_cut(components(links)))
+    more = verified(docs, candidates(shared, known, crowd), sets, id_col, text_col)
+    every = components(known.select(F.col("sk").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    names = sets.select("sk", "least").join(every, "sk", "left").withColumn("root", F.coalesce("root", "sk"))
+    ids = names.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prof.where("n is not null").select("doc_id", "n", "sk", "tk"), names.join(ids, "root").select("sk", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", often: int = 16, most: int = 1_000_000, crowd: int = 64) -> DataFrame:
     """Classes of near-duplicate texts: (doc_id, n_shingles, component_id), a row a row of ``docs``.
 
     Two texts link if their sets of distinct five-word shingles (A-Z lower-cased; fewer words: the whole sequence) have
     Jaccard similarity 0.75 or more; classes are the components of the links, named by their least id. All links between
     different sets count; texts with equal sets are one member of the search from the start.
 
-    1. A pass over the texts names each set and counts shingles. The up to ``most`` shingles that occur more than
-       ``often`` times go last in the global token order; any order is correct, and this one keeps shared passages out
+    1. A pass over the texts names each set and counts shingles. The up to ``most`` shingles that occur in more than
+       ``often`` sets go last in the global token order; any order is correct, and this one keeps shared passages out
        of prefixes.
-    2. Sets that share a least shingle are verified against one of them each. This settles large groups of near copies
-       with about one comparison a member. Step 3 does the same, up to ``rounds`` times, for tokens that ``crowd`` sets or
-       more of different classes still share, each time led by other sets.
-    3. Every set lists its prefix, extended so that a linked pair shares three tokens of it. Only tokens whose sets lie
-       in different classes so far are kept. Rare tokens are indexed singly, and pairs must meet three times, unless
-       both prefixes reach frequent tokens; of frequent ones all combinations of two are indexed, where a set has at most
-       ``few`` (if it has more, single ones, which then also look up the sets with few). Pairs across classes that pass
-       the bounds on size and position are verified.
+    2. Every set lists its extended prefix, and is verified against one leader of its tokens. This settles large groups
+       of near copies with one comparison a member.
+    3. Tokens whose sets lie in different classes so far are indexed: those of ``crowd`` sets or more by combinations
+       of two, the others singly. Pairs across classes that pass the bounds on size and place are verified.
 
     Null and empty texts and those without words have 0 shingles and link with nothing; their component is their own id.
     Ids may be null or repeat: rows are told apart by their sets, and nulls are ignored where a least id is taken. An
     empty table gives an empty result. Only the two named columns are read. Sets are named by 64-bit hashes.
     """
-    bounded_batches(docs.sparkSession)
-    prof = cut(profiles(docs, id_col, text_col))
-    sets = cut(prof.where("sk is not null").groupBy("sk").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("m0").alias("m0"), F.max("m1").alias("m1")))
-    counted = (prof.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("df")).where(F.col("df") > often)
-               .orderBy(F.desc("df"), "token").limit(most).orderBy("df", "token"))
-    frequent = counted.select("token").toPandas()["token"].to_numpy(np.int64)
-
-    fits = lambda x, y: (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
-    mins = sets.select("sk", "n", F.explode(F.array(F.struct(F.lit(0).alias("o"), F.col("m0").alias("m")), F.struct(F.lit(1).alias("o"), F.col("m1").alias("m")))).alias("x")).select("sk", "n", "x.o", "x.m")
-    heads = mins.groupBy("o", "m").agg(F.min(F.struct("sk", "n")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("o", "m", F.col("h.sk").alias("a"), F.col("h.n").alias("na"))
-    stars = mins.join(heads, ["o", "m"]).where((F.col("sk") != F.col("a")) & fits(F.col("n"), F.col("na"))).select("a", F.col("sk").alias("b"))
-    links = verified(docs, stars, sets, id_col, text_col)
-    known = cut(components(links))
-
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = postings(docs, text_col, frequent).repartition(parts, "token")
-    # the last aggregate only makes both readers of the exchange ask for the same columns, so that it is written once
-    spread = dealt.groupBy("token").agg(F.min("sk").alias("lo"), F.max("sk").alias("hi"), F.bit_or("w").alias("w0")).where("lo != hi AND w0 >= 0").select("token")
-    shared = cut(dealt.join(spread.hint("shuffle_hash"), "token"))
-    left, seen = _open(shared, known), links
-    for r in range(rounds):
-        # large groups first: in open buckets of `crowd` sets or more, each set meets a few sets that lead such buckets
-        crowded = left.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("sk", "n", "root"), F.xxhash64("sk", "token", F.lit(r))).alias("l")).where(F.col("c") >= crowd)
-        met = left.join(crowded.select("token", F.col("l.sk").alias("a"), F.col("l.n").alias("na"), F.col("l.root").alias("ra")), "token")
-        turn = F.xxhash64("token", F.lit(r))
-        few_each = (met.where((F.col("sk") != F.col("a")) & (F.col("root") != F.col("ra")) & fits(F.col("n"), F.col("na")))
-                    .groupBy("sk", F.pmod(turn, F.lit(3)).alias("k")).agg(F.min_by("a", turn).alias("a")).select("a", F.col("sk").alias("b")))
-        found = verified(docs, few_each, sets, id_col, text_col)
-        if not found.limit(1).count():
-            break
-        seen = seen.unionByName(found)
-        left = _open(shared, cut(components(seen)))
-    links = seen
-
-    single = left.where(~F.col("often")).select(F.col("token").alias("sign"), F.lit(0).cast("long").alias("t2"), "sk", "n", "pos", F.col("pos").alias("posb"), "root", "reach", F.lit(True).alias("big"))
-    mine = left.where("often").groupBy("sk", "n", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("ts"))
-    several = mine.where(F.size("ts") <= few)
-    yes = F.lit(True)
-    twos = (several.select("sk", "n", "root", F.posexplode("ts").alias("i", "x"), "ts")
-            .select("sk", "n", "root", "x", F.explode(F.expr("slice(ts, i + 2, size(ts))")).alias("y"))
-            .select(F.col("x.token").alias("sign"), F.col("y.token").alias("t2"), "sk", "n", F.col("x.pos").alias("pos"), F.col("y.pos").alias("posb"), "root", yes.alias("reach"), yes.alias("big")))
-    ones = mine.select("sk", "n", "root", (F.size("ts") > few).alias("big"), F.explode("ts").alias("x")).select(F.col("x.token").alias("sign"), F.lit(0).cast("long").alias("t2"), "sk", "n", F.col("x.pos").alias("pos"), F.col("x.pos").alias("posb"), "root", yes.alias("reach"), "big")
-    asked = ones.groupBy("sign").agg(F.max("big").alias("any")).where("any").select("sign")
-    ones = ones.join(asked, "sign")
-    signs = cut(single.unionByName(twos).unionByName(ones))
-    r = signs.select("sign", "t2", *[F.col(c).alias(f"{c}2") for c in ("sk", "n", "pos", "posb", "root", "reach", "big")])
-    room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    roomb = F.least(F.col("n") - F.col("posb"), F.col("n2") - F.col("posb2"))
-    must = F.ceil(PERCENT * (F.col("n") + F.col("n2")) / F.lit(100.0 + PERCENT))
-    # sets that both reach frequent tokens may share some of them, which single signs do not show
-    enough = F.when(F.col("reach") & F.col("reach2"), 1).otherwise(F.least(F.lit(COMMON), must))
-    pairs = (signs.join(r, ["sign", "t2"])
-             .where((F.col("sk") < F.col("sk2")) & (F.col("root") != F.col("root2")) & (F.col("big") | F.col("big2")) & fits(F.col("n"), F.col("n2"))
-                    # so much room have the first shared tokens of a linked pair, as many as are asked for, and the second of two
-                    & (room + enough - 1 >= must) & (roomb + enough >= must))
-             .groupBy(F.col("sk").alias("a"), F.col("sk2").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(room).alias("room"), F.max(must).alias("must"), F.max(enough).alias("enough"))
-             .where((F.col("c") >= F.col("enough")) & (F.col("room") >= F.col("must"))).select("a", "b"))
-    more = verified(docs, pairs, sets, id_col, text_col)
-
-    every = cut(components(links.unionByName(more)))
-    names = sets.select("sk", "rep").join(every, "sk", "left").withColumn("root", F.coalesce("root", "sk"))
-    least = names.groupBy("root").agg(F.min("rep").alias("component_id"))
-    names = names.join(least, "root").select("sk", "component_id")
-    out = prof.where("n is not null").select("doc_id", F.col("n").alias("n_shingles"), "sk").join(names, "sk", "left")
+    prof, names = _classes(docs, id_col, text_col, often, most, crowd)
+    out = prof.select("doc_id", F.col("n").alias("n_shingles"), "sk").join(names.select("sk", "component_id"), "sk", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class of near duplicates, the one with the least id."""
-    gone = near_duplicates(docs, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = cut(gone)
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each class of near duplicates: the one with the least id (nulls last), then the least
+    hash of its text.
+
+    Rows are told apart by id and text: of different texts under one id each is judged by itself, and of rows that are
+    equal in both, one stays. Rows without words are not alike to any others and all stay. All columns are kept,
+    whatever their names.
+    """
+    prof, names = _classes(docs, id_col, text_col, 16, 1_000_000, 64)
+    rows = prof.where("sk is not null").groupBy("doc_id", "tk", "sk").agg(F.count(F.lit(1)).alias("copies")).join(names.select("sk", "root"), "sk")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tk")).alias("x")).select("root", F.col("x.doc_id").alias("best_id"), F.col("x.tk").alias("best_tk"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("tk") == F.col("best_tk"))
+    marks = rows.join(best, "root").where(~stays | (F.col("copies") > 1)).select("doc_id", "tk", F.when(stays, 1).otherwise(2).alias("mark"))
+    marks, n = counted_cut(marks)
+    marks = _small(marks, n).select(F.struct("doc_id", "tk").alias("k"), "mark")
+    whole = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tk")).alias("key"))
+    marked = whole.join(marks, (F.col("key.doc_id").eqNullSafe(F.col("k.doc_id"))) & (F.col("key.tk") == F.col("k.tk")), "left")
+    once = marked.where("mark is null").select("row.*")
+    return once.unionByName(marked.where("mark = 1").groupBy("key").agg(F.first("row").alias("row")).select("row.*"))
 
 
 def op4_jaccard_join(spark, sf_dir):

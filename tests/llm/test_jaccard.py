@@ -66,11 +66,11 @@ def corpus(seed):
     return [(i, t) for i, t in enumerate(rows)] + [(None, rows[25]), (None, "never seen before at all"), (3, rows[3]), (4, "other text under a known id here")]
 
 
-@pytest.mark.parametrize("seed,often,few", [(1, 3, 24), (2, 1, 2), (3, 64, 24)])
-def test_equals_all_pairs(spark, seed, often, few):
+@pytest.mark.parametrize("seed,often,crowd", [(1, 3, 64), (2, 1, 4), (3, 64, 2), (4, 2, 8)])
+def test_equals_all_pairs(spark, seed, often, crowd):
     rows = corpus(seed)
     want = brute(rows)
-    assert got(spark, rows, often=often, few=few) == want
+    assert got(spark, rows, often=often, crowd=crowd) == want
 
 
 def test_documents(spark, sf):
