@@ -107,16 +107,19 @@ def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The next document is the one with the next smaller id; after the smallest comes the largest. If rows share an id,
     each is edited, and the least of their texts serves as the text of the next document. Rows with a null id are edited
-    with nothing. Texts are shuffled once, and of the next texts only what is used.
+    with nothing. Texts are shuffled once, and of the next texts only what is used: both readers of the exchange ask for
+    the same rows (those with an id), so it is written once.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     links = cut(next_ids(docs, id_col, text_col))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    by_id = texts.repartition(n, "doc_id")
+    by_id = texts.where("doc_id is not null").repartition(n, "doc_id")
     asked = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("_for"), "need").hint("shuffle_hash")
     heads = (by_id.join(asked, "doc_id").select(F.col("_for").alias("doc_id"), F.substr("text", F.lit(1), F.col("need").cast("int")).alias("_head"), F.col("doc_id").alias("next_id"))
              .groupBy("doc_id").agg(F.min(F.struct("_head", "next_id")).alias("_x")).select("doc_id", "_x._head", "_x.next_id"))
     out = by_id.join(heads.hint("shuffle_hash"), "doc_id", "left")
+    nameless = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("_head"), F.col("doc_id").alias("next_id"))
+    out = out.unionByName(nameless)
     size = F.length("text")
     third = F.floor(size / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), size - third), F.substr(F.coalesce("_head", F.lit("")), F.lit(1), third))
@@ -136,9 +139,10 @@ def _as_longs(digest: Column) -> list[Column]:
 def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of texts and of their edited forms, and how alike they and those of the next documents are.
 
-    (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). Rows that are equal in id
-    and text give one row. An empty table gives an empty result. With one document the next is itself. Both forms of a
-    text are built and hashed in one pass; what else is asked of them travels with the votes, as numbers.
+    (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row a row of ``docs``:
+    rows that are equal in id and text are hashed once and then repeated. An empty table gives an empty result. With one
+    document the next is itself. Both forms of a text are built and hashed in one pass; what else is asked of them
+    travels with the votes, as numbers.
     """
     pairs = edited_texts(docs, id_col, text_col)
     pairs = pairs.select("doc_id", "next_id", F.xxhash64("text").alias("_h"), F.length("text").cast("long").alias("n_chars"), *_as_longs(F.sha2("edited", 256)),
@@ -148,6 +152,10 @@ def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = simhash(both, ["doc_id", "next_id", "_h", "form"], carry=facts)
     pick = lambda k: F.max(F.when(F.col("form") == k, F.col("fingerprint")))
     out = cut(prints.groupBy("doc_id", "next_id", "_h").agg(*[F.max(c).alias(c) for c in facts], pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")))
+    again = (docs.groupBy(F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")).agg(F.count(F.lit(1)).alias("_times"))
+             .where("_times > 1"))
+    out = out.join(again, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t")), "left")
+    out = out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_times", F.lit(1).cast("long")))))
     after = out.groupBy(F.col("doc_id").alias("_n")).agg(F.min("fingerprint").alias("_next"))
     out = out.join(after, out.next_id == after["_n"], "left")
     sha = F.concat(*[F.lpad(F.lower(F.hex(f"_s{i}")), 16, "0") for i in range(4)])
@@ -157,4 +165,17 @@ def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op1_fingerprints(spark, sf_dir):
+    """Fingerprints of all texts and of their edited forms, and their likenesses."""
     return edit_study(table(spark, sf_dir, "documents"))
+
+
+def op1_radius_search(spark, sf_dir):
+    """Fingerprints at most 7 bits from those of the documents whose ids are divisible by 100, their own included, by
+    the permuted block tables: (asked_id, fingerprint, found, distance, found_docs), where ``found_docs`` counts the
+    documents that have it."""
+    prints = cut(fingerprints(table(spark, sf_dir, "documents")))
+    asked = prints.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("asked_id"), "fingerprint")
+    counts = prints.groupBy(F.col("fingerprint").alias("found")).agg(F.count(F.lit(1)).alias("found_docs"))
+    hits = within_radius(asked, prints).select(F.col("asked").alias("fingerprint"), "found", "distance")
+    hits = hits.unionByName(asked.select("fingerprint", F.col("fingerprint").alias("found"), F.lit(0).alias("distance")).distinct())
+    return asked.join(hits, "fingerprint").join(counts, "found").select("asked_id", "fingerprint", "found", "distance", "found_docs")

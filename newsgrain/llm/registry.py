@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filter": urls.op8_url_filter,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_pii": pii.op10_pii,
+        "op1_radius_search": fingerprints.op1_radius_search,
     }
 
 

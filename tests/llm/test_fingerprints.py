@@ -14,7 +14,7 @@ ODD = [None, "", " \t", "a", "a b", "One two THREE", "one two three four five si
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(3 * i - 5, t, "f") for i, t in enumerate(ODD)] + [(None, "null id text", "f"), (4, "another text of a known id", "f"), (-2, "", "f")]
+    rows = [(3 * i - 5, t, "f") for i, t in enumerate(ODD)] + [(None, "null id text", "f"), (4, "another text of a known id", "f"), (-2, "", "f"), (31, "same words here", "f"), (None, "null id text", "f")]
     return spark.createDataFrame(rows, "doc_id long, text string, fingerprint string").repartition(3)
 
 
@@ -57,7 +57,8 @@ def test_edit_study(spark, sf, odd):
     for docs in (odd, spark.read.parquet(f"{sf}/documents.parquet").repartition(5)):
         want = edited([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
         rows = fp.edit_study(docs).collect()
-        assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in rows), key=str) == sorted(((i, len(t), hashlib.sha256(e.encode()).hexdigest()) for (i, t), (e, _) in want.items()), key=str)
+        assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in rows), key=str) == sorted(
+            ((r.doc_id, len(r.text or ""), hashlib.sha256(want[r.doc_id, r.text or ""][0].encode()).hexdigest()) for r in docs.collect()), key=str)
         by = defaultdict(set)
         for r in rows:
             by[r.doc_id].add(r.fingerprint)
@@ -85,3 +86,11 @@ def test_block_tables_find_all_pairs(spark, radius):
     want = {(a[0], b[0]) for a in asked.collect() for b in rows if a[0] and b[0] and a[0] != b[0] and bin(int(a[0], 16) ^ int(b[0], 16)).count("1") <= radius}
     got = fp.within_radius(asked, df, radius).collect()
     assert {(x.asked, x.found) for x in got} == want and len(got) == len(want)
+
+
+def test_radius_search_of_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    prints = [(r.doc_id, r.fingerprint) for r in fp.fingerprints(docs).collect()]
+    want = sorted((a, x, y, d, sum(z == y for _, z in prints)) for a, x in prints if a % 100 == 0
+                  for y in {z for _, z in prints} if (d := bin(int(x, 16) ^ int(y, 16)).count("1")) <= 7)
+    assert sorted(map(tuple, fp.op1_radius_search(spark, sf).collect())) == want and want
