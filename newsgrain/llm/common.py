@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where none is set (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where none is set, a local one serves a local
+    master (tests); on a cluster that is an error, as each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='newsgrain-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -57,18 +60,23 @@ def held_out(id_col: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id",
-                    text_col: str = "text", max_chars: int = 200_000):
+                    text_col: str = "text", max_bytes: int = 32 << 20):
     """Up to ``per_class`` whole labelled texts of either class, on the driver, for fitting.
 
-    Rows are taken by the md5 of their id, so a rerun takes the same ones. Texts longer than ``max_chars`` are not used
-    for fitting (they are still scored whole). Returns a pandas frame (text, y).
+    Ids are taken by their md5, so a rerun takes the same ones; of the texts found, in that order, those of a class are
+    taken until ``max_bytes`` are reached (the last one still whole), so the driver holds twice that and two texts at
+    most. An id with several labels has the largest. Null labels, ids and texts are not learned from. Returns a pandas
+    frame (text, y).
     """
     one = (labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
            .groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label)).cast("int").alias("y"))
            .withColumn("_k", F.md5(F.col("_id").cast("string"))))
     picked = [one.where(F.col("y") == c).orderBy("_k", "_id").limit(per_class) for c in (0, 1)]
     ids = F.broadcast(cut(picked[0].unionByName(picked[1])))  # at most 2 * per_class rows
-    rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-            .where(F.length("text") <= max_chars)
-            .join(ids, "_id").orderBy("_k", "_id").select("text", "y"))
-    return rows.toPandas()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where("text is not null").join(ids, "_id")
+    # sizes first: repeated ids or long texts must not reach the driver unbounded
+    sizes = rows.groupBy("y", "_k", "_id").agg(F.sum(F.octet_length("text")).alias("n"))
+    upto = Window.partitionBy("y").orderBy("_k", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = cut(sizes.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("before") < max_bytes).select("_id"))
+    found = rows.join(F.broadcast(chosen), "_id").select("_k", "_id", "text", "y").toPandas()
+    return found.sort_values(["_k", "_id", "text"], ignore_index=True)[["text", "y"]]

@@ -6,7 +6,7 @@ import hashlib
 import io
 import wave
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,30 +39,37 @@ def from_wav(stored: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def power_spectrum(samples: np.ndarray) -> np.ndarray:
-    """Short-time Fourier transform (Hann window): frames by bins, squared magnitude. Short input is padded with silence."""
-    x = (samples.astype(np.float32) - np.float32(128)) / np.float32(128)
-    count = max(1, -(-(len(x) - FRAME) // HOP) + 1) if len(x) > FRAME else 1
-    x = np.pad(x, (0, (count - 1) * HOP + FRAME - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    z = np.fft.rfft(frames * _HANN, axis=1)
-    return z.real**2 + z.imag**2
+def power_spectrum(samples: np.ndarray, block: int = 4096) -> Iterator[np.ndarray]:
+    """Short-time Fourier transform (Hann window): squared magnitudes, frames by bins, ``block`` frames at a time.
+    The end is padded with silence to a whole frame."""
+    count = max(1, -(-(len(samples) - FRAME) // HOP) + 1) if len(samples) > FRAME else 1
+    for first in range(0, count, block):
+        n = min(block, count - first)
+        x = samples[first * HOP : (first + n - 1) * HOP + FRAME]
+        x = (x.astype(np.float32) - np.float32(128)) / np.float32(128)
+        x = np.pad(x, (0, (n - 1) * HOP + FRAME - len(x)))
+        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+        z = np.fft.rfft(frames * _HANN, axis=1)
+        yield z.real**2 + z.imag**2
 
 
 _HANN = (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / FRAME)).astype(np.float32)
 
 
-def peak_pairs(power: np.ndarray) -> np.ndarray:
-    """Time-coded pairs of peaks, in order of time: frame << 32 | bin << 20 | bin of the later peak << 8 | frames between.
+def peak_pairs(power: Iterable[np.ndarray]) -> tuple[int, np.ndarray]:
+    """The number of frames in ``power`` (blocks of them), and time-coded pairs of peaks, in order of time: frame << 32 | bin << 20 | bin of the later peak << 8 | frames between.
 
     A peak is the strongest bin of a band where it exceeds the same band's strongest of the frames before and after it.
     Each peak is paired with the ``FAN`` next peaks, in order of time and then bin, that lie at most ``REACH`` frames on.
     """
+    found = [[] for _ in BANDS]
+    for some in power:
+        for (low, high), of in zip(BANDS, found, strict=True):
+            best = some[:, low:high].argmax(axis=1)
+            of.append((best, some[np.arange(len(some)), best + low]))
     times, bins = [], []
-    for low, high in BANDS:
-        part = power[:, low:high]
-        best = part.argmax(axis=1)
-        top = part[np.arange(len(part)), best]
+    for (low, _), of in zip(BANDS, found, strict=True):
+        best, top = (np.concatenate(x) for x in zip(*of, strict=True))
         side = np.pad(top, 1, constant_values=-1)
         t = np.flatnonzero((top > side[:-2]) & (top > side[2:]) & (top > QUIET))
         times.append(t)
@@ -75,7 +82,7 @@ def peak_pairs(power: np.ndarray) -> np.ndarray:
         gap = t[k:] - t[:-k]
         ok = gap <= REACH
         out.append(((t[:-k] << 32) | (f[:-k] << 20) | (f[k:] << 8) | gap)[ok] if len(t) > k else np.zeros(0, np.int64))
-    return np.sort(np.concatenate(out))
+    return len(best), np.sort(np.concatenate(out))
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 64) -> DataFrame:
@@ -104,8 +111,7 @@ def describe_media(stored: DataFrame) -> DataFrame:
             rows = []
             for m in b.column(2).to_pylist():
                 p = from_wav(m)
-                s = power_spectrum(np.frombuffer(p, np.uint8))
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), len(s), peak_pairs(s)))
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), *peak_pairs(power_spectrum(np.frombuffer(p, np.uint8)))))
             c = list(zip(*rows, strict=True)) if rows else [[]] * 7
             arrays = [b.column(0), b.column(1), *[pa.array(x, k) for x, k in zip(c, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())), strict=True)]]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "peaks"])

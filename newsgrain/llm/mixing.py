@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, table
+from .common import WORDS, counted_cut, cut, table
 
 
 def target_sizes(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -33,25 +33,31 @@ def target_sizes(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: fl
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: str = "mix", digits: int = 3,
-                carry: Sequence[str] = ()) -> DataFrame:
-    """How many words of each document the mixture takes: (doc_id, size, source_size, target, taken [, carried columns]).
-
-    Documents of a source are put in a random but repeatable order by the md5 of their id and ``seed``. A source takes
-    whole epochs while its target allows, then documents in that order until the rest is used up; the last document is
-    taken in part. The order is cut into ``16**digits`` ranges of the key, whose sizes are summed before any row is
-    sorted: a source that holds a third of all rows is spread over all ranges, and each range needs only its base.
-
-    Null text or text without words: size 0, taken 0. Null source: a source of its own, last. Null or repeated ids share
-    a key and are ordered by size; equal rows are interchangeable. An empty table gives an empty result. Only the named
-    columns are read, so other columns may have any name.
+                weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: str = "mix", in_range: int = 20_000, whole: bool = False) -> DataFrame:
+    """How many words of each document the mixture takes: (doc_id, size, source_size, target, taken), and with ``whole``
+    a struct ``row`` of all columns of ``docs``.
+
+    Documents of a source are put in a random but repeatable order by the md5 of their id and ``seed`` (without an id,
+    of their text). A source takes whole epochs while its target allows, then documents in that order until the rest is
+    used up; the last document is taken in part. The order is cut into ranges of the key, of ``in_range`` rows on
+    average, whose sizes are summed before any row is sorted: a source that holds a third of all rows is spread over all
+    ranges, and each range needs only its base. Words are counted once, and ids and sizes written.
+
+    Null text or text without words: size 0, taken 0. Null source: a source of its own, last. Repeated ids share a key
+    and are ordered by size; equal rows are interchangeable. An empty table gives an empty result. Only the named columns
+    are read (without ``whole``), and other columns may have any name.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS)).cast("long")
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"|{seed}")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_src"), key.alias("_key"), size.alias("size"),
-                       *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    rows = rows.withColumn("skey", F.when(F.col("_src").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("_src")))).withColumn("_b", F.substring("_key", 1, digits))
-    ranges = rows.groupBy("skey", "_b").agg(F.sum("size").alias("n"), F.first("_src").alias("source"))
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))), F.lit(f"|{seed}")))
+    source = F.col(source_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("_src"), key.alias("_key"), size.alias("size"),
+                       F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), source)).alias("skey"), *([F.struct("*").alias("row")] if whole else []))
+    slim, n = counted_cut(rows.drop("row", "doc_id") if whole else rows)
+    digits = 1
+    while 16**digits * in_range < n:
+        digits += 1
+    rows, slim = (x.withColumn("_b", F.substring("_key", 1, digits)) for x in (rows if whole else slim, slim))
+    ranges = cut(slim.groupBy("skey", "_b").agg(F.sum("size").alias("n"), F.first("_src").alias("source")))
     per = ranges.groupBy("skey").agg(F.sum("n").alias("source_size"), F.first("source").alias("source"))
     base = F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     plan = (ranges.withColumn("base", base)
@@ -64,24 +70,24 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            .withColumn("_epochs", epochs)
            .withColumn("_rest", F.floor("target") - F.col("_epochs") * F.col("source_size")))
     taken = F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_start")))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"),
-                      *[F.col(f"_c{i}").alias(c if c not in ("doc_id", "size", "source_size", "target", "taken") else f"{c}_in") for i, c in enumerate(carry)])
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["row"] if whole else []))
 
 
-def draw(docs: DataFrame, **kw) -> DataFrame:
+def draw(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """The mixture itself: each document as often as its epochs say, then once more, cut after its last taken word, if
-    the source's budget ends inside it. Returns the columns of ``documents``; n_chars is that of the text returned."""
-    spare = [c for c in ("text", "lang", "source") if c in docs.columns]
-    m = mix_sources(docs, carry=spare, **kw)
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
-    part = F.col("taken") - F.col("_whole") * F.col("size")
-    m = m.withColumn("_whole", whole).withColumn("_part", part)
+    the source's budget ends inside it. Returns the columns of ``docs``, whatever their names; n_chars, if there is one,
+    is that of the text returned. Documents without words (null, empty or white space) are nothing of any mixture and
+    are not in it."""
+    m = mix_sources(docs, text_col=text_col, whole=True, **kw)
+    text = F.col(f"row.`{text_col}`")
+    m = m.where("taken > 0").withColumn("times", F.floor(F.col("taken") / F.col("size")).cast("int"))
+    m = m.withColumn("part", (F.col("taken") - F.col("times") * F.col("size")).cast("int"))
     # the first `part` words: the text is split after its words, which keeps the white space between them
-    pieces = F.split(F.col("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cutoff = F.when(F.col("_part") > 0, F.array_join(F.slice(pieces, F.lit(1), F.col("_part").cast("int")), ""))
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("_whole").cast("int")), F.when(F.col("_part") > 0, F.array(cutoff)).otherwise(F.array().cast("array<string>")))
-    out = m.withColumn("text", F.explode(texts)).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in out.columns])
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    last = F.when(F.col("part") > 0, F.array(F.array_join(F.slice(pieces, F.lit(1), F.col("part")), ""))).otherwise(F.array().cast("array<string>"))
+    out = m.withColumn("now", F.explode(F.concat(F.array_repeat(text, F.col("times")), last)))
+    new = {text_col: F.col("now"), "n_chars": F.length("now").cast("long")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op9_mix_sources(spark, sf_dir):
@@ -91,7 +97,7 @@ def op9_mix_sources(spark, sf_dir):
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END AS skey,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix') AS k,
+         md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || '|mix') AS k,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 per AS (SELECT skey, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY skey),

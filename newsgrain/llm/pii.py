@@ -50,6 +50,16 @@ def _holds(kind: str, found: Column) -> Column:
     return n.between(9, 15)
 
 
+def running(sizes: Column, block: int = 64) -> Column:
+    """For each element of an array the sum of those before it, by blocks, so that long arrays take no quadratic time."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, F.lit(block)))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, v: a + v)
+    inner = F.transform(blocks, lambda xs: F.transform(xs, lambda _, i: total(F.slice(xs, F.lit(1), i))))
+    base = F.aggregate(F.transform(blocks, total), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+                       lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
+    return F.when(F.size(sizes) > 0, F.flatten(F.zip_with(inner, base, lambda xs, b: F.transform(xs, lambda x: x + b)))).otherwise(F.array().cast("array<int>"))
+
+
 def kind_spans(text: Column, kind: str) -> Column:
     """Leftmost non-overlapping matches of one kind that hold, as (start, end, kind) in code points.
 
@@ -58,9 +68,8 @@ def kind_spans(text: Column, kind: str) -> Column:
     pattern, need = PATTERNS[kind], NEEDS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    begin = F.aggregate(F.zip_with(gaps, F.transform(found, lambda x: F.length(x)), lambda g, m: F.struct(g.alias("g"), F.coalesce(m, F.lit(0)).alias("m"))),
-                        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-                        lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["all"], F.array(a["at"] + x["g"])).alias("all")))["all"]
+    before = running(F.zip_with(gaps, found, lambda g, m: g + F.coalesce(F.length(m), F.lit(0))))
+    begin = F.zip_with(before, gaps, lambda b, g: b + g)
     spans = F.filter(F.zip_with(found, begin, lambda m, s: F.struct(m.alias("m"), s.alias("s"))), lambda x: x["m"].isNotNull() & _holds(kind, x["m"]))
     spans = F.transform(spans, lambda x: F.struct(x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), F.lit(KINDS.index(kind)).alias("kind")))
     tried = text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}") if kind == "card" else F.contains(text, F.lit(need))
@@ -169,15 +178,16 @@ def masked(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` with personal data replaced by its kind and disclosing terms by [TERM]; n_chars follows the text.
 
-    Rows without spans keep their text (null stays null). Rows and columns are those of ``docs``.
+    Rows without spans keep their text (null stays null). Rows and columns are those of ``docs``, whatever their names.
     """
-    spans = find_personal(docs, id_col, text_col, **kw).where(F.size("spans") > 0).select(F.col("_id").alias("_sid"), F.col("_h").alias("_sh"), F.col("spans").alias("_spans")).distinct()
+    spans = find_personal(docs, id_col, text_col, **kw).where(F.size("spans") > 0).select(F.struct("_id", "_h").alias("key"), F.col("spans")).distinct()
     spans = cut(spans)
-    out = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = out.join(spans.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_sid")) & (F.col("_h") == F.col("_sh")), "left")
-    text = F.when(F.col("_spans").isNotNull(), masked(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))
-    cols = [text.alias(c) if c == text_col else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*cols)
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    out = own.join(spans.hint("shuffle_hash"), F.col("i").eqNullSafe(F.col("key._id")) & (F.col("h") == F.col("key._h")), "left")
+    old = F.col(f"row.`{text_col}`")
+    text = F.when(F.col("spans").isNotNull(), masked(old, F.col("spans"))).otherwise(old)
+    new = {text_col: text, "n_chars": F.length(text).cast("long")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_pii(spark, sf_dir):

@@ -15,6 +15,8 @@ from .common import bounded_batches, held_out, labelled_sample, table
 STEP, HALF = 4, 32
 HALF_BYTES = STEP * HALF
 DIMS, FILTERS, UNITS = 6, 16, 16
+#: Bytes that are computed at once, whatever the length of a text.
+BLOCK = 1 << 20
 
 
 class ByteNet:
@@ -32,18 +34,32 @@ class ByteNet:
         }
 
     @staticmethod
-    def layout(texts: list[bytes]):
-        """Texts end to end, each in whole half chunks with one half of zeros after it; the first half of every chunk."""
-        halves = [max(2, -(-len(t) // HALF_BYTES)) for t in texts]
-        data = np.frombuffer(b"".join(t.ljust((h + 1) * HALF_BYTES, b"\0") for t, h in zip(texts, halves, strict=True)), np.uint8)
-        starts = np.cumsum([0] + [h + 1 for h in halves[:-1]])
-        chunks = np.concatenate([np.arange(s, s + h - 1) for s, h in zip(starts, halves, strict=True)])
-        counts = np.array(halves) - 1
-        return data, chunks, counts
-
-    def forward(self, texts: list[bytes], keep: bool = False):
+    def pieces(texts: list[bytes], block: int = BLOCK) -> Iterator[list[tuple[int, bytes, int]]]:
+        """Groups of about ``block`` bytes of (text's number, bytes, chunks), so that memory does not grow with a text.
+
+        A piece holds the halves of its chunks and one more, into which the last filter of the last chunk reaches; the
+        next piece of a text begins with the next chunk. So pieces give what the text would give at once.
+        """
+        group, size, most = [], 0, max(1, block // HALF_BYTES)
+        for i, t in enumerate(texts):
+            total = max(1, -(-len(t) // HALF_BYTES) - 1)
+            for c in range(0, total, most):
+                n = min(most, total - c)
+                group.append((i, t[c * HALF_BYTES : (c + n + 2) * HALF_BYTES], n))
+                size += (n + 2) * HALF_BYTES
+                if size >= block:
+                    yield group
+                    group, size = [], 0
+        if group:
+            yield group
+
+    def chunks_of(self, group: list[tuple[int, bytes, int]]):
+        """The units of all chunks of a group, the texts that they belong to, and what the gradients need."""
         p = self.p
-        data, chunks, counts = self.layout(texts)
+        counts = np.array([n for _, _, n in group])
+        data = np.frombuffer(b"".join(t.ljust((n + 2) * HALF_BYTES, b"\0") for _, t, n in group), np.uint8)
+        starts = np.cumsum(counts + 2) - counts - 2
+        chunks = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, counts, strict=True)])
         a = p["embed"][data].reshape(-1, STEP * DIMS)
         y = a @ p["near"]
         y[:-1] += a[1:] @ p["far"]
@@ -53,49 +69,74 @@ class ByteNet:
         mean, top = y3.mean(axis=1), y3.max(axis=1)
         v = np.concatenate([(mean[chunks] + mean[chunks + 1]) / 2, np.maximum(top[chunks], top[chunks + 1])], axis=1)
         h = np.maximum(v @ p["chunk"] + p["chunk_bias"], 0)
-        first = np.cumsum(counts) - counts
-        high = np.maximum.reduceat(h, first, axis=0)
-        avg = np.add.reduceat(h, first, axis=0) / counts[:, None].astype(np.float32)
+        return h, np.repeat([i for i, _, _ in group], counts), (data, chunks, a, y, top, v)
+
+    def pooled(self, texts: list[bytes], block: int = BLOCK):
+        """Maximum and mean of the units over the chunks of each text, and the numbers of chunks."""
+        kind = self.p["chunk"].dtype
+        high, total, counts = np.zeros((len(texts), UNITS), kind), np.zeros((len(texts), UNITS), kind), np.zeros(len(texts), np.int64)
+        for group in self.pieces(texts, block):
+            h, doc, _ = self.chunks_of(group)
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            own = doc[first]
+            high[own] = np.maximum(high[own], np.maximum.reduceat(h, first, axis=0))
+            total[own] += np.add.reduceat(h, first, axis=0)
+            counts[own] += np.diff(first, append=len(doc))
+        return high, total / counts[:, None].astype(kind), counts
+
+    def forward(self, texts: list[bytes], block: int = BLOCK) -> np.ndarray:
+        high, avg, _ = self.pooled(texts, block)
+        return self._score(np.concatenate([high, avg], axis=1))
+
+    def _score(self, d: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip((d @ self.p["out"] + self.p["out_bias"]).astype(np.float64), -500, 500)))
+
+    def gradients(self, texts: list[bytes], target: np.ndarray, weight: np.ndarray, block: int = BLOCK):
+        """Of the mean weighted log loss over whole texts. Groups are computed again if there are several."""
+        p, groups = self.p, list(self.pieces(texts, block))
+        if len(groups) == 1:
+            ready = [self.chunks_of(groups[0])]
+            h, doc, _ = ready[0]
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            counts = np.diff(first, append=len(doc))
+            high, avg = np.maximum.reduceat(h, first, axis=0), np.add.reduceat(h, first, axis=0) / counts[:, None].astype(h.dtype)
+        else:
+            high, avg, counts = self.pooled(texts, block)
+            ready = (self.chunks_of(g) for g in groups)
         d = np.concatenate([high, avg], axis=1)
-        score = 1 / (1 + np.exp(-np.clip((d @ p["out"] + p["out_bias"]).astype(np.float64), -500, 500)))
-        return (score, (data, chunks, counts, a, y, top, v, h, high, d)) if keep else score
-
-    def gradients(self, texts: list[bytes], target: np.ndarray, weight: np.ndarray):
-        p = self.p
-        score, (data, chunks, counts, a, y, top, v, h, high, d) = self.forward(texts, keep=True)
-        dz = ((score - target) * weight / len(texts)).astype(np.float32)
-        g = {"out": d.T @ dz, "out_bias": dz.sum(keepdims=True)}
+        dz = ((self._score(d) - target) * weight / len(texts)).astype(np.float32)
+        g = {k: np.zeros_like(x) for k, x in p.items()} | {"out": d.T @ dz, "out_bias": dz.sum(keepdims=True)}
         dd = dz[:, None] * p["out"]
-        doc = np.repeat(np.arange(len(texts)), counts)
-        dh = (dd[:, UNITS:] / counts[:, None])[doc]
-        best = h == high[doc]
-        best &= h > 0
-        dh = dh + np.where(best, dd[:, :UNITS][doc], 0)
-        dh = (dh * (h > 0)).astype(np.float32)
-        g |= {"chunk": v.T @ dh, "chunk_bias": dh.sum(axis=0)}
-        dv = dh @ p["chunk"].T
-        dmean, dtop = np.zeros_like(top), np.zeros_like(top)
-        dmean[chunks] += dv[:, :FILTERS] / 2
-        dmean[chunks + 1] += dv[:, :FILTERS] / 2
-        left = top[chunks] >= top[chunks + 1]
-        dtop[chunks] += dv[:, FILTERS:] * left
-        dtop[chunks + 1] += dv[:, FILTERS:] * ~left
-        y3 = y.reshape(-1, HALF, FILTERS)
-        dy = np.broadcast_to((dmean / HALF)[:, None, :], y3.shape).copy()
-        at = y3.argmax(axis=1)
-        i, k = np.indices(at.shape)
-        dy[i, at, k] += dtop
-        dy = dy.reshape(-1, FILTERS) * (y > 0)
-        g |= {"near": a.T @ dy, "far": a[1:].T @ dy[:-1], "bias": dy.sum(axis=0)}
-        da = dy @ p["near"].T
-        da[1:] += dy[:-1] @ p["far"].T
-        da = da.reshape(-1, DIMS)
-        g["embed"] = np.stack([np.bincount(data, da[:, j], 256) for j in range(DIMS)], axis=1).astype(np.float32)
+        for h, doc, (data, chunks, a, y, top, v) in ready:
+            dh = (dd[:, UNITS:] / counts[:, None])[doc]
+            best = (h == high[doc]) & (h > 0)
+            dh = ((dh + np.where(best, dd[:, :UNITS][doc], 0)) * (h > 0)).astype(np.float32)
+            g["chunk"] += v.T @ dh
+            g["chunk_bias"] += dh.sum(axis=0)
+            dv = dh @ p["chunk"].T
+            dmean, dtop = np.zeros_like(top), np.zeros_like(top)
+            dmean[chunks] += dv[:, :FILTERS] / 2
+            dmean[chunks + 1] += dv[:, :FILTERS] / 2
+            left = top[chunks] >= top[chunks + 1]
+            dtop[chunks] += dv[:, FILTERS:] * left
+            dtop[chunks + 1] += dv[:, FILTERS:] * ~left
+            y3 = y.reshape(-1, HALF, FILTERS)
+            dy = np.broadcast_to((dmean / HALF)[:, None, :], y3.shape).copy()
+            at = y3.argmax(axis=1)
+            i, k = np.indices(at.shape)
+            dy[i, at, k] += dtop
+            dy = dy.reshape(-1, FILTERS) * (y > 0)
+            g["near"] += a.T @ dy
+            g["far"] += a[1:].T @ dy[:-1]
+            g["bias"] += dy.sum(axis=0)
+            da = dy @ p["near"].T
+            da[1:] += dy[:-1] @ p["far"].T
+            da = da.reshape(-1, DIMS)
+            g["embed"] += np.stack([np.bincount(data, da[:, j], 256) for j in range(DIMS)], axis=1).astype(np.float32)
         return g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 30, batch: int = 32, rate: float = 4e-3, seed: int = 7, spread: int = 8192) -> ByteNet:
-        """Adam over shuffled batches. The classes' losses are weighted so that scores are as likely as in the labels.
-        Of a text longer than ``spread`` bytes, an epoch sees a random stretch of that length."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 30, batch: int = 32, rate: float = 4e-3, seed: int = 7) -> ByteNet:
+        """Adam over shuffled batches of whole texts."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(x) for k, x in self.p.items()}
         s = {k: np.zeros_like(x) for k, x in self.p.items()}
@@ -105,12 +146,7 @@ class ByteNet:
             order = r.permutation(len(texts))
             for b in range(0, len(order), batch):
                 some = order[b : b + batch]
-                part = []
-                for j in some:
-                    t = texts[j]
-                    o = int(r.integers(0, len(t) - spread + 1)) if len(t) > spread else 0
-                    part.append(t[o : o + spread])
-                g = self.gradients(part, labels[some], weight[some])
+                g = self.gradients([texts[j] for j in some], labels[some], weight[some])
                 step += 1
                 now = rate * (1 - e / epochs) ** 0.5
                 for k, x in g.items():
@@ -140,12 +176,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-                   threshold: float = 0.7, per_class: int = 1200, group: int = 1 << 20) -> DataFrame:
+                   threshold: float = 0.7, per_class: int = 1200) -> DataFrame:
     """Probability that each whole text is of label 1: (doc_id, score, predicted).
 
     The network is fitted on the driver from a bounded sample (``per_class``) of ``labels`` and sent to the tasks (under
-    20 kB). Texts are scored in groups of about ``group`` bytes; a longer text is a group of its own. Nothing is
-    shuffled; rows keep their multiplicity and ids may be null or repeat. Null and empty texts are scored as a chunk of
+    20 kB). Texts are scored whole, in blocks of ``BLOCK`` bytes. Nothing is shuffled; rows keep their multiplicity and ids may be null or repeat. Null and empty texts are scored as a chunk of
     zeros. Without labels of both classes every score is 0.5. Only the named columns are read.
     """
     net = fit_quality(docs, labels, label, id_col, text_col, per_class)
@@ -156,16 +191,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", i
         net = ByteNet()
         net.p = params or net.p
         for b in batches:
-            texts, scores, some, n = b.column(1).cast(pa.binary()).to_pylist(), [], [], 0
-            for t in texts:
-                some.append(t or b"")
-                n += len(some[-1])
-                if n >= group:
-                    scores += net.forward(some).tolist()
-                    some, n = [], 0
-            if some:
-                scores += net.forward(some).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores if params else [0.5] * len(texts), pa.float64())], ["doc_id", "score"])
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            scores = net.forward(texts) if params else np.full(len(texts), 0.5)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     bounded_batches(docs.sparkSession)
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, score double")

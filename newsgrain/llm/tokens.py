@@ -113,7 +113,7 @@ class WordCoder:
 
 
 def frequent_chunks(docs: DataFrame, text_col: str = "text", top: int = 65_536, per_task: int = 8_192, held: int = 200_000) -> DataFrame:
-    """The most frequent white-space chunks of all texts (chunk, n), at most ``top`` rows.
+    """The most frequent white-space chunks of all texts, lower-cased as they are looked up (chunk, n), at most ``top`` rows.
 
     Each task counts its own texts and hands on its ``per_task`` largest counts; the chunks themselves are never
     shuffled. A task that holds more than ``held`` different chunks drops its rarest: the table only saves work, so a
@@ -125,7 +125,7 @@ def frequent_chunks(docs: DataFrame, text_col: str = "text", top: int = 65_536,
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    seen.update(t.split())
+                    seen.update(t.lower().split())
             if len(seen) > held:
                 seen = Counter(dict(seen.most_common(held // 4)))
         best = [x for x in seen.most_common(per_task) if x[1] > 1 and len(x[0]) <= 64]

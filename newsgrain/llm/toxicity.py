@@ -134,8 +134,9 @@ class Features:
             you = [i for i, w in enumerate(words) if w.strip(_STRIP) in SECOND_PERSON]
             second = len(you)
             if you:
-                y = np.array(you)
-                near = max(1 / (1 + int(np.abs(y - i).min())) for i in at[:1000])
+                y, x = np.array([-(1 << 40), *you, 1 << 40]), np.array(at)
+                k = np.searchsorted(y, x)
+                near = 1 / (1 + int(np.minimum(x - y[k - 1], y[k] - x).min()))
         repeats = int(((b[1:] == b[:-1]) & (b[1:] == np.roll(b, 1)[:-1]) & (c[1:] != 4)).sum()) if size > 3 else 0
         letters = max(1, counts[1] + counts[2])
         return [len(at) / n, math.log1p(len(at)), math.log1p(len(kinds)), 1 / (1 + closest), near, second / n, counts[2] / letters,

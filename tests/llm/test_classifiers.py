@@ -55,6 +55,11 @@ def test_chunks_cover_the_text_and_do_not_depend_on_neighbours():
     texts = [b"", b"abc", b"some words " * 500, b"z" * 127, b"z" * 128, b"z" * 129]
     together, alone = net.forward(texts), np.concatenate([net.forward([t]) for t in texts])
     assert np.allclose(together, alone, atol=1e-5)
+    for block in (128, 300, 1000):  # a text in pieces gives what it gives at once, gradients too
+        assert np.allclose(net.forward(texts, block), together, atol=1e-5)
+        y, w = np.array([1.0, 0, 1, 0, 1, 0]), np.ones(6)
+        whole, parts = net.gradients(texts, y, w), net.gradients(texts, y, w, block)
+        assert all(np.allclose(whole[k], parts[k], atol=1e-5) for k in whole)
     long = b"the same " * 200
     assert net.forward([long]) != net.forward([long[:-1] + b"#"])
 
@@ -101,6 +106,67 @@ def test_held_out_accuracy(spark, module, label, least):
     assert (df["held_out"] == df["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
 
 
+def plain_score(p, t):
+    """The network on one text, by loops over positions and chunks."""
+    halves = max(2, -(-len(t) // 128))
+    e = [p["embed"][b] for b in t.ljust((halves + 1) * 128, b"\0")]
+    a = [np.concatenate(e[i : i + 4]) for i in range(0, len(e), 4)]
+    y = [np.maximum(a[i] @ p["near"] + a[i + 1] @ p["far"] + p["bias"], 0) for i in range(halves * 32)]
+    units = []
+    for c in range(halves - 1):
+        part = np.array(y[32 * c : 32 * c + 64])
+        units.append(np.maximum(np.concatenate([part.mean(axis=0), part.max(axis=0)]) @ p["chunk"] + p["chunk_bias"], 0))
+    d = np.concatenate([np.max(units, axis=0), np.mean(units, axis=0)])
+    return 1 / (1 + np.exp(-(d @ p["out"] + p["out_bias"][0])))
+
+
+def test_network_by_loops(spark):
+    net = quality.ByteNet(5)
+    texts = [b"", b"a", b"some words and more " * 40, bytes(range(1, 256)) * 3, b"q" * 256]
+    assert np.allclose(net.forward(texts), [plain_score(net.p, t) for t in texts], atol=1e-5)
+
+
+def test_trees_by_walking(spark):
+    r = np.random.default_rng(4)
+    x = r.random((500, 3))
+    t = toxicity.Boosted(trees=7).fit(x, (x[:, 1] > 0.3).astype(float), np.ones(500))
+
+    def walk(row):
+        z = t.base
+        for feature, cutoff, value in t.trees:
+            k = 0
+            while k < len(feature):
+                k = 2 * k + 1 + int(feature[k] >= 0 and row[feature[k]] > cutoff[k])
+            z += value[k - len(feature)]
+        return z
+
+    assert np.allclose(t.margin(x), [walk(row) for row in x])
+
+
+def test_proximity_covers_the_whole_text():
+    f = toxicity.Features({})
+    far = "idiot word word word word " * 1500
+    at = toxicity.FEATURES.index("near_second_person")
+    assert f(far + "you idiot")[at] == 0.5 and f(far)[at] == 0
+    words = ("idiot fine you fine fine moron fine fine fine you fine idiot fine fine " * 3).split()
+    hits, you = ([i for i, w in enumerate(words) if w in s] for s in (("idiot", "moron"), ("you",)))
+    assert f(" ".join(words))[at] == max(1 / (1 + abs(i - j)) for i in hits for j in you)
+
+
+def test_sample_is_bounded_and_whole(spark):
+    from newsgrain.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i, "x" * (10 * i)) for i in range(1, 40)] + [(5, None), (None, "y"), (3, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(None, 1), (7, None), (4, 1)], "doc_id long, quality int")
+    every = labelled_sample(docs, labels, "quality", 100)
+    assert len(every) == 40 and every[every.text == "x" * 40].y.tolist() == [1]  # of two labels the larger
+    some = labelled_sample(docs, labels, "quality", 100, max_bytes=500)
+    for c in (0, 1):
+        sizes = some[some.y == c].text.str.len()
+        assert sizes.sum() >= 500 and sizes[:-1].sum() < 900
+    assert len(labelled_sample(docs, labels, "quality", 5)) <= 11
+
+
 def test_odd_rows(spark, odd, labels):
     docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
     few = labels.where("doc_id < 300")

@@ -113,11 +113,41 @@ def test_peaks_follow_the_signal():
 
     t = np.arange(16384) / media.RATE
     loud = (np.sin(2 * np.pi * 500 * t) * (np.sin(2 * np.pi * 3 * t) > 0) * 60 + 128).astype(np.uint8)
-    peaks = media.peak_pairs(media.power_spectrum(loud))
+    frames, peaks = media.peak_pairs(media.power_spectrum(loud))
+    assert frames == 127
+    again, parts = media.peak_pairs(media.power_spectrum(loud, block=10))
+    assert again == frames and (parts == peaks).all()
     bins = (peaks >> 20) & 0xFFF
     assert len(peaks) and (abs(bins[bins <= 20] - 16) <= 5).any()
     assert (np.diff(peaks >> 32) >= 0).all()
-    assert len(media.peak_pairs(media.power_spectrum(np.full(64, 128, np.uint8)))) == 0
+    assert len(media.peak_pairs(media.power_spectrum(np.full(64, 128, np.uint8)))[1]) == 0
+
+
+def plain_peaks(payload):
+    """Peaks by sums of cosines and sines, frame by frame, and pairs by loops."""
+    import numpy as np
+
+    x = [(b - 128) / 128 for b in payload]
+    frames = 1 if len(x) <= 256 else -(-(len(x) - 256) // 128) + 1
+    x = np.array(x + [0.0] * ((frames - 1) * 128 + 256 - len(x)))
+    at = np.arange(256)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * at / 256)
+    best = []
+    for k in range(frames):
+        w = x[128 * k : 128 * k + 256] * hann
+        power = [(w * np.cos(2 * np.pi * b * at / 256)).sum() ** 2 + (w * np.sin(2 * np.pi * b * at / 256)).sum() ** 2 for b in range(124)]
+        best.append([max((power[b], -b) for b in range(*band)) for band in ((4, 16), (16, 44), (44, 124))])
+    peaks = sorted((k, -best[k][j][1]) for k in range(frames) for j in range(3)
+                   if best[k][j][0] > 1e-3 and (k == 0 or best[k][j][0] > best[k - 1][j][0]) and (k == frames - 1 or best[k][j][0] > best[k + 1][j][0]))
+    return frames, sorted((t << 32) | (f << 20) | (g << 8) | (u - t) for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 4] if u - t <= 63)
+
+
+def test_feature_of_texts_by_plain_sums(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 4000").orderBy("doc_id").limit(12)
+    rows = {r.doc_id: r for r in media.media_features(docs).collect()}
+    for r in docs.collect():
+        raw = r.text.encode()
+        assert (rows[r.doc_id].n_frames, list(rows[r.doc_id].peaks)) == plain_peaks(raw + bytes(-len(raw) % 64))
 
 
 def brute_url(url):
@@ -179,8 +209,8 @@ def test_mixing_equals_sql(spark, odd, empty):
 
 def test_mixture_holds_what_was_taken(spark, odd):
     taken = sum(r.taken for r in mixing.mix_sources(odd).collect())
-    drawn = mixing.draw(odd)
-    assert drawn.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    drawn = mixing.draw(odd.withColumn("size", mixing.F.lit("s")).withColumn("taken", mixing.F.lit("t")))
+    assert drawn.columns == [*odd.columns, "size", "taken"]
     rows = drawn.collect()
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in rows) == taken
     assert all(r.n_chars == len(r.text) for r in rows)
