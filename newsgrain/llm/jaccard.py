@@ -152,9 +152,13 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _N, _PLACE, _CENT = 34, 8, 1
 
 
+#: Sets have a class of crowded tokens for so many of their own.
+CLASS = 256
+
+
 def classes_for(n):
     """Into how many classes the crowded tokens of sets of ``n`` tokens or a few more are dealt."""
-    return np.maximum(1, n // 32)
+    return np.maximum(1, n // CLASS)
 
 
 def postings(docs: DataFrame, text_col: str, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -225,8 +229,13 @@ def _fits(x: Column, y: Column) -> Column:
     return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
 
 
+def _classes_of(n: Column) -> Column:
+    return F.greatest(F.lit(1).cast("long"), F.floor(n / CLASS))
+
+
 def leaders(shared: DataFrame) -> DataFrame:
-    """(a, b): every set b with the set a that it meets most often among the leaders of its tokens.
+    """(a, b): every set b with the set a that it meets most often among the leaders of its tokens, if it meets it as
+    often as a linked pair must.
 
     A token's leader is the set whose tokens are the most frequent on average: of edited copies, the one nearest to the
     common original.
@@ -234,7 +243,8 @@ def leaders(shared: DataFrame) -> DataFrame:
     cent = F.shiftright("w", _CENT).bitwiseAND(F.lit(127))
     lead = (shared.groupBy("token").agg(F.max(F.struct(cent.alias("cent"), F.xxhash64("sk").alias("turn"), F.col("sk").alias("a"), _size().alias("na"))).alias("l"), F.count(F.lit(1)).alias("c"))
             .where("c > 1").select("token", "l.a", "l.na"))
-    met = shared.join(lead, "token").where((F.col("sk") != F.col("a")) & _fits(_size(), F.col("na"))).groupBy("sk", "a").agg(F.count(F.lit(1)).alias("c"))
+    met = shared.join(lead, "token").where((F.col("sk") != F.col("a")) & _fits(_size(), F.col("na"))).groupBy("sk", "a").agg(F.count(F.lit(1)).alias("c"), F.min(F.least(_size(), F.col("na"))).alias("n"))
+    met = met.where(F.col("c") > _classes_of(F.col("n")))
     return met.groupBy(F.col("sk").alias("b")).agg(F.max(F.struct("c", "a"))["a"].alias("a")).select("a", "b")
 
 
@@ -267,10 +277,10 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, id_col: str, te
     """
     pairs = cut(pairs)
     keys = pairs.select(F.explode(F.array("a", "b")).alias("sk")).distinct()
-    found = cut(sets_of(docs, sets.join(keys, "sk").select("doc_id", "tk"), id_col, text_col).dropDuplicates(["sk"]))
+    found = cut(sets_of(docs, sets.join(keys, "sk").select("doc_id", "tk"), id_col, text_col))
     both = pairs.join(found.select(F.col("sk").alias("b"), F.col("tokens").alias("tb")), "b").join(found.select(F.col("sk").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return cut(both.where(100 * shared >= PERCENT * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
+    return cut(both.where(100 * shared >= PERCENT * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -303,8 +313,9 @@ def size_bands() -> np.ndarray:
     return np.array(edges, np.int64)
 
 
-def signs_of(n: int, pos: np.ndarray, token: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signs under which a set of ``n`` tokens is indexed, and the places of the (first and second) tokens that make them.
+def signs_of(n: int, pos: np.ndarray, token: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signs under which a set of ``n`` tokens is indexed, the places of the (first and second) tokens that make them, and
+    the sign's side: -1 for partners of larger bands, 1 for those of smaller ones, else 0.
 
     A linked pair shares ``must`` tokens, so the first shared one has at least so many from it on in both sets, the
     next one less, and so on. Each token that few sets list is a sign of its own. The crowded ones are dealt into m
@@ -314,7 +325,7 @@ def signs_of(n: int, pos: np.ndarray, token: np.ndarray, crowded: np.ndarray) ->
     an original in much edited copies do, make no signs for partners of its size.
     """
     few = ~crowded
-    out = [(_mix(token[few].view(np.uint64) * _TURN[2]), pos[few], pos[few])]
+    out = [(_mix(token[few].view(np.uint64) * _TURN[2]), pos[few], pos[few], np.zeros(int(few.sum()), np.int64))]
     edges, own_pos, own = size_bands(), pos[crowded], token[crowded]
     if len(own) > 1:
         band = int(np.searchsorted(edges, n, "right")) - 1
@@ -335,12 +346,12 @@ def signs_of(n: int, pos: np.ndarray, token: np.ndarray, crowded: np.ndarray) ->
             count[n - at + m - 1 < must] = 0
             i = np.repeat(np.arange(len(t)), count)
             j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + i + 1
-            out.append((_mix(_mix(t[i] * _TURN[3]) + t[j] * _TURN[4] + np.uint64((low << 16) | high)), at[i], at[j]))
+            out.append((_mix(_mix(t[i] * _TURN[3]) + t[j] * _TURN[4] + np.uint64((low << 16) | high)), at[i], at[j], np.full(len(i), (band > k) - (band < k), np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def signs(left: DataFrame) -> DataFrame:
-    """(sign, sk, n, root, reach, x, y): see ``signs_of``; ``reach``: the set lists crowded tokens. ``left`` has a row a
+    """(sign, sk, n, root, reach, x, y, side): see ``signs_of``; ``reach``: the set lists crowded tokens. ``left`` has a row a
     set (sk, root, n, ts: its open postings, in the order of their places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,22 +359,24 @@ def signs(left: DataFrame) -> DataFrame:
             ts = b.column(3)
             flat, ends = ts.flatten(), np.cumsum(np.array([len(x) for x in ts], np.int64))
             pos, token, crowded = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            first, cols = 0, [[], [], [], [], [], [], []]
+            first, cols = 0, [[], [], [], [], [], [], [], []]
             for i, last in enumerate(ends):
                 n, mine = b.column(2)[i].as_py(), crowded[first:last]
-                s, x, y = signs_of(n, pos[first:last], token[first:last], mine)
-                for c, v in zip(cols, (s.view(np.int64), np.full(len(s), b.column(0)[i].as_py(), np.int64), np.full(len(s), n, np.int64), np.full(len(s), b.column(1)[i].as_py(), np.int64), np.full(len(s), mine.any()), x, y), strict=True):
+                s, x, y, side = signs_of(n, pos[first:last], token[first:last], mine)
+                for c, v in zip(cols, (s.view(np.int64), np.full(len(s), b.column(0)[i].as_py(), np.int64), np.full(len(s), n, np.int64), np.full(len(s), b.column(1)[i].as_py(), np.int64), np.full(len(s), mine.any()), x, y, side), strict=True):
                     c.append(v)
                 first = last
             if len(ends):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["sign", "sk", "n", "root", "reach", "x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["sign", "sk", "n", "root", "reach", "x", "y", "side"])
 
-    return left.select("sk", "root", "n", "ts").mapInArrow(run, "sign long, sk long, n long, root long, reach boolean, x long, y long")
+    return left.select("sk", "root", "n", "ts").mapInArrow(run, "sign long, sk long, n long, root long, reach boolean, x long, y long, side long")
 
 
 def candidates(shared: DataFrame, known: DataFrame, crowd: int) -> DataFrame:
     """(a, b): pairs of sets in different classes that share signs enough to be linked; ``known`` (sk, root) has the
-    classes so far. Only tokens whose sets lie in different classes are indexed."""
+    classes so far. Only tokens whose sets lie in different classes are indexed, and of their signs those that sets of
+    different classes list. The largest class of a sign, say the copies of one text, is on one side of the join only,
+    so a sign costs its other members times all of them, not the square of its size."""
     rooted = shared.join(known, "sk", "left").select("token", "sk", "w", F.coalesce("root", "sk").alias("root"))
     tokens = (rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"))
               .where("lo != hi").select("token", (F.col("c") >= crowd).alias("crowded")))
@@ -371,15 +384,20 @@ def candidates(shared: DataFrame, known: DataFrame, crowd: int) -> DataFrame:
     left = (rooted.join(tokens, "token").groupBy("sk", "root", _size().alias("n")).agg(F.array_sort(F.collect_list(F.struct(place.alias("pos"), "token", "crowded"))).alias("ts"))
             .where(F.size("ts") > 1))
     found = cut(signs(left))
-    other = found.select("sign", *[F.col(c).alias(f"{c}2") for c in ("sk", "n", "root", "reach", "x", "y")])
+    # of each sign the class that lists it most: its members meet the others only, not each other
+    each = found.groupBy("sign", "root").agg(F.count(F.lit(1)).alias("c"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+    most = (each.groupBy("sign").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            .where((F.col("roots") > 1) & (F.col("lo") + F.col("hi") == 0)).select("sign", "main"))
+    found = cut(found.join(most, "sign").withColumn("main", F.col("root") == F.col("main")))
+    other = found.select("sign", *[F.col(c).alias(f"{c}2") for c in ("sk", "n", "root", "reach", "x", "y", "side", "main")])
     must = F.ceil(PERCENT * (F.col("n") + F.col("n2")) / F.lit(100.0 + PERCENT))
-    m = F.greatest(F.lit(1).cast("long"), F.shiftright(F.least("n", "n2"), 5))
+    m = _classes_of(F.least("n", "n2"))
     room = lambda c: F.least(F.col("n") - F.col(c), F.col("n2") - F.col(f"{c}2"))
     # pairs of which one lists no crowded token share m + 1 single ones
     enough = F.when(F.col("reach") & F.col("reach2"), F.lit(1).cast("long")).otherwise(F.least(m + 1, must))
-    return (found.join(other, "sign")
-            .where((F.col("sk") < F.col("sk2")) & (F.col("root") != F.col("root2")) & _fits(F.col("n"), F.col("n2")) & (room("x") + m >= must) & (room("y") + m >= must))
-            .groupBy(F.col("sk").alias("a"), F.col("sk2").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(room("x")).alias("room"), F.max(must).alias("must"), F.max(m).alias("m"), F.max(enough).alias("enough"))
+    return (found.where("NOT main").join(other, "sign")
+            .where((F.col("main2") | (F.col("sk") < F.col("sk2"))) & (F.col("root") != F.col("root2")) & (F.col("side") + F.col("side2") == 0) & _fits(F.col("n"), F.col("n2")) & (room("x") + m >= must) & (room("y") + m >= must))
+            .groupBy(F.least("sk", "sk2").alias("a"), F.greatest("sk", "sk2").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(room("x")).alias("room"), F.max(must).alias("must"), F.max(m).alias("m"), F.max(enough).alias("enough"))
             .where("c >= enough").select("a", "b"))
 
 
@@ -416,7 +434,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Every set lists its extended prefix, and is verified against one leader of its tokens. This settles large groups
        of near copies with one comparison a member.
     3. Tokens whose sets lie in different classes so far are indexed: those of ``crowd`` sets or more by combinations
-       of two, the others singly. Pairs across classes that pass the bounds on size and place are verified.
+       of two, the others singly. Members of a sign's largest class meet its other members only. Pairs across classes
+       that pass the bounds on size and place are verified.
 
     Null and empty texts and those without words have 0 shingles and link with nothing; their component is their own id.
     Ids may be null or repeat: rows are told apart by their sets, and nulls are ignored where a least id is taken. An
