@@ -468,6 +468,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op4_jaccard_join(spark, sf_dir):
+    """Classes of near-duplicate documents, by all links of 0.75 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

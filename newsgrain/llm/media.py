@@ -131,6 +131,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op5_media(spark, sf_dir):
+    """Every text as a stored WAV, read back; the feature digests its time-coded peaks."""
     m = media_features(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.array_join(F.col("peaks").cast("array<string>"), ","), 256)
     return m.withColumn("feature", F.concat_ws(":", "n_frames", F.size("peaks"), digest)).drop("n_frames", "peaks")

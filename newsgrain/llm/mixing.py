@@ -91,6 +91,7 @@ def draw(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
 
 
 def op9_mix_sources(spark, sf_dir):
+    """Words that the mixture of sources takes of every document."""
     return mix_sources(table(spark, sf_dir, "documents"))
 
 

@@ -191,6 +191,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def op10_pii(spark, sf_dir):
+    """Spans of personal data and of the terms that disclose it, in every whole text."""
     found = find_personal(table(spark, sf_dir, "documents"))
     count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
     n = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]

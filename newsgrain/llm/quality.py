@@ -201,6 +201,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", i
 
 
 def op2_quality(spark, sf_dir):
+    """Quality of every whole text, and whether its label was withheld from learning."""
     learn = table(spark, sf_dir, "labels").where(~held_out())
     out = quality_scores(table(spark, sf_dir, "documents"), learn)
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_url_filter": urls.op8_url_filter,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_pii": pii.op10_pii,
+        "op8_url_rules": urls.op8_url_rules,
         "op1_radius_search": fingerprints.op1_radius_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": jaccard.OP4_SQL, "op9_mix_sources": mixing.OP9_SQL}
+    return {"op4_jaccard_join": jaccard.OP4_SQL, "op8_url_rules": urls.OP8_RULES_SQL, "op9_mix_sources": mixing.OP9_SQL}

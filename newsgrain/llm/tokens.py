@@ -163,4 +163,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op6_token_counts(spark, sf_dir):
+    """Tokens of every whole text."""
     return token_counts(table(spark, sf_dir, "documents"))

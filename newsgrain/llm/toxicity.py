@@ -305,6 +305,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_
 
 
 def op3_toxicity(spark, sf_dir):
+    """Toxicity of every whole text, and whether its label was withheld from learning."""
     learn = table(spark, sf_dir, "labels").where(~held_out())
     out = toxicity_scores(table(spark, sf_dir, "documents"), learn)
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -93,3 +93,50 @@ def test_words_across_blocks(monkeypatch):
     parts = jaccard.word_hashes(text)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
     assert len(whole[0]) == len(WORDS.findall(text))
+
+
+def test_one_of_each_keeps_rows_apart(spark):
+    a, b, c = "a b c d e f g h", "quite other words in this one here", "third text of its own and long enough"
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, c), (7, ""), (7, ""), (8, None), (9, c + " too"), (9, c)]
+    docs = spark.createDataFrame([(i, t, k, "m", "n", 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, mark int, sk string, row string, key int").repartition(4)
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    # c + " too" shares 5 of 6 shingles with c, and 9 is their least id
+    assert len(got) == 6 and got.count((7, "")) == 2 and (3, a) in got and (5, b) in got and (8, None) in got
+    assert sum(i == 9 for i, _ in got) == 1 and not any(i is None for i, _ in got)
+    nameless = spark.createDataFrame([(None, a), (None, a), (None, b)], "doc_id long, text string")
+    assert sorted(r.text for r in jaccard.one_of_each(nameless).collect()) == [a, b]
+
+
+def test_a_passage_in_all_texts_costs_in_proportion(spark):
+    """Signs compared when one passage fills most of every text: members of other classes, not the square of the group."""
+    made = {}
+    for size in (150, 300):
+        r = random.Random(size)
+        word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+        passage = " ".join(word() for _ in range(60))
+        rows = [(i, " ".join(word() for _ in range(45)) + " " + passage) for i in range(size)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = jaccard.near_duplicates(docs, often=4, crowd=16)
+        assert got.where("doc_id = component_id").count() == size
+        shared = jaccard.shared_postings(docs, "text", *_frequent(docs, 4))
+        none = spark.createDataFrame([], "sk long, root long")
+        made[size] = jaccard.candidates(shared, none, 16).count()
+    assert made[300] <= 2.5 * max(made[150], 4)
+
+
+def _frequent(docs, often):
+    from pyspark.sql import functions as F
+
+    t = jaccard.profiles(docs, "doc_id", "text").where("token is not null").groupBy("token").agg(F.sum("cnt").alias("df")).where(F.col("df") > often).orderBy("df", "token").toPandas()
+    return t["token"].to_numpy("int64"), t["df"].to_numpy("int64")
+
+
+def test_very_long_text(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(5)) for _ in range(60_000)]
+    other = [w if i % 400 else "changed" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:30_000])), (4, "short text of a few words only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]

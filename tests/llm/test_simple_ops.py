@@ -196,6 +196,51 @@ def test_mined_rules_against_brute_force(spark):
         assert got[i] == (v or ("block" if any(set(m["items"]) <= s for m in mined) else "allow"))
 
 
+def every_rule(known, support, confidence, longest):
+    """All combinations of tokens by counting, and pruning by comparing every rule with its parts."""
+    from itertools import combinations
+
+    tokens_ = sorted({t for s, _ in known for t in s})
+    rules = {}
+    for k in range(1, longest + 1):
+        for items in combinations(tokens_, k):
+            have = [v for s, v in known if set(items) <= s]
+            hits = have.count("block")
+            if hits and hits >= support * len(known) and hits / len(have) >= confidence:
+                rules[items] = hits / len(have)
+    return {r: c for r, c in rules.items() if not any(rules.get(p, -1) >= c for k in range(1, len(r)) for p in combinations(r, k))}
+
+
+def test_all_rules_are_mined_and_pruned(spark):
+    import random
+
+    r = random.Random(3)
+    known = [({t for t in "abcdefgh" if r.random() < 0.5}, r.choice(["block", "allow"])) for _ in range(80)]
+    known = [(s, "block" if {"a", "b"} <= s or ("c" in s and r.random() < 0.8) else v) for s, v in known] + [(set(), "allow")]
+    df = spark.createDataFrame([(sorted(s), v) for s, v in known], "items array<string>, verdict string")
+    for support, confidence in ((0.05, 0.6), (0.02, 0.85)):
+        got = {tuple(x["items"]): x.confidence for x in urls.mine_rules(df, support, confidence, 3).collect()}
+        want = every_rule(known, support, confidence, 3)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert urls.mine_rules(df.limit(0)).count() == 0
+
+
+def test_long_shared_paths_do_not_explode(spark):
+    path = "/".join(f"word{chr(97 + k)}" for k in range(25))
+    rows = [(i, f"http://h{i % 7}.example.com/en/{path}/x{i}") for i in range(300)] + [(1000 + i, f"http://www.example.com/en/{path.replace('worda', 'fine')}") for i in range(50)] + [(2000, f"http://org/{path}")]
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[0] == "block" and got[1000] == "allow" and got[2000] == "block"
+
+
+def test_url_rules_equal_sql(spark, sf):
+    import duckdb as db
+
+    con = db.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    got = sorted(map(tuple, urls.op8_url_rules(spark, sf).collect()), key=str)
+    assert got == sorted(con.execute(urls.OP8_RULES_SQL).fetchall(), key=str)
+
+
 def test_mixing_equals_sql(spark, odd, empty):
     got = sorted(((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in mixing.mix_sources(odd).collect()), key=str)
     con = duckdb.connect()
