@@ -15,14 +15,18 @@ def candidates(articles: DataFrame, stories: DataFrame, linked: DataFrame, artic
     """(article, story): stories that share an entity with the article, or have none, and are not linked to it yet; the
     newest ``most`` an article.
 
-    Sharing is an equi-join on the entity. Stories without entities are the same for every article, so only the newest
-    ``most`` of them are needed.
+    Sharing is an equi-join on the entity. An article has at most as many linked stories as the most linked article, so
+    of each entity, and of the stories without any, only so many more than ``most`` of the newest can be chosen, and
+    only these are joined. A story that a whole corpus shares an entity with costs an article no more than that.
     """
+    links = linked.groupBy(article).agg(F.count_distinct(story).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+    keep = most + links
     a = articles.select(article, F.explode(entities).alias("_e"))
-    s = stories.select(story, when, F.explode(entities).alias("_e"))
+    newest = Window.partitionBy("_e").orderBy(F.desc(when), story)
+    s = stories.select(story, when, F.explode(F.array_distinct(entities)).alias("_e")).withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= keep).drop("_rn")
     shared = a.join(s, "_e").select(article, story, when).distinct()
-    bare = stories.where(F.coalesce(F.size(entities), F.lit(0)) == 0).orderBy(F.desc(when), story).limit(most).select(story, when)
-    every = shared.unionByName(articles.select(article).crossJoin(F.broadcast(bare)))  # at most `most` rows on one side
+    bare = stories.where(F.coalesce(F.size(entities), F.lit(0)) == 0).orderBy(F.desc(when), story).limit(keep).select(story, when)
+    every = shared.unionByName(articles.select(article).crossJoin(F.broadcast(bare)))  # at most `keep` rows on one side
     every = every.join(linked.select(article, story), [article, story], "left_anti")
     w = Window.partitionBy(article).orderBy(F.desc(when), story)
     return every.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).select(article, story)
@@ -32,11 +36,11 @@ def match_articles(pairs: DataFrame, articles: DataFrame, stories: DataFrame, ar
     """(article, story, decision): stage A keeps the best ``top`` candidates that do not fail, stage B runs over them in
     order; the first to pass merges, a MAYBE of at least ``floor`` needs review, and without either the article is new.
 
-    ``articles`` and ``stories`` have a_/s_ columns: entities, title words, time and vector.
+    ``articles`` and ``stories`` have a_/s_ columns: entities, title words, time and vector; stories also s_locations.
     """
     x = pairs.join(articles, article).join(stories, story)
     hours = F.timestamp_diff("SECOND", F.col("s_time"), F.col("a_time")) / 3600.0
-    score, first = stage_a(F.col("a_entities"), F.col("s_entities"), F.array().cast("array<string>"), hours, jaccard(F.col("a_words"), F.col("s_words")))
+    score, first = stage_a(F.col("a_entities"), F.col("s_entities"), F.col("s_locations"), hours, jaccard(F.col("a_words"), F.col("s_words")))
     w = Window.partitionBy(article).orderBy(F.desc("_score"), story)
     x = x.withColumn("_score", F.round(score, 6)).withColumn("_a", first).where("_a <> 'FAIL'").withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= top)
     x = x.withColumn("_b", stage_b(cosine(F.col("a_vec"), F.col("s_vec")), F.size(F.array_intersect("a_entities", "s_entities"))))

@@ -170,7 +170,8 @@ def needs_reflection(over_budget: Column, high_stakes: Column, conflict_confiden
             .when((age_h < 2) & (sources >= 3), "breaking").when(articles >= 5, "large_story"))
 
 
-def similar_pairs(a: DataFrame, b: DataFrame, least: float, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """Pairs (a_id, b_id, cosine) of two small vector sets with cosine at least ``least``."""
-    x, y = a.select(F.col(id_col).alias("a_id"), F.col(vec).alias("_x")), b.select(F.col(id_col).alias("b_id"), F.col(vec).alias("_y"))
-    return x.join(y, F.col("a_id") < F.col("b_id")).select("a_id", "b_id", cosine(F.col("_x"), F.col("_y")).alias("cosine")).where(F.col("cosine") >= least)
+def similar_pairs(a: DataFrame, b: DataFrame, least: float, id_col: str = "vec_id", vec: str = "embedding", block: str = "day") -> DataFrame:
+    """Pairs (a_id, b_id, cosine) with cosine at least ``least`` of two vector sets, within a block of both; blocks must
+    be small by the way they are chosen. For pairs of a whole table see ``clustering.nearby``."""
+    x, y = a.select(block, F.col(id_col).alias("a_id"), F.col(vec).alias("_x")), b.select(block, F.col(id_col).alias("b_id"), F.col(vec).alias("_y"))
+    return x.join(y, block).where(F.col("a_id") < F.col("b_id")).select("a_id", "b_id", cosine(F.col("_x"), F.col("_y")).alias("cosine")).where(F.col("cosine") >= least)

@@ -30,7 +30,7 @@ def _now():
 
 
 def flt1(spark, d):
-    a = articles(spark, d).withColumn("summary", F.substring("text", 1, 200)).withColumn("status", F.when(F.col("doc_id") % 3 == 0, "archived").otherwise("active"))
+    a = articles(spark, d).withColumn("summary", F.col("text")).withColumn("status", F.when(F.col("doc_id") % 3 == 0, "archived").otherwise("active"))
     return gates.publishable(a, "title", "summary", "status").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 
@@ -51,15 +51,7 @@ def flt7(spark, d):
 
 
 def flt8(spark, d):
-    return _read(spark, d, "pages").select("page_id", classify.bot_blocked(F.col("html"), STRONG, WEAK, 2000, 12000).alias("blocked"))
-
-
-# Signals of bot walls, and those that tell on a short page only.
-STRONG = ("just a moment", "checking your browser", "challenge-platform", "cf-browser-verification", "__cf_chl", "cf_clearance", "ddos protection", "bot detection", "robot check",
-          "attention required", "verify you are human", "human verification", "press & hold", "are you a robot", "distil networks", "perimeter x", "px-captcha", "datadome", "incapsula",
-          "kasada", "akamai bot")
-WEAK = ("security check", "access denied", "enable javascript", "please enable js", "ray id", "subscribe to continue", "subscription required", "create a free account to continue",
-        "sign in to read", "this article is for subscribers")
+    return _read(spark, d, "pages").select("page_id", classify.bot_blocked(F.col("html"), classify.STRONG, classify.WEAK, 2000, 12000).alias("blocked"))
 
 
 def flt9(spark, d):
@@ -67,8 +59,8 @@ def flt9(spark, d):
 
 
 def flt13(spark, d):
-    a = _read(spark, d, "documents").select("doc_id", F.substring("text", 1, 1).alias("a"), F.substring("text", 2, 1).alias("b"), F.substring("text", 3, 1).alias("c"))
-    return gates.identical_summaries(a.withColumn("a", F.lower("a")).withColumn("b", F.lower("b")).withColumn("c", F.lower("c")), "a", "b", "c").select("doc_id")
+    a = _read(spark, d, "documents").select("doc_id", F.lower("text").alias("a"), F.lower(F.trim("text")).alias("b"), F.lower(F.regexp_replace("text", "  +", " ")).alias("c"))
+    return gates.identical_summaries(a, "a", "b", "c").select("doc_id")
 
 
 def ded1(spark, d):
@@ -117,18 +109,18 @@ def ded9(spark, d):
 
 
 def ded10(spark, d):
-    a = articles(spark, d).where(~text.has_non_ascii(F.col("title")))
+    a = articles(spark, d)
     return a.select("doc_id", text.normalize_headline(F.concat(F.lit("BREAKING: "), F.col("title"), F.lit(" - Daily Wire"))).alias("norm"))
 
 
 def ded11(spark, d):
-    a = articles(spark, d).where(~text.has_non_ascii(F.col("title"))).withColumn("norm", F.substring(text.normalize_headline(F.col("title")), 1, 12))
+    a = articles(spark, d).withColumn("norm", text.normalize_headline(F.col("title")))
     a = a.withColumn("day", F.lit("2024-06-30").cast("date")).withColumn("link", F.sha2("text", 256))
     return dedup.group_candidates(a, "norm", "day", "link", "source", "title", "doc_id", ["src1", "src2"]).select("candidate_key", "headline", "urls", F.array_join("sources", ",").alias("sources"), "priority")
 
 
 def ded12(spark, d):
-    a = _read(spark, d, "documents").select(F.col("lang").alias("story"), F.lit("summary").alias("kind"), F.substring("text", 1, 40).alias("body"), "doc_id")
+    a = _read(spark, d, "documents").select(F.col("lang").alias("story"), F.lit("summary").alias("kind"), F.col("text").alias("body"), "doc_id")
     return dedup.new_artifacts(a.where("doc_id % 2 = 0"), a.where("doc_id % 2 = 1"), ["story", "kind"], ["body"]).groupBy("story").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -150,17 +142,17 @@ def ded17(spark, d):
 def sc1(spark, d):
     a = articles(spark, d)
     s = scoring.discovery_score(F.col("title"), F.col("text"), F.col("pub"), F.col("source"), _now(), TRUSTED)
-    return a.where(~text.has_non_ascii(F.col("title"))).select("doc_id", F.round(s, 6).alias("score"))
+    return a.select("doc_id", F.round(s, 6).alias("score"))
 
 
 def sc2(spark, d):
-    a = articles(spark, d).where(~text.has_non_ascii(F.col("title")))
+    a = articles(spark, d)
     s = F.round(scoring.metadata_score(F.col("title"), F.col("pub"), F.col("source"), _now(), TRUSTED), 6)
     return a.select("doc_id", s.alias("score"), (s >= scoring.METADATA_THRESHOLD).alias("passed"))
 
 
 def sc3(spark, d):
-    a = articles(spark, d).where(~text.has_non_ascii(F.col("title"))).withColumn("entities", text.proper_nouns(F.col("title")))
+    a = articles(spark, d).withColumn("entities", text.proper_nouns(F.col("title")))
     a = a.withColumn("score", F.round(scoring.discovery_score(F.col("title"), F.col("text"), F.col("pub"), F.col("source"), _now(), TRUSTED), 6))
     ok, why = scoring.prioritize(F.col("score"), F.col("entities"))
     return a.select("doc_id", ok.alias("priority"), why.alias("reason"))
@@ -171,7 +163,7 @@ def sc4(spark, d):
 
 
 def sc5(spark, d):
-    return articles(spark, d).where(~text.has_non_ascii(F.col("title"))).select("doc_id", text.proper_nouns(F.col("title")).alias("n"))
+    return articles(spark, d).select("doc_id", text.proper_nouns(F.col("title")).alias("n"))
 
 
 def sc6(spark, d):
@@ -179,23 +171,23 @@ def sc6(spark, d):
 
 
 def sc17(spark, d):
-    nodes = _read(spark, d, "benchmark").select((F.col("item_id") % 20).alias("k"), F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"[.,\n]", " "), " +"))).alias("label"))
-    docs = _read(spark, d, "documents").where("doc_id < 20").select(F.col("doc_id").alias("k"), "text")  # one story an item class: the class is the key
+    nodes = _read(spark, d, "benchmark").select((F.col("item_id") % 40).alias("k"), F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"[.,\n]", " "), " +"))).alias("label"))
+    docs = _read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("k"), "text")  # a document holds the labels of one class of items
     return scoring.missing_entities(nodes.distinct(), docs, "k", "label", "text").groupBy("k").agg(F.count(F.lit(1)).alias("missing"))
 
 
 def sc18(spark, d):
-    a = _read(spark, d, "documents").where(~text.has_non_ascii(F.col("text")))
-    return a.select("doc_id", text.normalize_fact(F.substring("text", 1, 80)).alias("fact"))
+    a = _read(spark, d, "documents")
+    return a.select("doc_id", text.normalize_fact(F.col("text")).alias("fact"))
 
 
 def sc24(spark, d):
-    a = _read(spark, d, "documents").where(~text.has_non_ascii(F.col("text")))
+    a = _read(spark, d, "documents")
     return gates.entities_by_rule(a, "doc_id", "text", ["The"], ["Of And"], ["thth"], ["ndnd"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("values"))
 
 
 def sc25(spark, d):
-    a = _read(spark, d, "documents").where(~text.has_non_ascii(F.col("text")))
+    a = _read(spark, d, "documents")
     e = gates.entities_by_rule(a, "doc_id", "text", ["The"], ["Of And"], ["thth"], ["ndnd"])
     return gates.normalize_entities(e, "doc_id", ["the"], ["of and"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").cast("decimal(12,2)").cast("double").alias("sure"))
 
@@ -240,7 +232,7 @@ def src7(spark, d):
 
 def win2(spark, d):
     a = articles(spark, d).withColumn("score", F.length("text").cast("long"))
-    return gates.diverse_topk(a.where("score < 5000"), "source", ["score"], "doc_id", 10).select("doc_id", "source", "score")
+    return gates.diverse_topk(a, "source", ["score"], "doc_id", 10).select("doc_id", "source", "score")
 
 
 def win3(spark, d):
@@ -264,9 +256,9 @@ def src9(spark, d):
 
 
 def agg35(spark, d):
-    out = _read(spark, d, "documents").join(_read(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("category"))
-    want = out.select("doc_id", F.slice(F.split(F.lower("text"), r"\s+"), 1, 5).alias("keywords"), F.lit(1).alias("want"), F.array(F.lit("idiot"), F.lit("trash")).alias("forbidden"))
-    return gates.evaluate(out, want, "doc_id")
+    out = _read(spark, d, "documents").join(_read(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("category"), F.array(F.lower(text.first_line(F.col("text"))), F.lower("source"), F.lower("lang")).alias("keywords"))
+    want = out.select("doc_id", "keywords", F.lit(1).alias("want"), F.array(F.lit("idiot"), F.lit("trash")).alias("forbidden"))
+    return gates.evaluate(out.drop("keywords"), want, "doc_id")
 
 
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
@@ -277,10 +269,9 @@ _CANON = r"""(SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) |
      list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: contains(x, '=') AND split_part(x, '=', 2) <> '' AND NOT list_contains(['utm_source','utm_medium','utm_campaign','utm_term','utm_content','ref','referrer','gclid','fbclid'], lower(split_part(x, '=', 1)))) AS qs FROM pages))"""
 _KEY = "sha256(regexp_replace(lower(trim(url)), '/+$', ''))"
 _ANY = lambda col, words: "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
-_NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '^(breaking|live|exclusive|update|watch|live updates|just in)\s*:\s*', ''), '\s+[-|—–]\s+[^-|—–]+$', ''), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))"""
-_ASCII = lambda c: f"NOT regexp_matches({c}, '[^\\x00-\\x7F]')"
+_NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '^(breaking|live|exclusive|update|watch|live updates|just in)\s*:\s*', ''), '\s+[-|—–]\s+[^-|—–]+$', ''), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"""
 _WORDS = f"list_transform(regexp_split_to_array(trim({TITLE_SQL}), '\\s+'), lambda w: regexp_replace(w, '[:,.\\-!\"'']+$', ''))"
-_NOUNS = f"""CAST(len(list_filter({_WORDS}[2:], lambda w: regexp_matches(w, '^[A-Z]'))) + (CASE WHEN regexp_matches({_WORDS}[1], '^[A-Z]') AND lower({_WORDS}[1]) NOT IN
+_NOUNS = f"""CAST(len(list_filter({_WORDS}[2:], lambda w: regexp_matches(w, '^\\p{{Lu}}'))) + (CASE WHEN regexp_matches({_WORDS}[1], '^\\p{{Lu}}') AND lower({_WORDS}[1]) NOT IN
    ({', '.join(f"'{w}'" for w in text.STOP_FIRST_WORDS)}) THEN 1 ELSE 0 END) AS INTEGER)"""
 _TRUST = "CASE " + " ".join(f"WHEN contains(lower(trim(source)), '{k}') THEN {v}" for k, v in TRUSTED.items()) + " ELSE 0.0 END"
 _HOURS = f"(date_diff('second', {PUB_SQL}, TIMESTAMP '{NOW}') / 3600.0)"
@@ -293,7 +284,7 @@ _META = f"""round(CASE WHEN {TITLE_SQL} = '' THEN 0.0 WHEN {_SKIP} OR coalesce({
 _BODY = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
 _CAUSE = "CASE " + " ".join("WHEN " + _ANY("m", w) + (" OR " + _ANY("k", t) if t else "") + f" THEN '{c}'" for c, _, w, t in classify.CAUSES) + f" ELSE '{classify.DEFAULT_CAUSE[0]}' END"
 _SURE = "CASE cause " + " ".join(f"WHEN '{c}' THEN {s}" for c, s, _, _ in classify.CAUSES) + f" ELSE {classify.DEFAULT_CAUSE[1]} END"
-_ENT = r"""e AS (SELECT doc_id, v, len(string_split_regex(v, '\s+')) AS w FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'))) AS v FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')) WHERE length(v) >= 3),
+_ENT = r"""e AS (SELECT doc_id, v, len(string_split_regex(v, '\s+')) AS w FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]', '_', 'g'), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'))) AS v FROM documents) WHERE length(v) >= 3),
   k AS (SELECT doc_id, v, CASE WHEN lower(v) = 'the' THEN 'STATE' WHEN lower(v) = 'of and' THEN 'AGREEMENT' WHEN contains(lower(v), 'thth') THEN 'ORG' WHEN contains(lower(v), 'ndnd') THEN 'POLITICAL_PARTY' WHEN w >= 3 THEN 'ORG' WHEN w = 2 THEN 'PERSON' END AS kind,
      CASE WHEN lower(v) = 'the' THEN 0.7 WHEN lower(v) = 'of and' OR contains(lower(v), 'thth') THEN 0.6 WHEN contains(lower(v), 'ndnd') THEN 0.5 ELSE 0.3 END AS confidence FROM e)"""
 
@@ -323,7 +314,7 @@ QUERIES = {
     "src9_news_sitemap": (src9, f"SELECT doc_id, {TITLE_SQL} AS title FROM documents WHERE doc_id % 5 <> 0 AND {PUB_SQL} >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR ORDER BY {PUB_SQL} DESC, doc_id LIMIT 100"),
     "src12_html_text": (src12, None),
     "flt1_publishable": (flt1, f"""SELECT source, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents
-        WHERE doc_id % 3 <> 0 AND {TITLE_SQL} <> '' AND NOT starts_with({TITLE_SQL}, '[Mock]') AND substr(text, 1, 200) <> '' GROUP BY source"""),
+        WHERE doc_id % 3 <> 0 AND {TITLE_SQL} <> '' AND NOT starts_with({TITLE_SQL}, '[Mock]') AND text <> '' GROUP BY source"""),
     "flt4_keyword_literal": (flt4, f"SELECT doc_id FROM documents WHERE contains(lower({TITLE_SQL}), 'the_%') OR contains(lower(text), 'the_%') ORDER BY doc_id LIMIT 50"),
     "flt4_keyword_page": (flt4b, f"SELECT doc_id FROM documents WHERE contains(lower({TITLE_SQL}), 'the') OR contains(lower(text), 'the') ORDER BY doc_id LIMIT 50 OFFSET 10"),
     "flt6_topic_gate": (flt6, f"SELECT NOT {_SKIP} AS kept, count(*) AS n FROM documents GROUP BY 1"),
@@ -333,9 +324,9 @@ QUERIES = {
           WHEN (len(regexp_extract_all(body, '(?i)\]\(\s*(?:https?:|blob:|javascript:)')) + len(regexp_extract_all(body, 'https?://\S+'))) / (length(body) / 1000.0) > 12.0 THEN 'link_farm'
           WHEN len(regexp_extract_all(body, '[.!?][\s"'')\]]')) / (length(body) / 1000.0) < 1.5 THEN 'not_prose' ELSE 'ok' END AS reason FROM b"""),
     "flt8_bot_wall": (flt8, rf"""WITH b AS (SELECT page_id, regexp_replace(html, '^\s+|\s+$', '', 'g') AS p, lower(regexp_replace(html, '(?is)<noscript.*?</noscript>', ' ', 'g')) AS l FROM pages)
-        SELECT page_id, length(p) < 2000 OR {_ANY('l', STRONG)} OR (length(p) <= 12000 AND {_ANY('l', WEAK)}) AS blocked FROM b"""),
+        SELECT page_id, length(p) < 2000 OR {_ANY('l', classify.STRONG)} OR (length(p) <= 12000 AND {_ANY('l', classify.WEAK)}) AS blocked FROM b"""),
     "flt9_redirect_hosts": (flt9, f"SELECT page_id FROM pages WHERE NOT ({_HOST} = 'example.org' OR ends_with({_HOST}, '.example.org') OR {_HOST} = 'm.example.com' OR ends_with({_HOST}, '.m.example.com'))"),
-    "flt13_identical": (flt13, "SELECT doc_id FROM documents WHERE lower(substr(text, 1, 1)) = lower(substr(text, 2, 1)) AND lower(substr(text, 2, 1)) = lower(substr(text, 3, 1))"),
+    "flt13_identical": (flt13, "SELECT doc_id FROM documents WHERE lower(text) = lower(trim(text)) AND lower(text) = lower(regexp_replace(text, '  +', ' ', 'g'))"),
     "ded1_canonical_url": (ded1, f"SELECT * FROM {_CANON}"),
     "ded2_url_key": (ded2, f"SELECT page_id, {_KEY} AS url_hash FROM pages"),
     "ded3_url_gate": (ded3, f"""WITH k AS (SELECT {_KEY} AS url_hash, min(page_id) AS known_id FROM pages WHERE page_id % 2 = 0 GROUP BY 1)
@@ -349,26 +340,26 @@ QUERIES = {
           CASE WHEN b.doc_id IS NULL THEN 'insert' WHEN n.hash <> b.hash THEN 'update' ELSE 'keep' END AS change FROM b FULL JOIN n ON b.doc_id = n.doc_id"""),
     "ded8_feed_dedup": (ded8, f"SELECT canonical, max(page_id) AS page_id FROM {_CANON.replace('FROM pages)', 'FROM (SELECT page_id, split_part(url, chr(63), 1) AS url FROM pages))')} GROUP BY 1"),
     "ded9_known_urls": (ded9, f"SELECT page_id, {_KEY} IN (SELECT {_KEY} FROM pages WHERE page_id % 4 < 2) AS known FROM pages WHERE page_id % 4 <> 1"),
-    "ded10_headline": (ded10, f"SELECT doc_id, {_NORM.format(chr(39) + 'BREAKING: ' + chr(39) + ' || ' + TITLE_SQL + ' || ' + chr(39) + ' - Daily Wire' + chr(39))} AS norm FROM documents WHERE {_ASCII(TITLE_SQL)}"),
-    "ded11_candidates": (ded11, f"""WITH a AS (SELECT doc_id, source, {TITLE_SQL} AS title, substr({_NORM.format(TITLE_SQL)}, 1, 12) AS norm, sha256(text) AS link FROM documents WHERE {_ASCII(TITLE_SQL)})
+    "ded10_headline": (ded10, f"SELECT doc_id, {_NORM.format(chr(39) + 'BREAKING: ' + chr(39) + ' || ' + TITLE_SQL + ' || ' + chr(39) + ' - Daily Wire' + chr(39))} AS norm FROM documents"),
+    "ded11_candidates": (ded11, f"""WITH a AS (SELECT doc_id, source, {TITLE_SQL} AS title, {_NORM.format(TITLE_SQL)} AS norm, sha256(text) AS link FROM documents)
         SELECT sha256(norm || ':2024-06-30') AS candidate_key, min_by(title, doc_id) AS headline, count(DISTINCT link) AS urls, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources,
           CAST(max(CASE WHEN source IN ('src1', 'src2') THEN 90 ELSE 50 END) AS INTEGER) AS priority FROM a WHERE length(norm) >= 10 GROUP BY norm"""),
-    "ded12_artifacts": (ded12, """SELECT lang AS story, count(DISTINCT substr(text, 1, 40)) AS n FROM documents WHERE doc_id % 2 = 1 AND (lang, substr(text, 1, 40)) NOT IN
-        (SELECT (lang, substr(text, 1, 40)) FROM documents WHERE doc_id % 2 = 0) GROUP BY 1"""),
+    "ded12_artifacts": (ded12, """SELECT lang AS story, count(DISTINCT text) AS n FROM documents WHERE doc_id % 2 = 1 AND (lang, text) NOT IN
+        (SELECT (lang, text) FROM documents WHERE doc_id % 2 = 0) GROUP BY 1"""),
     "ded14_embedding_misses": (ded14, """SELECT 'm1:' || sha256(coalesce(text, '')) AS cache_key, count(*) AS n_rows, bool_or(trim(coalesce(text, '')) = '') AS zero FROM documents
         WHERE coalesce(text, '') NOT IN (SELECT text FROM documents JOIN embeddings ON doc_id = vec_id) GROUP BY 1"""),
     "ded17_near_duplicates": (ded17, None),
     "ded18_fabricated": (ded18, "SELECT doc_id, n AS shared_by FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 2"),
-    "sc1_discovery": (sc1, f"SELECT doc_id, {_DISC} AS score FROM documents WHERE {_ASCII(TITLE_SQL)}"),
-    "sc2_metadata": (sc2, f"SELECT doc_id, {_META} AS score, {_META} >= 0.25 AS passed FROM documents WHERE {_ASCII(TITLE_SQL)}"),
-    "sc3_prioritize": (sc3, f"""WITH s AS (SELECT doc_id, {_DISC} AS score, {_NOUNS} AS n FROM documents WHERE {_ASCII(TITLE_SQL)})
+    "sc1_discovery": (sc1, f"SELECT doc_id, {_DISC} AS score FROM documents"),
+    "sc2_metadata": (sc2, f"SELECT doc_id, {_META} AS score, {_META} >= 0.25 AS passed FROM documents"),
+    "sc3_prioritize": (sc3, f"""WITH s AS (SELECT doc_id, {_DISC} AS score, {_NOUNS} AS n FROM documents)
         SELECT doc_id, score >= 0.5 AS priority, CASE WHEN score < 0 THEN 'rejected' WHEN score >= 0.5 THEN '' WHEN n < 2 THEN 'low_entity_count' ELSE 'low_discovery_score_' || CAST(floor(score * 100) AS BIGINT) END AS reason FROM s"""),
     "sc4_trust": (sc4, f"SELECT doc_id, CAST({_TRUST} AS DOUBLE) AS trust FROM documents"),
-    "sc5_proper_nouns": (sc5, f"SELECT doc_id, {_NOUNS} AS n FROM documents WHERE {_ASCII(TITLE_SQL)}"),
+    "sc5_proper_nouns": (sc5, f"SELECT doc_id, {_NOUNS} AS n FROM documents"),
     "sc6_tier": (sc6, f"SELECT page_id, CASE WHEN {_HOST} = 'example.com' OR ends_with({_HOST}, '.example.com') THEN 1 WHEN {_HOST} = 'example.net' OR ends_with({_HOST}, '.example.net') THEN 2 ELSE 3 END AS tier FROM pages"),
-    "sc17_missing_entities": (sc17, r"""WITH n AS (SELECT DISTINCT item_id % 20 AS k, unnest(string_split_regex(regexp_replace(text, '[.,\n]', ' ', 'g'), ' +')) AS label FROM benchmark)
-        SELECT k, count(*) AS missing FROM n JOIN documents ON doc_id = k WHERE length(label) > 2 AND NOT contains(lower(text), lower(label)) GROUP BY k"""),
-    "sc18_fact": (sc18, rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(substr(text, 1, 80))), '^(the|a|an)\s+', ''), '[.''’]', '', 'g'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS fact FROM documents WHERE {_ASCII('text')}"""),
+    "sc17_missing_entities": (sc17, r"""WITH n AS (SELECT DISTINCT item_id % 40 AS k, unnest(string_split_regex(regexp_replace(text, '[.,\n]', ' ', 'g'), ' +')) AS label FROM benchmark)
+        SELECT k, count(*) AS missing FROM n JOIN documents ON doc_id % 40 = k WHERE length(label) > 2 AND NOT contains(lower(text), lower(label)) GROUP BY k"""),
+    "sc18_fact": (sc18, rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(text)), '^(the|a|an)\s+', ''), '[.''’]', '', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS fact FROM documents"""),
     "sc24_rule_entities": (sc24, f"WITH {_ENT} SELECT kind, count(*) AS n, count(DISTINCT v) AS values FROM k WHERE kind IS NOT NULL GROUP BY kind"),
     "sc25_clean_entities": (sc25, f"""WITH {_ENT}, c AS (SELECT doc_id, lower(trim(v)) AS l, min_by(confidence, v) AS confidence FROM k WHERE kind IS NOT NULL AND length(trim(v)) >= 2 GROUP BY 1, 2)
         SELECT doc_id, count(*) AS n, CAST(sum(CAST(confidence AS DECIMAL(12,2))) AS DOUBLE) AS sure FROM c GROUP BY 1"""),
@@ -380,12 +371,12 @@ QUERIES = {
     "sc35_host": (sc35, f"SELECT page_id, {_HOST} AS host FROM pages"),
     "win1_crawl_order": (win1, f"""WITH p AS (SELECT page_id, {_HOST} AS host FROM pages), t AS (SELECT *, CASE WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 1 WHEN host = 'example.net' OR ends_with(host, '.example.net') THEN 2 ELSE 3 END AS tier FROM p)
         SELECT page_id, tier, CAST(row_number() OVER (PARTITION BY tier, host ORDER BY page_id) AS INTEGER) AS turn, min(page_id) OVER (PARTITION BY tier, host) AS place FROM t"""),
-    "win2_diverse_topk": (win2, """WITH r AS (SELECT doc_id, source, length(text) AS score, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rn FROM documents WHERE length(text) < 5000)
+    "win2_diverse_topk": (win2, """WITH r AS (SELECT doc_id, source, length(text) AS score, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rn FROM documents)
         SELECT doc_id, source, score FROM r WHERE rn = 1 ORDER BY score DESC, doc_id LIMIT 10"""),
     "win3_rank_results": (win3, None),
     "clu11_inject_seeds": (clu11, f"""WITH p AS (SELECT page_id, {_HOST} AS host FROM pages), f AS (SELECT * FROM p WHERE page_id % 2 = 0), s AS (SELECT * FROM p WHERE page_id % 2 = 1)
         SELECT page_id, host, false AS seed FROM f UNION ALL SELECT page_id, host, true FROM s WHERE host NOT IN (SELECT host FROM f)"""),
-    "agg35_evaluation": (agg35, """WITH o AS (SELECT doc_id, lower(text) AS t, quality, string_split_regex(lower(text), '\\s+')[1:5] AS k FROM documents JOIN labels USING (doc_id)),
+    "agg35_evaluation": (agg35, """WITH o AS (SELECT doc_id, lower(text) AS t, quality, [lower(split_part(text, chr(10), 1)), lower(source), lower(lang)] AS k FROM documents JOIN labels USING (doc_id)),
         s AS (SELECT doc_id, 100.0 * len(list_filter(k, lambda w: contains(t, w))) / len(k) AS kw, CASE WHEN quality = 1 THEN 100.0 ELSE 0.0 END AS cat, CAST(contains(t, 'idiot') AS INTEGER) + CAST(contains(t, 'trash') AS INTEGER) AS bad FROM o),
         z AS (SELECT greatest(0.0, (kw + cat) / 2 - 20 * bad) AS score FROM s)
         SELECT count(*) AS n, count(*) FILTER (score >= 80) AS passed, round(avg(score), 6) AS mean_score FROM z"""),

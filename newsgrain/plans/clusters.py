@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import first_line
 from ..functions.vector import cosine, jaccard
 from ..operators import clustering, matching, scoring, story
 
@@ -21,60 +22,64 @@ def _v(spark, d, below=200):
     return x.select("vec_id", "label", mix.alias("embedding"))
 
 
+def _next(df, key, a, b, n=5):
+    """Pairs of each row with the ``n`` after it in the order of a whole-number key: ``a`` and ``b`` name their columns."""
+    left = df.select(*[F.col(c).alias(x) for c, x in a.items()], F.explode(F.sequence(F.col(key) + 1, F.col(key) + n)).alias("_at"))
+    right = df.select(F.col(key).alias("_at"), *[F.col(c).alias(x) for c, x in b.items()])
+    return left.join(right, "_at").drop("_at")
+
+
 def sc7(spark, d):
-    v = _t(spark, d, "embeddings").where("vec_id < 60")
+    v = _t(spark, d, "embeddings")
     tags = lambda c: F.array(F.concat(F.lit("e"), c % 4), F.concat(F.lit("f"), c % 6))
-    a = v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.col("label").alias("la"))
-    b = v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.col("label").alias("lb"))
+    pairs = _next(v, "vec_id", {"vec_id": "a", "embedding": "x", "label": "la"}, {"vec_id": "b", "embedding": "y", "label": "lb"})
     s = scoring.pair_score(cosine(F.col("x"), F.col("y")), tags(F.col("a")), tags(F.col("b")), tags(F.col("la")), tags(F.col("lb")), F.col("la") == F.col("lb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(s, 6).alias("score"))
+    return pairs.select("a", "b", F.round(s, 6).alias("score"))
 
 
 def sc8(spark, d):
-    v = _t(spark, d, "embeddings").where("vec_id % 10 = 0")
-    return scoring.similar_pairs(v, v, 0.25).select("a_id", "b_id", F.round("cosine", 6).alias("cosine"))
+    v = _t(spark, d, "embeddings").withColumn("day", F.floor(F.col("vec_id") / 16))
+    return scoring.similar_pairs(v, v, 0.25, block="day").select("a_id", "b_id", F.round("cosine", 6).alias("cosine"))
 
 
 def sc10(spark, d):
-    a = _t(spark, d, "documents").where("doc_id < 120 AND lang = 'en'").select("doc_id", "text")
+    a = _t(spark, d, "documents").select("doc_id", matching.title_words(F.col("text")).alias("w"))
     e = lambda c: F.array(F.concat(F.lit("x"), c % 3), F.concat(F.lit("y"), c % 5))
-    x = a.select(F.col("doc_id").alias("a"), matching.title_words(F.substring("text", 1, 80)).alias("wa"))
-    y = a.select(F.col("doc_id").alias("b"), matching.title_words(F.substring("text", 1, 80)).alias("wb"))
+    pairs = _next(a, "doc_id", {"doc_id": "a", "w": "wa"}, {"doc_id": "b", "w": "wb"})
     none = F.array().cast("array<string>")
     s, r = scoring.stage_a(F.when(F.col("a") % 7 == 0, none).otherwise(e(F.col("a"))), e(F.col("b")), F.when(F.col("b") % 2 == 0, none).otherwise(F.array(F.concat(F.lit("x"), F.col("b") % 3))), (F.col("a") - F.col("b")) * 1.0, jaccard(F.col("wa"), F.col("wb")))
-    return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(s, 6).alias("score"), r.alias("outcome"))
+    return pairs.select("a", "b", F.round(s, 6).alias("score"), r.alias("outcome"))
 
 
 def sc11(spark, d):
-    v = _t(spark, d, "embeddings").where("vec_id < 80")
-    a, b = v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", scoring.stage_b(cosine(F.col("x"), F.col("y")) + 0.4, (F.col("a") + F.col("b")) % 9 - 6).alias("outcome"))
+    pairs = _next(_t(spark, d, "embeddings"), "vec_id", {"vec_id": "a", "embedding": "x"}, {"vec_id": "b", "embedding": "y"})
+    return pairs.select("a", "b", scoring.stage_b(cosine(F.col("x"), F.col("y")) + 0.4, (F.col("a") + F.col("b")) % 9 - 6).alias("outcome"))
 
 
 def jn3(spark, d):
     x = _t(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("p"), F.col("l_partkey") % 500).alias("e"))
     o = _t(spark, d, "orders").join(x.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("e").alias("ents")), "o_orderkey", "left")
-    a = o.where("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("article"), F.coalesce("ents", F.array().cast("array<string>")).alias("ents"))
-    s = o.where("o_orderkey % 10 < 1").select(F.col("o_orderkey").alias("story"), "o_orderdate", F.coalesce("ents", F.array().cast("array<string>")).alias("ents"))
+    a = o.where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("article"), F.coalesce("ents", F.array().cast("array<string>")).alias("ents"))
+    s = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("story"), "o_orderdate", F.coalesce("ents", F.array().cast("array<string>")).alias("ents"))
     linked = a.select("article", (F.col("article") - 1).alias("story"))
     return matching.candidates(a, s, linked, "article", "story", "ents", "o_orderdate", 5)
 
 
 def jn4(spark, d):
-    x = _t(spark, d, "documents").where("lang = 'en'").join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    x = x.select("doc_id", matching.title_words(F.substring("text", 1, 120)).alias("words"), F.array(F.concat(F.lit("s"), F.col("source")), F.concat(F.lit("d"), F.col("doc_id") % 6)).alias("ents"),
+    x = _t(spark, d, "documents").join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    x = x.select("doc_id", matching.title_words(F.col("text")).alias("words"), F.array(F.concat(F.lit("s"), F.col("source")), F.concat(F.lit("d"), F.col("doc_id") % 6)).alias("ents"), F.array(F.concat(F.lit("s"), F.col("source")), F.concat(F.lit("c"), F.col("lang"))).alias("places"),
                  F.timestamp_add("HOUR", F.col("doc_id").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("t"), "embedding")
     a = x.where("doc_id % 2 = 1").select(F.col("doc_id").alias("article"), F.col("ents").alias("a_entities"), F.col("words").alias("a_words"), F.col("t").alias("a_time"), F.col("embedding").alias("a_vec"))
-    s = x.where("doc_id % 2 = 0").select(F.col("doc_id").alias("story"), F.col("ents").alias("s_entities"), F.col("words").alias("s_words"), F.col("t").alias("s_time"), F.col("embedding").alias("s_vec"))
+    s = x.where("doc_id % 2 = 0").select(F.col("doc_id").alias("story"), F.col("ents").alias("s_entities"), F.when(F.col("doc_id") % 4 == 0, F.col("places")).otherwise(F.array().cast("array<string>")).alias("s_locations"), F.col("words").alias("s_words"), F.col("t").alias("s_time"), F.col("embedding").alias("s_vec"))
     none = a.select("article", F.lit(-1).cast("long").alias("story"))
-    pairs = matching.candidates(a, s, none, "article", "story", "a_entities", "s_time") if False else matching.candidates(
+    pairs = matching.candidates(
         a.select("article", F.col("a_entities").alias("e")), s.select("story", "s_time", F.col("s_entities").alias("e")), none, "article", "story", "e", "s_time")
     return matching.match_articles(pairs, a, s, "article", "story", 3, 50.0)
 
 
 def jn5(spark, d):
     v = _t(spark, d, "embeddings")
-    return matching.similar(v.where("vec_id % 25 = 0"), v, 5, 0.2).select("query", "found", F.round("cosine", 6).alias("cosine"), "rank")
+    return matching.similar(v.where("vec_id % 100 = 0"), v, 5, 0.2).select("query", "found", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 def agg4(spark, d):
@@ -87,7 +92,7 @@ def agg5(spark, d):
 
 
 def clu3(spark, d):
-    x = _t(spark, d, "documents").select("doc_id", F.explode(F.array(F.concat(F.lit("t"), F.sha2("text", 256)), F.concat(F.lit("h"), F.sha2(F.substring("text", 1, 12), 256)))).alias("fp"))
+    x = _t(spark, d, "documents").select("doc_id", F.explode(F.array(F.concat(F.lit("t"), F.sha2("text", 256)), F.concat(F.lit("h"), F.sha2(first_line(F.col("text")), 256)))).alias("fp"))
     return clustering.group_by_key(x, "fp", "doc_id")
 
 
@@ -138,36 +143,36 @@ _TW = lambda c: f"list_slice(list_distinct_ordered({c}), 1, 12)"
 
 
 QUERIES = {
-    "sc7_pair_score": (sc7, f"""WITH e AS (SELECT vec_id, embedding, label, ['e' || (vec_id % 4), 'f' || (vec_id % 6)] AS t, ['e' || (label % 4), 'f' || (label % 6)] AS n FROM embeddings WHERE vec_id < 60)
-        SELECT a.vec_id AS a, b.vec_id AS b, round(0.45::DOUBLE * {_COS.format('a.embedding', 'b.embedding')} + 0.25::DOUBLE * len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) + 0.15::DOUBLE * len(list_intersect(a.n, b.n)) / len(list_distinct(a.n || b.n)) + 0.10::DOUBLE * 0.95 + 0.05::DOUBLE * CASE WHEN a.label = b.label THEN 0.8 ELSE 1.0 END, 6) AS score FROM e a JOIN e b ON a.vec_id < b.vec_id"""),
-    "sc8_cosine": (sc8, f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, round({_COS.format('a.embedding', 'b.embedding')}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id % 10 = 0 AND b.vec_id % 10 = 0 WHERE {_COS.format('a.embedding', 'b.embedding')} >= 0.25"),
-    "sc10_stage_a": (sc10, r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(substr(text, 1, 80)), '[^a-z]+'), lambda w: length(w) > 3) AS w FROM documents WHERE doc_id < 120 AND lang = 'en'),
+    "sc7_pair_score": (sc7, f"""WITH e AS (SELECT vec_id, embedding, label, ['e' || (vec_id % 4), 'f' || (vec_id % 6)] AS t, ['e' || (label % 4), 'f' || (label % 6)] AS n FROM embeddings)
+        SELECT a.vec_id AS a, b.vec_id AS b, round(0.45::DOUBLE * {_COS.format('a.embedding', 'b.embedding')} + 0.25::DOUBLE * len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) + 0.15::DOUBLE * len(list_intersect(a.n, b.n)) / len(list_distinct(a.n || b.n)) + 0.10::DOUBLE * 0.95 + 0.05::DOUBLE * CASE WHEN a.label = b.label THEN 0.8 ELSE 1.0 END, 6) AS score FROM e a JOIN e b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 5"""),
+    "sc8_cosine": (sc8, f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, round({_COS.format('a.embedding', 'b.embedding')}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id // 16 = b.vec_id // 16 WHERE {_COS.format('a.embedding', 'b.embedding')} >= 0.25"),
+    "sc10_stage_a": (sc10, r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) > 3) AS w FROM documents),
         u AS (SELECT doc_id, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1])[1:12] AS w FROM d),
         p AS (SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN a.doc_id % 7 = 0 THEN []::VARCHAR[] ELSE ['x' || (a.doc_id % 3), 'y' || (a.doc_id % 5)] END AS ea, ['x' || (b.doc_id % 3), 'y' || (b.doc_id % 5)] AS eb, CASE WHEN b.doc_id % 2 = 0 THEN []::VARCHAR[] ELSE ['x' || (b.doc_id % 3)] END AS l, abs(a.doc_id - b.doc_id) AS h,
-           CASE WHEN len(list_distinct(a.w || b.w)) > 0 THEN len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))::DOUBLE ELSE 0 END AS j FROM u a JOIN u b ON a.doc_id < b.doc_id),
+           CASE WHEN len(list_distinct(a.w || b.w)) > 0 THEN len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))::DOUBLE ELSE 0 END AS j FROM u a JOIN u b ON b.doc_id > a.doc_id AND b.doc_id <= a.doc_id + 5),
         s AS (SELECT a, b, round(CASE WHEN len(ea) = 0 THEN 17.5 ELSE 35 * len(list_intersect(ea, eb)) / 2.0 END::DOUBLE + CASE WHEN len(l) = 0 THEN 10 WHEN len(ea) = 0 THEN 0 ELSE 20 * len(list_intersect(ea, l)) END::DOUBLE + CASE WHEN h <= 24 THEN 15 WHEN h <= 72 THEN 7.5 ELSE 0 END::DOUBLE + 20 * j + 10 * (1.0::DOUBLE - 4 * 0.2::DOUBLE), 6) AS score FROM p)
         SELECT a, b, score, CASE WHEN score >= 60 THEN 'PASS' WHEN score >= 45 THEN 'MAYBE' ELSE 'FAIL' END AS outcome FROM s"""),
-    "sc11_stage_b": (sc11, f"""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format('a.embedding', 'b.embedding')} + 0.4 AS c, (a.vec_id + b.vec_id) % 9 - 6 AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id < 80)
+    "sc11_stage_b": (sc11, f"""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format('a.embedding', 'b.embedding')} + 0.4 AS c, (a.vec_id + b.vec_id) % 9 - 6 AS s FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 5)
         SELECT a, b, CASE WHEN c >= 0.72 OR s >= 2 THEN 'PASS' WHEN c >= 0.67 OR s >= 1 THEN 'MAYBE' ELSE 'FAIL' END AS outcome FROM p"""),
     "jn3_candidates": (jn3, """WITH e AS (SELECT o_orderkey AS k, o_orderdate AS t, list(DISTINCT 'p' || (l_partkey % 500)) FILTER (l_partkey IS NOT NULL) AS e FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
-        p AS (SELECT a.k AS article, s.k AS story, s.t FROM e a JOIN e s ON a.k % 10 = 1 AND s.k % 10 = 0 AND s.k <> a.k - 1 WHERE s.e IS NULL OR list_has_any(a.e, s.e)),
+        p AS (SELECT a.k AS article, s.k AS story, s.t FROM e a JOIN e s ON a.k % 2 = 1 AND s.k % 2 = 0 AND s.k <> a.k - 1 WHERE s.e IS NULL OR list_has_any(a.e, s.e)),
         r AS (SELECT *, row_number() OVER (PARTITION BY article ORDER BY t DESC, story) AS rn FROM p) SELECT article, story FROM r WHERE rn <= 5"""),
-    "jn4_match_cascade": (jn4, r"""WITH d AS (SELECT doc_id, embedding, list_filter(string_split_regex(lower(substr(text, 1, 120)), '[^a-z]+'), lambda w: length(w) > 3) AS w, ['s' || source, 'd' || (doc_id % 6)] AS e FROM documents JOIN embeddings ON doc_id = vec_id WHERE lang = 'en'),
-        u AS (SELECT doc_id, embedding, e, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1])[1:12] AS w FROM d),
-        c AS (SELECT a.doc_id AS article, s.doc_id AS story, a.doc_id - s.doc_id AS h, len(list_intersect(a.e, s.e)) AS sh, list_cosine_similarity(a.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS cs, CASE WHEN len(list_distinct(a.w || s.w)) > 0 THEN len(list_intersect(a.w, s.w)) / len(list_distinct(a.w || s.w))::DOUBLE ELSE 0 END AS j,
+    "jn4_match_cascade": (jn4, r"""WITH d AS (SELECT doc_id, embedding, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) > 3) AS w, ['s' || source, 'd' || (doc_id % 6)] AS e, CASE WHEN doc_id % 4 = 0 THEN ['s' || source, 'c' || lang] ELSE []::VARCHAR[] END AS l FROM documents JOIN embeddings ON doc_id = vec_id),
+        u AS (SELECT doc_id, embedding, e, l, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1])[1:12] AS w FROM d),
+        c AS (SELECT a.doc_id AS article, s.doc_id AS story, a.doc_id - s.doc_id AS h, len(list_intersect(a.e, s.e)) AS sh, CASE WHEN len(s.l) = 0 THEN 10 ELSE 20 * len(list_intersect(a.e, s.l)) / 2.0::DOUBLE END AS lo, list_cosine_similarity(a.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS cs, CASE WHEN len(list_distinct(a.w || s.w)) > 0 THEN len(list_intersect(a.w, s.w)) / len(list_distinct(a.w || s.w))::DOUBLE ELSE 0 END AS j,
             row_number() OVER (PARTITION BY a.doc_id ORDER BY s.doc_id DESC) AS rn FROM u a JOIN u s ON a.doc_id % 2 = 1 AND s.doc_id % 2 = 0 AND list_has_any(a.e, s.e)),
-        s AS (SELECT *, round(35 * sh / 2.0::DOUBLE + 10 + CASE WHEN abs(h) <= 24 THEN 15 WHEN abs(h) <= 72 THEN 7.5 ELSE 0 END::DOUBLE + 20 * j + 10 * (1.0::DOUBLE - 4 * 0.2::DOUBLE), 6) AS score FROM c WHERE rn <= 20),
+        s AS (SELECT *, round(35 * sh / 2.0::DOUBLE + lo + CASE WHEN abs(h) <= 24 THEN 15 WHEN abs(h) <= 72 THEN 7.5 ELSE 0 END::DOUBLE + 20 * j + 10 * (1.0::DOUBLE - 4 * 0.2::DOUBLE), 6) AS score FROM c WHERE rn <= 20),
         k AS (SELECT *, row_number() OVER (PARTITION BY article ORDER BY score DESC, story) AS rank, CASE WHEN cs >= 0.72 OR sh >= 2 THEN 'PASS' WHEN cs >= 0.67 OR sh >= 1 THEN 'MAYBE' ELSE 'FAIL' END AS b FROM s WHERE score >= 45),
         g AS (SELECT article, arg_min(story, rank) FILTER (b = 'PASS') AS p, arg_min(story, rank) FILTER (b = 'MAYBE' AND score >= 50) AS m FROM k WHERE rank <= 3 GROUP BY 1)
         SELECT u.doc_id AS article, coalesce(p, m) AS story, CASE WHEN p IS NOT NULL THEN 'merge' WHEN m IS NOT NULL THEN 'needs_review' ELSE 'new' END AS decision FROM u LEFT JOIN g ON article = u.doc_id WHERE u.doc_id % 2 = 1"""),
-    "jn5_vector_search": (jn5, f"""WITH p AS (SELECT q.vec_id AS query, c.vec_id AS found, {_COS.format('q.embedding', 'c.embedding')} AS x FROM embeddings q JOIN embeddings c ON q.vec_id % 25 = 0 AND q.vec_id <> c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY x DESC, found) AS rank FROM p WHERE x >= 0.2)
+    "jn5_vector_search": (jn5, f"""WITH p AS (SELECT q.vec_id AS query, c.vec_id AS found, {_COS.format('q.embedding', 'c.embedding')} AS x FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY x DESC, found) AS rank FROM p WHERE x >= 0.2)
         SELECT query, found, round(x, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""),
     "agg4_cohesion": (agg4, f"""WITH p AS (SELECT a.label, {_COS.format('a.embedding', 'b.embedding')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
         SELECT label, n, round(coalesce(avg(c), 1.0), 5) AS mean_cosine, round(coalesce(min(c), 1.0), 5) AS least_cosine FROM n LEFT JOIN p USING (label) GROUP BY 1, 2"""),
     "agg5_centroid": (agg5, """WITH x AS (SELECT label, unnest(range(1, 65)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, pos, avg(x) AS x FROM x GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)
         SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(x / n, 6) AS x FROM m JOIN n USING (label)"""),
     "agg36_cluster_quality": (agg36, _CLUSTER + ", k AS (SELECT root, count(*) AS n FROM c GROUP BY 1) SELECT count(*) FILTER (n > 1) AS clusters, count(*) FILTER (n = 1) AS outliers, round(coalesce(avg(n) FILTER (n > 1), 0.0), 6) AS mean_size FROM k"),
-    "clu3_fingerprint_groups": (clu3, """WITH RECURSIVE f AS (SELECT doc_id, unnest(['t' || text, 'h' || substr(text, 1, 12)]) AS fp FROM documents), l AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.fp = b.fp AND a.doc_id <> b.doc_id),
+    "clu3_fingerprint_groups": (clu3, """WITH RECURSIVE f AS (SELECT doc_id, unnest(['t' || text, 'h' || split_part(text, chr(10), 1)]) AS fp FROM documents), l AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.fp = b.fp AND a.doc_id <> b.doc_id),
         r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a) SELECT x AS doc_id, min(y) AS root FROM r GROUP BY x"""),
     "clu4_vector_clusters": (clu4, _CLUSTER + " SELECT vec_id, root FROM c"),
     "clu5_micro_clusters": (clu5, None),
