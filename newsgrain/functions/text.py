@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Prefixes that a headline loses, and words that a first word must not be to count as a proper noun.
@@ -56,6 +56,16 @@ def proper_nouns(title: Column) -> Column:
     return F.size(F.filter(words, lambda w, i: capital(w) & w.rlike(r"^\p{Lu}") & ((i > 0) | ~F.lower(w).isin(*STOP_FIRST_WORDS))))
 
 
+def salted_hash(value: Column, salt: str) -> Column:
+    """SHA-256 of a personal value behind a salt, as logs of consent keep it; null stays null."""
+    return F.sha2(F.concat(F.lit(salt), value), 256)
+
+
+def parse_event_time(raw: Column) -> Column:
+    """The date that a free-form event time names, in either of two usual forms; null if in none."""
+    return F.coalesce(F.try_to_timestamp(raw, F.lit("yyyy-MM-dd")), F.try_to_timestamp(raw, F.lit("MM/dd/yyyy"))).cast("date")
+
+
 def first_line(col: Column) -> Column:
     return F.substring_index(F.coalesce(col, F.lit("")), "\n", 1)
 
@@ -97,14 +107,38 @@ def extract_context(text: Column, most: int = 6000, marker: str = "[...]") -> Co
     return F.when(F.length(text) <= most, text).otherwise(F.coalesce(short, F.substring(text, 1, most)))
 
 
-def facts_equivalent(a: Column, b: Column, least: int = 5) -> Column:
-    """Whether two facts are the same by the tiers that need no spelling distance: equal, contained, or token subset."""
-    x, y = normalize_fact(a), normalize_fact(b)
-    tx, ty = F.split(x, " "), F.split(y, " ")
+def equal_keys(x: Column, y: Column, tx: Column, ty: Column, least: int = 5) -> Column:
+    """``facts_equivalent`` of two keys of ``normalize_fact`` and their words, for callers that have them ready."""
     long = (F.length(x) >= least) & (F.length(y) >= least)
     return (x != "") & (y != "") & ((x == y) | (long & (F.contains(x, y) | F.contains(y, x) | (F.size(F.array_except(tx, ty)) == 0) | (F.size(F.array_except(ty, tx)) == 0))))
 
 
+def facts_equivalent(a: Column, b: Column, least: int = 5) -> Column:
+    """Whether two facts are the same by the tiers that need no spelling distance: equal, contained, or token subset.
+    ``match_facts`` has all four."""
+    x, y = normalize_fact(a), normalize_fact(b)
+    return equal_keys(x, y, F.split(x, " "), F.split(y, " "), least)
+
+
+def match_facts(pairs: DataFrame, a: str, b: str, least: int = 5, ratio: float = 0.90) -> DataFrame:
+    """``pairs`` with ``tier``: equal, contained, subset, spelling, or null where two facts differ.
+
+    Spelling is compared last, and only of pairs that are open then, hold no digit and are of lengths that can reach
+    ``ratio``, so Python sees few rows. Null and empty facts match nothing.
+    """
+    x = pairs.withColumns({"_x": normalize_fact(F.col(a)), "_y": normalize_fact(F.col(b))})
+    tx, ty = F.split("_x", " "), F.split("_y", " ")
+    both = (F.col("_x") != "") & (F.col("_y") != "")
+    long = (F.length("_x") >= least) & (F.length("_y") >= least)
+    x = x.withColumn("tier", F.when(~both, F.lit(None)).when(F.col("_x") == F.col("_y"), "equal").when(long & (F.contains("_x", "_y") | F.contains("_y", "_x")), "contained")
+                     .when(long & ((F.size(F.array_except(tx, ty)) == 0) | (F.size(F.array_except(ty, tx)) == 0)), "subset"))
+    near = 2 * F.least(F.length("_x"), F.length("_y")) >= ratio * (F.length("_x") + F.length("_y"))
+    may = both & F.col("tier").isNull() & near & ~F.concat("_x", F.lit(" "), "_y").rlike("[0-9]")
+    rest = x.where(~may)
+    tried = x.where(may).withColumn("tier", F.when(spelling_ratio(F.col("_x"), F.col("_y")) >= ratio, "spelling"))
+    return rest.unionByName(tried).drop("_x", "_y")
+
+
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import facts_equivalent, normalize_fact
+from ..functions.text import equal_keys, facts_equivalent, match_facts, normalize_fact
 
 # Titles of persons, and words that organisations' names may differ in.
 HONORIFICS = ("mr", "ms", "mrs", "dr", "prof", "president", "minister", "pm", "chief", "leader")
@@ -148,16 +148,29 @@ def _main(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: (w != "") & ~w.isin(*SMALL_WORDS))
 
 
-def unique_facts(df: DataFrame, story: str, source: str, fact: str) -> DataFrame:
-    """Facts of a source that no other source of the story has: equal ones go by an anti join on the key, the rest are
-    compared within the story by the tiers of ``facts_equivalent``."""
+def unique_facts(df: DataFrame, story: str, source: str, fact: str, spelling: bool = True) -> DataFrame:
+    """Facts of a source that no other source of the story has: equal ones go by their keys, the rest are compared within
+    the story by the tiers of ``match_facts`` (without the last if ``spelling`` is off). Keys and their words are made
+    once a fact, not once a pair."""
     f = df.select(story, source, F.col(fact).alias("_f"), normalize_fact(F.col(fact)).alias("_k")).distinct()
+    f = f.withColumn("_w", F.split("_k", " "))
     n = f.groupBy(story, "_k").agg(F.count_distinct(source).alias("_n"))
     lone = f.join(n.where("_n = 1"), [story, "_k"]).drop("_n")
-    a, b = lone.alias("a"), f.alias("b")
-    other = a.join(b, (F.col(f"a.{story}") == F.col(f"b.{story}")) & (F.col(f"a.{source}") != F.col(f"b.{source}"))).where(facts_equivalent(F.col("a._f"), F.col("b._f")))
-    gone = other.select(F.col(f"a.{story}").alias(story), F.col(f"a.{source}").alias(source), F.col("a._f").alias("_f")).distinct()
-    return lone.join(gone, [story, source, "_f"], "left_anti").select(story, source, F.col("_f").alias(fact))
+    b = f.select(story, F.col(source).alias("_s2"), F.col("_k").alias("_k2"), F.col("_w").alias("_w2")).distinct()
+    other = lone.join(b, story).where(F.col(source) != F.col("_s2"))
+    key = [story, source, "_k"]
+    gone = other.where(equal_keys(F.col("_k"), F.col("_k2"), F.col("_w"), F.col("_w2"))).select(*key).distinct()
+    left = lone.join(gone, key, "left_anti")
+    if spelling:
+        near = other.join(gone, key, "left_anti").where(2 * F.least(F.length("_k"), F.length("_k2")) >= 0.9 * (F.length("_k") + F.length("_k2")))
+        gone = match_facts(near.select(*key, "_k2").distinct(), "_k", "_k2").where("tier is not null").select(*key).distinct()
+        left = left.join(gone, key, "left_anti")
+    return left.select(story, source, F.col("_f").alias(fact))
+
+
+def with_coverage(differences: DataFrame, coverage: DataFrame, source: str, default: str = "General coverage") -> DataFrame:
+    """Differences between sources with what each source's ``coverage`` says of it, or ``default``."""
+    return differences.join(coverage.select(source, "coverage"), source, "left").withColumn("coverage", F.coalesce("coverage", F.lit(default)))
 
 
 def share_fact(x: Column, y: Column) -> Column:

@@ -153,3 +153,10 @@ def evaluate(outputs: DataFrame, scenarios: DataFrame, key: str, least: float =
     bad = F.size(F.filter("forbidden", lambda w: F.contains(F.col("_t"), w)))
     s = x.select(F.greatest(F.lit(0.0), (kw + cat) / 2 - 20 * bad).alias("score"))
     return s.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= least).alias("passed"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+def top_story(stories: DataFrame, members: DataFrame, story: str, source: str, created: str, now: Column, hours: int = 6, sources: int = 3) -> DataFrame:
+    """``stories`` with ``top_story``: created at most ``hours`` before ``now`` and told by ``sources`` or more."""
+    n = members.groupBy(story).agg(F.count_distinct(source).alias("_n"))
+    young = F.col(created) >= now - F.expr(f"INTERVAL {hours} HOURS")
+    return stories.join(n, story, "left").withColumn("top_story", young & (F.coalesce("_n", F.lit(0)) >= sources)).drop("_n")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, jaccard
+from ..storage import cut
+from .clustering import _sides
 from .scoring import stage_a, stage_b
 
 
@@ -50,18 +53,34 @@ def match_articles(pairs: DataFrame, articles: DataFrame, stories: DataFrame, ar
     return out.select(article, F.coalesce("_pass", "_maybe").alias(story), F.when(F.col("_pass").isNotNull(), "merge").when(F.col("_maybe").isNotNull(), "needs_review").otherwise("new").alias("decision"))
 
 
-def similar(queries: DataFrame, corpus: DataFrame, k: int, least: float, id_col: str = "vec_id", vec: str = "embedding", after: Column | None = None, small: int = 10_000) -> DataFrame:
+def similar(queries: DataFrame, corpus: DataFrame, k: int, least: float, id_col: str = "vec_id", vec: str = "embedding", after: Column | None = None, small: int = 10_000, tables: int = 32, planes: int | None = None) -> DataFrame:
     """(query, found, cosine, rank): the best ``k`` vectors of the corpus for each query, at least ``least`` alike.
 
-    Up to ``small`` queries are broadcast to the corpus, which stays where it is; more must be run in lots.
+    Up to ``small`` queries are broadcast to the corpus, which stays where it is, and the answer is exact. More are
+    found by random planes (see ``clustering.nearby``) and ranked exactly: queries and corpus meet by their keys, so any
+    number can be asked. ``after`` keeps rows of the corpus.
     """
-    if queries.count() > small:
-        raise ValueError(f"more than {small} queries: run them in lots")
     c = corpus if after is None else corpus.where(after)
-    q = F.broadcast(queries.select(F.col(id_col).alias("query"), F.col(vec).alias("_q")))
-    x = c.select(F.col(id_col).alias("found"), F.col(vec).alias("_c")).join(q, F.col("query") != F.col("found")).select("query", "found", cosine(F.col("_q"), F.col("_c")).alias("cosine")).where(F.col("cosine") >= least)
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), "found")
-    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    q = queries.select(F.col(id_col).alias("query"), F.col(vec).alias("_q"))
+    x = c.select(F.col(id_col).alias("found"), F.col(vec).alias("_c"))
+    if q.limit(small + 1).count() <= small:
+        both = x.join(F.broadcast(q), F.col("query") != F.col("found"))
+    else:
+        both = _by_sides(q, x, planes, tables)
+    both = both.select("query", "found", cosine(F.col("_q"), F.col("_c")).alias("cosine")).where(F.col("cosine") >= least)
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _by_sides(q: DataFrame, x: DataFrame, planes: int | None, tables: int) -> DataFrame:
+    x, q = (cut(df.where(F.size(v) > 0).withColumn(v, F.col(v).cast("array<double>"))) for df, v in ((x, "_c"), (q, "_q")))
+    size = x.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_c")).alias("dims")).first()
+    planes = planes or max(8, min(20, int(math.log2(max(size["n"], 2))) - 3))
+    sides = _sides(size["dims"] or 1, planes, tables, 5)
+    key = lambda df, i, v: cut(df.select(F.col(i).alias("id"), v).mapInArrow(sides, f"id {df.schema[i].dataType.simpleString()}, k long"))
+    met = key(q, "query", "_q").select(F.col("id").alias("query"), "k").join(key(x, "found", "_c").select(F.col("id").alias("found"), "k"), "k")
+    met = met.where("query != found").select("query", "found").distinct()
+    return met.join(q, "query").join(x, "found")
 
 
 def title_words(c: Column, most: int = 12) -> Column:

@@ -175,3 +175,8 @@ def similar_pairs(a: DataFrame, b: DataFrame, least: float, id_col: str = "vec_i
     be small by the way they are chosen. For pairs of a whole table see ``clustering.nearby``."""
     x, y = a.select(block, F.col(id_col).alias("a_id"), F.col(vec).alias("_x")), b.select(block, F.col(id_col).alias("b_id"), F.col(vec).alias("_y"))
     return x.join(y, block).where(F.col("a_id") < F.col("b_id")).select("a_id", "b_id", cosine(F.col("_x"), F.col("_y")).alias("cosine")).where(F.col("cosine") >= least)
+
+
+def parent_type(types: DataFrame, taxonomy: DataFrame, kind: str, parent: str, default: str = "OTHER") -> DataFrame:
+    """``types`` with the parent that the ``taxonomy`` (kind, parent) gives them, or ``default``."""
+    return types.join(taxonomy.select(kind, parent), kind, "left").withColumn(parent, F.coalesce(parent, F.lit(default)))

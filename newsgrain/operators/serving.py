@@ -88,3 +88,8 @@ def export_users(users: DataFrame, user: str, children: dict[str, tuple[DataFram
     for name, (child, cols) in children.items():
         out = out.join(child.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name)), user, "left")
     return out.select(user, F.to_json(F.struct(*[F.col(c) for c in out.columns])).alias("document"))
+
+
+def bookmarked(stories: DataFrame, bookmarks: DataFrame, keys: list[str]) -> DataFrame:
+    """Stories that the given users have bookmarked: one row a bookmark."""
+    return stories.join(bookmarks.select(*keys).distinct(), keys)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def totals(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows of each table: (name, n)."""
@@ -48,13 +50,39 @@ def cost_projection(calls: DataFrame, ts: str, cost: str, now: Column) -> DataFr
     return c.select(F.round("today", 4).alias("today"), F.round(h, 4).alias("hourly"), F.round(h * 24, 4).alias("daily"), F.round(h * 720, 4).alias("monthly"))
 
 
-def percentiles(df: DataFrame, key: str, value: str, above: float, exact: bool = True) -> DataFrame:
-    """Median, 90th and 99th percentile, mean, largest and how many lie above a limit. ``exact=False`` uses a sketch of
-    bounded size, for groups too large to sort."""
-    at = F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))
-    p = F.percentile(value, at) if exact else F.percentile_approx(value, [0.5, 0.9, 0.99], 10000)
-    x = df.groupBy(key).agg(p.alias("p"), F.avg(value).alias("mean"), F.max(value).alias("largest"), F.count_if(F.col(value) > above).alias("above"))
-    return x.select(key, *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p99"))], F.round("mean", 6).alias("mean"), "largest", "above")
+def percentiles(df: DataFrame, key: str, value: str, above: float, exact: bool = True, buckets: int = 256) -> DataFrame:
+    """Median, 90th and 99th percentile (between neighbours by linear interpolation), mean, largest and how many lie above
+    a limit. ``exact=False`` uses a sketch of bounded size.
+
+    A sketch cuts the values of each key into up to ``buckets`` ranges of about equal numbers, so that no key is sorted
+    in one task: ranges are counted, and only rows of the ranges that hold a wanted rank are ordered, range by range. A
+    value that is itself a cut, as any frequent one is, has a range of its own and is not ordered.
+    """
+    x = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    facts = x.groupBy("k").agg(F.avg("v").alias("mean"), F.max("v").alias("largest"), F.count_if(F.col("v") > above).alias("above"), F.count(F.lit(1)).alias("n"),
+                               F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 4 * buckets).alias("cuts"),
+                               *([] if exact else [F.percentile_approx("v", [0.5, 0.9, 0.99], 10000).alias("p")]))
+    names = ("p50", "p90", "p99")
+    if not exact:
+        return facts.select(F.col("k").alias(key), *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(names)], F.round("mean", 6).alias("mean"), "largest", "above")
+    facts = cut(facts.withColumn("cuts", F.array_distinct("cuts")))
+    dealt = x.join(facts.select(F.col("k").alias("k2"), "cuts"), F.col("k").eqNullSafe(F.col("k2"))).select("k", "v", (F.size(F.filter("cuts", lambda c: c < F.col("v"))) + F.size(F.filter("cuts", lambda c: c <= F.col("v")))).alias("b"))
+    counts = dealt.groupBy("k", "b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    counts = counts.withColumn("base", F.sum("c").over(Window.partitionBy("k").orderBy("b")) - F.col("c"))
+    asked = facts.select("k", "n", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("q")) for n, q in zip(names, (0.5, 0.9, 0.99), strict=True)])).alias("a"))
+    asked = asked.select("k", "a.name", ((F.col("n") - 1) * F.col("a.q")).alias("at"))
+    ends = asked.select("k", "name", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
+    held = ends.join(counts.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("rank") >= F.col("base")) & (F.col("rank") < F.col("base") + F.col("c"))).select("k", "name", "at", "rank", "b", "base", "lo", "hi")
+    held = cut(held)  # six rows a key
+    few = dealt.join(held.where("lo < hi").select(F.col("k").alias("k2"), F.col("b").alias("b2")).distinct(), F.col("k").eqNullSafe(F.col("k2")) & (F.col("b") == F.col("b2")), "left_semi")
+    placed = few.withColumn("r", F.row_number().over(Window.partitionBy("k", "b").orderBy("v")) - 1).select(F.col("k").alias("k2"), F.col("b").alias("b2"), "r", "v")
+    got = held.join(placed, F.col("k").eqNullSafe(F.col("k2")) & (F.col("b") == F.col("b2")) & (F.col("rank") == F.col("base") + F.col("r"))).select("k", "name", "at", "rank", "v")
+    got = got.unionByName(held.where("lo = hi").select("k", "name", "at", "rank", F.col("lo").alias("v")))
+    part = F.col("at") - F.floor("at")
+    share = F.when(part == 0, 1.0).when(F.col("rank") == F.floor("at"), 1 - part).otherwise(part)
+    p = got.groupBy("k").agg(*[F.round(F.sum(F.when(F.col("name") == n, F.col("v") * share)), 6).alias(n) for n in names])
+    out = facts.join(p.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")))
+    return out.select(F.col("k").alias(key), *names, F.round("mean", 6).alias("mean"), "largest", "above")
 
 
 def rates(df: DataFrame, keys: Sequence[str], **conditions: Column) -> DataFrame:
@@ -125,3 +153,72 @@ def domain_policy(attempts: DataFrame, domain: str, ts: str, key: str, value: Co
     x = attempts.select(domain, value.cast("double").alias("_v"), ok.alias("_ok"), (F.row_number().over(w) - 1).alias("_age"), F.count(F.lit(1)).over(Window.partitionBy(domain)).alias("_n"))
     weight = F.pow(F.lit(1 - alpha), F.col("_age")) * F.when(F.col("_age") == F.col("_n") - 1, 1.0).otherwise(alpha)
     return x.groupBy(domain).agg(F.count(F.lit(1)).alias("attempts"), F.round(F.sum(weight * F.col("_v")), 6).alias("average"), F.round(F.count_if("_ok") / F.count(F.lit(1)), 6).alias("success"))
+
+
+def sources_per_story(members: DataFrame, story: str, source: str) -> DataFrame:
+    """Mean and exact median of the sources of a story, as one row. Stories are counted by their number of sources first,
+    so the median comes from a short table of counts."""
+    n = members.groupBy(story).agg(F.count_distinct(source).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.round(F.sum(F.col("s") * F.col("n")) / F.sum("n"), 2).alias("mean"), F.round(F.percentile("s", F.lit(0.5), F.col("n")), 2).alias("median"))
+
+
+def discovery_effectiveness(articles: DataFrame, article: str, story: str, created: str, since: Column) -> DataFrame:
+    """Distinct articles and stories since a time."""
+    return articles.where(F.col(created) >= since).agg(F.count_distinct(article).alias("articles"), F.count_distinct(story).alias("stories"))
+
+
+def discovery_report(events: DataFrame, kind: str, ts: str, now: Column) -> DataFrame:
+    """Events of each kind today, in the last hour and in the last seven days, up to ``now``."""
+    n = F.count_if
+    at = F.col(ts)
+    return events.where(at <= now).groupBy(kind).agg(n(F.to_date(at) == F.to_date(now)).alias("today"), n(at >= now - F.expr("INTERVAL 1 HOUR")).alias("last_hour"), n(at >= now - F.expr("INTERVAL 7 DAYS")).alias("week"))
+
+
+def latency_by(calls: DataFrame, key: str, latency: str) -> DataFrame:
+    return calls.groupBy(key).agg(F.round(F.avg(latency), 6).alias("latency"), F.round(F.sum(latency), 2).alias("total"))
+
+
+def extraction_health(events: DataFrame, domain: str, ok: Column, failed: Column, fallback: Column, credit: Column) -> DataFrame:
+    """Success among attempts, share of fall-backs and sum of credits of each domain."""
+    tries = F.greatest(F.count_if(ok) + F.count_if(failed), F.lit(1))
+    return events.groupBy(domain).agg(F.round(F.count_if(ok) / tries, 6).alias("success"), F.round(F.count_if(fallback) / F.count(F.lit(1)), 6).alias("fallback"), F.round(F.sum(F.coalesce(credit, F.lit(0.0))), 2).alias("credits"))
+
+
+def reflection_analytics(records: DataFrame, score: str, rejected: Column) -> DataFrame:
+    """Reflections, their mean score and rejections as one row, zeros if there are none."""
+    return records.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.round(F.avg(score), 6), F.lit(0.0)).alias("mean"), F.coalesce(F.count_if(rejected), F.lit(0)).alias("rejected"))
+
+
+def provider_sla(calls: DataFrame, provider: str, ok: Column, retries: Column, latency: str) -> DataFrame:
+    """Availability, retries (half of them put down to rate limits, a quarter to time-outs) and mean latency of a provider."""
+    x = calls.groupBy(provider).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("ok"), F.sum(retries).alias("retries"), F.round(F.avg(latency), 4).alias("latency"))
+    return x.select(provider, "n", F.round(F.col("ok") / F.col("n"), 6).alias("availability"), "retries", F.floor(F.col("retries") / 2).alias("rate_limited"), F.floor(F.col("retries") / 4).alias("timeouts"), "latency")
+
+
+def failure_analytics(calls: DataFrame, stage: str, provider: str, code: str, failed: Column, retries: Column, top: int = 10) -> DataFrame:
+    """(aspect, key, failures, mean_retries, success): in total, of the ``top`` stages with most failures, of each
+    provider and of each code of a failure, in one pass of grouping sets. Success is the share of calls that did not fail;
+    codes have none, as only failures have a code."""
+    x = calls.select(F.col(stage).cast("string").alias("s"), F.col(provider).cast("string").alias("p"), F.when(failed, F.col(code).cast("string")).alias("c"), failed.alias("f"), retries.alias("r"))
+    g = x.groupingSets([[F.col("s")], [F.col("p")], [F.col("c")], []], F.col("s"), F.col("p"), F.col("c")).agg(
+        F.count_if("f").alias("failures"), F.round(F.avg(F.when(F.col("f"), F.col("r"))), 6).alias("mean_retries"), F.round(1 - F.count_if("f") / F.count(F.lit(1)), 6).alias("share"), F.grouping_id().alias("g"))
+    aspect = F.when(F.col("g") == 3, "stage").when(F.col("g") == 5, "provider").when(F.col("g") == 6, "code").otherwise("total")
+    g = g.select(aspect.alias("aspect"), F.coalesce("s", "p", "c").alias("key"), "failures", "mean_retries", F.when(F.col("g") != 6, F.col("share")).alias("success"))
+    g = g.where((F.col("aspect") != "code") | F.col("key").isNotNull())
+    stages = g.where("aspect = 'stage'").orderBy(F.desc("failures"), "key").limit(top)
+    return g.where("aspect <> 'stage'").unionByName(stages)
+
+
+def metrics_summary(runs: DataFrame, failed: Column, cost: str) -> DataFrame:
+    return runs.agg(F.count(F.lit(1)).alias("runs"), F.count_if(failed).alias("failed"), F.round(F.sum(cost), 2).alias("cost"))
+
+
+def candidate_funnel(candidates: DataFrame, articles: DataFrame, key: str, group: str, clustered: Column) -> DataFrame:
+    """URLs found and crawled, articles kept and clustered, by ``group``. ``articles`` has the key of their candidate."""
+    x = candidates.select(key, group).join(articles.withColumns({"_there": F.lit(True), "_in": clustered}).select(key, "_there", "_in"), key, "left")
+    return x.groupBy(group).agg(F.count_distinct(key).alias("found"), F.count_distinct(F.when(F.col("_there"), F.col(key))).alias("crawled"), F.count("_there").alias("articles"), F.count_if("_in").alias("clustered"))
+
+
+def token_usage(calls: DataFrame, keys: Sequence[str], tokens: str, failed: Column, latency: str) -> DataFrame:
+    """Tokens, calls, failures and mean latency by ``keys`` (day, provider, model, stage)."""
+    return calls.groupBy(*keys).agg(F.round(F.sum(tokens), 2).alias("tokens"), F.count(F.lit(1)).alias("calls"), F.count_if(failed).alias("errors"), F.round(F.avg(latency), 6).alias("latency"))

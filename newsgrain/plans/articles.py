@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import classify, text, url
 from ..operators import dedup, gates, scoring
+from ..sources import records
+from ..streaming import streams
 
 NOW = "2024-06-30 12:00:00"
 TRUSTED = {"src1": 1.0, "src2": 0.9, "src3": 0.8}
@@ -224,6 +227,42 @@ def src12(spark, d):
     return _read(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
+def _feed(spark, d):
+    """The pages as entries of a feed, written as XML files and where they lie. Every seventh has no link; dates come in
+    four forms and some cannot be read."""
+    p = _read(spark, d, "pages")
+    at = F.timestamp_add("HOUR", -(F.col("page_id") % 1000).cast("int"), _now())
+    pub = F.when(F.col("page_id") % 4 == 0, F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(F.col("page_id") % 4 == 1, F.lit("last week"))
+    updated = F.when(F.col("page_id") % 4 == 2, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).when(F.col("page_id") % 8 == 1, F.date_format(at, "yyyy-MM-dd"))
+    rows = p.select(F.col("page_id").cast("string").alias("title"), F.when(F.col("page_id") % 7 != 0, F.col("url")).alias("link"), pub.alias("pubDate"), updated.alias("updated"))
+    path = f"{storage.new_place(spark)}.xml"
+    rows.repartition(3).write.format("xml").option("rootTag", "rss").option("rowTag", "item").save(path)
+    return path
+
+
+def src1(spark, d):
+    return records.read_feed(spark, _feed(spark, d)).select(F.col("title").cast("long").alias("page_id"), "canonical")
+
+
+def src2(spark, d):
+    x = records.entry_pub_date(records.read_feed(spark, _feed(spark, d)), _now())
+    return x.select(F.col("title").cast("long").alias("page_id"), F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+def src5(spark, d):
+    b = _read(spark, d, "benchmark")
+    article = F.struct(F.lit("t").alias("title"), F.lit("d").alias("description"), F.col("text").alias("content"))
+    path = f"{storage.new_place(spark)}.json"
+    rows = b.select(F.col("item_id").cast("string").alias("scenario_id"), F.array(article, article).alias("articles"), F.array(F.lit("a"), F.lit("b")).alias("expected_headline_keywords"), F.lit(3).alias("min_key_facts"))
+    rows.write.option("maxRecordsPerFile", 1).json(path)
+    x = records.read_scenarios(spark, path)
+    return x.select(F.col("scenario_id").cast("long").alias("item_id"), F.posexplode("articles").alias("pos", "a"), F.size("expected_headline_keywords").alias("keywords"), "min_key_facts").select("item_id", "pos", F.md5("a.content").alias("h"), "keywords", "min_key_facts")
+
+
+def str1(spark, d):
+    return streams.run(streams.read_feeds(spark, _feed(spark, d)), "append").select(F.col("title").cast("long").alias("page_id"), "canonical")
+
+
 def src7(spark, d):
     a = articles(spark, d)
     tags = _read(spark, d, "documents").select("doc_id", F.explode(F.array("lang", "source")).alias("tag"))
@@ -309,6 +348,10 @@ def _class_sql():
 
 
 QUERIES = {
+    "src1_feed": (src1, f"SELECT page_id, canonical FROM {_CANON} WHERE page_id % 7 <> 0"),
+    "src2_pub_date": (src2, f"""SELECT page_id, CASE WHEN page_id % 4 IN (0, 2) THEN TIMESTAMP '{NOW}' - to_hours(page_id % 1000) WHEN page_id % 8 = 1 THEN CAST(CAST(TIMESTAMP '{NOW}' - to_hours(page_id % 1000) AS DATE) AS TIMESTAMP) ELSE TIMESTAMP '{NOW}' END AS published_at FROM pages WHERE page_id % 7 <> 0"""),
+    "src5_scenarios": (src5, "SELECT item_id, CAST(unnest([0, 1]) AS INTEGER) AS pos, md5(text) AS h, CAST(2 AS INTEGER) AS keywords, CAST(3 AS INTEGER) AS min_key_facts FROM benchmark"),
+    "str1_feed_stream": (str1, f"SELECT page_id, canonical FROM {_CANON} WHERE page_id % 7 <> 0"),
     "src4_pages": (src4, "SELECT page_id, length(html) AS n, md5(html) AS h FROM pages"),
     "src7_search_docs": (src7, f"SELECT doc_id, '{{\"doc_id\":' || doc_id || ',\"title\":' || CAST(to_json({TITLE_SQL}) AS VARCHAR) || ',\"tags\":[\"' || least(lang, source) || '\",\"' || greatest(lang, source) || '\"]}}' AS document FROM documents"),
     "src9_news_sitemap": (src9, f"SELECT doc_id, {TITLE_SQL} AS title FROM documents WHERE doc_id % 5 <> 0 AND {PUB_SQL} >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR ORDER BY {PUB_SQL} DESC, doc_id LIMIT 100"),

@@ -13,7 +13,7 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _v(spark, d, below=200):
+def _v(spark, d):
     """Vectors, of which every fourth is drawn towards the one before it, so that there are close pairs."""
     v = _t(spark, d, "embeddings")
     near = v.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("_o"))
@@ -83,7 +83,8 @@ def jn5(spark, d):
 
 
 def agg4(spark, d):
-    return story.cohesion(_t(spark, d, "embeddings"), "label", "vec_id", "embedding").select("label", "n", F.round("mean_cosine", 5).alias("mean_cosine"), F.round("least_cosine", 5).alias("least_cosine"))
+    v = _t(spark, d, "embeddings").withColumn("story", F.floor(F.col("vec_id") / 12))
+    return story.cohesion(v, "story", "vec_id", "embedding").select("story", "n", F.round("mean_cosine", 5).alias("mean_cosine"), F.round("least_cosine", 5).alias("least_cosine"))
 
 
 def agg5(spark, d):
@@ -101,13 +102,12 @@ def clu4(spark, d):
 
 
 def agg36(spark, d):
-    v = _v(spark, d)
-    row, _ = clustering.cluster_quality(clustering.cluster_vectors(v, "vec_id", "embedding", 0.9), v, "vec_id", "embedding")
-    return row
+    return clustering.cluster_quality(clustering.cluster_vectors(_v(spark, d), "vec_id", "embedding", 0.9))
 
 
 def clu5(spark, d):
-    return clustering.micro_clusters(_t(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.3)
+    v = _t(spark, d, "embeddings").withColumn("day", F.floor(F.col("vec_id") / 32))
+    return clustering.micro_clusters(v, "day", "vec_id", "embedding", 0.2)
 
 
 def clu6(spark, d):
@@ -116,12 +116,13 @@ def clu6(spark, d):
 
 
 def clu7(spark, d):
-    return clustering.split_story(_t(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.12)
+    v = _t(spark, d, "embeddings").withColumn("story", F.floor(F.col("vec_id") / 12))
+    return clustering.split_story(v, "story", "vec_id", "embedding", 0.0)
 
 
 def clu8(spark, d):
     v = _v(spark, d).withColumn("size", F.col("vec_id") % 7)
-    return clustering.find_duplicate_stories(v, "vec_id", "embedding", "size")
+    return clustering.find_duplicate_stories(v, "vec_id", "embedding", "size").select("survivor", "absorbed", F.round("cosine", 6).alias("cosine"))
 
 
 def clu9(spark, d):
@@ -167,18 +168,27 @@ QUERIES = {
         SELECT u.doc_id AS article, coalesce(p, m) AS story, CASE WHEN p IS NOT NULL THEN 'merge' WHEN m IS NOT NULL THEN 'needs_review' ELSE 'new' END AS decision FROM u LEFT JOIN g ON article = u.doc_id WHERE u.doc_id % 2 = 1"""),
     "jn5_vector_search": (jn5, f"""WITH p AS (SELECT q.vec_id AS query, c.vec_id AS found, {_COS.format('q.embedding', 'c.embedding')} AS x FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY x DESC, found) AS rank FROM p WHERE x >= 0.2)
         SELECT query, found, round(x, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""),
-    "agg4_cohesion": (agg4, f"""WITH p AS (SELECT a.label, {_COS.format('a.embedding', 'b.embedding')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
-        SELECT label, n, round(coalesce(avg(c), 1.0), 5) AS mean_cosine, round(coalesce(min(c), 1.0), 5) AS least_cosine FROM n LEFT JOIN p USING (label) GROUP BY 1, 2"""),
+    "agg4_cohesion": (agg4, f"""WITH p AS (SELECT a.vec_id // 12 AS story, {_COS.format('a.embedding', 'b.embedding')} AS c FROM embeddings a JOIN embeddings b ON a.vec_id // 12 = b.vec_id // 12 AND a.vec_id < b.vec_id), n AS (SELECT vec_id // 12 AS story, count(*) AS n FROM embeddings GROUP BY 1)
+        SELECT story, n, round(coalesce(avg(c), 1.0), 5) AS mean_cosine, round(coalesce(min(c), 1.0), 5) AS least_cosine FROM n LEFT JOIN p USING (story) GROUP BY 1, 2"""),
     "agg5_centroid": (agg5, """WITH x AS (SELECT label, unnest(range(1, 65)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, pos, avg(x) AS x FROM x GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)
         SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(x / n, 6) AS x FROM m JOIN n USING (label)"""),
     "agg36_cluster_quality": (agg36, _CLUSTER + ", k AS (SELECT root, count(*) AS n FROM c GROUP BY 1) SELECT count(*) FILTER (n > 1) AS clusters, count(*) FILTER (n = 1) AS outliers, round(coalesce(avg(n) FILTER (n > 1), 0.0), 6) AS mean_size FROM k"),
     "clu3_fingerprint_groups": (clu3, """WITH RECURSIVE f AS (SELECT doc_id, unnest(['t' || text, 'h' || split_part(text, chr(10), 1)]) AS fp FROM documents), l AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.fp = b.fp AND a.doc_id <> b.doc_id),
         r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a) SELECT x AS doc_id, min(y) AS root FROM r GROUP BY x"""),
     "clu4_vector_clusters": (clu4, _CLUSTER + " SELECT vec_id, root FROM c"),
-    "clu5_micro_clusters": (clu5, None),
+    "clu5_micro_clusters": (clu5, """WITH RECURSIVE v AS (SELECT vec_id // 32 AS day, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY vec_id // 32 ORDER BY vec_id) AS rn FROM embeddings),
+        r AS (SELECT day, rn, vec_id, vec_id AS leader, [struct_pack(id := vec_id, e := e)] AS ls FROM v WHERE rn = 1
+          UNION ALL SELECT day, rn, vec_id, coalesce(hit, vec_id), CASE WHEN hit IS NULL THEN list_append(ls, struct_pack(id := vec_id, e := e)) ELSE ls END
+            FROM (SELECT v.day, v.rn, v.vec_id, v.e, r.ls, list_filter(r.ls, lambda x: list_cosine_similarity(x.e, v.e) >= 0.2)[1].id AS hit FROM r JOIN v ON v.day = r.day AND v.rn = r.rn + 1))
+        SELECT vec_id, leader FROM r"""),
     "clu6_split_clusters": (clu6, None),
     "clu7_split_story": (clu7, None),
-    "clu8_duplicate_stories": (clu8, None),
+    "clu8_duplicate_stories": (clu8, f"""WITH RECURSIVE {_MIXED}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS c, a.vec_id % 7 > b.vec_id % 7 OR (a.vec_id % 7 = b.vec_id % 7 AND a.vec_id < b.vec_id) AS first FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.72),
+        o AS (SELECT CASE WHEN first THEN a ELSE b END AS s, CASE WHEN first THEN b ELSE a END AS x, c FROM p), q AS (SELECT *, row_number() OVER (ORDER BY c DESC, s, x) AS rn FROM o),
+        r AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS s, 0::BIGINT AS x, 0.0::DOUBLE AS c, false AS ok, []::BIGINT[] AS gone, []::BIGINT[] AS kept
+          UNION ALL SELECT rn, s, x, c, ok, CASE WHEN ok THEN list_append(gone, x) ELSE gone END, CASE WHEN ok THEN list_append(kept, s) ELSE kept END
+            FROM (SELECT q.rn, q.s, q.x, q.c, r.gone, r.kept, NOT list_contains(r.gone, q.s) AND NOT list_contains(r.gone, q.x) AND NOT list_contains(r.kept, q.x) AS ok FROM r JOIN q ON q.rn = r.rn + 1))
+        SELECT s AS survivor, x AS absorbed, round(c, 6) AS cosine FROM r WHERE ok"""),
     "clu9_coref_groups": (clu9, None),
     "clu10_alias_chains": (clu10, "SELECT p_partkey AS id, p_partkey - p_partkey % 8 AS target FROM part"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import display_slug
+from ..functions import text
 from ..operators import compare, dedup, gates, scoring, serving, story
 
 NOW = "2001-08-01"
@@ -61,10 +61,8 @@ def flt5(spark, d):
 
 
 def flt10(spark, d):
-    m = _members(spark, d).groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("sources"))
-    o = _t(spark, d, "orders").join(m, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    top = (F.col("o_orderdate") >= _ts(NOW) - F.expr("INTERVAL 60 DAYS")) & (F.coalesce("sources", F.lit(0)) >= 3)
-    return o.select("o_orderkey", top.alias("top_story"))
+    o = gates.top_story(_t(spark, d, "orders"), _members(spark, d).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "l_suppkey", "o_orderdate", _ts(NOW), 24 * 60)
+    return o.select("o_orderkey", "top_story")
 
 
 def flt14(spark, d):
@@ -156,14 +154,32 @@ def sc21(spark, d):
 
 
 def sc22(spark, d):
-    n = _t(spark, d, "nation").join(_t(spark, d, "region").where("r_regionkey < 3"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return n.select("n_name", F.coalesce("r_name", F.lit("OTHER")).alias("parent"))
+    regions = _t(spark, d, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("parent"))
+    return scoring.parent_type(_t(spark, d, "nation"), regions, "n_regionkey", "parent").select("n_name", "parent")
 
 
 def _prices(spark):
     return spark.createDataFrame([("A", 1.5, 6.0), ("R", 0.1, 0.4)], "l_returnflag string, price_in double, price_out double")
 
 
+def sc19(spark, d):
+    p = _t(spark, d, "part")
+    k = F.col("p_partkey") % 6
+    other = (F.when(k == 0, F.concat(F.lit("The "), F.upper("p_name"), F.lit("."))).when(k == 1, F.concat_ws(" ", "p_name", F.lit("again"))).when(k == 2, F.array_join(F.reverse(F.split("p_name", " ")), " "))
+             .when(k == 3, F.concat(F.lit("#"), F.substring("p_name", 2, 1000), F.lit("q"))).when(k == 4, F.concat(F.lit("1"), "p_type")).otherwise(F.lit("")))
+    pairs = p.select("p_partkey", F.regexp_replace("p_name", "[^a-z ]", "").alias("a"), F.regexp_replace(other, "[^A-Za-z .1]", "").alias("b"))
+    return text.match_facts(pairs, "a", "b").select("p_partkey", "tier")
+
+
+def sc26(spark, d):
+    p = _t(spark, d, "part")
+    n = p.groupBy("p_type").agg(F.count(F.lit(1)).alias("hits"))
+    x = p.join(n, "p_type")
+    keyword = F.when(F.col("p_partkey") % 3 != 0, F.contains("p_name", F.lit("a")))
+    hits = F.when(F.col("p_partkey") % 5 == 0, F.lit(0)).when(F.col("p_partkey") % 5 == 1, F.lit(1)).otherwise(F.col("hits"))
+    return x.select("p_partkey", scoring.link_confidence(F.col("p_size") % 2 == 0, keyword, hits, F.col("p_size") > 25).alias("confidence"))
+
+
 def sc27(spark, d):
     return scoring.token_cost(_members(spark, d), _prices(spark), "l_returnflag", "l_quantity", "l_extendedprice").groupBy("l_returnflag").agg(F.count("cost").alias("priced"), F.round(F.sum("cost"), 4).alias("cost"))
 
@@ -174,16 +190,16 @@ def sc28(spark, d):
 
 
 def sc33(spark, d):
-    return _t(spark, d, "part").select("p_partkey", display_slug(F.concat(F.lit("--"), F.col("p_name"), F.lit(" & "), F.col("p_type"), F.lit("!")), 2024).alias("slug"))
+    return _t(spark, d, "part").select("p_partkey", text.display_slug(F.concat(F.lit("--"), F.col("p_name"), F.lit(" & "), F.col("p_type"), F.lit("!")), 2024).alias("slug"))
 
 
 def sc34(spark, d):
     raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise("soon")
-    return _t(spark, d, "orders").select("o_orderkey", F.coalesce(F.try_to_timestamp(raw, F.lit("yyyy-MM-dd")), F.try_to_timestamp(raw, F.lit("MM/dd/yyyy"))).cast("date").alias("at"))
+    return _t(spark, d, "orders").select("o_orderkey", text.parse_event_time(raw).alias("at"))
 
 
 def sc37(spark, d):
-    return _t(spark, d, "customer").select("c_custkey", F.sha2(F.concat(F.lit("salt"), "c_name"), 256).alias("h"))
+    return _t(spark, d, "customer").select("c_custkey", text.salted_hash(F.col("c_name"), "salt").alias("h"))
 
 
 def sc38(spark, d):
@@ -245,7 +261,7 @@ def jn12(spark, d):
 def jn13(spark, d):
     m = _members(spark, d).select("l_orderkey", "l_linenumber", "l_suppkey")
     cov = _t(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("coverage"))
-    return m.join(cov, "l_suppkey", "left").select("l_orderkey", "l_linenumber", F.coalesce("coverage", F.lit("General coverage")).alias("coverage"))
+    return compare.with_coverage(m, cov, "l_suppkey").select("l_orderkey", "l_linenumber", "coverage")
 
 
 def jn14(spark, d):
@@ -260,7 +276,8 @@ def jn16(spark, d):
 
 
 def jn17(spark, d):
-    return _t(spark, d, "orders").join(_t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select("o_orderkey", "o_custkey")
+    users = _t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return serving.bookmarked(_t(spark, d, "orders"), users, ["o_custkey"]).select("o_orderkey", "o_custkey")
 
 
 def _users(spark, d):
@@ -372,7 +389,7 @@ def win13(spark, d):
 
 def clu1(spark, d):
     m = _members(spark, d).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_suppkey", F.col("p_name").alias("fact"))
-    return compare.unique_facts(m, "l_orderkey", "l_suppkey", "fact").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return compare.unique_facts(m, "l_orderkey", "l_suppkey", "fact", spelling=False).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 def clu2(spark, d):
@@ -428,6 +445,9 @@ QUERIES = {
         FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY 1"""),
     "sc21_event_type": (sc21, "SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 'TINY' WHEN 'ECONOMY' THEN 'CHEAP' WHEN 'MEDIUM' THEN 'MIDDLE' ELSE p_type END AS kind FROM part"),
     "sc22_parent_type": (sc22, "SELECT n_name, coalesce(r_name, 'OTHER') AS parent FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey"),
+    "sc19_fact_tiers": (sc19, None),
+    "sc26_link_confidence": (sc26, """WITH x AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN 0 WHEN p_partkey % 5 = 1 THEN 1 ELSE count(*) OVER (PARTITION BY p_type) END AS hits FROM part)
+        SELECT p_partkey, CASE WHEN hits = 0 THEN 0.0 ELSE round(greatest(0.0, least(1.0, CASE WHEN p_size % 2 = 0 THEN 0.5 ELSE 0.8 END + CASE WHEN p_partkey % 3 = 0 THEN 0 WHEN contains(p_name, 'a') THEN 0.2 ELSE -0.3 END + CASE WHEN hits = 1 THEN 0.1 ELSE 0 END - CASE WHEN hits > 1 AND p_size > 25 THEN 0.3 ELSE 0 END))::DOUBLE, 2) END::DOUBLE AS confidence FROM x"""),
     "sc27_token_cost": (sc27, """SELECT l_returnflag, count(*) FILTER (l_returnflag <> 'N') AS priced, round(sum(CASE l_returnflag WHEN 'A' THEN round(l_quantity / 1e6 * 1.5 + l_extendedprice / 1e6 * 6.0, 8) WHEN 'R' THEN round(l_quantity / 1e6 * 0.1 + l_extendedprice / 1e6 * 0.4, 8) END), 4) AS cost FROM lineitem GROUP BY 1"""),
     "sc28_budget_flags": (sc28, "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS spent, 5e8 AS budget, round(sum(o_totalprice) / 5e8, 6) AS share, sum(o_totalprice) / 5e8 >= 0.5 AS skip_reflection, sum(o_totalprice) / 5e8 >= 0.8 AS skip_comparison FROM orders GROUP BY 1"),
     "sc33_slug": (sc33, "SELECT p_partkey, trim(substr(trim(regexp_replace(lower(p_name || ' & ' || p_type), '[^a-z0-9]+', '-', 'g'), '-'), 1, 50), '-') || '-2024' AS slug FROM part"),

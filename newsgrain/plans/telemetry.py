@@ -107,19 +107,15 @@ def agg3(spark, d):
 
 
 def agg6(spark, d):
-    s = _li(spark, d).groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("s"))
-    return s.agg(F.round(F.avg("s"), 2).alias("mean"), F.round(F.median("s"), 2).alias("median"))
+    return telemetry.sources_per_story(_li(spark, d), "l_orderkey", "l_suppkey")
 
 
 def agg7(spark, d):
-    return _t(spark, d, "orders").where(F.col("o_orderdate") >= _ts("2000-01-01")).agg(F.count_distinct("o_orderkey").alias("articles"), F.count_distinct("o_custkey").alias("stories"))
+    return telemetry.discovery_effectiveness(_t(spark, d, "orders"), "o_orderkey", "o_custkey", "o_orderdate", _ts("2000-01-01"))
 
 
 def agg8(spark, d):
-    e = _ev(spark, d)
-    n = lambda c: F.count_if(c)
-    day, now = F.to_date("ts"), _ts(NOW)
-    return e.where(F.col("ts") <= now).groupBy("event_type").agg(n(day == F.lit(DAY).cast("date")).alias("today"), n(F.col("ts") >= now - F.expr("INTERVAL 1 HOUR")).alias("last_hour"), n(F.col("ts") >= now - F.expr("INTERVAL 7 DAYS")).alias("week"))
+    return telemetry.discovery_report(_ev(spark, d), "event_type", "ts", _ts(NOW))
 
 
 def agg9(spark, d):
@@ -141,7 +137,7 @@ def agg12(spark, d):
 
 
 def agg13(spark, d):
-    return _ev(spark, d).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("latency"), F.round(F.sum("value"), 2).alias("total"))
+    return telemetry.latency_by(_ev(spark, d), "event_type", "value")
 
 
 def agg14(spark, d):
@@ -156,14 +152,12 @@ def agg15(spark, d):
 
 def agg16(spark, d):
     e = _ev(spark, d).withColumn("domain", F.col("user_id") % 20)
-    n = lambda k: F.count_if(F.col("event_type") == k)
-    return e.groupBy("domain").agg(F.round(n("click") / F.greatest(n("click") + n("error"), F.lit(1)), 6).alias("success"), F.round(n("signup") / F.count(F.lit(1)), 6).alias("fallback"), F.round(F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)), 2).alias("credits"))
-
-
-_DEC = F  # the decision of a record is null for a tax of 0
+    kind = F.col("event_type")
+    return telemetry.extraction_health(e, "domain", kind == "click", kind == "error", kind == "signup", F.when(kind == "purchase", F.col("value")))
 
 
 def _decision():
+    """The decision of a record is null for a tax of 0."""
     return F.when(F.col("l_tax") == 0, F.lit(None)).when(F.col("l_tax") > 0.06, "failed").otherwise("ok")
 
 
@@ -186,7 +180,7 @@ def agg20(spark, d):
 
 def agg21(spark, d):
     x = _li(spark, d).where("l_tax > 0.07 AND l_discount > 0.09")
-    return x.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.round(F.avg("l_quantity"), 6), F.lit(0.0)).alias("mean"), F.coalesce(F.count_if(F.col("l_returnflag") == "R"), F.lit(0)).alias("rejected"))
+    return telemetry.reflection_analytics(x, "l_quantity", F.col("l_returnflag") == "R")
 
 
 def agg22(spark, d):
@@ -194,14 +188,12 @@ def agg22(spark, d):
 
 
 def agg23(spark, d):
-    x = _li(spark, d).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if(_decision() != "failed").alias("ok"), F.sum((F.col("l_quantity") % 4).cast("int")).alias("retries"), F.round(F.avg("l_extendedprice"), 4).alias("latency"))
-    return x.select("l_returnflag", "n", F.round(F.col("ok") / F.col("n"), 6).alias("availability"), "retries", F.floor(F.col("retries") / 2).alias("rate_limited"), F.floor(F.col("retries") / 4).alias("timeouts"), "latency")
+    return telemetry.provider_sla(_li(spark, d), "l_returnflag", _decision() != "failed", (F.col("l_quantity") % 4).cast("int"), "l_extendedprice")
 
 
 def agg24(spark, d):
-    e = _ev(spark, d).where("event_type = 'error'").withColumn("stage", F.col("user_id") % 6).withColumn("provider", F.col("user_id") % 4)
-    g = e.groupingSets([[F.col("stage")], [F.col("provider")], []], F.col("stage"), F.col("provider")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.grouping_id().alias("level"))
-    return g
+    e = _ev(spark, d).withColumn("stage", F.col("user_id") % 60).withColumn("provider", F.col("user_id") % 4).withColumn("code", F.floor(F.col("value") / 50))
+    return telemetry.failure_analytics(e, "stage", "provider", "code", F.col("event_type") == "error", F.col("event_id") % 3)
 
 
 def agg25(spark, d):
@@ -218,7 +210,7 @@ def agg27(spark, d):
 
 
 def agg28(spark, d):
-    return _t(spark, d, "orders").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"), F.round(F.sum("o_totalprice"), 2).alias("cost"))
+    return telemetry.metrics_summary(_t(spark, d, "orders"), F.col("o_orderstatus") == "F", "o_totalprice")
 
 
 def agg32(spark, d):
@@ -230,8 +222,8 @@ def agg33(spark, d):
 
 
 def agg34(spark, d):
-    x = _t(spark, d, "orders").join(_li(spark, d), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return x.groupBy("o_orderpriority").agg(F.count_distinct("o_orderkey").alias("found"), F.count_distinct(F.when(F.col("l_orderkey").isNotNull(), F.col("o_orderkey"))).alias("crawled"), F.count("l_orderkey").alias("articles"), F.count_if(F.col("l_returnflag") == "A").alias("clustered"))
+    found = _li(spark, d).withColumnRenamed("l_orderkey", "o_orderkey")
+    return telemetry.candidate_funnel(_t(spark, d, "orders"), found, "o_orderkey", "o_orderpriority", F.col("l_returnflag") == "A")
 
 
 def agg37(spark, d):
@@ -247,7 +239,7 @@ def agg38(spark, d):
 
 
 def agg41(spark, d):
-    return _li(spark, d).groupBy("l_shipdate", "l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("tokens"), F.count(F.lit(1)).alias("calls"), F.count_if(F.col("l_tax") > 0.06).alias("errors"), F.round(F.avg("l_extendedprice"), 6).alias("latency"))
+    return telemetry.token_usage(_li(spark, d), ["l_shipdate", "l_returnflag", "l_linestatus"], "l_quantity", F.col("l_tax") > 0.06, "l_extendedprice")
 
 
 def win7(spark, d):
@@ -353,7 +345,12 @@ QUERIES = {
     "agg21_reflection": (agg21, "SELECT count(*) AS n, coalesce(round(avg(l_quantity), 6), 0.0) AS mean, count(*) FILTER (l_returnflag = 'R') AS rejected FROM lineitem WHERE l_tax > 0.07 AND l_discount > 0.09"),
     "agg22_forecast": (agg22, "WITH u AS (SELECT sum(l_quantity) / count(DISTINCT l_partkey) + sum(l_tax) / count(DISTINCT l_orderkey) AS c FROM lineitem) SELECT CAST(v AS INTEGER) AS volume, round(c * v, 2) AS cost FROM u, (SELECT unnest([100, 1000, 10000, 100000, 1000000]) AS v)"),
     "agg23_sla": (agg23, f"SELECT l_returnflag, count(*) AS n, round({_OK} / count(*)::DOUBLE, 6) AS availability, CAST(sum(CAST(l_quantity AS INTEGER) % 4) AS BIGINT) AS retries, CAST(sum(CAST(l_quantity AS INTEGER) % 4) // 2 AS BIGINT) AS rate_limited, CAST(sum(CAST(l_quantity AS INTEGER) % 4) // 4 AS BIGINT) AS timeouts, round(avg(l_extendedprice), 4) AS latency FROM lineitem GROUP BY 1"),
-    "agg24_failure_analytics": (agg24, "WITH e AS (SELECT user_id % 6 AS stage, user_id % 4 AS provider, value FROM events WHERE event_type = 'error') SELECT stage, provider, count(*) AS n, round(avg(value), 6) AS mean, CAST(grouping(stage, provider) AS BIGINT) AS level FROM e GROUP BY GROUPING SETS ((stage), (provider), ())"),
+    "agg24_failure_analytics": (agg24, """WITH e AS (SELECT CAST(user_id % 60 AS VARCHAR) AS s, CAST(user_id % 4 AS VARCHAR) AS p, CASE WHEN event_type = 'error' THEN CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) END AS c, event_type = 'error' AS f, event_id % 3 AS r FROM events),
+        g AS (SELECT 'total' AS aspect, NULL AS key, count(*) FILTER (f) AS failures, round(avg(r) FILTER (f), 6) AS mean_retries, round(1 - count(*) FILTER (f) / count(*)::DOUBLE, 6) AS success FROM e
+          UNION ALL SELECT 'stage', s, count(*) FILTER (f), round(avg(r) FILTER (f), 6), round(1 - count(*) FILTER (f) / count(*)::DOUBLE, 6) FROM e GROUP BY s
+          UNION ALL SELECT 'provider', p, count(*) FILTER (f), round(avg(r) FILTER (f), 6), round(1 - count(*) FILTER (f) / count(*)::DOUBLE, 6) FROM e GROUP BY p
+          UNION ALL SELECT 'code', c, count(*) FILTER (f), round(avg(r) FILTER (f), 6), NULL FROM e WHERE c IS NOT NULL GROUP BY c)
+        SELECT * FROM g WHERE aspect <> 'stage' UNION ALL SELECT * FROM (SELECT * FROM g WHERE aspect = 'stage' ORDER BY failures DESC, key LIMIT 10)"""),
     "agg25_failure_trend": (agg25, f"""WITH c AS (SELECT CAST(unnest(generate_series(DATE '{DAY}' - 13, DATE '{DAY}', INTERVAL 1 DAY)) AS DATE) AS day), f AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'error' AND hour(ts) < 12 GROUP BY 1), s AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1)
         SELECT day, coalesce(f.n, 0) AS failures, coalesce(s.n, 0) AS successes, round(CASE WHEN coalesce(f.n, 0) + coalesce(s.n, 0) > 0 THEN coalesce(f.n, 0) / (coalesce(f.n, 0) + coalesce(s.n, 0))::DOUBLE ELSE 0.0 END, 6) AS rate FROM c LEFT JOIN f USING (day) LEFT JOIN s USING (day)"""),
     "agg26_stage_detail": (agg26, "SELECT l_orderkey, l_linestatus, count(*) AS attempts, round(sum(l_quantity), 2) AS total, round(avg(l_quantity), 6) AS mean, round(max(l_quantity), 2) AS largest, min(l_shipdate) AS first_start, CASE WHEN bool_or(l_returnflag = 'R') THEN 'R' WHEN bool_or(l_returnflag = 'A') THEN 'A' ELSE 'N' END AS status FROM lineitem GROUP BY 1, 2"),

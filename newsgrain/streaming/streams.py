@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
+from ..storage import new_place
 
-def _place(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='newsgrain-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where}/newsgrain-{uuid.uuid4().hex}"
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def read_events(spark: SparkSession, folder: str, glob: str = "events*.parquet", files: int = 1) -> DataFrame:
@@ -38,23 +31,25 @@ def read_feeds(spark: SparkSession, folder: str) -> DataFrame:
 
 def run(stream: DataFrame, mode: str, seconds: int = 600) -> DataFrame:
     """Run a stream over what is there and return what it wrote. Complete results replace each other; rows of append and
-    update mode are added (update rows carry ``_batch``, so that the last row of a key can be told)."""
+    update mode are added (update rows carry ``_batch``, so that the last row of a key can be told).
+
+    Each batch has a folder of its own, which a batch that is run again overwrites, so no row is written twice.
+    """
     spark = stream.sparkSession
-    base = _place(spark)
+    base = new_place(spark)
     path = f"{base}/rows"
 
     def keep(batch: DataFrame, i: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(path)
-        else:
-            (batch.withColumn("_batch", F.lit(i)) if mode == "update" else batch).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/_batch={i}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     if not q.awaitTermination(seconds):
         q.stop()
         raise TimeoutError(f"the stream ran longer than {seconds} s")
-    schema = stream.schema if mode != "update" else stream.withColumn("_batch", F.lit(0)).schema
-    return spark.read.schema(schema).parquet(path)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(path)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(path)
+    return rows if mode == "update" else rows.drop("_batch")
 
 
 def counts(events: DataFrame, unit: str = "1 hour", late: str = "3 days", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
@@ -105,34 +100,42 @@ def stuck(starts: DataFrame, ends: DataFrame, minutes: int = 60) -> DataFrame:
     return s.join(e, on, "left_outer").where(F.col("e.run").isNull()).select(F.col("s.run").alias("run"), F.col("s.ts").alias("ts"))
 
 
-def domain_policy(events: DataFrame, key: str, alpha: float = 0.1) -> DataFrame:
+def domain_policy(events: DataFrame, key: str, alpha: float = 0.1, late: str = "3 days", idle_days: int = 365) -> DataFrame:
     """Moving average of ``value`` by key, kept in state; each batch emits the keys it has touched. Within a batch rows
-    are taken in order of time; the state is a sum and a count, however long a key lives."""
+    are taken in order of time; the state is a sum and a count, however long a key lives, and goes ``idle_days`` after
+    the key's last event."""
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, mean = state.get if state.exists else (0, 0.0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
         for v in rows["value"]:
             mean = float(v) if n == 0 else (1 - alpha) * mean + alpha * float(v)
             n += 1
         state.update((n, mean))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_days * 86_400_000)
         yield pd.DataFrame({key: [k[0]], "attempts": [n], "average": [mean]})
 
-    return (events.select(key, "ts", "event_id", "value").groupBy(key)
-            .applyInPandasWithState(fold, f"{key} long, attempts long, average double", "n long, mean double", "update", "NoTimeout"))
+    return (events.withWatermark("ts", late).select(key, "ts", "event_id", "value").groupBy(key)
+            .applyInPandasWithState(fold, f"{key} long, attempts long, average double", "n long, mean double", "update", "EventTimeTimeout"))
 
 
-def candidates(entries: DataFrame, key: str, url: str, needed: int = 3, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+def candidates(entries: DataFrame, key: str, url: str, needed: int = 3, seconds: int = 60, late: str = "10 minutes", quiet: int = 86_400) -> DataFrame:
     """Headline windows: one opens at a headline's first entry and fires at ``needed`` different URLs or ``seconds``
-    later; entries that come after that are ignored. Emits (key, urls, fired_by)."""
+    later; entries that come after that are ignored, for ``quiet`` seconds, after which the headline's state goes. Emits
+    (key, urls, fired_by)."""
 
     def collect(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         opened, urls, done = state.get if state.exists else (None, [], False)
         urls = list(urls)
         fired = None
         if state.hasTimedOut:
-            if not done:
-                fired = "time"
+            if done:
+                state.remove()
+                return
+            fired = "time"
         else:
             for r in pd.concat(list(frames)).sort_values(["ts", url], kind="stable").itertuples(index=False):
                 at = r.ts.timestamp()
@@ -148,9 +151,8 @@ def candidates(entries: DataFrame, key: str, url: str, needed: int = 3, seconds:
                 if len(urls) >= needed:
                     fired, done = "count", True
         done = done or fired is not None
-        state.update((opened, urls, done))
-        if not done:
-            state.setTimeoutTimestamp(max(int((opened + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        state.update((opened, urls if not done else [], done))
+        state.setTimeoutTimestamp(max(int((opened + seconds + (quiet if done else 0)) * 1000), state.getCurrentWatermarkMs() + 1))
         if fired:
             yield pd.DataFrame({key: [k[0]], "urls": [len(urls)], "fired_by": [fired]})
 
