@@ -101,29 +101,28 @@ def next_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             .select("doc_id", F.coalesce("_next", "_after").alias("next_id"), "need"))
 
 
-def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, edited, next_id): in ``edited`` the last third of the text's code points (rounded down) is replaced
-    by as many first ones of the next document's text, or by all of it if it is shorter.
-
-    The next document is the one with the next smaller id; after the smallest comes the largest. If rows share an id,
-    each is edited, and the least of their texts serves as the text of the next document. Rows with a null id are edited
-    with nothing. Texts are shuffled once, and of the next texts only what is used: both readers of the exchange ask for
-    the same rows (those with an id), so it is written once.
+def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, edited, next_id) of the rows with an id, in partitions by it, and of those without one.
+
+    In ``edited`` the last third of the text's code points (rounded down) is replaced by as many first ones of the next
+    document's text, or by all of it if it is shorter. The next document is the one with the next smaller id; after the
+    smallest comes the largest. If rows share an id, each is edited, and the least of their texts serves as the text of
+    the next document. Rows with a null id are edited with nothing. Texts are shuffled once, and of the next texts only
+    what is used: both readers of the exchange ask for the same rows under names of their own, so it is written once.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     links = cut(next_ids(docs, id_col, text_col))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    by_id = texts.where("doc_id is not null").repartition(n, "doc_id")
-    asked = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("_for"), "need").hint("shuffle_hash")
-    heads = (by_id.join(asked, "doc_id").select(F.col("_for").alias("doc_id"), F.substr("text", F.lit(1), F.col("need").cast("int")).alias("_head"), F.col("doc_id").alias("next_id"))
-             .groupBy("doc_id").agg(F.min(F.struct("_head", "next_id")).alias("_x")).select("doc_id", "_x._head", "_x.next_id"))
-    out = by_id.join(heads.hint("shuffle_hash"), "doc_id", "left")
-    nameless = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("_head"), F.col("doc_id").alias("next_id"))
-    out = out.unionByName(nameless)
-    size = F.length("text")
+    by_id = texts.where("_i is not null").repartition(n, "_i")
+    asked = links.select(F.col("next_id").alias("_i"), F.col("doc_id").alias("_for"), "need").hint("shuffle_hash")
+    heads = (by_id.join(asked, "_i").select("_for", F.substr("_t", F.lit(1), F.col("need").cast("int")).alias("_head"), F.col("_i").alias("next_id"))
+             .groupBy(F.col("_for").alias("_i")).agg(F.min(F.struct("_head", "next_id")).alias("_x")).select("_i", "_x._head", "_x.next_id"))
+    named = by_id.join(heads.hint("shuffle_hash"), "_i", "left")
+    nameless = texts.where("_i is null").select("_i", "_t", F.lit(None).cast("string").alias("_head"), F.col("_i").alias("next_id"))
+    size = F.length("_t")
     third = F.floor(size / 3).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), size - third), F.substr(F.coalesce("_head", F.lit("")), F.lit(1), third))
-    return out.select("doc_id", "text", edited.alias("edited"), "next_id")
+    edited = F.concat(F.substr("_t", F.lit(1), size - third), F.substr(F.coalesce("_head", F.lit("")), F.lit(1), third))
+    return tuple(x.select(F.col("_i").alias("doc_id"), F.col("_t").alias("text"), edited.alias("edited"), "next_id") for x in (named, nameless))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,6 +135,16 @@ def _as_longs(digest: Column) -> list[Column]:
     return [F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long").alias(f"_s{i}") for i in range(4)]
 
 
+def _both_forms(pairs: DataFrame) -> DataFrame:
+    """Fingerprints of texts and edited texts, a row for each different text of an id, in the partitions of ``pairs``."""
+    pairs = pairs.select("doc_id", "next_id", F.xxhash64("text").alias("_h"), F.length("text").cast("long").alias("n_chars"), *_as_longs(F.sha2("edited", 256)),
+                         F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("text")), F.struct(F.lit(1).alias("form"), F.col("edited").alias("text")))).alias("f"))
+    facts = ("n_chars", *[f"_s{i}" for i in range(4)])
+    prints = simhash(pairs.select("doc_id", "next_id", "_h", *facts, "f.form", "f.text"), ["doc_id", "next_id", "_h", "form"], carry=facts)
+    pick = lambda k: F.max(F.when(F.col("form") == k, F.col("fingerprint")))
+    return prints.groupBy("doc_id", "next_id", "_h").agg(*[F.max(c).alias(c) for c in facts], pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint"))
+
+
 def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of texts and of their edited forms, and how alike they and those of the next documents are.
 
@@ -144,14 +153,8 @@ def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     document the next is itself. Both forms of a text are built and hashed in one pass; what else is asked of them
     travels with the votes, as numbers.
     """
-    pairs = edited_texts(docs, id_col, text_col)
-    pairs = pairs.select("doc_id", "next_id", F.xxhash64("text").alias("_h"), F.length("text").cast("long").alias("n_chars"), *_as_longs(F.sha2("edited", 256)),
-                         F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("text")), F.struct(F.lit(1).alias("form"), F.col("edited").alias("text")))).alias("f"))
-    facts = ("n_chars", *[f"_s{i}" for i in range(4)])
-    both = pairs.select("doc_id", "next_id", "_h", *facts, "f.form", "f.text")
-    prints = simhash(both, ["doc_id", "next_id", "_h", "form"], carry=facts)
-    pick = lambda k: F.max(F.when(F.col("form") == k, F.col("fingerprint")))
-    out = cut(prints.groupBy("doc_id", "next_id", "_h").agg(*[F.max(c).alias(c) for c in facts], pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint")))
+    named, nameless = edited_texts(docs, id_col, text_col)
+    out = cut(_both_forms(named).unionByName(_both_forms(nameless)))
     again = (docs.groupBy(F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")).agg(F.count(F.lit(1)).alias("_times"))
              .where("_times > 1"))
     out = out.join(again, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t")), "left")
