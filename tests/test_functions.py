@@ -30,6 +30,16 @@ def test_facts_equivalent(spark, a, b, same):
     assert one(spark, text.facts_equivalent(F.col("a"), F.col("b")), a=a, b=b) is same
 
 
+@pytest.mark.parametrize("a, b, tier", [
+    ("The U.S.", "us", "equal"), ("Western Colombia", "Colombia", "contained"), ("Red Fort, Delhi, India", "Red Fort, New Delhi, India", "subset"), ("dimaagi naxals", "dimagi naxals", "spelling"),
+    ("15 dead people", "50 dead people", None), ("dimaagi naxals 1", "dimagi naxals 1", None), ("US", "USA Today", None), ("", "", None), (None, "x", None), ("abcdefghij", "klmnopqrst", None),
+])
+def test_fact_tiers(spark, a, b, tier):
+    df = spark.createDataFrame([(a, b, 1)], "a string, b string, _k int")
+    (row,) = text.match_facts(df, "a", "b").collect()
+    assert row.tier == tier and row._k == 1
+
+
 def test_spelling(spark):
     assert one(spark, text.spelling_ratio(F.col("a"), F.col("b")), a="dimaagi naxals", b="dimagi naxals") >= 0.9
     assert one(spark, text.token_set_ratio(F.col("a"), F.col("b")), a="new york mets", b="mets new york") == 100.0

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from newsgrain.operators import clustering, dedup, maintenance, serving
+from newsgrain.operators import clustering, compare, dedup, maintenance, matching, serving, telemetry
 from newsgrain.plans import streams as stream_queries
 from newsgrain.sources import records
 from newsgrain.streaming import streams
@@ -82,9 +82,56 @@ def test_planes_find_close_vectors(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 150")
     copies = v.select((F.col("vec_id") + 1000).alias("vec_id"), "label", F.transform("embedding", lambda x: x * 1.001).alias("embedding"))
     every = v.unionByName(copies)
-    exact = {(r.a, r.b) for r in clustering.nearby(every, "vec_id", "embedding", 0.95).collect()}
+    exact = {(r.a, r.b) for r in clustering.nearby(every, "vec_id", "embedding", 0.95, exact=True).collect()}
     found = {(r.a, r.b) for r in clustering.nearby(every, "vec_id", "embedding", 0.95, planes=6, tables=4).collect()}
     assert found <= exact and len(found) >= 0.95 * len(exact) > 0
+    near = v.select((F.col("vec_id") + 5000).alias("vec_id"), "label", F.zip_with("embedding", F.reverse("embedding"), lambda x, y: x + 0.35 * y).alias("embedding"))
+    mixed = v.unionByName(near).unionByName(v.select((F.col("vec_id") + 9000).alias("vec_id"), "label", "embedding"))  # and exact copies
+    exact = {(r.a, r.b) for r in clustering.nearby(mixed.where("vec_id < 9000"), "vec_id", "embedding", 0.9, exact=True).collect()}
+    for planes in (None, 14):
+        found = {(r.a, r.b) for r in clustering.nearby(mixed, "vec_id", "embedding", 0.9, planes=planes).collect()}
+        assert {(a, b) for a, b in found if b >= 9000} == {(i, i + 9000) for i in range(150)}
+        assert len(exact & found) >= 0.95 * len(exact) > 100
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [0.0, 0.0]), (4, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert clustering.nearby(odd, "vec_id", "embedding", 0.5).count() == 0
+
+
+def test_many_queries_find_what_few_do(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = v.select("vec_id", F.zip_with("embedding", F.reverse("embedding"), lambda x, y: x + 0.3 * y).alias("embedding")).withColumn("vec_id", F.col("vec_id") + 10000)
+    exact = {(r.query, r.found, r.rank) for r in matching.similar(q, v, 1, 0.8).collect()}
+    found = {(r.query, r.found, r.rank) for r in matching.similar(q, v, 1, 0.8, small=10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) > 100 and found <= exact | found
+
+
+def test_silhouette(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.99, 0.01]), (3, [0.0, 1.0]), (4, [0.01, 0.99]), (5, [-1.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    assign = clustering.cluster_vectors(v, "id", "v", 0.5)
+    assert clustering.silhouette(assign, v, "id", "v") > 0.9
+    assert clustering.cluster_quality(assign).first() == (2, 1, 2.0)
+    assert clustering.silhouette(assign.where("root = 1"), v, "id", "v") == 0.0
+
+
+def test_pairs_in_order_equal_a_loop(spark):
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 1), r.gauss(0, 1), r.gauss(0, 0.3)], r.randint(1, 5)) for i in range(60)]
+    rows += [(100, rows[3][1], 9), (101, rows[3][1], 9)]
+    got = clustering.find_duplicate_stories(spark.createDataFrame(rows, "id long, v array<double>, n int"), "id", "v", "n", sure=0.95, exact=True).collect()
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    pairs = []
+    for i, (a, x, m) in enumerate(rows):
+        for b, y, n in rows[i + 1 :]:
+            c = 2.0 if x == y else dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5  # equal vectors come first
+            if c >= 0.95:
+                pairs.append((-c, *((a, b) if (m, -a) > (n, -b) else (b, a))))
+    gone, kept, want = set(), set(), set()
+    for c, s, x in sorted(pairs, key=lambda p: (p[0], p[1] != 100, p)):
+        if s not in gone and x not in gone and x not in kept:
+            gone.add(x)
+            kept.add(s)
+            want.add((s, x))
+    assert {(g.survivor, g.absorbed) for g in got} == want and (100, 101) in want and (100, 3) in want
 
 
 def test_duplicate_stories(spark):
@@ -101,6 +148,41 @@ def test_coreference(spark):
     assert got[1, "Trump"] == "President Trump" and got[2, "Trump"] == "Trump" and got[1, "Ann Lee"] == "Ann Lee"
 
 
+def test_percentiles_with_frequent_values(spark):
+    r = random.Random(8)
+    rows = [(k, float(v)) for k in (1, 2, None) for v in [7.0] * 700 + [r.gauss(10, 5) for _ in range(900)] + [-3.0] * 30] + [(5, 1.5), (6, None), (7, 1.0), (7, 2.0)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(3)
+    import numpy as np
+
+    got = {x.k: x for x in telemetry.percentiles(df, "k", "v", 12.0, buckets=16).collect()}
+    assert set(got) == {1, 2, None, 5, 7}
+    for k, x in got.items():
+        v = np.array([b for a, b in rows if a == k and b is not None])
+        assert np.allclose([x.p50, x.p90, x.p99], np.percentile(v, [50, 90, 99]), atol=1e-6) and x.largest == v.max() and x.above == (v > 12).sum()
+
+
+def test_facts_of_one_source_only(spark):
+    rows = [(1, "a", "Dimaagi Naxals"), (1, "b", "dimagi naxals"), (1, "a", "15 dead"), (1, "b", "50 dead"), (1, "b", "The Colombian Government."), (1, "a", "colombian government"), (2, "a", "alone")]
+    df = spark.createDataFrame(rows, "story long, source string, fact string")
+    got = {(r.source, r.fact) for r in compare.unique_facts(df, "story", "source", "fact").collect()}
+    assert got == {("a", "15 dead"), ("b", "50 dead"), ("a", "alone")}
+    plain = {(r.source, r.fact) for r in compare.unique_facts(df, "story", "source", "fact", spelling=False).collect()}
+    assert plain == got | {("a", "Dimaagi Naxals"), ("b", "dimagi naxals")}
+
+
+def test_state_of_streams_goes(spark, tmp_path):
+    t0 = 1_700_000_000
+    rows = [(1, t0, 1, "x", 1.0, "u"), (2, t0 + 10, 1, "x", 3.0, "u"), (3, t0 + 40 * 86_400, 2, "x", 5.0, "u"), (4, t0 + 80 * 86_400, 2, "x", 7.0, "u"), (5, t0 + 81 * 86_400, 1, "x", 9.0, "u")]
+    for i, row in enumerate(rows):
+        df = spark.createDataFrame([row], "event_id long, t long, user_id long, event_type string, value double, props string")
+        df.select("event_id", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.parquet(str(tmp_path / f"d{i}"))
+        next((tmp_path / f"d{i}").glob("part*")).rename(tmp_path / f"events{i}.parquet")
+    events = streams.read_events(spark, str(tmp_path))
+    got = {(r.user_id, r.attempts, round(r.average, 6)) for r in streams.run(streams.domain_policy(events, "user_id", idle_days=30), "update").collect()}
+    assert (1, 2, 1.2) in got or (1, 1, 1.0) in got
+    assert (1, 1, 9.0) in got  # reader 1 was forgotten in between
+
+
 def test_split_is_a_partition(spark, sf):
     from newsgrain import catalog
 
@@ -118,7 +200,7 @@ def test_purge_refuses_when_signatures_disagree(spark):
 
 def test_feed_without_preference(spark):
     users = spark.createDataFrame([(1, "x"), (2, None), (3, "none")], "u long, pref_c string")
-    stories = spark.createDataFrame([(10, "x", 5), (11, "y", 9), (12, "x", 7)], "s long, c string", ) if False else spark.createDataFrame([(10, "x", 5), (11, "y", 9), (12, "x", 7)], "s long, c string, n int")
+    stories = spark.createDataFrame([(10, "x", 5), (11, "y", 9), (12, "x", 7)], "s long, c string, n int")
     got = {(r.u, r.s) for r in serving.personal_feed(users, stories, "u", "c", [F.desc("n"), F.col("s")], 2).collect()}
     assert got == {(1, 12), (1, 10), (2, 11), (2, 12)}
 
