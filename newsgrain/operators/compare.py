@@ -79,25 +79,36 @@ def resolve_sources(refs: DataFrame, sources: DataFrame, name: str) -> DataFrame
     return x.select(*refs.columns, F.coalesce("_name_id", "_slug_id", "_domain_id").alias("source_id"), how.alias("how"))
 
 
-def baseline_run(runs: DataFrame, key: str, kind: str, start: str, hours: int = 24) -> DataFrame:
-    """The run of the same kind nearest to ``hours`` before each run, by one ordered pass instead of a pair join.
+def baseline_run(runs: DataFrame, key: str, kind: str, start: str, hours: int = 24, span: int = 7 * 86_400) -> DataFrame:
+    """The run of the same kind nearest to ``hours`` before each run, by ordered passes instead of a pair join.
 
     Targets and runs are put in one order of time; the nearest runs before and after a target are the last and first
-    ones seen there, of which two each are kept in case one is the run itself.
+    ones seen there, of which two each are kept in case one is the run itself. The order is cut into spans of ``span``
+    seconds, so no kind is ordered in one task; what lies beyond a span comes from a table with a row a span.
     """
-    us = lambda c: F.unix_seconds(c.cast("timestamp"))
-    first = runs.groupBy(kind, us(F.col(start)).alias("_t")).agg(F.slice(F.array_sort(F.collect_list(key)), 1, 2).alias("_ids"))
-    u = first.select(kind, "_t", F.lit(None).cast(runs.schema[key].dataType).alias("_q"), F.struct(F.col("_t").alias("t"), "_ids").alias("_r")).unionByName(
-        runs.select(kind, (us(F.col(start)) - hours * 3600).alias("_t"), F.col(key).alias("_q"), F.lit(None).cast("struct<t:bigint,_ids:array<bigint>>").alias("_r")))
-    back = Window.partitionBy(kind).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
-    fore = Window.partitionBy(kind).orderBy("_t").rangeBetween(0, Window.unboundedFollowing)
+    t = F.unix_seconds(F.col(start).cast("timestamp"))
+    ids = f"array<{runs.schema[key].dataType.simpleString()}>"
+    at = lambda c: F.floor(c / span).alias("_b")
+    run = lambda: F.struct(F.col("_t").alias("t"), F.col("_ids").alias("ids"))
+    times = runs.groupBy(F.col(kind).alias("_kind"), t.alias("_t")).agg(F.slice(F.array_sort(F.collect_set(key)), 1, 2).alias("_ids"))
+    times = times.select("_kind", "_t", at(F.col("_t")), run().alias("_r"))
+    asked = runs.select(F.col(kind).alias("_kind"), (t - hours * 3600).alias("_t"), F.col(key).alias("_q"))
+    both = times.withColumn("_q", F.lit(None).cast(runs.schema[key].dataType)).unionByName(asked.select("_kind", "_t", at(F.col("_t")), F.lit(None).cast(f"struct<t:bigint,ids:{ids}>").alias("_r"), "_q"))
+    spans = both.groupBy("_kind", "_b").agg(F.max("_r").alias("hi"), F.min("_r").alias("lo"))
+    w = Window.partitionBy("_kind").orderBy("_b")
+    spans = spans.select("_kind", "_b", F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"), F.first("lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_right"))
+    inside = Window.partitionBy("_kind", "_b").orderBy("_t")
+    back, fore = inside.rangeBetween(Window.unboundedPreceding, 0), inside.rangeBetween(0, Window.unboundedFollowing)
+    x = both.withColumn("_l", F.last("_r", ignorenulls=True).over(back)).withColumn("_f", F.first("_r", ignorenulls=True).over(fore)).where("_q is not null")
+    x = x.join(spans, ["_kind", "_b"]).select("_kind", "_q", "_t", F.coalesce("_l", "_left").alias("_l"), F.coalesce("_f", "_right").alias("_f"))
     # the second nearest is the neighbour of the nearest among the runs themselves
-    w = Window.partitionBy(kind).orderBy("_t")
-    chain = first.select(F.col(kind).alias("_kind1"), F.col("_t").alias("_at"), F.lag(F.struct(F.col("_t").alias("t"), "_ids")).over(w).alias("_before"), F.lead(F.struct(F.col("_t").alias("t"), "_ids")).over(w).alias("_after"))
-    x = u.withColumn("_l", F.last("_r", ignorenulls=True).over(back)).withColumn("_f", F.first("_r", ignorenulls=True).over(fore)).where("_q is not null")
-    x = x.join(chain.select("_kind1", F.col("_at").alias("_la"), "_before"), (F.col("_l.t") == F.col("_la")) & (F.col(kind) == F.col("_kind1")), "left")
-    x = x.join(chain.select(F.col("_kind1").alias("_kind2"), F.col("_at").alias("_fa"), "_after"), (F.col("_f.t") == F.col("_fa")) & (F.col(kind) == F.col("_kind2")), "left")
-    c = x.select("_q", "_t", F.explode(F.array("_l", "_f", "_before", "_after")).alias("c")).where("c is not null").select("_q", "_t", "c.t", F.explode("c._ids").alias("id")).where("id <> _q")
+    chain = times.withColumn("_p", F.lag("_r").over(inside)).withColumn("_n", F.lead("_r").over(inside)).join(spans, ["_kind", "_b"])
+    chain = chain.select("_kind", F.col("_t").alias("_at"), F.coalesce("_p", "_left").alias("_p"), F.coalesce("_n", "_right").alias("_n"))
+    prior = chain.select(F.col("_kind").alias("_kind1"), F.col("_at").alias("_la"), F.col("_p").alias("_before"))
+    x = x.join(prior, (F.col("_kind") == F.col("_kind1")) & (F.col("_l.t") == F.col("_la")), "left")
+    after = chain.select(F.col("_kind").alias("_kind2"), F.col("_at").alias("_fa"), F.col("_n").alias("_after"))
+    x = x.join(after, (F.col("_kind") == F.col("_kind2")) & (F.col("_f.t") == F.col("_fa")), "left")
+    c = x.select("_q", "_t", F.explode(F.array("_l", "_f", "_before", "_after")).alias("c")).where("c is not null").select("_q", "_t", "c.t", F.explode("c.ids").alias("id")).where("id <> _q")
     return c.groupBy(F.col("_q").alias(key)).agg(F.min_by("id", F.struct(F.abs(F.col("t") - F.col("_t")), F.col("id"))).alias("baseline"))
 
 

@@ -183,6 +183,38 @@ def test_state_of_streams_goes(spark, tmp_path):
     assert (1, 1, 9.0) in got  # reader 1 was forgotten in between
 
 
+def test_near_duplicates_against_all_pairs(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    r = random.Random(2)
+    base = [r.choice("abcdefghijklmnop") * 3 + str(r.randint(0, 50)) for _ in range(80)]
+    for i in range(60):  # one large group, whose members are not all alike
+        w = list(base)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(80)] = f"edit{r.random()}"
+        rows.append((10_000 + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets, seen = {}, set()
+    for i, t in sorted(rows):
+        if t not in seen:
+            seen.add(t)
+            w = (t or "").lower().strip().split()
+            sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}
+    ids = sorted(sets)
+    want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]) > 0}
+    got = {(x.a, x.b) for x in dedup.near_duplicates(docs, "doc_id", "text").collect()}
+    assert len(got - want) <= 0.02 * len(want)
+    root = {i: i for i in ids}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in got:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    assert sum(top(a) == top(b) for a, b in want) >= 0.9 * len(want) > 100
+
+
 def test_split_is_a_partition(spark, sf):
     from newsgrain import catalog
 
