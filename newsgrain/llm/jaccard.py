@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.clustering import components
 from .common import bounded_batches, counted_cut, cut, table
 
 GRAM, PERCENT = 5, 75
@@ -283,27 +284,6 @@ def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, id_col: str, te
     return cut(both.where(100 * shared >= PERCENT * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct())
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(sk, root) for every key in ``links`` (a, b): the least key of its component.
-
-    Two alternating steps, each a minimum by key and a join: every key's larger neighbours, then its smaller ones, are
-    re-hung on its least neighbour, until nothing changes. Neighbour lists are never gathered. Each round at least
-    halves what a path still lacks, so the rounds are about the logarithm of the longest one.
-    """
-    e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    before = now = None
-    while before is None or now != before:
-        before = now or ()
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e, *now = counted_cut(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(),
-                              F.sum(F.xxhash64("u", "v") % 1_000_003))
-    return e.select(F.col("u").alias("sk"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("sk"), F.col("v").alias("root")).distinct())
-
-
 @functools.lru_cache(1)
 def size_bands() -> np.ndarray:
     """The least sizes of bands that are five per cent wide (one size each below 20)."""
@@ -401,6 +381,11 @@ def candidates(shared: DataFrame, known: DataFrame, crowd: int) -> DataFrame:
             .where("c >= enough").select("a", "b"))
 
 
+def _rooted(links: DataFrame) -> DataFrame:
+    """(sk, root): the least key of the component of every key in ``links``."""
+    return components(links).withColumnRenamed("node", "sk")
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, often: int, most: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """The profiles of all rows (doc_id, n, sk, tk), and (sk, root, component_id) of all different sets."""
     bounded_batches(docs.sparkSession)
@@ -412,9 +397,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, often: int, most: int,
     shared = cut(shared_postings(docs, text_col, counted["token"].to_numpy(np.int64), counted["df"].to_numpy(np.int64)))
 
     links = verified(docs, leaders(shared), sets, id_col, text_col)
-    known = _small(*counted_cut(components(links)))
+    known = _small(*counted_cut(_rooted(links)))
     more = verified(docs, candidates(shared, known, crowd), sets, id_col, text_col)
-    every = components(known.select(F.col("sk").alias("a"), F.col("root").alias("b")).unionByName(more))
+    every = _rooted(known.select(F.col("sk").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     names = sets.select("sk", "least").join(every, "sk", "left").withColumn("root", F.coalesce("root", "sk"))
     ids = names.groupBy("root").agg(F.min("least").alias("component_id"))

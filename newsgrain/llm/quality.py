@@ -157,7 +157,7 @@ class ByteNet:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-                per_class: int = 1200, updates: int = 1500) -> ByteNet | None:
+                per_class: int = 1200, updates: int = 900) -> ByteNet | None:
     """Fit on at most ``per_class`` labelled texts of either class (the documented bound); None if a class is missing.
 
     The number of epochs follows from ``updates``, so that small and large label sets get about as many steps.
