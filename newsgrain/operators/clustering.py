@@ -183,7 +183,7 @@ def split_clusters(events: DataFrame, cluster: str, id_col: str, actors: str, ta
         out = []
         for i, x, y in rows:
             me = (set(x), set(y))
-            score = [sum(0.6 * jac(me[0], a) + 0.4 * jac(me[1], t) for a, t in p) / len(p) for p in parts]
+            score = [round(sum(0.6 * jac(me[0], a) + 0.4 * jac(me[1], t) for a, t in p) / len(p), 12) for p in parts]
             best = max(range(len(parts)), key=lambda k: (score[k], -k), default=None)
             if best is not None and score[best] >= review:
                 status = "auto" if score[best] >= auto else "needs_review"

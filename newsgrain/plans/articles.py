@@ -81,7 +81,10 @@ def ded3(spark, d):
 
 def ded4(spark, d):
     p = _read(spark, d, "pages").withColumn("k", url.url_key(F.col("url")))
-    return dedup.probe_bloom(p, dedup.build_bloom(p.where("page_id % 2 = 0"), "k"), "k").where("page_id % 2 = 0").groupBy("maybe").agg(F.count(F.lit(1)).alias("n"))
+    x = dedup.probe_bloom(p, dedup.build_bloom(p.where("page_id % 2 = 0"), "k"), "k")
+    known = x.join(p.where("page_id % 2 = 0").select("k", F.lit(True).alias("known")).distinct(), "k", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    # all known keys are found, and at most one in twenty of the others
+    return known.groupBy("known").agg(F.count(F.lit(1)).alias("n"), F.when(F.col("known"), F.bool_and("maybe")).otherwise(F.avg(F.col("maybe").cast("int")) <= 0.05).alias("good"))
 
 
 def ded5(spark, d):
@@ -207,7 +210,7 @@ def sc30(spark, d):
 
 
 def sc31(spark, d):
-    return _read(spark, d, "documents").select("doc_id", (F.length(text.extract_context(F.col("text"), 2000)) <= 2000).alias("fits"), (F.length("text") <= 2000).alias("whole"))
+    return _read(spark, d, "documents").select("doc_id", F.md5(text.extract_context(F.col("text"), 2000)).alias("context"), (F.length("text") <= 2000).alias("whole"))
 
 
 def sc32(spark, d):
@@ -375,7 +378,7 @@ QUERIES = {
     "ded3_url_gate": (ded3, f"""WITH k AS (SELECT {_KEY} AS url_hash, min(page_id) AS known_id FROM pages WHERE page_id % 2 = 0 GROUP BY 1)
         SELECT p.page_id, {_KEY} AS url_hash, CASE WHEN known_id IS NULL THEN 'NEW_URL' ELSE 'FOUND_IN_DATABASE' END AS status, known_id
         FROM pages p LEFT JOIN k ON k.url_hash = {_KEY} WHERE p.page_id % 2 = 0 OR p.page_id % 3 = 0"""),
-    "ded4_bloom": (ded4, "SELECT true AS maybe, count(*) AS n FROM pages WHERE page_id % 2 = 0"),
+    "ded4_bloom": (ded4, f"SELECT {_KEY} IN (SELECT {_KEY} FROM pages WHERE page_id % 2 = 0) AS known, count(*) AS n, true AS good FROM pages GROUP BY 1"),
     "ded5_content_hash": (ded5, f"SELECT doc_id, sha256(lower(trim({TITLE_SQL})) || chr(10) || chr(10) || lower(trim(coalesce(text, '')))) AS content_hash FROM documents WHERE true"),
     "ded6_duplicate_links": (ded6, "SELECT doc_id, nullif(min(doc_id) OVER (PARTITION BY coalesce(text, '')), doc_id) AS duplicate_of FROM documents"),
     "ded7_recrawl": (ded7, """WITH b AS (SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id % 10 < 8), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || ' more' ELSE text END) AS hash FROM documents WHERE doc_id % 10 > 4)
@@ -409,7 +412,11 @@ QUERIES = {
     "sc29_cause": (sc29, f"""WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS m, CASE WHEN doc_id % 7 = 0 THEN 'ratelimiterror' WHEN doc_id % 11 = 0 THEN 'memoryerror' ELSE '' END AS k FROM documents),
         y AS (SELECT doc_id, CASE WHEN m <> '' OR k <> '' THEN {_CAUSE} END AS cause FROM x) SELECT doc_id, cause, CAST({_SURE} AS DOUBLE) AS confidence FROM y"""),
     "sc30_failure_class": (sc30, _class_sql()),
-    "sc31_context": (sc31, "SELECT doc_id, true AS fits, length(text) <= 2000 AS whole FROM documents"),
+    "sc31_context": (sc31, """WITH p AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\\n+'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents),
+        m AS (SELECT *, ps[2:len(ps) - 1] AS mid, 2000 - 5 - 6 - length(ps[1]) - length(ps[-1]) AS room FROM p),
+        k AS (SELECT *, len(list_filter(range(1, len(mid) + 1), lambda i: list_sum(list_transform(mid[1:i], lambda x: length(x) + 2)) <= room)) AS kept FROM m)
+        SELECT doc_id, md5(CASE WHEN length(text) <= 2000 THEN text WHEN len(ps) < 2 OR room < 0 THEN substr(text, 1, 2000)
+            ELSE array_to_string([ps[1]] || mid[1:kept] || CASE WHEN kept < len(mid) THEN ['[...]'] ELSE []::VARCHAR[] END || [ps[-1]], chr(10) || chr(10)) END) AS context, length(text) <= 2000 AS whole FROM k"""),
     "sc32_embedding_text": (sc32, f"SELECT doc_id, md5(replace({TITLE_SQL} || ' ' || substr(text, 1, 4000), chr(10), ' ')) AS h FROM documents"),
     "sc35_host": (sc35, f"SELECT page_id, {_HOST} AS host FROM pages"),
     "win1_crawl_order": (win1, f"""WITH p AS (SELECT page_id, {_HOST} AS host FROM pages), t AS (SELECT *, CASE WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 1 WHEN host = 'example.net' OR ends_with(host, '.example.net') THEN 2 ELSE 3 END AS tier FROM p)

@@ -111,8 +111,9 @@ def clu5(spark, d):
 
 
 def clu6(spark, d):
-    e = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("i"), F.array(F.col("l_returnflag"), F.col("l_linestatus")).alias("actors"), F.array((F.col("l_suppkey") % 3).cast("string")).alias("targets"))
-    return clustering.split_clusters(e.dropDuplicates(["l_orderkey", "i"]), "l_orderkey", "i", "actors", "targets")
+    e = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("i"), F.array(F.col("l_returnflag"), F.col("l_linestatus")).alias("actors"), (F.col("l_suppkey") % 3).alias("target"))
+    e = e.groupBy("l_orderkey", "i").agg(F.max("actors").alias("actors"), F.array(F.max("target").cast("string")).alias("targets"))
+    return clustering.split_clusters(e, "l_orderkey", "i", "actors", "targets")
 
 
 def clu7(spark, d):
@@ -181,7 +182,13 @@ QUERIES = {
           UNION ALL SELECT day, rn, vec_id, coalesce(hit, vec_id), CASE WHEN hit IS NULL THEN list_append(ls, struct_pack(id := vec_id, e := e)) ELSE ls END
             FROM (SELECT v.day, v.rn, v.vec_id, v.e, r.ls, list_filter(r.ls, lambda x: list_cosine_similarity(x.e, v.e) >= 0.2)[1].id AS hit FROM r JOIN v ON v.day = r.day AND v.rn = r.rn + 1))
         SELECT vec_id, leader FROM r"""),
-    "clu6_split_clusters": (clu6, None),
+    "clu6_split_clusters": (clu6, """WITH RECURSIVE e AS (SELECT l_orderkey, l_linenumber AS i, max([l_returnflag, l_linestatus]) AS a, CAST(max(l_suppkey % 3) AS VARCHAR) AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem GROUP BY 1, 2),
+        r AS (SELECT l_orderkey, i, rn, [[struct_pack(a := a, t := t)]] AS ps, 0 AS part, 'auto' AS status FROM e WHERE rn = 1
+          UNION ALL SELECT l_orderkey, i, rn, CASE WHEN top >= 0.4 THEN list_transform(ps, lambda p, k: CASE WHEN k = best THEN list_append(p, struct_pack(a := a, t := t)) ELSE p END) ELSE list_append(ps, [struct_pack(a := a, t := t)]) END,
+              CASE WHEN top >= 0.4 THEN CAST(best - 1 AS INTEGER) ELSE len(ps) END, CASE WHEN top >= 0.6 OR top < 0.4 THEN 'auto' ELSE 'needs_review' END
+            FROM (SELECT *, list_max(s) AS top, list_position(s, list_max(s)) AS best
+              FROM (SELECT e.l_orderkey, e.i, e.rn, e.a, e.t, r.ps, list_transform(r.ps, lambda p: round(list_avg(list_transform(p, lambda x: 0.6::DOUBLE * len(list_intersect(x.a, e.a)) / len(list_distinct(x.a || e.a)) + CASE WHEN x.t = e.t THEN 0.4::DOUBLE ELSE 0 END)), 12)) AS s FROM r JOIN e ON e.l_orderkey = r.l_orderkey AND e.rn = r.rn + 1)))
+        SELECT l_orderkey, i, CAST(part AS INTEGER) AS part, status FROM r"""),
     "clu7_split_story": (clu7, None),
     "clu8_duplicate_stories": (clu8, f"""WITH RECURSIVE {_MIXED}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS c, a.vec_id % 7 > b.vec_id % 7 OR (a.vec_id % 7 = b.vec_id % 7 AND a.vec_id < b.vec_id) AS first FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.72),
         o AS (SELECT CASE WHEN first THEN a ELSE b END AS s, CASE WHEN first THEN b ELSE a END AS x, c FROM p), q AS (SELECT *, row_number() OVER (ORDER BY c DESC, s, x) AS rn FROM o),
@@ -189,6 +196,7 @@ QUERIES = {
           UNION ALL SELECT rn, s, x, c, ok, CASE WHEN ok THEN list_append(gone, x) ELSE gone END, CASE WHEN ok THEN list_append(kept, s) ELSE kept END
             FROM (SELECT q.rn, q.s, q.x, q.c, r.gone, r.kept, NOT list_contains(r.gone, q.s) AND NOT list_contains(r.gone, q.x) AND NOT list_contains(r.kept, q.x) AS ok FROM r JOIN q ON q.rn = r.rn + 1))
         SELECT s AS survivor, x AS absorbed, round(c, 6) AS cosine FROM r WHERE ok"""),
-    "clu9_coref_groups": (clu9, None),
+    "clu9_coref_groups": (clu9, """WITH n AS (SELECT DISTINCT c_nationkey, ['Dr ', '', 'Ann '][c_custkey % 3 + 1] || 'Lee' || (c_custkey % 4) AS name, c_custkey % 4 AS k FROM customer)
+        SELECT c_nationkey, name, first_value(name) OVER (PARTITION BY c_nationkey, k ORDER BY length(name) DESC, name DESC) AS representative FROM n"""),
     "clu10_alias_chains": (clu10, "SELECT p_partkey AS id, p_partkey - p_partkey % 8 AS target FROM part"),
 }
