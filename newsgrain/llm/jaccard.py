@@ -272,16 +272,17 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
 
 
 def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of set keys whose Jaccard similarity is 0.75 or more, by their whole sets.
+    """The pairs (a, b) of set keys whose Jaccard similarity is 0.75 or more, by their whole sets; a pair may come twice.
 
-    Sets are made once, for those in ``pairs`` only, and written. A set that is in many pairs is split by the planner.
+    Sets are made for those in ``pairs`` only and written. Pairs of a set that has many are split by the planner, which
+    it may do as nothing after the joins relies on where they are.
     """
     pairs = cut(pairs)
     keys = pairs.select(F.explode(F.array("a", "b")).alias("sk")).distinct()
     found = cut(sets_of(docs, sets.join(keys, "sk").select("doc_id", "tk"), id_col, text_col))
     both = pairs.join(found.select(F.col("sk").alias("b"), F.col("tokens").alias("tb")), "b").join(found.select(F.col("sk").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return cut(both.where(100 * shared >= PERCENT * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct())
+    return cut(both.where(100 * shared >= PERCENT * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
 
 
 @functools.lru_cache(1)
@@ -440,8 +441,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whatever their names.
     """
     prof, names = _classes(docs, id_col, text_col, 16, 1_000_000, 64)
-    rows = prof.where("sk is not null").groupBy("doc_id", "tk", "sk").agg(F.count(F.lit(1)).alias("copies")).join(names.select("sk", "root"), "sk")
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tk")).alias("x")).select("root", F.col("x.doc_id").alias("best_id"), F.col("x.tk").alias("best_tk"))
+    rows = cut(prof.where("sk is not null").groupBy("doc_id", "tk", "sk").agg(F.count(F.lit(1)).alias("copies")).join(names.select("sk", "root"), "sk"))
+    best = cut(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tk")).alias("x")).select("root", F.col("x.doc_id").alias("best_id"), F.col("x.tk").alias("best_tk")))  # a row a class, apart, so that the rows of a large class can be split
     stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("tk") == F.col("best_tk"))
     marks = rows.join(best, "root").where(~stays | (F.col("copies") > 1)).select("doc_id", "tk", F.when(stays, 1).otherwise(2).alias("mark"))
     marks, n = counted_cut(marks)

@@ -33,7 +33,7 @@ def target_sizes(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: fl
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: str = "mix", in_range: int = 20_000, whole: bool = False) -> DataFrame:
+                weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: str = "mix", in_range: int = 4_000, whole: bool = False) -> DataFrame:
     """How many words of each document the mixture takes: (doc_id, size, source_size, target, taken), and with ``whole``
     a struct ``row`` of all columns of ``docs``.
 
