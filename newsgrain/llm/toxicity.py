@@ -289,7 +289,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", id
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", per_class: int = 3000, train: DataFrame | None = None) -> DataFrame:
     """``docs`` without the documents whose score reaches ``threshold``; texts never leave their partition. The labels
-    are those of documents in ``train`` (``docs`` if not given)."""
+    are those of documents in ``train`` (``docs`` if not given). Rows and columns are otherwise those of ``docs``, with
+    their multiplicity; null and empty texts are scored as texts without words. Without labels of both classes all stay."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit_toxicity(train if train is not None else docs, labels, per_class=per_class))
     at = docs.columns.index(text_col)

@@ -182,6 +182,14 @@ def test_odd_rows(spark, odd, labels):
     assert quality.quality_scores(empty, labels).count() == 0 and toxicity.toxicity_scores(empty, labels).count() == 0
 
 
+def test_dropping_keeps_odd_rows_and_columns(spark, labels):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(None, None, "s", 1), (5, "", "s", 2), (5, "", "s", 2), (7, "fine words " * 30_000, None, 3)], "doc_id long, text string, score string, _k int")
+    kept = toxicity.drop_toxic(odd, labels, train=docs)
+    assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
+    assert toxicity.drop_toxic(odd.limit(0), labels, train=docs).count() == 0
+
+
 def test_toxic_documents_go(spark, labels):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     kept = toxicity.drop_toxic(docs, labels)

@@ -263,3 +263,34 @@ def test_mixture_holds_what_was_taken(spark, odd):
     for r in mixing.mix_sources(odd).collect():
         per[r.source_size, r.target] += r.taken
     assert all(abs(t - target) < 1 and t <= 3 * size for (size, target), t in per.items())
+
+
+def test_very_long_texts(spark, library):
+    import random
+
+    r = random.Random(1)
+    long = " ".join("".join(r.choice("abcdefghij,.") for _ in range(r.randint(1, 12))) for _ in range(200_000))
+    docs = spark.createDataFrame([(1, long, "s"), (2, "short", "s"), (3, long[::-1], None)], "doc_id long, text string, source string").repartition(2)
+    rows = {x.doc_id: x for x in media.media_features(docs).collect()}
+    assert rows[1].n_bytes == len(long) and rows[1].payload_sha256 == hashlib.sha256(long.encode() + bytes(-len(long) % 64)).hexdigest()
+    counts = {x.doc_id: x.n_tokens for x in tokens.token_counts(docs).collect()}
+    assert counts[1] == len(library.encode(long, add_special_tokens=False).ids)
+    pieces_are_whole(docs.collect(), packing.pack(docs).collect(), library)
+    taken = {x.doc_id: (x["size"], x.taken) for x in mixing.mix_sources(docs).collect()}
+    assert taken[1][0] == len(long.split()) and all(t <= 3 * n for n, t in taken.values())
+
+
+def test_rules_that_tie(spark):
+    rules = (("allow", "a.com/x"), ("block", "a.com/x"), ("block", "com/"))
+    df = spark.createDataFrame([("a.com", "/x/y"), ("b.com", "/"), ("b.org", "/x")], "host string, path string")
+    rule, verdict = urls.rule_of(df.host, df.path, rules)
+    assert [tuple(r) for r in df.select(rule, verdict).collect()] == [("a.com/x", "block"), ("com/", "block"), (None, None)]  # of equal rules the last
+
+
+def test_hot_null_ids_are_spread(spark):
+    rows = [(None, f"text {i} of many words", "s") for i in range(400)] + [(i, "other words here", "t") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix_sources(docs, in_range=5)
+    assert taken.where("doc_id is null").count() == 400
+    fine, coarse = (sorted(map(tuple, mixing.mix_sources(docs, in_range=n).collect()), key=str) for n in (5, 10**9))
+    assert fine == coarse  # how many ranges there are changes nothing
