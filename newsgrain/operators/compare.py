@@ -15,34 +15,36 @@ SUFFIXES = ("corp", "corporation", "inc", "incorporated", "ltd", "limited", "co"
 SMALL_WORDS = ("of", "the", "and", "for", "in")
 
 
-def _conflicts(a: str, b: str, values: Mapping[str, Column], number: str) -> Column:
-    """Kinds of conflict between the two sides of a pair."""
-    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    gap = F.abs(x("_n") - y("_n"))
-    kinds = [F.when(x(f"_v_{k}") != y(f"_v_{k}"), k) for k in values]
-    kinds.append(F.when(F.abs(F.datediff(x("_t"), y("_t"))) > 1, "time"))
-    kinds.append(F.when((gap > 1) & (gap / F.greatest(F.abs(x("_n")), F.abs(y("_n")), F.lit(1e-9)) > 0.1), "number"))
-    return F.filter(F.array(*kinds), lambda k: k.isNotNull())
-
-
-def _pairs(left: DataFrame, right: DataFrame, story: str, key: str, source: str, values: Mapping[str, Column], when: str, number: str, ordered: bool) -> DataFrame:
-    pick = lambda df: df.select(story, F.col(key).alias("_k"), F.col(source).alias("_s"), *[c.alias(f"_v_{k}") for k, c in values.items()], F.col(when).alias("_t"), F.col(number).alias("_n"))
-    a, b = pick(left).alias("a"), pick(right).alias("b")
-    on = (F.col(f"a.{story}") == F.col(f"b.{story}")) & (F.col("a._s") != F.col("b._s"))
-    if ordered:
-        on = on & (F.col("a._k") < F.col("b._k"))
-    return (a.join(b, on).select(F.col(f"a.{story}").alias(story), F.least("a._s", "b._s").alias("source_a"), F.greatest("a._s", "b._s").alias("source_b"), F.explode(_conflicts("a", "b", values, number)).alias("kind")).distinct())
-
-
-def contradictions(events: DataFrame, story: str, key: str, source: str, values: Mapping[str, Column], when: str, number: str) -> DataFrame:
+def _extremes(events: DataFrame, story: str, source: str, values: Mapping[str, Column], when: str, number: str) -> DataFrame:
+    """Least and largest value of everything compared, by story and source."""
+    cols = {f"v_{k}": c for k, c in values.items()} | {"t": F.col(when), "n": F.col(number)}
+    return events.groupBy(story, F.col(source).alias("s")).agg(*[f(c).alias(f"{n}_{k}") for k, c in cols.items() for n, f in (("lo", F.min), ("hi", F.max))])
+
+
+def _pairs(left: DataFrame, right: DataFrame, story: str, values: Mapping[str, Column], on: Column) -> DataFrame:
+    """Conflicts between two sources of a story, told by their extremes: some two values differ unless all are one; the
+    widest gap of times or numbers lies between one's least and the other's largest."""
+    x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    apart = lambda p, q: (F.abs(p - q) > 1) & (F.abs(p - q) / F.greatest(F.abs(p), F.abs(q), F.lit(1e-9)) > 0.1)
+    kinds = [F.when((x(f"lo_v_{k}") != y(f"hi_v_{k}")) | (x(f"hi_v_{k}") != y(f"lo_v_{k}")), k) for k in values]
+    kinds.append(F.when(F.greatest(F.datediff(x("hi_t"), y("lo_t")), F.datediff(y("hi_t"), x("lo_t"))) > 1, "time"))
+    kinds.append(F.when(apart(x("lo_n"), y("hi_n")) | apart(x("hi_n"), y("lo_n")), "number"))
+    pairs = left.alias("a").join(right.alias("b"), (F.col(f"a.{story}") == F.col(f"b.{story}")) & on)
+    return (pairs.select(F.col(f"a.{story}").alias(story), F.least("a.s", "b.s").alias("source_a"), F.greatest("a.s", "b.s").alias("source_b"), F.explode(F.array_compact(F.array(*kinds))).alias("kind")))
+
+
+def contradictions(events: DataFrame, story: str, source: str, values: Mapping[str, Column], when: str, number: str) -> DataFrame:
     """Conflicts (story, source_a, source_b, kind) between events of different sources in a story: differing values,
-    times over a day apart, numbers over 10 % and 1 apart. Pairs are formed within a story only."""
-    return _pairs(events, events, story, key, source, values, when, number, True)
+    times over a day apart, numbers over 10 % and 1 apart. What is null conflicts with nothing. Events are summed up by
+    source first, so pairs are of sources, never of events."""
+    x = _extremes(events, story, source, values, when, number)
+    return _pairs(x, x, story, values, F.col("a.s") < F.col("b.s"))
 
 
-def contradictions_incremental(new: DataFrame, existing: DataFrame, known: DataFrame, story: str, key: str, source: str, values: Mapping[str, Column], when: str, number: str) -> DataFrame:
-    """Conflicts of new events with existing ones that are not known yet, whichever way round."""
-    return _pairs(new, existing, story, key, source, values, when, number, False).join(known, [story, "source_a", "source_b", "kind"], "left_anti")
+def contradictions_incremental(new: DataFrame, existing: DataFrame, known: DataFrame, story: str, source: str, values: Mapping[str, Column], when: str, number: str) -> DataFrame:
+    """Conflicts of new events with existing ones of other sources that are not known yet, whichever way round."""
+    a, b = (_extremes(x, story, source, values, when, number) for x in (new, existing))
+    return _pairs(a, b, story, values, F.col("a.s") != F.col("b.s")).distinct().join(known, [story, "source_a", "source_b", "kind"], "left_anti")
 
 
 def build_resolver(surfaces: DataFrame, canonical: DataFrame, id_col: str) -> DataFrame:

@@ -219,13 +219,13 @@ def jn2(spark, d):
 
 
 def jn6(spark, d):
-    c = compare.contradictions(_events(spark, d).withColumn("at", F.to_date("l_shipdate")), "l_orderkey", "l_linenumber", "l_suppkey", {"target": F.col("targets")[0], "location": F.col("location")}, "at", "l_quantity")
+    c = compare.contradictions(_events(spark, d).withColumn("at", F.to_date("l_shipdate")), "l_orderkey", "l_suppkey", {"target": F.col("targets")[0], "location": F.col("location")}, "at", "l_quantity")
     return c.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("stories"))
 
 
 def jn7(spark, d):
     e = _events(spark, d).withColumn("at", F.to_date("l_shipdate"))
-    args = ("l_orderkey", "l_linenumber", "l_suppkey", {"target": F.col("targets")[0], "location": F.col("location")}, "at", "l_quantity")
+    args = ("l_orderkey", "l_suppkey", {"target": F.col("targets")[0], "location": F.col("location")}, "at", "l_quantity")
     known = compare.contradictions(e.where("l_linenumber <= 4 AND l_orderkey % 2 = 0"), *args)
     return compare.contradictions_incremental(e.where("l_linenumber > 2"), e.where("l_linenumber <= 2"), known, *args).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -458,8 +458,8 @@ QUERIES = {
     "jn1_story_cards": (jn1, """SELECT o_orderkey, count(s_suppkey) AS articles, count(DISTINCT s_suppkey) AS sources, CASE WHEN count(s_suppkey) > 0 THEN array_to_string(list_sort(list(DISTINCT s_name) FILTER (s_name IS NOT NULL))[1:5], ',') END AS logos
         FROM orders LEFT JOIN (lineitem JOIN supplier ON l_suppkey = s_suppkey) ON o_orderkey = l_orderkey GROUP BY 1"""),
     "jn2_unclustered": (jn2, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
-    "jn6_contradictions": (jn6, "WITH " + _PAIRS.format(on="a.i < b.i", cols="") + " SELECT kind, count(*) AS n, count(DISTINCT s) AS stories FROM p WHERE kind IS NOT NULL GROUP BY 1"),
-    "jn7_contradictions_incremental": (jn7, "WITH " + _PAIRS.format(on="a.i < b.i", cols=", a.i AS ai, b.i AS bi") + """, k AS (SELECT DISTINCT s, x, y, kind FROM p WHERE kind IS NOT NULL AND ai <= 4 AND bi <= 4 AND s % 2 = 0), n AS (SELECT DISTINCT s, x, y, kind FROM p WHERE kind IS NOT NULL AND ai <= 2 AND bi > 2)
+    "jn6_contradictions": (jn6, "WITH " + _PAIRS.format(on="a.src < b.src", cols="") + " SELECT kind, count(*) AS n, count(DISTINCT s) AS stories FROM p WHERE kind IS NOT NULL GROUP BY 1"),
+    "jn7_contradictions_incremental": (jn7, "WITH " + _PAIRS.format(on="true", cols=", a.i AS ai, b.i AS bi") + """, k AS (SELECT DISTINCT s, x, y, kind FROM p WHERE kind IS NOT NULL AND ai <= 4 AND bi <= 4 AND s % 2 = 0), n AS (SELECT DISTINCT s, x, y, kind FROM p WHERE kind IS NOT NULL AND ai <= 2 AND bi > 2)
         SELECT kind, count(*) AS n FROM n ANTI JOIN k USING (s, x, y, kind) GROUP BY 1"""),
     "jn8_resolver": (jn8, """WITH a AS (SELECT lower(p_name) AS key, p_partkey AS id, 0 AS r, p_size AS o FROM part UNION ALL SELECT replace(lower(p_brand), '#', ' '), p_partkey, 1, 0 FROM part UNION ALL SELECT lower(p_type), p_partkey, 2, 0 FROM part)
         SELECT key, arg_min(id, (r, o, id)) AS id FROM a GROUP BY key"""),
