@@ -50,39 +50,39 @@ def cost_projection(calls: DataFrame, ts: str, cost: str, now: Column) -> DataFr
     return c.select(F.round("today", 4).alias("today"), F.round(h, 4).alias("hourly"), F.round(h * 24, 4).alias("daily"), F.round(h * 720, 4).alias("monthly"))
 
 
-def percentiles(df: DataFrame, key: str, value: str, above: float, exact: bool = True, buckets: int = 256) -> DataFrame:
+def percentiles(df: DataFrame, key: str, value: str, above: float, exact: bool = True, small: int = 20_000) -> DataFrame:
     """Median, 90th and 99th percentile (between neighbours by linear interpolation), mean, largest and how many lie above
     a limit. ``exact=False`` uses a sketch of bounded size.
 
-    A sketch cuts the values of each key into up to ``buckets`` ranges of about equal numbers, so that no key is sorted
-    in one task: ranges are counted, and only rows of the ranges that hold a wanted rank are ordered, range by range. A
-    value that is itself a cut, as any frequent one is, has a range of its own and is not ordered.
+    Keys of up to ``small`` rows are ordered whole. Of a larger one a sketch gives a value a thousandth of the rows before
+    each percentile and one as far behind it; the rows below, at and between these two are counted, and only those
+    between, about one in 500, are ordered. A value that many rows share is one of the two, or both, and needs no order.
     """
+    wanted = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
     x = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-    facts = x.groupBy("k").agg(F.avg("v").alias("mean"), F.max("v").alias("largest"), F.count_if(F.col("v") > above).alias("above"), F.count(F.lit(1)).alias("n"),
-                               F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 4 * buckets).alias("cuts"),
-                               *([] if exact else [F.percentile_approx("v", [0.5, 0.9, 0.99], 10000).alias("p")]))
-    names = ("p50", "p90", "p99")
+    sketch = list(wanted.values()) if not exact else [q + d for q in wanted.values() for d in (-0.001, 0.001)]
+    facts = x.groupBy("k").agg(F.avg("v").alias("mean"), F.max("v").alias("largest"), F.count_if(F.col("v") > above).alias("above"), F.count(F.lit(1)).alias("n"), F.percentile_approx("v", sketch, 10000).alias("at"))
+    last = (F.round("mean", 6).alias("mean"), "largest", "above")
     if not exact:
-        return facts.select(F.col("k").alias(key), *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(names)], F.round("mean", 6).alias("mean"), "largest", "above")
-    facts = cut(facts.withColumn("cuts", F.array_distinct("cuts")))
-    dealt = x.join(facts.select(F.col("k").alias("k2"), "cuts"), F.col("k").eqNullSafe(F.col("k2"))).select("k", "v", (F.size(F.filter("cuts", lambda c: c < F.col("v"))) + F.size(F.filter("cuts", lambda c: c <= F.col("v")))).alias("b"))
-    counts = dealt.groupBy("k", "b").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    counts = counts.withColumn("base", F.sum("c").over(Window.partitionBy("k").orderBy("b")) - F.col("c"))
-    asked = facts.select("k", "n", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("q")) for n, q in zip(names, (0.5, 0.9, 0.99), strict=True)])).alias("a"))
-    asked = asked.select("k", "a.name", ((F.col("n") - 1) * F.col("a.q")).alias("at"))
-    ends = asked.select("k", "name", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
-    held = ends.join(counts.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("rank") >= F.col("base")) & (F.col("rank") < F.col("base") + F.col("c"))).select("k", "name", "at", "rank", "b", "base", "lo", "hi")
-    held = cut(held)  # six rows a key
-    few = dealt.join(held.where("lo < hi").select(F.col("k").alias("k2"), F.col("b").alias("b2")).distinct(), F.col("k").eqNullSafe(F.col("k2")) & (F.col("b") == F.col("b2")), "left_semi")
-    placed = few.withColumn("r", F.row_number().over(Window.partitionBy("k", "b").orderBy("v")) - 1).select(F.col("k").alias("k2"), F.col("b").alias("b2"), "r", "v")
-    got = held.join(placed, F.col("k").eqNullSafe(F.col("k2")) & (F.col("b") == F.col("b2")) & (F.col("rank") == F.col("base") + F.col("r"))).select("k", "name", "at", "rank", "v")
-    got = got.unionByName(held.where("lo = hi").select("k", "name", "at", "rank", F.col("lo").alias("v")))
-    part = F.col("at") - F.floor("at")
-    share = F.when(part == 0, 1.0).when(F.col("rank") == F.floor("at"), 1 - part).otherwise(part)
-    p = got.groupBy("k").agg(*[F.round(F.sum(F.when(F.col("name") == n, F.col("v") * share)), 6).alias(n) for n in names])
-    out = facts.join(p.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")))
-    return out.select(F.col("k").alias(key), *names, F.round("mean", 6).alias("mean"), "largest", "above")
+        return facts.select(F.col("k").alias(key), *[F.round(F.col("at")[i], 6).alias(n) for i, n in enumerate(wanted)], *last)
+    facts = cut(facts)
+    rows = x.join(facts.select(F.col("k").alias("k2"), "n", "at"), F.col("k").eqNullSafe(F.col("k2")))
+    whole = rows.where(F.col("n") <= small).groupBy("k").agg(F.percentile("v", F.array(*[F.lit(q) for q in wanted.values()])).alias("p")).select("k", *[F.col("p")[i].alias(n) for i, n in enumerate(wanted)])
+    large = rows.where(F.col("n") > small)
+    lo, hi = (lambda i: F.col("at")[2 * i]), (lambda i: F.col("at")[2 * i + 1])
+    v, between = F.col("v"), lambda i: (F.col("v") > lo(i)) & (F.col("v") < hi(i))
+    counts = large.groupBy("k").agg(*[c.alias(f"{what}{i}") for i in range(len(wanted)) for what, c in (("under", F.count_if(v < lo(i))), ("same", F.count_if(v == lo(i))), ("mid", F.count_if(between(i))))])
+    mids = large.select("k", "v", F.explode(F.array_compact(F.array(*[F.when(between(i), F.lit(i)) for i in range(len(wanted))]))).alias("i"))
+    mids = mids.select(F.col("k").alias("k2"), "i", "v", (F.row_number().over(Window.partitionBy("k", "i").orderBy("v")) - 1).alias("r"))
+    ends = facts.where(F.col("n") > small).withColumnRenamed("k", "k1").join(counts, F.col("k1").eqNullSafe(F.col("k")))
+    ends = ends.select("k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * q).alias("rank"), lo(i).alias("lo"), hi(i).alias("hi"), F.col(f"under{i}").alias("under"), F.col(f"same{i}").alias("same"), F.col(f"mid{i}").alias("mid")) for i, q in enumerate(wanted.values())])).alias("e")).select("k", "e.*")
+    ends = ends.withColumn("part", F.col("rank") - F.floor("rank")).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    ends = ends.withColumn("r", F.floor("rank") + F.col("side") - F.col("under") - F.col("same")).withColumn("share", F.when(F.col("side") == 0, 1 - F.col("part")).otherwise(F.col("part")))
+    met = ends.join(mids.withColumnsRenamed({"i": "i2", "r": "r2"}), F.col("k").eqNullSafe(F.col("k2")) & (F.col("i") == F.col("i2")) & (F.col("r") == F.col("r2")), "left")
+    met = met.withColumn("v", F.when(F.col("r") < 0, F.col("lo")).when(F.col("r") >= F.col("mid"), F.col("hi")).otherwise(F.col("v")))
+    ordered = met.groupBy("k").agg(*[F.sum(F.when(F.col("i") == i, F.col("v") * F.col("share"))).alias(n) for i, n in enumerate(wanted)])
+    out = facts.join(whole.unionByName(ordered).withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2")))
+    return out.select(F.col("k").alias(key), *[F.round(n, 6).alias(n) for n in wanted], *last)
 
 
 def rates(df: DataFrame, keys: Sequence[str], **conditions: Column) -> DataFrame:
