@@ -33,7 +33,7 @@ def target_sizes(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: fl
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: str = "mix", in_range: int = 4_000, whole: bool = False) -> DataFrame:
+                weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: str = "mix", in_range: int = 1_000, whole: bool = False) -> DataFrame:
     """How many words of each document the mixture takes: (doc_id, size, source_size, target, taken), and with ``whole``
     a struct ``row`` of all columns of ``docs``.
 
@@ -41,7 +41,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of their text). A source takes whole epochs while its target allows, then documents in that order until the rest is
     used up; the last document is taken in part. The order is cut into ranges of the key, of ``in_range`` rows on
     average, whose sizes are summed before any row is sorted: a source that holds a third of all rows is spread over all
-    ranges, and each range needs only its base. Words are counted once, and ids and sizes written.
+    ranges, and each range needs only its base. Bases are summed in two steps, over up to 4,096 ranges each and then over
+    those groups, so the ranges of a source do not meet in one task. Words are counted once, and ids and sizes written.
 
     Null text or text without words: size 0, taken 0. Null source: a source of its own, last. Repeated ids share a key
     and are ordered by size; equal rows are interchangeable. An empty table gives an empty result. Only the named columns
@@ -59,8 +60,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, slim = (x.withColumn("_b", F.substring("_key", 1, digits)) for x in (rows if whole else slim, slim))
     ranges = cut(slim.groupBy("skey", "_b").agg(F.sum("size").alias("n"), F.first("_src").alias("source")))
     per = ranges.groupBy("skey").agg(F.sum("n").alias("source_size"), F.first("source").alias("source"))
-    base = F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    plan = (ranges.withColumn("base", base)
+    before = lambda c, by, order: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumn("_top", F.substring("_b", 1, max(0, digits - 3)))
+    tops = ranges.groupBy("skey", "_top").agg(F.sum("n").alias("of_top")).withColumn("top_base", before("of_top", ["skey"], "_top")).drop("of_top")
+    plan = (ranges.withColumn("base", before("n", ["skey", "_top"], "_b")).join(tops, ["skey", "_top"]).withColumn("base", F.col("base") + F.col("top_base"))
             .join(per.drop("source").join(target_sizes(per, weights, cap), "skey"), "skey")
             .select("skey", "_b", "base", "source_size", "target"))
     inside = Window.partitionBy("skey", "_b").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, 0)

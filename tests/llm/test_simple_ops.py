@@ -290,7 +290,7 @@ def test_rules_that_tie(spark):
 def test_hot_null_ids_are_spread(spark):
     rows = [(None, f"text {i} of many words", "s") for i in range(400)] + [(i, "other words here", "t") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    taken = mixing.mix_sources(docs, in_range=5)
+    taken = mixing.mix_sources(docs, in_range=0.001)
     assert taken.where("doc_id is null").count() == 400
-    fine, coarse = (sorted(map(tuple, mixing.mix_sources(docs, in_range=n).collect()), key=str) for n in (5, 10**9))
+    fine, coarse = (sorted(map(tuple, mixing.mix_sources(docs, in_range=n).collect()), key=str) for n in (0.001, 10**9))
     assert fine == coarse  # how many ranges there are changes nothing
