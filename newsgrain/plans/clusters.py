@@ -189,7 +189,12 @@ QUERIES = {
             FROM (SELECT *, list_max(s) AS top, list_position(s, list_max(s)) AS best
               FROM (SELECT e.l_orderkey, e.i, e.rn, e.a, e.t, r.ps, list_transform(r.ps, lambda p: round(list_avg(list_transform(p, lambda x: 0.6::DOUBLE * len(list_intersect(x.a, e.a)) / len(list_distinct(x.a || e.a)) + CASE WHEN x.t = e.t THEN 0.4::DOUBLE ELSE 0 END)), 12)) AS s FROM r JOIN e ON e.l_orderkey = r.l_orderkey AND e.rn = r.rn + 1)))
         SELECT l_orderkey, i, CAST(part AS INTEGER) AS part, status FROM r"""),
-    "clu7_split_story": (clu7, None),
+    "clu7_split_story": (clu7, """WITH RECURSIVE v AS (SELECT vec_id // 12 AS story, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY vec_id // 12 ORDER BY vec_id) AS rn FROM embeddings),
+        m AS (SELECT a.story, avg(list_cosine_similarity(a.e, b.e)) AS mean FROM v a JOIN v b ON a.story = b.story AND a.vec_id < b.vec_id GROUP BY 1),
+        r AS (SELECT story, rn, vec_id, vec_id AS leader, [struct_pack(id := vec_id, e := e)] AS ls FROM v WHERE rn = 1
+          UNION ALL SELECT story, rn, vec_id, coalesce(hit, vec_id), CASE WHEN hit IS NULL THEN list_append(ls, struct_pack(id := vec_id, e := e)) ELSE ls END
+            FROM (SELECT v.story, v.rn, v.vec_id, v.e, r.ls, list_filter(r.ls, lambda x: list_cosine_similarity(x.e, v.e) >= 0.0)[1].id AS hit FROM r JOIN v ON v.story = r.story AND v.rn = r.rn + 1))
+        SELECT vec_id, CASE WHEN coalesce(mean, 1.0) >= 0.0 THEN min(vec_id) OVER (PARTITION BY story) ELSE leader END AS leader FROM r LEFT JOIN m USING (story)"""),
     "clu8_duplicate_stories": (clu8, f"""WITH RECURSIVE {_MIXED}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS c, a.vec_id % 7 > b.vec_id % 7 OR (a.vec_id % 7 = b.vec_id % 7 AND a.vec_id < b.vec_id) AS first FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.72),
         o AS (SELECT CASE WHEN first THEN a ELSE b END AS s, CASE WHEN first THEN b ELSE a END AS x, c FROM p), q AS (SELECT *, row_number() OVER (ORDER BY c DESC, s, x) AS rn FROM o),
         r AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS s, 0::BIGINT AS x, 0.0::DOUBLE AS c, false AS ok, []::BIGINT[] AS gone, []::BIGINT[] AS kept
