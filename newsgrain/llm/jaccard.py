@@ -154,7 +154,7 @@ _N, _PLACE, _CENT = 34, 8, 1
 
 
 #: Sets have a class of crowded tokens for so many of their own.
-CLASS = 256
+CLASS = 96
 
 
 def classes_for(n):
