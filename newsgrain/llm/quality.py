@@ -107,9 +107,13 @@ class ByteNet:
         dz = ((self._score(d) - target) * weight / len(texts)).astype(np.float32)
         g = {k: np.zeros_like(x) for k, x in p.items()} | {"out": d.T @ dz, "out_bias": dz.sum(keepdims=True)}
         dd = dz[:, None] * p["out"]
+        unmet = np.ones((len(texts), UNITS), bool)  # the first chunk of a text that reaches the maximum has its gradient
         for h, doc, (data, chunks, a, y, top, v) in ready:
             dh = (dd[:, UNITS:] / counts[:, None])[doc]
             best = (h == high[doc]) & (h > 0)
+            first, nth = np.flatnonzero(np.diff(doc, prepend=-1)), np.cumsum(best, axis=0, dtype=np.int32)
+            best &= (nth - np.repeat(nth[first] - best[first], np.diff(first, append=len(doc)), axis=0) == 1) & unmet[doc]
+            unmet[doc[first]] &= ~np.logical_or.reduceat(best, first, axis=0)
             dh = ((dh + np.where(best, dd[:, :UNITS][doc], 0)) * (h > 0)).astype(np.float32)
             g["chunk"] += v.T @ dh
             g["chunk_bias"] += dh.sum(axis=0)

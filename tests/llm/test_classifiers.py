@@ -50,6 +50,29 @@ def test_gradients_by_differences():
             assert abs((up - down) / 2e-5 - g[k].reshape(-1)[i]) < 1e-4 + 2e-2 * abs(g[k].reshape(-1)[i]), k
 
 
+@pytest.mark.parametrize("block", [quality.BLOCK, 300])
+def test_gradients_of_repetitive_texts(block):
+    """Chunks that tie for the maximum count once, however the rows fall into blocks."""
+    net = quality.ByteNet(5)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    texts, y, w = [b"a" * 5000, b"ab" * 900 + b"z" * 3000], np.array([1.0, 0.0]), np.ones(2)
+    g = net.gradients(texts, y, w, block)
+
+    def loss():
+        s = net.forward(texts)
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    for k in ("chunk", "chunk_bias", "near", "out"):
+        flat = net.p[k].reshape(-1)
+        for i in np.random.default_rng(1).integers(0, flat.size, 6):
+            old, ends = flat[i], []
+            for move in (1e-6, -1e-6):
+                flat[i] = old + move
+                ends.append(loss())
+            flat[i] = old
+            assert abs((ends[0] - ends[1]) / 2e-6 - g[k].reshape(-1)[i]) < 1e-4 + 2e-2 * abs(g[k].reshape(-1)[i]), k
+
+
 def test_chunks_cover_the_text_and_do_not_depend_on_neighbours():
     net = quality.ByteNet(1)
     texts = [b"", b"abc", b"some words " * 500, b"z" * 127, b"z" * 128, b"z" * 129]
