@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard, media, mixing, packing, pii, quality, tokens, toxicity, urls
+from . import covering, fingerprints, jaccard, media, mixing, packing, pii, quality, tokens, toxicity, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filter": urls.op8_url_filter,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_pii": pii.op10_pii,
+        "op13_simhash_covering": covering.op13_simhash_covering,
         "op8_url_rules": urls.op8_url_rules,
         "op1_radius_search": fingerprints.op1_radius_search,
     }
