@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, covering, fingerprints, jaccard, media, mixing, packing, pii, quality, tokens, toxicity, urls
+from . import audit, covering, fingerprints, jaccard, media, mixing, packing, phrases, pii, quality, tokens, toxicity, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filter": urls.op8_url_filter,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_pii": pii.op10_pii,
+        "op11_collocations": phrases.op11_collocations,
         "op12_filter_audit": audit.op12_filter_audit,
         "op13_simhash_covering": covering.op13_simhash_covering,
         "op8_url_rules": urls.op8_url_rules,
@@ -25,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": jaccard.OP4_SQL, "op8_url_rules": urls.OP8_RULES_SQL, "op9_mix_sources": mixing.OP9_SQL, "op12_filter_audit": audit.OP12_SQL}
+    return {"op4_jaccard_join": jaccard.OP4_SQL, "op8_url_rules": urls.OP8_RULES_SQL, "op9_mix_sources": mixing.OP9_SQL, "op11_collocations": phrases.OP11_SQL, "op12_filter_audit": audit.OP12_SQL}
