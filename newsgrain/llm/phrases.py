@@ -35,7 +35,7 @@ def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def tokens(data: bytes) -> list[bytes]:
     """Words of a folded text, with a stop between pieces."""
-    return data.replace(_STOP, b" . ").split(b" ") if b"  " not in data and _STOP not in data else data.replace(_STOP, b" . ").split()
+    return data.replace(_STOP, b" . ").split()
 
 
 def blocks(data: bytes, size: int, ahead: int) -> Iterator[tuple[bytes, bytes]]:
@@ -64,8 +64,8 @@ def count_grams(data: bytes, more: bytes, seed: int, words_too: bool, old: np.nd
 
     Phrases are told apart exactly: the number of a phrase comes from the numbers of its first words and of its last word.
     """
-    own = [w for w in tokens(data) if w]
-    both = own + [w for w in tokens(more) if w]
+    own = tokens(data)
+    both = own + tokens(more)
     if not own:
         return []
     coded = pa.array(both, pa.binary()).dictionary_encode()
