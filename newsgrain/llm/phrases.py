@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..storage import new_place
@@ -19,7 +19,9 @@ _STOP = b"."
 _BLOCK = 4 << 20
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 _BUCKET = 1 << 15  # bits in a row of bitmap_construct_agg
-_MOST_BITS = 27
+_MOST_BITS = 25
+_AT_ONCE = 300_000
+_NEVER = 255
 _ROWS = "part string, k int, phrase string, h long, c long"
 
 
@@ -28,11 +30,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h & np.uint64(len(bits) * 8 - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 def tokens(data: bytes) -> list[bytes]:
     """Words of a folded text, with a stop between pieces."""
     return data.replace(_STOP, b" . ").split()
@@ -58,11 +55,12 @@ def blocks(data: bytes, size: int, ahead: int) -> Iterator[tuple[bytes, bytes]]:
         at = end
 
 
-def count_grams(data: bytes, more: bytes, seed: int, words_too: bool, old: np.ndarray | None, recent: np.ndarray | None, longest: int = LONGEST) -> list[tuple]:
-    """(k, phrase, hash, count) of a block: with ``words_too`` its number of words (k 0) and each word (k 1); and the longer
-    phrases that begin in it and whose two subphrases may both be in ``old``, one of them in ``recent``.
+def count_grams(data: bytes, more: bytes, seed: int, t: int, step: np.ndarray | None, shards: int, longest: int = LONGEST) -> list[tuple]:
+    """(k, phrase, hash, count) of a block at visit ``t``: in the first cycle its number of words (k 0) and each word (k 1);
+    and the longer phrases that begin in it and are being counted: whose subphrases were both first marked in ``step``
+    before ``t``, the later of them at most ``shards`` visits ago.
 
-    Phrases are told apart exactly: the number of a phrase comes from the numbers of its first words and of its last word.
+    Phrases are told apart by the numbers of their words, not by their hashes.
     """
     own = tokens(data)
     both = own + tokens(more)
@@ -73,39 +71,46 @@ def count_grams(data: bytes, more: bytes, seed: int, words_too: bool, old: np.nd
     hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
     stop = np.array([w == _STOP for w in words])
     out = []
-    if words_too:
+    if t < shards:
         times = np.bincount(codes[: len(own)], minlength=len(words))
         times[stop] = 0
         out.append((0, b"", 0, int(times.sum())))
         out += [(1, words[i], hashes[i], times[i]) for i in np.flatnonzero(times)]
-    if old is None:
+    if step is None:
         return out
-    is_old, is_recent = (_holds(old, hashes) & ~stop)[codes], (_holds(recent, hashes) & ~stop)[codes]
-    number, h = codes.copy(), hashes[codes]
+    mask = np.uint64(len(step) - 1)
+    at, h = np.arange(len(codes)), hashes[codes]  # phrases of k - 1 words whose own subphrases are marked, where they begin
+    since = np.where(stop, _NEVER, step[(hashes & mask).astype(np.int64)])[codes]
+    keep = since != _NEVER
+    at, h, since = at[keep], h[keep], since[keep].astype(np.int64)
     for k in range(2, longest + 1):
-        at = np.flatnonzero(is_old[:-1] & is_old[1:])
-        if not len(at):
+        front = np.flatnonzero(at[1:] == at[:-1] + 1)  # the next one begins one word later: it is the other subphrase
+        if not len(front):
             break
-        _, first, which = np.unique(number[at] * len(words) + codes[at + k - 1], return_index=True, return_inverse=True)
-        start = at[first]
-        new = _mix(h[start] * _TURN + hashes[codes[start + k - 1]])
-        times = np.bincount(which[(is_recent[at] | is_recent[at + 1]) & (at < len(own))], minlength=len(start))
-        out += [(k, b" ".join([words[c] for c in codes[start[i] : start[i] + k]]), new[i], times[i]) for i in np.flatnonzero(times)]
+        start = np.maximum(since[front], since[front + 1])
+        at, h = at[front], _mix(h[front] * _TURN + hashes[codes[at[front] + k - 1]])
+        now = np.flatnonzero((start >= t - shards) & (at < len(own)))
+        if len(now):
+            number = codes[at[now]]
+            for j in range(1, k):
+                _, first, number = np.unique(number * len(words) + codes[at[now] + j], return_index=True, return_inverse=True)
+            places = at[now[first]]
+            out += [(k, b" ".join([words[c] for c in codes[p : p + k]]), x, n) for p, x, n in zip(places.tolist(), h[now[first]], np.bincount(number).tolist(), strict=True)]
         if k < longest:
-            seen, late = _holds(old, new)[which], _holds(recent, new)[which]
-            is_old, is_recent = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
-            is_old[at], is_recent[at], number[at], h[at] = seen, late, which, new[which]
+            since = step[(h & mask).astype(np.int64)].astype(np.int64)
+            keep = since != _NEVER
+            at, h, since = at[keep], h[keep], since[keep]
     return out
 
 
-def _scan(words_too: bool, old, recent, longest: int, block: int):
-    """From rows (part, text): counts of a shard, see ``count_grams``. ``old`` and ``recent`` are broadcast bit sets."""
+def _scan(t: int, step, shards: int, longest: int, block: int):
+    """From rows (part, text): counts of a shard at visit ``t``, see ``count_grams``; ``step`` is a broadcast array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [np.frombuffer(x.value, np.uint8) if x is not None else None for x in (old, recent)]
+        marks = np.frombuffer(step.value, np.uint8) if step is not None else None
 
         def told(part: str, data: bytes, more: bytes = b"") -> pa.RecordBatch:
-            rows = count_grams(data, more, xxhash.xxh64_intdigest(part.encode()), words_too, *bits, longest)
+            rows = count_grams(data, more, xxhash.xxh64_intdigest(part.encode()), t, marks, shards, longest)
             k, phrase, h, c = zip(*rows, strict=True) if rows else ([], [], [], [])
             return pa.RecordBatch.from_arrays([pa.array([part] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()),
                                                pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.array(c, np.int64))], ["part", "k", "phrase", "h", "c"])
@@ -130,18 +135,45 @@ def _scan(words_too: bool, old, recent, longest: int, block: int):
     return run
 
 
-def _bit_sets(reached: DataFrame, n: int, since: int, longest: int):
-    """Broadcast bit sets of the hashes of all phrases of ``reached``, and of those reached at visit ``since`` or later: 16 bits
-    a phrase, and at most 2**27 bits (16 MB) whatever their number. A bit that is set by chance costs a look-up."""
-    spark = reached.sparkSession
-    bits = min(_MOST_BITS, max(15, int(16 * max(n, 1)).bit_length()))
+_KEY = ["part", "k", "phrase"]
+
+
+class _Visits:
+    """Counts of each visit, as tables in two parts: phrases that one visit alone shows to be worth adding up, and others."""
+
+    def __init__(self, spark, least: int, shards: int):
+        self.spark, self.least, self.shards, self.places, self.hot = spark, least, shards, [], []
+
+    def add(self, found: DataFrame) -> None:
+        """A phrase that occurs ``least`` times in a cycle occurs ``least / shards`` times in one of its shards."""
+        seen = Observation()
+        found = found.withColumn("hot", (F.col("k") == 0) | (F.col("c") * self.shards >= self.least))
+        self.places.append(new_place(self.spark))
+        found.observe(seen, F.count_if("hot").alias("n")).write.partitionBy("hot").parquet(self.places[-1])
+        self.hot.append(seen.get["n"])
+
+    def frequent(self, since: int = 0) -> DataFrame:
+        """(part, k, phrase, h, c): what occurs ``least`` times or more in the visits from ``since`` on, and rows with k 0."""
+        every = None
+        for place in self.places[since:]:
+            x = self.spark.read.schema(f"{_ROWS}, hot boolean").parquet(place)
+            every = x if every is None else every.unionByName(x)
+        hot = every.where("hot").drop("hot")
+        names = hot.select(*_KEY).distinct()
+        if sum(self.hot[since:]) <= _AT_ONCE:
+            names = F.broadcast(names)
+        found = hot.unionByName(every.where("not hot").drop("hot").join(names, _KEY, "left_semi"))
+        return found.groupBy(*_KEY).agg(F.min("h").alias("h"), F.sum("c").alias("c")).where((F.col("k") == 0) | (F.col("c") >= self.least))
+
+
+def _bits(reached: DataFrame, bits: int) -> np.ndarray:
+    """The places of the hashes of ``reached`` among 2**bits, at most 2**10 rows of 4 KB on the driver."""
     at = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = reached.where(F.col("k") < longest).select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit(_BUCKET - 1)).alias("bit"), (F.col("reached") >= since).alias("late"))
-    rows = rows.groupBy("late", "bucket").agg(F.bitmap_construct_agg("bit").alias("set")).collect()  # at most 2 * 2**12 rows of 4 KB
-    sets = {late: np.zeros(1 << (bits - 3), np.uint8) for late in (False, True)}
+    rows = reached.groupBy(F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(_BUCKET - 1))).alias("set")).collect()
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows:
-        sets[r["late"]][r["bucket"] * _BUCKET // 8 : (r["bucket"] + 1) * _BUCKET // 8] = np.frombuffer(bytes(r["set"]), np.uint8)
-    return tuple(spark.sparkContext.broadcast(x.tobytes()) for x in (sets[False] | sets[True], sets[True]))
+        out[r["bucket"] * _BUCKET // 8 : (r["bucket"] + 1) * _BUCKET // 8] = np.frombuffer(bytes(r["set"]), np.uint8)
+    return np.unpackbits(out, bitorder="little").astype(bool)
 
 
 def frequent_phrases(docs: DataFrame, part: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, block: int = _BLOCK) -> DataFrame:
@@ -153,11 +185,15 @@ def frequent_phrases(docs: DataFrame, part: str = "lang", text_col: str = "text"
 
     Dynamic itemset counting: documents are dealt once into ``shards``, which are scanned in a cycle. Words are counted from
     the first scan on; a longer phrase from the scan after both its subphrases (all but the last, all but the first word)
-    have reached ``least`` in what was counted so far, whatever its length, until it has seen each shard once. What a
-    scan counts is filtered by bit sets of the phrases that have reached ``least``; the exact start is then looked up by
-    joins. Phrases are told apart by their words. Counts are kept in tables; the driver sees only numbers of rows and
-    bit sets. Scans end when no phrase is counted any more: after at most ``longest`` cycles. Long texts are counted in
-    blocks. An empty table gives no rows.
+    have reached ``least`` in what was counted so far, whatever its length, until it has seen each shard once. Scans end
+    when no phrase is counted any more: after at most ``longest`` cycles.
+
+    When a phrase reached ``least`` is marked at the place of its hash in an array of up to 2**25 bytes, fixed after the
+    first scan, which every scan reads. Where places collide, a phrase starts earlier, or phrases are counted that need
+    not be; a phrase's start is the same in all scans, so every phrase sees one full cycle and counts are exact. Phrases
+    are told apart by their words. Counts of a scan are shuffled and written once; of what a scan counts, only phrases
+    with a fair share of ``least`` in some scan are added up. The driver sees numbers of rows and sets of bits. Long
+    texts are counted in blocks. An empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -165,40 +201,25 @@ def frequent_phrases(docs: DataFrame, part: str = "lang", text_col: str = "text"
     rows = docs.select(F.coalesce(F.col(part).cast("string"), F.lit("und")).alias("part"), F.col(text_col).cast("string").alias("text"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
     rows.write.partitionBy("shard").parquet(place)
     rows = spark.read.schema("part string, text string, shard int").parquet(place)
-    key, kept = ["part", "k", "phrase"], [*_ROWS.replace(",", "").split()[::2], "since", "reached"]
-    state, closed, seen, t, last = None, [], 0, 0, shards - 1
+    if longest * shards >= _NEVER:
+        raise ValueError("longest * shards must be under 255")
+    visits, marks, step, t, last = _Visits(spark, least, shards), None, None, 0, shards - 1
     while t <= last:
-        still = state.where(F.col("since") + shards > t) if state is not None else None  # counted in this scan too
-        sets = (None, None)
-        if seen:
-            known = [x.where("reached is not null").select("part", "k", "phrase", "h", "reached") for x in (*closed, still)]
-            reached = known[0]
-            for x in known[1:]:
-                reached = reached.unionByName(x)
-            sets = _bit_sets(reached, seen, t - shards, longest)
-        found = rows.where(F.col("shard") == t % shards).select("part", "text").mapInArrow(_scan(t < shards, *sets, longest, block), _ROWS)
-        found = cut(found.groupBy(*key).agg(F.min("h").alias("h"), F.sum("c").alias("c")))
-        new = found.where("k < 2").withColumn("since", F.lit(0)) if t < shards else None
-        if seen:
-            start = reached.select("part", F.col("phrase").alias("front"), F.col("reached").alias("r"))
-            end = reached.select("part", F.col("phrase").alias("back"), F.col("reached").alias("s"))
-            longer = found.where("k > 1").withColumns({"front": F.expr("substring_index(phrase, ' ', k - 1)"), "back": F.expr("substring_index(phrase, ' ', 1 - k)")})
-            longer = longer.join(start, ["part", "front"]).join(end, ["part", "back"]).withColumn("since", F.greatest("r", "s") + 1)
-            longer = longer.where(F.col("since") + shards > t).select(*key, "h", "c", "since")
-            new = longer if new is None else new.unionByName(longer)
-        new = new.withColumn("reached", F.lit(None).cast("int")).select(kept)
-        merged = new if still is None else still.select(kept).unionByName(new)
-        merged = merged.groupBy(*key).agg(F.min("h").alias("h"), F.sum("c").alias("c"), F.min("since").alias("since"), F.min("reached").alias("reached"))
-        merged = merged.withColumn("reached", F.coalesce("reached", F.when((F.col("k") > 0) & (F.col("c") >= least), F.lit(t))))
-        state, _, fresh, latest = counted_cut(merged, F.count_if(F.col("reached") == t), F.max(F.when(F.col("k") < longest, F.col("reached"))))
-        closed.append(state.where((F.col("since") + shards == t + 1) & ((F.col("k") == 0) | (F.col("c") >= least))))
-        seen += fresh or 0
-        last = max(last, (latest if latest is not None else -1) + shards)
+        found = rows.where(F.col("shard") == t % shards).select("part", "text").mapInArrow(_scan(t, step, shards, longest, block), _ROWS)
+        visits.add(found.groupBy(*_KEY).agg(F.min("h").alias("h"), F.sum("c").alias("c")))
+        reached = visits.frequent(max(0, t - shards + 1)).where(F.col("k").between(1, longest - 1))
+        if marks is None:
+            bits = min(_MOST_BITS, max(16, (512 * sum(visits.hot)).bit_length()))
+            marks = np.full(1 << bits, _NEVER, np.uint8)
+        new = _bits(reached, bits) & (marks == _NEVER)
+        if new.any():
+            marks[new] = t
+            last = max(last, t + shards)
+        if step is not None:
+            step.destroy()
+        step = spark.sparkContext.broadcast(marks.tobytes())
         t += 1
-    out = closed[0]
-    for x in closed[1:]:
-        out = out.unionByName(x)
-    return out.select("part", "k", "phrase", F.col("c").alias("a"))
+    return visits.frequent().select("part", "k", "phrase", F.col("c").alias("a"))
 
 
 def collocations(docs: DataFrame, part: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, keep: int = KEEP, shards: int = SHARDS) -> DataFrame:
