@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.vector import cosine
+from ..functions.vector import cosine, jaccard
 from ..storage import cut
+from .neighbours import near_links, nearby
+from .scoring import stage_a, stage_b
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -49,60 +50,14 @@ def group_by_key(df: DataFrame, key: str, id_col: str) -> DataFrame:
     return connected_components(df, df.join(low, key).select("a", F.col(id_col).alias("b")), id_col)
 
 
-def _sides(dims: int, planes: int, tables: int, seed: int):
-    """A function from batches (id, vector) to (id, key): the side of each of ``planes`` random planes, in each table."""
-    import numpy as np
-
-    normals = np.random.default_rng(seed).standard_normal((dims, tables * planes))
-    weight = (1 << np.arange(planes, dtype=np.int64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            bits = (x @ normals > 0).reshape(len(x), tables, planes)
-            keys = (bits * weight).sum(axis=2) * tables + np.arange(tables)
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(x)), tables)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys.reshape(-1))], ["id", "k"])
-
-    return run
-
-
-def nearby(vecs: DataFrame, id_col: str, vec: str, least: float, planes: int | None = None, tables: int = 32, seed: int = 5, exact: bool = False) -> DataFrame:
-    """Pairs (a, b, cosine) of vectors with cosine at least ``least``.
-
-    Vectors on the same side of ``planes`` random planes in one of ``tables`` tables are compared exactly. That is
-    approximate: two vectors at an angle t meet in a table with probability (1 - t/pi)**planes; with the default, which
-    grows with the logarithm of the rows so that buckets stay small, tests hold the recall of cosines over 0.9 above 0.95.
-    Of equal vectors only the least id is compared with others; the rest are paired with it alone. Null and empty
-    vectors pair with nothing. ``exact`` compares every pair by a nested loop, for tables of a few thousand rows.
-    """
-    x = cut(vecs.where(F.size(vec) > 0).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")))
-    size = x.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims")).first()
-    if exact or not size["n"]:
-        pairs = x.select(F.col("id").alias("a"), F.col("v").alias("_x")).join(x.select(F.col("id").alias("b"), F.col("v").alias("_y")), F.col("a") < F.col("b"))
-        return pairs.select("a", "b", cosine(F.col("_x"), F.col("_y")).alias("cosine")).where(F.col("cosine") >= least)
-    one = cut(x.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
-    again = x.join(one.where("n > 1").select("v", F.col("id").alias("a")), "v").where("id != a").select("a", F.col("id").alias("b"), cosine(F.col("v"), F.col("v")).alias("cosine"))
-    if planes is None:
-        planes = max(8, min(20, int(math.log2(size["n"])) - 3))
-    kind = x.schema["id"].dataType.simpleString()
-    keyed = cut(one.select("id", "v").mapInArrow(_sides(size["dims"], planes, tables, seed), f"id {kind}, k long"))
-    same = keyed.select(F.col("id").alias("a"), "k").join(keyed.select(F.col("id").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
-    pairs = same.join(one.select(F.col("id").alias("a"), F.col("v").alias("_x")), "a").join(one.select(F.col("id").alias("b"), F.col("v").alias("_y")), "b")
-    found = pairs.select("a", "b", cosine(F.col("_x"), F.col("_y")).alias("cosine"))
-    return found.unionByName(again).where(F.col("cosine") >= least)
-
-
 def cluster_vectors(vecs: DataFrame, id_col: str, vec: str, eps: float = 0.35, **kw) -> DataFrame:
     """(id, root): single linkage cut at Euclidean distance ``eps`` between unit vectors; outliers are their own cluster.
 
     This replaces density clustering by a plain definition: two vectors belong together if a chain of steps of at most
-    ``eps`` joins them. On unit vectors that is a cosine of at least 1 - eps**2 / 2. For how neighbours are found see
-    ``nearby``.
+    ``eps`` joins them. On unit vectors that is a cosine of at least 1 - eps**2 / 2. For how neighbours are found, exactly
+    or by planes with a stated recall, see ``neighbours.nearby``.
     """
-    return connected_components(vecs, nearby(vecs, id_col, vec, 1 - eps * eps / 2, **kw), id_col)
+    return connected_components(vecs, near_links(vecs, id_col, vec, 1 - eps * eps / 2, **kw), id_col)
 
 
 def cluster_quality(assign: DataFrame) -> DataFrame:
@@ -230,35 +185,58 @@ def split_story(members: DataFrame, story: str, id_col: str, vec: str, least: fl
     return micro_clusters(loose, story, id_col, vec, least).unionByName(whole.join(first, story).select(id_col, "leader"))
 
 
-def find_duplicate_stories(stories: DataFrame, id_col: str, vec: str, size: str, sure: float = 0.72, cap: int | None = None, **kw) -> DataFrame:
-    """(survivor, absorbed, cosine): stories alike by their centroids, the larger (then older) survives; a story is
-    absorbed once, and one that is absorbed absorbs none.
+def find_duplicate_stories(stories: DataFrame, id_col: str, vec: str, size: str, sure: float = 0.72, cap: int | None = None, when: str | None = None, now: Column | None = None, hours: int = 48,
+                           passes: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None, **kw) -> DataFrame:
+    """(survivor, absorbed, cosine): stories with centroids at least ``sure`` alike, the larger (then older) survives; a story
+    is absorbed once, and one that is absorbed absorbs none. At most ``cap`` of them are listed, best first.
+
+    With ``when`` and ``now`` only stories of the last ``hours`` before ``now`` take part. ``passes(keep, drop)`` tests a pair
+    by other columns of the stories, where ``keep("x")`` is column x of the survivor; see ``same_event``. ``kw`` says how
+    neighbours are found (``neighbours.nearby``).
 
     The rule takes pairs by descending cosine (then ids). A pair is decided as soon as no pair before it touches the
     absorbed story or would absorb the survivor, so all such pairs are decided at once, in rounds over the table of
-    pairs; no group is gathered. Stories with one vector are absorbed by the largest of them first.
+    pairs; no group is gathered. Without a test, stories with one vector are absorbed by the largest of them first; with
+    one, each of them is compared with its neighbours, as the test may tell them apart.
     """
+    if when is not None:
+        stories = stories.where((F.col(when) <= now) & (F.col(when) >= now - F.expr(f"INTERVAL {int(hours)} HOURS")))
     s = stories.where(F.size(vec) > 0).select(F.col(id_col).alias("id"), F.col(size).alias("size"), F.col(vec).cast("array<double>").alias("v"))
-    best = s.groupBy("v").agg(F.max_by("id", F.struct(F.col("size"), -F.col("id"))).alias("top"), F.count(F.lit(1)).alias("n"))
-    same = cut(s.join(best.where("n > 1"), "v").where("id != top").select(F.col("top").alias("survivor"), F.col("id").alias("absorbed"), cosine(F.col("v"), F.col("v")).alias("cosine")))
-    s = cut(s.join(same.select(F.col("absorbed").alias("id")), "id", "left_anti"))
-    pairs = nearby(s, "id", "v", sure, **kw)
+    if passes is None:
+        best = s.groupBy("v").agg(F.max_by("id", F.struct(F.col("size"), -F.col("id"))).alias("top"), F.count(F.lit(1)).alias("n"))
+        same = cut(s.join(best.where("n > 1"), "v").where("id != top").select(F.col("top").alias("survivor"), F.col("id").alias("absorbed"), cosine(F.col("v"), F.col("v")).alias("cosine")))
+        s = cut(s.join(same.select(F.col("absorbed").alias("id")), "id", "left_anti"))
+    pairs = nearby(s, "id", "v", sure, collapse=passes is None, **kw).select("a", "b", "cosine")
     pairs = pairs.join(s.select(F.col("id").alias("a"), F.col("size").alias("na")), "a").join(s.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b")
     keep = F.when((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))), F.col("a")).otherwise(F.col("b"))
     rank = F.struct((-F.col("cosine")).alias("c"), "survivor", "absorbed")
-    left = pairs.select(keep.alias("survivor"), F.when(keep == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("absorbed"), "cosine").withColumn("rank", rank)
-    left = cut(left.join(same.select(F.col("survivor").alias("absorbed")).distinct(), "absorbed", "left_anti"))
-    out = same
-    while left.limit(1).count():
+    left = pairs.select(keep.alias("survivor"), F.when(keep == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("absorbed"), "cosine")
+    if passes is not None:
+        whole = stories.select(F.col(id_col).alias("_id"), F.struct("*").alias("_row"))
+        left = left.join(whole.select(F.col("_id").alias("survivor"), F.col("_row").alias("_keep")), "survivor").join(whole.select(F.col("_id").alias("absorbed"), F.col("_row").alias("_drop")), "absorbed")
+        left = left.where(passes(lambda c: F.col("_keep")[c], lambda c: F.col("_drop")[c])).select("survivor", "absorbed", "cosine")
+    left = left.withColumn("rank", rank)
+    left = cut(left.join(same.select(F.col("survivor").alias("absorbed")).distinct(), "absorbed", "left_anti") if passes is None else left)
+    out = same if passes is None else None
+    while out is None or left.limit(1).count():
         as_absorbed = left.groupBy(F.col("absorbed").alias("s")).agg(F.min("rank").alias("lost"))
         touched = left.select(F.explode(F.array("survivor", "absorbed")).alias("t"), "rank").groupBy(F.col("t").alias("absorbed")).agg(F.min("rank").alias("first"))
         x = left.join(touched, "absorbed").join(as_absorbed, F.col("survivor") == F.col("s"), "left")
         won = cut(x.where((F.col("rank") == F.col("first")) & (F.col("lost").isNull() | (F.col("rank") < F.col("lost")))).select("survivor", "absorbed", "cosine"))
-        out = out.unionByName(won)
+        out = won if out is None else out.unionByName(won)
         gone, stay = won.select("absorbed").distinct(), won.select("survivor").distinct()
         left = left.join(gone, "absorbed", "left_anti").join(gone.select(F.col("absorbed").alias("survivor")), "survivor", "left_anti")
         left = cut(left.join(stay.select(F.col("survivor").alias("absorbed")), "absorbed", "left_anti"))
-    return out.orderBy(F.desc("cosine"), "survivor").limit(cap) if cap else out
+    return out.orderBy(F.desc("cosine"), "survivor", "absorbed").limit(cap) if cap else out
+
+
+def same_event(keep: Callable[[str], Column], drop: Callable[[str], Column], entities: str = "entities", locations: str = "locations", words: str = "words", time: str = "time", centroid: str = "centroid",
+               article_entities: str = "article_entities", article_words: str = "article_words", article_time: str = "article_time", article_vector: str = "article_vector") -> Column:
+    """Whether the first article of the story to drop belongs to the story to keep: stage A does not fail and stage B passes
+    by its vector alone, as no canonical entities are resolved here."""
+    apart = F.timestamp_diff("SECOND", keep(time), drop(article_time)) / 3600.0
+    _, first = stage_a(drop(article_entities), keep(entities), keep(locations), apart, jaccard(drop(article_words), keep(words)))
+    return (first != "FAIL") & (stage_b(cosine(drop(article_vector), keep(centroid)), F.lit(0)) == "PASS")
 
 
 def coref_groups(mentions: DataFrame, block: str, name: str, person: bool = True) -> DataFrame:

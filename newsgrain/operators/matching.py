@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,29 +9,54 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, jaccard
 from ..storage import cut
-from .clustering import _sides
 from .scoring import stage_a, stage_b
 
 
-def candidates(articles: DataFrame, stories: DataFrame, linked: DataFrame, article: str, story: str, entities: str, when: str, most: int = 20) -> DataFrame:
-    """(article, story): stories that share an entity with the article, or have none, and are not linked to it yet; the
-    newest ``most`` an article.
+#: Stories in these states take articles.
+LIVE = ("emerging", "developing", "monitoring", "stable")
 
-    Sharing is an equi-join on the entity. An article has at most as many linked stories as the most linked article, so
-    of each entity, and of the stories without any, only so many more than ``most`` of the newest can be chosen, and
-    only these are joined. A story that a whole corpus shares an entity with costs an article no more than that.
+
+def candidates(articles: DataFrame, stories: DataFrame, linked: DataFrame, article: str, story: str, entities: str, when: str, most: int = 20, seen: str | None = None, state: str | None = None,
+               hours: int = 72, slice_hours: int = 1) -> DataFrame:
+    """(article, story): live stories updated (``when``) in the ``hours`` up to the article's own time ``seen`` that share an
+    entity with it, or have none, and are not linked to it yet; the newest ``most`` an article. An article without
+    entities takes any such story. Entities are compared in lower case. Without ``seen`` all stories are in time; without
+    ``state`` all are live.
+
+    The band in time becomes an equality: of each entity, stories are numbered by time, and an article knows the numbers of
+    the first and the last of them in its window, so it joins the last few of these numbers and nothing else. As many are
+    asked for as can be chosen: ``most``, and one for each story the article is linked to. Numbers are counted within slices
+    of time and added up over the slices, so an entity that all stories share is spread over tasks.
     """
-    links = linked.groupBy(article).agg(F.count_distinct(story).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
-    keep = most + links
-    a = articles.select(article, F.explode(entities).alias("_e"))
-    newest = Window.partitionBy("_e").orderBy(F.desc(when), story)
-    s = stories.select(story, when, F.explode(F.array_distinct(entities)).alias("_e")).withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= keep).drop("_rn")
-    shared = a.join(s, "_e").select(article, story, when).distinct()
-    bare = stories.where(F.coalesce(F.size(entities), F.lit(0)) == 0).orderBy(F.desc(when), story).limit(keep).select(story, when)
-    every = shared.unionByName(articles.select(article).crossJoin(F.broadcast(bare)))  # at most `keep` rows on one side
-    every = every.join(linked.select(article, story), [article, story], "left_anti")
-    w = Window.partitionBy(article).orderBy(F.desc(when), story)
-    return every.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).select(article, story)
+    key = lambda es, extra: F.explode(F.array_distinct(F.concat(F.transform(F.coalesce(es, F.array().cast("array<string>")), lambda x: F.concat(F.lit("="), F.lower(x))), extra)))
+    bare = F.coalesce(F.size(entities), F.lit(0)) == 0
+    none = F.array().cast("array<string>")
+    s = stories if state is None else stories.where(F.col(state).isin(*LIVE))
+    at = F.unix_micros(F.col(when).cast("timestamp"))
+    s = s.where(F.col(when).isNotNull()).select(F.col(story).alias("_s"), at.alias("_t"), key(F.col(entities), F.when(bare, F.array(F.lit("*"), F.lit("-"))).otherwise(F.array(F.lit("*")))).alias("_e"))
+    wants = F.when(bare, F.array(F.lit("*"))).otherwise(F.array(F.lit("-")))
+    links = linked.groupBy(F.col(article).alias("_a")).agg(F.count_distinct(story).alias("_n"))
+    a = articles.select(F.col(article).alias("_a"), (F.unix_micros(F.col(seen).cast("timestamp")) if seen is not None else F.lit(2**60)).alias("_at"), key(F.col(entities), wants).alias("_e")).where("_at is not null")
+    first = F.col("_at") - 3_600_000_000 * hours if seen is not None else F.lit(-(2**60))
+    # before the stories of one moment come the beginnings of windows, after them the ends
+    row = lambda df, t, kind, i, j: df.select("_e", t.alias("_t"), F.lit(kind).alias("_k"), i.alias("_s"), j.alias("_a"))
+    no_story, no_article = F.lit(None).cast(stories.schema[story].dataType), F.lit(None).cast(articles.schema[article].dataType)
+    marks = row(s, F.col("_t"), 1, F.col("_s"), no_article).unionByName(row(a, first, 0, no_story, F.col("_a"))).unionByName(row(a, F.col("_at"), 2, no_story, F.col("_a")))
+    marks = cut(marks.withColumn("_slice", F.floor(F.col("_t") / (3_600_000_000 * slice_hours))))
+    one = (F.col("_k") == 1).cast("long")
+    upto = Window.partitionBy("_e").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = marks.groupBy("_e", "_slice").agg(F.sum(one).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
+    order = Window.partitionBy("_e", "_slice").orderBy("_t", "_k", F.desc("_s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = marks.withColumn("_in", F.sum(one).over(order)).join(before, ["_e", "_slice"]).withColumn("_rank", F.col("_in") + F.col("_before"))
+    marks = cut(marks.select("_e", "_k", "_s", "_a", "_rank"))
+    asked = marks.where("_k <> 1").groupBy("_a", "_e").agg(F.min("_rank").alias("_lo"), F.max("_rank").alias("_hi")).join(links, "_a", "left")
+    asked = asked.withColumn("_lo", F.greatest(F.col("_lo"), F.col("_hi") - most - F.coalesce("_n", F.lit(0)))).where("_hi > _lo")
+    asked = asked.select("_a", "_e", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi"))).alias("_rank"))
+    met = asked.join(marks.where("_k = 1").select("_e", "_rank", "_s"), ["_e", "_rank"]).select("_a", "_s").distinct()
+    met = met.join(linked.select(F.col(article).alias("_a"), F.col(story).alias("_s")), ["_a", "_s"], "left_anti")
+    met = met.join(stories.select(F.col(story).alias("_s"), F.col(when).alias("_when")), "_s")
+    w = Window.partitionBy("_a").orderBy(F.desc("_when"), "_s")
+    return met.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).select(F.col("_a").alias(article), F.col("_s").alias(story))
 
 
 def match_articles(pairs: DataFrame, articles: DataFrame, stories: DataFrame, article: str, story: str, top: int = 3, floor: float = 55.0) -> DataFrame:
@@ -53,38 +77,8 @@ def match_articles(pairs: DataFrame, articles: DataFrame, stories: DataFrame, ar
     return out.select(article, F.coalesce("_pass", "_maybe").alias(story), F.when(F.col("_pass").isNotNull(), "merge").when(F.col("_maybe").isNotNull(), "needs_review").otherwise("new").alias("decision"))
 
 
-def similar(queries: DataFrame, corpus: DataFrame, k: int, least: float, id_col: str = "vec_id", vec: str = "embedding", after: Column | None = None, small: int = 10_000, tables: int = 32, planes: int | None = None) -> DataFrame:
-    """(query, found, cosine, rank): the best ``k`` vectors of the corpus for each query, at least ``least`` alike.
-
-    Up to ``small`` queries are broadcast to the corpus, which stays where it is, and the answer is exact. More are
-    found by random planes (see ``clustering.nearby``) and ranked exactly: queries and corpus meet by their keys, so any
-    number can be asked. ``after`` keeps rows of the corpus.
-    """
-    c = corpus if after is None else corpus.where(after)
-    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "found")
-    q = queries.select(F.col(id_col).alias("query"), F.col(vec).alias("_q"))
-    x = c.select(F.col(id_col).alias("found"), F.col(vec).alias("_c"))
-    if q.limit(small + 1).count() <= small:
-        both = x.join(F.broadcast(q), F.col("query") != F.col("found"))
-    else:
-        both = _by_sides(q, x, planes, tables)
-    both = both.select("query", "found", cosine(F.col("_q"), F.col("_c")).alias("cosine")).where(F.col("cosine") >= least)
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _by_sides(q: DataFrame, x: DataFrame, planes: int | None, tables: int) -> DataFrame:
-    x, q = (cut(df.where(F.size(v) > 0).withColumn(v, F.col(v).cast("array<double>"))) for df, v in ((x, "_c"), (q, "_q")))
-    size = x.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_c")).alias("dims")).first()
-    planes = planes or max(8, min(20, int(math.log2(max(size["n"], 2))) - 3))
-    sides = _sides(size["dims"] or 1, planes, tables, 5)
-    key = lambda df, i, v: cut(df.select(F.col(i).alias("id"), v).mapInArrow(sides, f"id {df.schema[i].dataType.simpleString()}, k long"))
-    met = key(q, "query", "_q").select(F.col("id").alias("query"), "k").join(key(x, "found", "_c").select(F.col("id").alias("found"), "k"), "k")
-    met = met.where("query != found").select("query", "found").distinct()
-    return met.join(q, "query").join(x, "found")
-
-
-def title_words(c: Column, most: int = 12) -> Column:
-    return F.slice(F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z]+"), lambda w: F.length(w) > 3)), 1, most)
+def title_words(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z]+"), lambda w: F.length(w) > 3))
 
 
 def capital_names(c: Column, stop: Sequence[str] = ()) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_line
 from ..functions.vector import cosine, jaccard
-from ..operators import clustering, matching, scoring, story
+from ..operators import clustering, matching, neighbours, scoring, story
+from ..storage import cut
 
 
 def _t(spark, d, name):
@@ -57,12 +58,14 @@ def sc11(spark, d):
 
 
 def jn3(spark, d):
-    x = _t(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("p"), F.col("l_partkey") % 500).alias("e"))
+    x = _t(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("P"), F.col("l_partkey") % 500).alias("e"))
     o = _t(spark, d, "orders").join(x.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("e").alias("ents")), "o_orderkey", "left")
-    a = o.where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("article"), F.coalesce("ents", F.array().cast("array<string>")).alias("ents"))
-    s = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("story"), "o_orderdate", F.coalesce("ents", F.array().cast("array<string>")).alias("ents"))
+    o = o.withColumn("ents", F.when(F.col("o_orderkey") % 11 > 0, F.col("ents")))  # some have no entities
+    a = o.where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("article"), F.transform("ents", F.lower).alias("ents"), F.col("o_orderdate").alias("seen"))
+    state = F.element_at(F.array(*[F.lit(x) for x in ("emerging", "developing", "archived", "stable", "monitoring")]), (F.col("o_custkey") % 5 + 1).cast("int"))
+    s = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("story"), "o_orderdate", "ents", state.alias("state"))
     linked = a.select("article", (F.col("article") - 1).alias("story"))
-    return matching.candidates(a, s, linked, "article", "story", "ents", "o_orderdate", 5)
+    return matching.candidates(a, s, linked, "article", "story", "ents", "o_orderdate", 20, "seen", "state")
 
 
 def jn4(spark, d):
@@ -73,13 +76,13 @@ def jn4(spark, d):
     s = x.where("doc_id % 2 = 0").select(F.col("doc_id").alias("story"), F.col("ents").alias("s_entities"), F.when(F.col("doc_id") % 4 == 0, F.col("places")).otherwise(F.array().cast("array<string>")).alias("s_locations"), F.col("words").alias("s_words"), F.col("t").alias("s_time"), F.col("embedding").alias("s_vec"))
     none = a.select("article", F.lit(-1).cast("long").alias("story"))
     pairs = matching.candidates(
-        a.select("article", F.col("a_entities").alias("e")), s.select("story", "s_time", F.col("s_entities").alias("e")), none, "article", "story", "e", "s_time")
+        a.select("article", "a_time", F.col("a_entities").alias("e")), s.select("story", "s_time", F.col("s_entities").alias("e")), none, "article", "story", "e", "s_time", seen="a_time")
     return matching.match_articles(pairs, a, s, "article", "story", 3, 50.0)
 
 
 def jn5(spark, d):
     v = _t(spark, d, "embeddings")
-    return matching.similar(v.where("vec_id % 100 = 0"), v, 5, 0.2).select("query", "found", F.round("cosine", 6).alias("cosine"), "rank")
+    return neighbours.similar(v.where("vec_id % 100 = 0"), v, 5, 0.2).select("query", "found", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 def agg4(spark, d):
@@ -98,11 +101,32 @@ def clu3(spark, d):
 
 
 def clu4(spark, d):
-    return clustering.cluster_vectors(_v(spark, d), "vec_id", "embedding", 0.9)
+    return clustering.cluster_vectors(_v(spark, d), "vec_id", "embedding", 0.9, method="exact")
+
+
+def clu4_close(spark, d):
+    """The distance that batch clustering has by default, by planes that miss one of ten million pairs at that distance."""
+    v = _t(spark, d, "embeddings")
+    near = v.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("_o"))
+    mix = F.zip_with("embedding", "_o", lambda a, b: 0.2 * a.cast("double") + 0.8 * b.cast("double"))
+    x = v.join(near, "vec_id", "left").select("vec_id", F.when((F.col("vec_id") % 3 > 0) & F.col("_o").isNotNull(), mix).otherwise(F.col("embedding").cast("array<double>")).alias("embedding"))
+    return clustering.cluster_vectors(x, "vec_id", "embedding", 0.35, method="planes", recall=1 - 1e-7)
+
+
+def jn5_recall(spark, d):
+    """How many pairs at three thresholds there are, and whether planes with recall 0.95 find nine tenths of them."""
+    v = cut(_v(spark, d))
+    out = None
+    for least in (0.595, 0.72, 0.9):
+        every = neighbours.nearby(v, "vec_id", "embedding", least, method="exact").agg(F.count(F.lit(1)).alias("pairs"))
+        found = neighbours.nearby(v, "vec_id", "embedding", least).agg(F.count(F.lit(1)).alias("found"))
+        row = every.crossJoin(found).select(F.lit(least).alias("least"), "pairs", (F.col("found") * 10 >= F.col("pairs") * 9).alias("enough"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def agg36(spark, d):
-    return clustering.cluster_quality(clustering.cluster_vectors(_v(spark, d), "vec_id", "embedding", 0.9))
+    return clustering.cluster_quality(clustering.cluster_vectors(_v(spark, d), "vec_id", "embedding", 0.9, method="exact"))
 
 
 def clu5(spark, d):
@@ -122,8 +146,18 @@ def clu7(spark, d):
 
 
 def clu8(spark, d):
-    v = _v(spark, d).withColumn("size", F.col("vec_id") % 7)
-    return clustering.find_duplicate_stories(v, "vec_id", "embedding", "size").select("survivor", "absorbed", F.round("cosine", 6).alias("cosine"))
+    raw = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("article_vector"))
+    k = F.col("vec_id")
+    tag = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    near = F.floor((k + 1) / 4)
+    v = _v(spark, d).join(raw, "vec_id").withColumn("time", F.timestamp_add("MINUTE", (k % 300 * 10).cast("int"), F.lit("2024-01-01").cast("timestamp")))
+    v = v.select("vec_id", F.col("embedding").alias("centroid"), "article_vector", (k % 7).alias("size"), "time", F.array(tag("x", near % 5), tag("y", k % 3)).alias("entities"),
+                 F.when(k % 3 == 0, F.array(tag("x", near % 5))).otherwise(F.array().cast("array<string>")).alias("locations"), F.array(tag("w", near % 6), tag("v", k % 2)).alias("words"),
+                 F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(tag("x", near % 5), tag("y", k % 3))).alias("article_entities"), F.array(tag("w", near % 6), tag("u", k % 2)).alias("article_words"),
+                 F.timestamp_add("HOUR", (-(k % 40)).cast("int"), F.col("time")).alias("article_time"))
+    now = F.lit("2024-01-03 02:00:00").cast("timestamp")
+    found = clustering.find_duplicate_stories(v, "vec_id", "centroid", "size", 0.60, 25, "time", now, 48, clustering.same_event, method="exact")
+    return found.select("survivor", "absorbed", F.round("cosine", 6).alias("cosine"))
 
 
 def clu9(spark, d):
@@ -149,20 +183,20 @@ QUERIES = {
         SELECT a.vec_id AS a, b.vec_id AS b, round(0.45::DOUBLE * {_COS.format('a.embedding', 'b.embedding')} + 0.25::DOUBLE * len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) + 0.15::DOUBLE * len(list_intersect(a.n, b.n)) / len(list_distinct(a.n || b.n)) + 0.10::DOUBLE * 0.95 + 0.05::DOUBLE * CASE WHEN a.label = b.label THEN 0.8 ELSE 1.0 END, 6) AS score FROM e a JOIN e b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 5"""),
     "sc8_cosine": (sc8, f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, round({_COS.format('a.embedding', 'b.embedding')}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id // 16 = b.vec_id // 16 WHERE {_COS.format('a.embedding', 'b.embedding')} >= 0.25"),
     "sc10_stage_a": (sc10, r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) > 3) AS w FROM documents),
-        u AS (SELECT doc_id, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1])[1:12] AS w FROM d),
+        u AS (SELECT doc_id, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1]) AS w FROM d),
         p AS (SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN a.doc_id % 7 = 0 THEN []::VARCHAR[] ELSE ['x' || (a.doc_id % 3), 'y' || (a.doc_id % 5)] END AS ea, ['x' || (b.doc_id % 3), 'y' || (b.doc_id % 5)] AS eb, CASE WHEN b.doc_id % 2 = 0 THEN []::VARCHAR[] ELSE ['x' || (b.doc_id % 3)] END AS l, abs(a.doc_id - b.doc_id) AS h,
            CASE WHEN len(list_distinct(a.w || b.w)) > 0 THEN len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))::DOUBLE ELSE 0 END AS j FROM u a JOIN u b ON b.doc_id > a.doc_id AND b.doc_id <= a.doc_id + 5),
         s AS (SELECT a, b, round(CASE WHEN len(ea) = 0 THEN 17.5 ELSE 35 * len(list_intersect(ea, eb)) / 2.0 END::DOUBLE + CASE WHEN len(l) = 0 THEN 10 WHEN len(ea) = 0 THEN 0 ELSE 20 * len(list_intersect(ea, l)) END::DOUBLE + CASE WHEN h <= 24 THEN 15 WHEN h <= 72 THEN 7.5 ELSE 0 END::DOUBLE + 20 * j + 10 * (1.0::DOUBLE - 4 * 0.2::DOUBLE), 6) AS score FROM p)
         SELECT a, b, score, CASE WHEN score >= 60 THEN 'PASS' WHEN score >= 45 THEN 'MAYBE' ELSE 'FAIL' END AS outcome FROM s"""),
     "sc11_stage_b": (sc11, f"""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format('a.embedding', 'b.embedding')} + 0.4 AS c, (a.vec_id + b.vec_id) % 9 - 6 AS s FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 5)
         SELECT a, b, CASE WHEN c >= 0.72 OR s >= 2 THEN 'PASS' WHEN c >= 0.67 OR s >= 1 THEN 'MAYBE' ELSE 'FAIL' END AS outcome FROM p"""),
-    "jn3_candidates": (jn3, """WITH e AS (SELECT o_orderkey AS k, o_orderdate AS t, list(DISTINCT 'p' || (l_partkey % 500)) FILTER (l_partkey IS NOT NULL) AS e FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
-        p AS (SELECT a.k AS article, s.k AS story, s.t FROM e a JOIN e s ON a.k % 2 = 1 AND s.k % 2 = 0 AND s.k <> a.k - 1 WHERE s.e IS NULL OR list_has_any(a.e, s.e)),
-        r AS (SELECT *, row_number() OVER (PARTITION BY article ORDER BY t DESC, story) AS rn FROM p) SELECT article, story FROM r WHERE rn <= 5"""),
+    "jn3_candidates": (jn3, """WITH e AS (SELECT o_orderkey AS k, o_orderdate AS t, o_custkey % 5 <> 2 AS live, CASE WHEN o_orderkey % 11 > 0 THEN list(DISTINCT 'p' || (l_partkey % 500)) FILTER (l_partkey IS NOT NULL) END AS e FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+        p AS (SELECT a.k AS article, s.k AS story, s.t FROM e a JOIN e s ON a.k % 2 = 1 AND s.k % 2 = 0 AND s.k <> a.k - 1 AND s.live AND s.t <= a.t AND s.t >= a.t - INTERVAL 72 HOUR WHERE s.e IS NULL OR a.e IS NULL OR list_has_any(a.e, s.e)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY article ORDER BY t DESC, story) AS rn FROM p) SELECT article, story FROM r WHERE rn <= 20"""),
     "jn4_match_cascade": (jn4, r"""WITH d AS (SELECT doc_id, embedding, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) > 3) AS w, ['s' || source, 'd' || (doc_id % 6)] AS e, CASE WHEN doc_id % 4 = 0 THEN ['s' || source, 'c' || lang] ELSE []::VARCHAR[] END AS l FROM documents JOIN embeddings ON doc_id = vec_id),
-        u AS (SELECT doc_id, embedding, e, l, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1])[1:12] AS w FROM d),
+        u AS (SELECT doc_id, embedding, e, l, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1]) AS w FROM d),
         c AS (SELECT a.doc_id AS article, s.doc_id AS story, a.doc_id - s.doc_id AS h, len(list_intersect(a.e, s.e)) AS sh, CASE WHEN len(s.l) = 0 THEN 10 ELSE 20 * len(list_intersect(a.e, s.l)) / 2.0::DOUBLE END AS lo, list_cosine_similarity(a.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS cs, CASE WHEN len(list_distinct(a.w || s.w)) > 0 THEN len(list_intersect(a.w, s.w)) / len(list_distinct(a.w || s.w))::DOUBLE ELSE 0 END AS j,
-            row_number() OVER (PARTITION BY a.doc_id ORDER BY s.doc_id DESC) AS rn FROM u a JOIN u s ON a.doc_id % 2 = 1 AND s.doc_id % 2 = 0 AND list_has_any(a.e, s.e)),
+            row_number() OVER (PARTITION BY a.doc_id ORDER BY s.doc_id DESC) AS rn FROM u a JOIN u s ON a.doc_id % 2 = 1 AND s.doc_id % 2 = 0 AND a.doc_id - s.doc_id BETWEEN 0 AND 72 AND list_has_any(a.e, s.e)),
         s AS (SELECT *, round(35 * sh / 2.0::DOUBLE + lo + CASE WHEN abs(h) <= 24 THEN 15 WHEN abs(h) <= 72 THEN 7.5 ELSE 0 END::DOUBLE + 20 * j + 10 * (1.0::DOUBLE - 4 * 0.2::DOUBLE), 6) AS score FROM c WHERE rn <= 20),
         k AS (SELECT *, row_number() OVER (PARTITION BY article ORDER BY score DESC, story) AS rank, CASE WHEN cs >= 0.72 OR sh >= 2 THEN 'PASS' WHEN cs >= 0.67 OR sh >= 1 THEN 'MAYBE' ELSE 'FAIL' END AS b FROM s WHERE score >= 45),
         g AS (SELECT article, arg_min(story, rank) FILTER (b = 'PASS') AS p, arg_min(story, rank) FILTER (b = 'MAYBE' AND score >= 50) AS m FROM k WHERE rank <= 3 GROUP BY 1)
@@ -177,6 +211,11 @@ QUERIES = {
     "clu3_fingerprint_groups": (clu3, """WITH RECURSIVE f AS (SELECT doc_id, unnest(['t' || text, 'h' || split_part(text, chr(10), 1)]) AS fp FROM documents), l AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.fp = b.fp AND a.doc_id <> b.doc_id),
         r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a) SELECT x AS doc_id, min(y) AS root FROM r GROUP BY x"""),
     "clu4_vector_clusters": (clu4, _CLUSTER + " SELECT vec_id, root FROM c"),
+    "clu4_close_vectors": (clu4_close, """WITH RECURSIVE v AS (SELECT a.vec_id, CASE WHEN a.vec_id % 3 > 0 AND b.vec_id IS NOT NULL THEN list_transform(list_zip(a.embedding, b.embedding), lambda p: 0.2 * p[1]::DOUBLE + 0.8 * p[2]::DOUBLE) ELSE a.embedding::DOUBLE[] END AS e FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id - 1),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 1 - 0.35::DOUBLE * 0.35 / 2),
+        r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a) SELECT x AS vec_id, min(y) AS root FROM r GROUP BY x"""),
+    "jn5_recall": (jn5_recall, f"""WITH {_MIXED}, c AS (SELECT list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id < b.vec_id)
+        SELECT t.least::DOUBLE AS least, count(*) FILTER (c >= t.least) AS pairs, true AS enough FROM c, (VALUES (0.595::DOUBLE), (0.72::DOUBLE), (0.9::DOUBLE)) AS t(least) GROUP BY 1"""),
     "clu5_micro_clusters": (clu5, """WITH RECURSIVE v AS (SELECT vec_id // 32 AS day, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY vec_id // 32 ORDER BY vec_id) AS rn FROM embeddings),
         r AS (SELECT day, rn, vec_id, vec_id AS leader, [struct_pack(id := vec_id, e := e)] AS ls FROM v WHERE rn = 1
           UNION ALL SELECT day, rn, vec_id, coalesce(hit, vec_id), CASE WHEN hit IS NULL THEN list_append(ls, struct_pack(id := vec_id, e := e)) ELSE ls END
@@ -195,12 +234,19 @@ QUERIES = {
           UNION ALL SELECT story, rn, vec_id, coalesce(hit, vec_id), CASE WHEN hit IS NULL THEN list_append(ls, struct_pack(id := vec_id, e := e)) ELSE ls END
             FROM (SELECT v.story, v.rn, v.vec_id, v.e, r.ls, list_filter(r.ls, lambda x: list_cosine_similarity(x.e, v.e) >= 0.0)[1].id AS hit FROM r JOIN v ON v.story = r.story AND v.rn = r.rn + 1))
         SELECT vec_id, CASE WHEN coalesce(mean, 1.0) >= 0.0 THEN min(vec_id) OVER (PARTITION BY story) ELSE leader END AS leader FROM r LEFT JOIN m USING (story)"""),
-    "clu8_duplicate_stories": (clu8, f"""WITH RECURSIVE {_MIXED}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS c, a.vec_id % 7 > b.vec_id % 7 OR (a.vec_id % 7 = b.vec_id % 7 AND a.vec_id < b.vec_id) AS first FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.72),
-        o AS (SELECT CASE WHEN first THEN a ELSE b END AS s, CASE WHEN first THEN b ELSE a END AS x, c FROM p), q AS (SELECT *, row_number() OVER (ORDER BY c DESC, s, x) AS rn FROM o),
+    "clu8_duplicate_stories": (clu8, f"""WITH RECURSIVE {_MIXED},
+        f AS (SELECT v.vec_id AS k, v.e, embeddings.embedding::DOUBLE[] AS av, TIMESTAMP '2024-01-01' + to_minutes(v.vec_id % 300 * 10) AS t, ['x' || ((v.vec_id + 1) // 4 % 5), 'y' || (v.vec_id % 3)] AS ents,
+            CASE WHEN v.vec_id % 3 = 0 THEN ['x' || ((v.vec_id + 1) // 4 % 5)] ELSE [] END AS loc, ['w' || ((v.vec_id + 1) // 4 % 6), 'v' || (v.vec_id % 2)] AS ws, ['w' || ((v.vec_id + 1) // 4 % 6), 'u' || (v.vec_id % 2)] AS aws FROM v JOIN embeddings USING (vec_id)),
+        w AS (SELECT *, CASE WHEN k % 5 = 0 THEN [] ELSE ents END AS ae, t - to_hours(k % 40) AS at FROM f WHERE t BETWEEN TIMESTAMP '2024-01-03 02:00:00' - INTERVAL 48 HOUR AND TIMESTAMP '2024-01-03 02:00:00'),
+        g AS (SELECT s, x, list_cosine_similarity(s.e, x.e) AS c FROM w s JOIN w x ON s.k % 7 > x.k % 7 OR (s.k % 7 = x.k % 7 AND s.k < x.k)),
+        p AS (SELECT s.k AS s, x.k AS x, c, CASE WHEN len(x.ae) = 0 THEN 17.5 ELSE 35 * len(list_intersect(x.ae, s.ents)) / 2.0 END::DOUBLE + CASE WHEN len(s.loc) = 0 THEN 10 WHEN len(x.ae) = 0 THEN 0 ELSE 20 * len(list_intersect(x.ae, s.loc)) END::DOUBLE
+            + CASE WHEN abs(epoch(s.t) - epoch(x.at)) <= 86400 THEN 15 WHEN abs(epoch(s.t) - epoch(x.at)) <= 259200 THEN 7.5 ELSE 0 END::DOUBLE + 20.0::DOUBLE * len(list_intersect(x.aws, s.ws)) / len(list_distinct(x.aws || s.ws)) + 2 AS score,
+            list_cosine_similarity(x.av, s.e) AS b FROM g WHERE c >= 0.6),
+        q AS (SELECT s, x, c, row_number() OVER (ORDER BY c DESC, s, x) AS rn FROM p WHERE score >= 45 AND b >= 0.72),
         r AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS s, 0::BIGINT AS x, 0.0::DOUBLE AS c, false AS ok, []::BIGINT[] AS gone, []::BIGINT[] AS kept
           UNION ALL SELECT rn, s, x, c, ok, CASE WHEN ok THEN list_append(gone, x) ELSE gone END, CASE WHEN ok THEN list_append(kept, s) ELSE kept END
             FROM (SELECT q.rn, q.s, q.x, q.c, r.gone, r.kept, NOT list_contains(r.gone, q.s) AND NOT list_contains(r.gone, q.x) AND NOT list_contains(r.kept, q.x) AS ok FROM r JOIN q ON q.rn = r.rn + 1))
-        SELECT s AS survivor, x AS absorbed, round(c, 6) AS cosine FROM r WHERE ok"""),
+        SELECT s AS survivor, x AS absorbed, round(c, 6) AS cosine FROM r WHERE ok ORDER BY c DESC, s, x LIMIT 25"""),
     "clu9_coref_groups": (clu9, """WITH n AS (SELECT DISTINCT c_nationkey, ['Dr ', '', 'Ann '][c_custkey % 3 + 1] || 'Lee' || (c_custkey % 4) AS name, c_custkey % 4 AS k FROM customer)
         SELECT c_nationkey, name, first_value(name) OVER (PARTITION BY c_nationkey, k ORDER BY length(name) DESC, name DESC) AS representative FROM n"""),
     "clu10_alias_chains": (clu10, "SELECT p_partkey AS id, p_partkey - p_partkey % 8 AS target FROM part"),

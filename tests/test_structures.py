@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from newsgrain.operators import clustering, compare, dedup, maintenance, matching, serving, telemetry
+from newsgrain.operators import clustering, compare, dedup, maintenance, matching, neighbours, serving, telemetry
 from newsgrain.plans import streams as stream_queries
 from newsgrain.sources import records
 from newsgrain.streaming import streams
@@ -82,14 +82,14 @@ def test_planes_find_close_vectors(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 150")
     copies = v.select((F.col("vec_id") + 1000).alias("vec_id"), "label", F.transform("embedding", lambda x: x * 1.001).alias("embedding"))
     every = v.unionByName(copies)
-    exact = {(r.a, r.b) for r in clustering.nearby(every, "vec_id", "embedding", 0.95, exact=True).collect()}
-    found = {(r.a, r.b) for r in clustering.nearby(every, "vec_id", "embedding", 0.95, planes=6, tables=4).collect()}
+    exact = {(r.a, r.b) for r in clustering.nearby(every, "vec_id", "embedding", 0.95, method="exact").collect()}
+    found = {(r.a, r.b) for r in clustering.nearby(every, "vec_id", "embedding", 0.95, recall=0.99).collect()}
     assert found <= exact and len(found) >= 0.95 * len(exact) > 0
     near = v.select((F.col("vec_id") + 5000).alias("vec_id"), "label", F.zip_with("embedding", F.reverse("embedding"), lambda x, y: x + 0.35 * y).alias("embedding"))
     mixed = v.unionByName(near).unionByName(v.select((F.col("vec_id") + 9000).alias("vec_id"), "label", "embedding"))  # and exact copies
-    exact = {(r.a, r.b) for r in clustering.nearby(mixed.where("vec_id < 9000"), "vec_id", "embedding", 0.9, exact=True).collect()}
-    for planes in (None, 14):
-        found = {(r.a, r.b) for r in clustering.nearby(mixed, "vec_id", "embedding", 0.9, planes=planes).collect()}
+    exact = {(r.a, r.b) for r in clustering.nearby(mixed.where("vec_id < 9000"), "vec_id", "embedding", 0.9, method="exact").collect()}
+    for cap in (16384, 7):  # buckets that fit a tile, and such as are cut into tiles
+        found = {(r.a, r.b) for r in clustering.nearby(mixed, "vec_id", "embedding", 0.9, recall=0.97, cap=cap).collect()}
         assert {(a, b) for a, b in found if b >= 9000} == {(i, i + 9000) for i in range(150)}
         assert len(exact & found) >= 0.95 * len(exact) > 100
     odd = spark.createDataFrame([(1, None), (2, []), (3, [0.0, 0.0]), (4, [0.0, 0.0])], "vec_id long, embedding array<double>")
@@ -99,8 +99,8 @@ def test_planes_find_close_vectors(spark, sf):
 def test_many_queries_find_what_few_do(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = v.select("vec_id", F.zip_with("embedding", F.reverse("embedding"), lambda x, y: x + 0.3 * y).alias("embedding")).withColumn("vec_id", F.col("vec_id") + 10000)
-    exact = {(r.query, r.found, r.rank) for r in matching.similar(q, v, 1, 0.8).collect()}
-    found = {(r.query, r.found, r.rank) for r in matching.similar(q, v, 1, 0.8, small=10).collect()}
+    exact = {(r.query, r.found, r.rank) for r in neighbours.similar(q, v, 1, 0.8).collect()}
+    found = {(r.query, r.found, r.rank) for r in neighbours.similar(q, v, 1, 0.8, method="planes").collect()}
     assert len(exact & found) >= 0.9 * len(exact) > 100 and found <= exact | found
 
 
@@ -117,7 +117,7 @@ def test_pairs_in_order_equal_a_loop(spark):
     r = random.Random(4)
     rows = [(i, [r.gauss(0, 1), r.gauss(0, 1), r.gauss(0, 0.3)], r.randint(1, 5)) for i in range(60)]
     rows += [(100, rows[3][1], 9), (101, rows[3][1], 9)]
-    got = clustering.find_duplicate_stories(spark.createDataFrame(rows, "id long, v array<double>, n int"), "id", "v", "n", sure=0.95, exact=True).collect()
+    got = clustering.find_duplicate_stories(spark.createDataFrame(rows, "id long, v array<double>, n int"), "id", "v", "n", sure=0.95, method="exact").collect()
     dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
     pairs = []
     for i, (a, x, m) in enumerate(rows):
