@@ -6,23 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import new_place
 from .common import bounded_batches, counted_cut, cut, table
 
-LONGEST, LEAST, SHARDS, KEEP = 5, 100, 4, 2000
+LONGEST, LEAST, SHARDS, KEEP = 5, 100, 3, 2000
 _FOLD = bytes(ord(".") if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STOP = b"."
-_BLOCK = 4 << 20
+_BLOCK = 12 << 20
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 _BUCKET = 1 << 15  # bits in a row of bitmap_construct_agg
 _MOST_BITS = 25
-_AT_ONCE = 300_000
+_AT_ONCE = 500_000
 _NEVER = 255
-_ROWS = "part string, k int, phrase string, h long, c long"
+_ROWS = "part string, k int, phrase string, c long"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,32 +56,46 @@ def blocks(data: bytes, size: int, ahead: int) -> Iterator[tuple[bytes, bytes]]:
         at = end
 
 
-def count_grams(data: bytes, more: bytes, seed: int, t: int, step: np.ndarray | None, shards: int, longest: int = LONGEST) -> list[tuple]:
-    """(k, phrase, hash, count) of a block at visit ``t``: in the first cycle its number of words (k 0) and each word (k 1);
-    and the longer phrases that begin in it and are being counted: whose subphrases were both first marked in ``step``
-    before ``t``, the later of them at most ``shards`` visits ago.
+def _hash_words(words: list[bytes], seed: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
+
+
+def phrase_hash(phrase: bytes, seed: int) -> int:
+    """The hash of a phrase as ``count_grams`` has it."""
+    words = _hash_words(phrase.split(b" "), seed)
+    h = words[:1]
+    for w in words[1:]:
+        h = _mix(h * _TURN + w)
+    return int(h[0])
+
+
+def count_grams(data: bytes, more: bytes, seed: int, t: int, marks: np.ndarray | None, shards: int, longest: int = LONGEST) -> list[tuple[int, pa.Array, np.ndarray]]:
+    """(k, phrases, counts) of a block at visit ``t``: in the first cycle its number of words (k 0) and each word (k 1); and the
+    longer phrases that begin in it and are being counted: whose subphrases were both first marked before ``t``, the later
+    of them at most ``shards`` visits ago.
 
     Phrases are told apart by the numbers of their words, not by their hashes.
     """
     own = tokens(data)
-    both = own + tokens(more)
-    if not own:
+    size = len(own)
+    if not size:
         return []
-    coded = pa.array(both, pa.binary()).dictionary_encode()
-    codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
-    stop = np.array([w == _STOP for w in words])
+    coded = pa.array(own + tokens(more), pa.binary()).dictionary_encode()
+    del own
+    codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    hashes = _hash_words(words.to_pylist(), seed)
+    stop = pa.compute.equal(words, _STOP).to_numpy(zero_copy_only=False)
     out = []
     if t < shards:
-        times = np.bincount(codes[: len(own)], minlength=len(words))
+        times = np.bincount(codes[:size], minlength=len(words))
         times[stop] = 0
-        out.append((0, b"", 0, int(times.sum())))
-        out += [(1, words[i], hashes[i], times[i]) for i in np.flatnonzero(times)]
-    if step is None:
+        some = np.flatnonzero(times)
+        out += [(0, pa.array([b""], pa.binary()), times.sum(keepdims=True)), (1, words.take(pa.array(some)), times[some])]
+    if marks is None:
         return out
-    mask = np.uint64(len(step) - 1)
+    mask = np.uint64(len(marks) - 1)
     at, h = np.arange(len(codes)), hashes[codes]  # phrases of k - 1 words whose own subphrases are marked, where they begin
-    since = np.where(stop, _NEVER, step[(hashes & mask).astype(np.int64)])[codes]
+    since = np.where(stop, _NEVER, marks[(hashes & mask).astype(np.int64)])[codes]
     keep = since != _NEVER
     at, h, since = at[keep], h[keep], since[keep].astype(np.int64)
     for k in range(2, longest + 1):
@@ -89,15 +104,15 @@ def count_grams(data: bytes, more: bytes, seed: int, t: int, step: np.ndarray |
             break
         start = np.maximum(since[front], since[front + 1])
         at, h = at[front], _mix(h[front] * _TURN + hashes[codes[at[front] + k - 1]])
-        now = np.flatnonzero((start >= t - shards) & (at < len(own)))
+        now = at[(start >= t - shards) & (at < size)]
         if len(now):
-            number = codes[at[now]]
+            number = codes[now]
             for j in range(1, k):
-                _, first, number = np.unique(number * len(words) + codes[at[now] + j], return_index=True, return_inverse=True)
-            places = at[now[first]]
-            out += [(k, b" ".join([words[c] for c in codes[p : p + k]]), x, n) for p, x, n in zip(places.tolist(), h[now[first]], np.bincount(number).tolist(), strict=True)]
+                _, first, number = np.unique(number * len(words) + codes[now + j], return_index=True, return_inverse=True)
+            texts = pa.compute.binary_join_element_wise(*[words.take(pa.array(codes[now[first] + j])) for j in range(k)], b" ")
+            out.append((k, texts, np.bincount(number)))
         if k < longest:
-            since = step[(h & mask).astype(np.int64)].astype(np.int64)
+            since = marks[(h & mask).astype(np.int64)].astype(np.int64)
             keep = since != _NEVER
             at, h, since = at[keep], h[keep], since[keep]
     return out
@@ -109,11 +124,10 @@ def _scan(t: int, step, shards: int, longest: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(step.value, np.uint8) if step is not None else None
 
-        def told(part: str, data: bytes, more: bytes = b"") -> pa.RecordBatch:
-            rows = count_grams(data, more, xxhash.xxh64_intdigest(part.encode()), t, marks, shards, longest)
-            k, phrase, h, c = zip(*rows, strict=True) if rows else ([], [], [], [])
-            return pa.RecordBatch.from_arrays([pa.array([part] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()),
-                                               pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.array(c, np.int64))], ["part", "k", "phrase", "h", "c"])
+        def told(part: str, data: bytes, more: bytes = b"") -> Iterator[pa.RecordBatch]:
+            for k, texts, times in count_grams(data, more, xxhash.xxh64_intdigest(part.encode()), t, marks, shards, longest):
+                n = len(times)
+                yield pa.RecordBatch.from_arrays([pa.repeat(part, n), pa.repeat(pa.scalar(k, pa.int32()), n), texts.cast(pa.string()), pa.array(times, pa.int64())], ["part", "k", "phrase", "c"])
 
         held, sizes = {}, {}
         for b in batches:
@@ -121,16 +135,16 @@ def _scan(t: int, step, shards: int, longest: int, block: int):
                 data = (text or b"").translate(_FOLD)
                 if len(data) > block:
                     for x in blocks(data, block, longest - 1):
-                        yield told(part, *x)
+                        yield from told(part, *x)
                     continue
                 held.setdefault(part, []).append(data)
                 sizes[part] = sizes.get(part, 0) + len(data) + 1
-                if sizes[part] >= block or sum(sizes.values()) >= 4 * block:
+                if sizes[part] >= block or sum(sizes.values()) >= 2 * block:
                     full = max(sizes, key=sizes.get)
                     sizes.pop(full)
-                    yield told(full, _STOP.join(held.pop(full)))
+                    yield from told(full, _STOP.join(held.pop(full)))
         for part, texts in held.items():
-            yield told(part, _STOP.join(texts))
+            yield from told(part, _STOP.join(texts))
 
     return run
 
@@ -142,34 +156,38 @@ class _Visits:
     """Counts of each visit, as tables in two parts: phrases that one visit alone shows to be worth adding up, and others."""
 
     def __init__(self, spark, least: int, shards: int):
-        self.spark, self.least, self.shards, self.places, self.hot = spark, least, shards, [], []
+        self.spark, self.least, self.shards, self.places = spark, least, shards, []
 
     def add(self, found: DataFrame) -> None:
         """A phrase that occurs ``least`` times in a cycle occurs ``least / shards`` times in one of its shards."""
-        seen = Observation()
         found = found.withColumn("hot", (F.col("k") == 0) | (F.col("c") * self.shards >= self.least))
         self.places.append(new_place(self.spark))
-        found.observe(seen, F.count_if("hot").alias("n")).write.partitionBy("hot").parquet(self.places[-1])
-        self.hot.append(seen.get["n"])
+        found.write.partitionBy("hot").parquet(self.places[-1])
 
     def frequent(self, since: int = 0) -> DataFrame:
-        """(part, k, phrase, h, c): what occurs ``least`` times or more in the visits from ``since`` on, and rows with k 0."""
+        """(part, k, phrase, c): what occurs ``least`` times or more in the visits from ``since`` on, and rows with k 0."""
         every = None
         for place in self.places[since:]:
             x = self.spark.read.schema(f"{_ROWS}, hot boolean").parquet(place)
             every = x if every is None else every.unionByName(x)
         hot = every.where("hot").drop("hot")
-        names = hot.select(*_KEY).distinct()
-        if sum(self.hot[since:]) <= _AT_ONCE:
+        names, n = counted_cut(hot.select(*_KEY).distinct())
+        if n <= _AT_ONCE:
             names = F.broadcast(names)
         found = hot.unionByName(every.where("not hot").drop("hot").join(names, _KEY, "left_semi"))
-        return found.groupBy(*_KEY).agg(F.min("h").alias("h"), F.sum("c").alias("c")).where((F.col("k") == 0) | (F.col("c") >= self.least))
+        return found.groupBy(*_KEY).agg(F.sum("c").alias("c")).where((F.col("k") == 0) | (F.col("c") >= self.least))
 
 
 def _bits(reached: DataFrame, bits: int) -> np.ndarray:
     """The places of the hashes of ``reached`` among 2**bits, at most 2**10 rows of 4 KB on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [phrase_hash(p.encode(), xxhash.xxh64_intdigest(x.encode())) for x, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64))], ["h"])
+
     at = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = reached.groupBy(F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(_BUCKET - 1))).alias("set")).collect()
+    rows = reached.select("part", "phrase").mapInArrow(run, "h long").groupBy(F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(_BUCKET - 1))).alias("set")).collect()
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows:
         out[r["bucket"] * _BUCKET // 8 : (r["bucket"] + 1) * _BUCKET // 8] = np.frombuffer(bytes(r["set"]), np.uint8)
@@ -206,10 +224,10 @@ def frequent_phrases(docs: DataFrame, part: str = "lang", text_col: str = "text"
     visits, marks, step, t, last = _Visits(spark, least, shards), None, None, 0, shards - 1
     while t <= last:
         found = rows.where(F.col("shard") == t % shards).select("part", "text").mapInArrow(_scan(t, step, shards, longest, block), _ROWS)
-        visits.add(found.groupBy(*_KEY).agg(F.min("h").alias("h"), F.sum("c").alias("c")))
+        visits.add(found.groupBy(*_KEY).agg(F.sum("c").alias("c")))
         reached = visits.frequent(max(0, t - shards + 1)).where(F.col("k").between(1, longest - 1))
         if marks is None:
-            bits = min(_MOST_BITS, max(16, (512 * sum(visits.hot)).bit_length()))
+            bits = min(_MOST_BITS, max(16, (512 * reached.count()).bit_length()))
             marks = np.full(1 << bits, _NEVER, np.uint8)
         new = _bits(reached, bits) & (marks == _NEVER)
         if new.any():
