@@ -40,9 +40,17 @@ def normalize_headline(col: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
+def fold(col: Column) -> Column:
+    """NFKC, then case folding, by the Unicode library that Spark has for its collations; null gives ""."""
+    x = F.coalesce(col, F.lit(""))
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+    return F.when(has_non_ascii(x), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))).otherwise(F.lower(x))
+
+
 def normalize_fact(col: Column) -> Column:
-    """Comparison key of a short fact: no leading article, no points or apostrophes, other punctuation as space."""
-    x = F.trim(F.lower(F.coalesce(col, F.lit(""))))
+    """Comparison key of a short fact: compatibility forms and case folded, no leading article, no points or apostrophes,
+    other punctuation as space."""
+    x = F.trim(fold(col))
     x = F.regexp_replace(x, r"^(the|a|an)\s+", "")
     x = F.regexp_replace(x, r"[.'’]", "")
     x = F.regexp_replace(x, r"(?U)[^\w\s]", " ")

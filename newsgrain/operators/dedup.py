@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,24 +32,75 @@ def url_gate(candidates: DataFrame, articles: DataFrame, bloom: DataFrame | None
     return out.withColumn("status", status).drop("_maybe")
 
 
-def _places(key: str, bits: int, k: int) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(k)])
+#: Bits of a block of a membership filter: eight words. A filter of up to so many bytes is broadcast.
+_BLOCK, _BROADCAST = 512, 64 << 20
 
 
-def build_bloom(df: DataFrame, key: str, bits: int = 1 << 20, k: int = 5) -> DataFrame:
-    """A membership filter as a table of set positions: (place, bits, k), at most ``bits`` rows."""
-    return df.select(F.explode(_places(key, bits, k)).alias("place")).distinct().withColumn("bits", F.lit(bits)).withColumn("k", F.lit(k))
+def bloom_rate(per_block: float, k: int) -> float:
+    """Share of keys not in a filter that it takes for known, with ``per_block`` keys in a block on average and ``k`` bits a key."""
+    low, high = max(0, int(per_block - 12 * per_block**0.5 - 12)), int(per_block + 12 * per_block**0.5 + 24)
+    at = lambda i: math.exp(i * math.log(per_block) - per_block - math.lgamma(i + 1))
+    return sum(at(i) * (1 - (1 - 1 / _BLOCK) ** (k * i)) ** k for i in range(low, high + 1))
 
 
-def probe_bloom(df: DataFrame, bloom: DataFrame, key: str, bits: int = 1 << 20, k: int = 5) -> DataFrame:
-    """``df`` with ``maybe``: whether all positions of the key are set (no false negatives).
+def bloom_shape(keys: int, rate: float) -> tuple[int, int]:
+    """(blocks, k): the fewest blocks that hold ``keys`` keys at no more than ``rate`` false positives."""
+    if not 0 < rate < 1:
+        raise ValueError("the rate must lie between 0 and 1")
+    best = (0.0, 1)
+    for k in range(1, 15):
+        low, high = 1e-3, 600.0
+        for _ in range(40):
+            mid = (low + high) / 2
+            low, high = (mid, high) if bloom_rate(mid, k) <= rate else (low, mid)
+        best = max(best, (low, k))
+    return max(1, math.ceil(keys / best[0])), best[1]
 
-    Keys are probed once each; the positions are joined, so the filter need not fit one machine.
+
+def _bits(key: str, blocks: int, k: int) -> tuple[Column, Column]:
+    """The block of a key, and the places of its bits there: nine bits of a hash each."""
+    places = [F.shiftrightunsigned(F.xxhash64(key, F.lit(1 + i // 7)), 9 * (i % 7)).bitwiseAND(F.lit(_BLOCK - 1)) for i in range(k)]
+    return F.pmod(F.xxhash64(key), F.lit(blocks)), F.array(*places)
+
+
+def build_bloom(df: DataFrame, key: str, rate: float = 0.01, expect: int | None = None) -> DataFrame:
+    """A membership filter as a table of blocks: (block, w0 ... w7, blocks, k), packed words of 64 bits.
+
+    Its size follows from the number of keys (or of those that are ``expect``ed later, for filters that are to be merged)
+    and from the rate of false positives. All bits of a key are in one block, so a key is looked up once. A filter is
+    rebuilt by building it again. Null keys are not in it.
+    """
+    rows = df.where(F.col(key).isNotNull())
+    blocks, k = bloom_shape(rows.count() if expect is None else expect, rate)
+    block, places = _bits(key, blocks, k)
+    bit = lambda j: F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.when(F.shiftright(x, 6) == j, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))))
+    words = rows.select(block.alias("block"), places.alias("p")).select("block", *[bit(j).alias(f"w{j}") for j in range(8)])
+    return words.groupBy("block").agg(*[F.bit_or(f"w{j}").alias(f"w{j}") for j in range(8)]).withColumns({"blocks": F.lit(blocks).cast("long"), "k": F.lit(k)})
+
+
+def merge_blooms(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The filter of the keys of both; they must have been built for the same number of keys and rate."""
+    shapes = a.unionByName(b).groupBy("block").agg(*[F.bit_or(f"w{j}").alias(f"w{j}") for j in range(8)], F.max("blocks").alias("blocks"), F.max("k").alias("k"), F.min("blocks").alias("_b"), F.min("k").alias("_k"))
+    same = F.when((F.col("blocks") == F.col("_b")) & (F.col("k") == F.col("_k")), F.col("k")).otherwise(F.raise_error(F.lit("filters of different shapes cannot be merged")).cast("int"))
+    return shapes.withColumn("k", same).drop("_b", "_k")
+
+
+def probe_bloom(df: DataFrame, bloom: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``maybe``: whether all bits of the key are set. No key that was added is missed; an empty filter, and one
+    that was never built, knows nothing, so all keys count as new. Null keys are not known.
+
+    The filter is broadcast if it is small, else keys meet their blocks by a shuffle.
     """
-    keys = df.select(key).distinct().withColumn("_p", F.array_distinct(_places(key, bits, k)))
-    hits = keys.select(key, F.size("_p").alias("_need"), F.explode("_p").alias("place")).join(bloom.select("place"), "place")
-    found = hits.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need")).where("_n = _need").select(key, F.lit(True).alias("maybe"))
-    return df.join(found, key, "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
+    shape = bloom.select("blocks", "k").first()
+    if shape is None:
+        return df.withColumn("maybe", F.lit(False))
+    block, places = _bits(key, shape["blocks"], shape["k"])
+    words = bloom.select(F.col("block").alias("_block"), F.array(*[f"w{j}" for j in range(8)]).alias("_w"))
+    if shape["blocks"] * 80 <= _BROADCAST:
+        words = F.broadcast(words)
+    x = df.withColumn("_block", F.when(F.col(key).isNotNull(), block)).withColumn("_p", places).join(words, "_block", "left")
+    one = lambda p: F.call_function("getbit", F.element_at("_w", (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return x.withColumn("maybe", F.coalesce(F.col("_w").isNotNull() & F.forall("_p", one), F.lit(False))).drop("_block", "_p", "_w")
 
 
 def link_duplicates(df: DataFrame, key: Column, id_col: str, *order: Column) -> DataFrame:

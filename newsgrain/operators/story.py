@@ -71,19 +71,6 @@ def time_conflict(events: DataFrame, story: str, raw: Column) -> DataFrame:
     return events.groupBy(story).agg((F.count_distinct(F.when(F.trim(raw) != "", F.trim(raw))) > 1).alias("conflict"))
 
 
-def knowledge_graph(stories: DataFrame, members: DataFrame, entities: DataFrame, story: str, article: str, source: str, entity: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (story, node, kind) and edges (story, a, b, kind): articles reported by sources and naming entities."""
-    m = members.join(stories.select(story), story, "left_semi")
-    tag = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
-    e = m.join(entities.select(entity), entity, "left_semi")
-    nodes = (m.select(story, tag("article", article).alias("node"), F.lit("article").alias("kind"))
-             .unionByName(m.select(story, tag("source", source).alias("node"), F.lit("source").alias("kind"))).unionByName(e.select(story, tag("entity", entity).alias("node"), F.lit("entity").alias("kind")))).distinct()
-    edges = (m.select(story, tag("article", article).alias("a"), tag("source", source).alias("b"), F.lit("reported_by").alias("kind"))
-             .unionByName(m.select(story, tag("article", article).alias("a"), tag("entity", entity).alias("b"), F.lit("names").alias("kind")))).distinct()
-    both = nodes.select(story, F.col("node").alias("b"))
-    return nodes, edges.join(both, [story, "b"], "left_semi")
-
-
 def story_detail(stories: DataFrame, story: str, children: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
     """A row a story with each child table nested as a sorted array; children are gathered before they are joined."""
     out = stories

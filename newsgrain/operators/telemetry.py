@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,18 +141,55 @@ def histogram(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
     return df.groupBy(b.alias("upto")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def domain_policy(attempts: DataFrame, domain: str, ts: str, key: str, value: Column, ok: Column, alpha: float = 0.1) -> DataFrame:
-    """Moving average of a value over a domain's attempts in order, their number and the success rate.
+def moving_averages(rows: DataFrame, by: str, order: Sequence[str], averages: Mapping[str, tuple[Column, Column, Column]], alpha: float = 0.1) -> DataFrame:
+    """(by, attempts, a column for each average): exponential moving averages over the rows of a key in order.
 
-    The average is a fold over the ordered attempts; it is also the sum of (1-alpha)**age times the values, so it is
-    computed from ages by a window and a sum, and no attempt list is gathered.
-    """
-    from pyspark.sql import Window
+    Of each average ``averages`` gives the value, whether a row moves it, and whether it starts at its value if the row is the
+    first of its key (else it starts at 0).
 
-    w = Window.partitionBy(domain).orderBy(F.desc(ts), F.desc(key))
-    x = attempts.select(domain, value.cast("double").alias("_v"), ok.alias("_ok"), (F.row_number().over(w) - 1).alias("_age"), F.count(F.lit(1)).over(Window.partitionBy(domain)).alias("_n"))
-    weight = F.pow(F.lit(1 - alpha), F.col("_age")) * F.when(F.col("_age") == F.col("_n") - 1, 1.0).otherwise(alpha)
-    return x.groupBy(domain).agg(F.count(F.lit(1)).alias("attempts"), F.round(F.sum(weight * F.col("_v")), 6).alias("average"), F.round(F.count_if("_ok") / F.count(F.lit(1)), 6).alias("success"))
+    What a span of rows does to an average is an affine map, and maps of spans are put together by composing them. Rows
+    are range-partitioned by key and order, so a key with many rows is many spans, each folded in its own task; of a
+    span one row remains, and a key has no more of these than there are partitions.
+    """
+    names = list(averages)
+    x = rows.select(F.col(by), *order, *[c.alias(f"{p}{i}") for i, n in enumerate(names) for p, c in zip("vms", (averages[n][0].cast("double"), *averages[n][1:]), strict=True)])
+    x = cut(x.repartitionByRange(by, *order).withColumn("_span", F.spark_partition_id()))
+    back = Window.partitionBy(by, "_span").orderBy(*[F.desc(c) for c in order])
+    later = back.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({"_first": F.lead(F.lit(1)).over(back).isNull()} | {f"k{i}": F.coalesce(F.sum(F.col(f"m{i}").cast("int")).over(later), F.lit(0)) for i in range(len(names))})
+    rest = lambda i: F.col(f"m{i}") & ~F.col("_first")
+    spans = x.groupBy(by, "_span").agg(F.count(F.lit(1)).alias("n"), *[c for i in range(len(names)) for c in (
+        F.count_if(rest(i)).alias(f"r{i}"), F.sum(F.when(rest(i), alpha * F.pow(F.lit(1 - alpha), F.col(f"k{i}")) * F.col(f"v{i}")).otherwise(0.0)).alias(f"c{i}"),
+        F.max(F.when(F.col("_first"), F.col(f"v{i}"))).alias(f"v{i}"), F.bool_or(F.col("_first") & F.col(f"m{i}")).alias(f"m{i}"), F.bool_or(F.col("_first") & F.col(f"s{i}")).alias(f"s{i}"))])
+    each = spans.groupBy(by).agg(F.sum("n").alias("attempts"), F.array_sort(F.collect_list(F.struct("_span", *[c for c in spans.columns if c not in (by, "_span", "n")]))).alias("_s"))
+
+    def fold(i: int) -> Column:
+        def step(x: Column, s: Column) -> Column:
+            begun = F.when(x.isNull(), F.when(s[f"s{i}"], s[f"v{i}"]).otherwise(0.0)).otherwise(F.when(s[f"m{i}"], (1 - alpha) * x + alpha * s[f"v{i}"]).otherwise(x))
+            return F.pow(F.lit(1 - alpha), s[f"r{i}"]) * begun + s[f"c{i}"]
+
+        return F.aggregate("_s", F.lit(None).cast("double"), step)
+
+    return each.select(by, "attempts", *[fold(i).alias(n) for i, n in enumerate(names)])
+
+
+def domain_policy(attempts: DataFrame, domain: str, ts: str, key: str, provider: Column, ok: Column, latency: Column, length: Column, weights: Mapping[str, float], alpha: float = 0.1) -> DataFrame:
+    """What a domain's attempts in order say of it: for each provider of ``weights`` its number of attempts and moving success
+    rate, the moving latency, the moving length of what was extracted (successes only move it), the last provider that
+    succeeded, and the confidence, which mixes the rates by their weights (after one attempt: 1 or 0, as that went).
+
+    The first attempt of a domain sets the averages; a provider that was not the first starts at 0. See
+    ``moving_averages``. Null domains are left out; a null outcome is a failure.
+    """
+    x = attempts.where(F.col(domain).isNotNull()).select(F.col(domain), F.col(ts).alias("_t"), F.col(key).alias("_k"), provider.alias("_p"), F.coalesce(ok, F.lit(False)).alias("_ok"), F.coalesce(latency, F.lit(0.0)).alias("_l"), F.coalesce(length, F.lit(0.0)).alias("_n"))
+    yes = F.lit(True)
+    rates = {p: (F.col("_ok").cast("int"), F.coalesce(F.col("_p") == p, F.lit(False)), F.coalesce(F.col("_p") == p, F.lit(False))) for p in weights}
+    avg = moving_averages(x, domain, ["_t", "_k"], rates | {"latency": (F.col("_l"), yes, yes), "length": (F.col("_n"), F.col("_ok"), yes)}, alpha)
+    counts = x.groupBy(domain).agg(*[F.count_if(F.col("_p") == p).alias(f"{p}_attempts") for p in weights], F.max_by("_p", F.when(F.col("_ok"), F.struct("_t", "_k"))).alias("last_success"), F.bool_or("_ok").alias("_any"))
+    mix = sum((w * F.col(p) for p, w in weights.items()), F.lit(0.0))
+    out = avg.join(counts, domain)
+    return out.select(domain, "attempts", *[f"{p}_attempts" for p in weights], *[F.round(p, 6).alias(f"{p}_rate") for p in weights], F.round("latency", 6).alias("latency"), F.round("length", 6).alias("length"),
+                      F.when(F.col("_any"), F.col("last_success")).alias("last_success"), F.round(F.when(F.col("attempts") == 1, F.col("_any").cast("double")).otherwise(mix), 6).alias("confidence"))
 
 
 def sources_per_story(members: DataFrame, story: str, source: str) -> DataFrame:

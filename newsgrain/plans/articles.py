@@ -76,7 +76,7 @@ def ded2(spark, d):
 
 def ded3(spark, d):
     p = _read(spark, d, "pages").withColumn("article_id", F.col("page_id"))
-    return dedup.url_gate(p.where("page_id % 2 = 0 OR page_id % 3 = 0").drop("article_id"), p.where("page_id % 2 = 0")).select("page_id", "url_hash", "status", "known_id")
+    return dedup.url_gate(p.drop("article_id"), p.where("page_id % 2 = 0")).select("page_id", "url_hash", "status", "known_id")
 
 
 def ded4(spark, d):
@@ -377,7 +377,7 @@ QUERIES = {
     "ded2_url_key": (ded2, f"SELECT page_id, {_KEY} AS url_hash FROM pages"),
     "ded3_url_gate": (ded3, f"""WITH k AS (SELECT {_KEY} AS url_hash, min(page_id) AS known_id FROM pages WHERE page_id % 2 = 0 GROUP BY 1)
         SELECT p.page_id, {_KEY} AS url_hash, CASE WHEN known_id IS NULL THEN 'NEW_URL' ELSE 'FOUND_IN_DATABASE' END AS status, known_id
-        FROM pages p LEFT JOIN k ON k.url_hash = {_KEY} WHERE p.page_id % 2 = 0 OR p.page_id % 3 = 0"""),
+        FROM pages p LEFT JOIN k ON k.url_hash = {_KEY}"""),
     "ded4_bloom": (ded4, f"SELECT {_KEY} IN (SELECT {_KEY} FROM pages WHERE page_id % 2 = 0) AS known, count(*) AS n, true AS good FROM pages GROUP BY 1"),
     "ded5_content_hash": (ded5, f"SELECT doc_id, sha256(lower(trim({TITLE_SQL})) || chr(10) || chr(10) || lower(trim(coalesce(text, '')))) AS content_hash FROM documents WHERE true"),
     "ded6_duplicate_links": (ded6, "SELECT doc_id, nullif(min(doc_id) OVER (PARTITION BY coalesce(text, '')), doc_id) AS duplicate_of FROM documents"),
@@ -405,7 +405,7 @@ QUERIES = {
     "sc6_tier": (sc6, f"SELECT page_id, CASE WHEN {_HOST} = 'example.com' OR ends_with({_HOST}, '.example.com') THEN 1 WHEN {_HOST} = 'example.net' OR ends_with({_HOST}, '.example.net') THEN 2 ELSE 3 END AS tier FROM pages"),
     "sc17_missing_entities": (sc17, r"""WITH n AS (SELECT DISTINCT item_id % 40 AS k, unnest(string_split_regex(regexp_replace(text, '[.,\n]', ' ', 'g'), ' +')) AS label FROM benchmark)
         SELECT k, count(*) AS missing FROM n JOIN documents ON doc_id % 40 = k WHERE length(label) > 2 AND NOT contains(lower(text), lower(label)) GROUP BY k"""),
-    "sc18_fact": (sc18, rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(text)), '^(the|a|an)\s+', ''), '[.''’]', '', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS fact FROM documents"""),
+    "sc18_fact": (sc18, rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(replace(lower(text), 'ß', 'ss')), '^(the|a|an)\s+', ''), '[.''’]', '', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS fact FROM documents"""),
     "sc24_rule_entities": (sc24, f"WITH {_ENT} SELECT kind, count(*) AS n, count(DISTINCT v) AS values FROM k WHERE kind IS NOT NULL GROUP BY kind"),
     "sc25_clean_entities": (sc25, f"""WITH {_ENT}, c AS (SELECT doc_id, lower(trim(v)) AS l, min_by(confidence, v) AS confidence FROM k WHERE kind IS NOT NULL AND length(trim(v)) >= 2 GROUP BY 1, 2)
         SELECT doc_id, count(*) AS n, CAST(sum(CAST(confidence AS DECIMAL(12,2))) AS DOUBLE) AS sure FROM c GROUP BY 1"""),

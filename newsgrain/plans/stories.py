@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import compare, dedup, gates, scoring, serving, story
+from ..operators import compare, dedup, facts, gates, graph, scoring, serving, story
 
 NOW = "2001-08-01"
 EARLY, RECENT = "1999-08-01", "2001-01-01"
@@ -301,16 +301,42 @@ def win12(spark, d):
     return serving.digests_due(subs, F.lit(18), "edition", "at", 18, False, {"morning": 7, "evening": 18, "weekly": 9}).select("c_custkey", "edition")
 
 
+def _graph(spark, d):
+    x = _members(spark, d).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("story", F.col("l_orderkey"))
+    articles = x.select("story", F.col("l_linenumber").alias("article"), F.col("p_name").alias("title"), F.col("l_suppkey").alias("source"))
+    events = x.select("story", F.col("l_linenumber").alias("event"), F.when(F.col("l_linenumber") != 4, F.col("l_linenumber")).otherwise(99).alias("article"), F.col("p_type").alias("event_type"), F.array(F.upper("p_brand")).alias("actors"),
+                      F.array(F.lower("p_type"), F.lit("nobody")).alias("targets"), F.when(F.col("l_linenumber") != 5, F.initcap("p_name")).alias("location"))
+    noun = F.split("p_name", " ")[1]
+    entities = x.where("l_linenumber % 2 = 1").select("story", F.col("l_partkey").alias("entity"), F.when(F.col("l_partkey") % 4 == 0, F.col("l_partkey") + 1).alias("canonical"), F.col("p_brand").alias("value"), F.when(F.col("l_partkey") % 3 > 0, F.col("p_type")).alias("canonical_name"),
+                                                      F.array(noun, F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("the "), F.col("p_name"), F.lit(" works"))).otherwise(F.col("p_name"))).alias("aliases")).distinct()
+    sources = _t(spark, d, "supplier").where("s_suppkey % 10 > 0").select(F.col("s_suppkey").alias("source"), F.col("s_name").alias("name"))
+    return graph.knowledge_graph(articles, events, entities, sources)
+
+
 def jn19(spark, d):
-    nodes, edges = story.knowledge_graph(_t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), _members(spark, d), _t(spark, d, "part").where("p_size < 20").select(F.col("p_partkey").alias("l_partkey")),
-                                         "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
-    return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).unionByName(edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+    return _graph(spark, d)[1]
+
+
+def jn19_nodes(spark, d):
+    return _graph(spark, d)[0].groupBy("story", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last"))
 
 
 def jn20(spark, d):
-    m = _members(spark, d).select(F.col("l_orderkey").alias("story"), F.col("l_partkey").alias("member"))
-    merges = _t(spark, d, "orders").where("o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("story"), (F.col("o_orderkey") - 1).alias("survivor"))
-    return compare.apply_merges(m, merges, "story", "survivor", "member").groupBy("story").agg(F.count(F.lit(1)).alias("n"), F.sum("member").alias("members"))
+    o, x = _t(spark, d, "orders"), _members(spark, d)
+    tables = {
+        "members": x.select(F.col("l_orderkey").alias("story"), F.col("l_partkey").alias("k"), F.lit(0).cast("long").alias("v")).distinct(),
+        "bookmarks": o.select(F.col("o_orderkey").alias("story"), (F.col("o_custkey") % 3).alias("k"), F.col("o_custkey").alias("v")),
+        "views": o.select(F.col("o_orderkey").alias("story"), (F.col("o_custkey") % 3).alias("k"), F.col("o_custkey").alias("v")),
+        "versions": x.select(F.col("l_orderkey").alias("story"), F.col("l_suppkey").alias("k"), F.lit(0).cast("long").alias("v")),
+    }
+    # two of four go to the next one, of which one is merged in turn
+    merges = o.where("o_orderkey % 4 in (1, 2)").select(F.col("o_orderkey").alias("story"), (F.col("o_orderkey") + 1).alias("survivor"))
+    got = graph.merge_stories(tables, merges, "story", {"members": ["k"], "bookmarks": ["k"]}, ["versions"])
+    out = None
+    for name, df in got.items():
+        row = df.groupBy("story").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("keys"), F.sum("v").alias("values")).select(F.lit(name).alias("name"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def jn21(spark, d):
@@ -388,8 +414,11 @@ def win13(spark, d):
 
 
 def clu1(spark, d):
-    m = _members(spark, d).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_suppkey", F.col("p_name").alias("fact"))
-    return compare.unique_facts(m, "l_orderkey", "l_suppkey", "fact", spelling=False).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    # some names are misspelt or said at length; red and blue things of one kind are one entity to the resolver
+    name = F.when(F.col("l_linenumber") % 3 == 0, F.regexp_replace("p_name", "i", "ii")).when(F.col("l_linenumber") % 5 == 0, F.concat(F.lit("The new "), F.col("p_name"))).otherwise(F.col("p_name"))
+    m = _members(spark, d).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_suppkey", name.alias("fact"))
+    p = _t(spark, d, "part").where(F.split("p_name", " ")[0].isin("red", "blue")).select(F.upper("p_name").alias("surface"), F.split("p_name", " ")[1].alias("canonical")).distinct()
+    return facts.unique_facts(m, "l_orderkey", "l_suppkey", "fact", p)
 
 
 def clu2(spark, d):
@@ -410,6 +439,13 @@ _RANK = f"""r AS (SELECT o_orderkey, o_orderdate, coalesce(sources, 0) AS source
 _PAIRS = """e AS (SELECT l_orderkey AS s, l_linenumber AS i, l_suppkey AS src, CAST(l_shipdate AS DATE) AS at, l_quantity AS q, 'S' || (l_suppkey % 10) AS target, 'City ' || (l_suppkey % 4) AS location FROM lineitem),
   p AS (SELECT DISTINCT a.s, least(a.src, b.src) AS x, greatest(a.src, b.src) AS y, unnest([CASE WHEN a.target <> b.target THEN 'target' END, CASE WHEN a.location <> b.location THEN 'location' END, CASE WHEN abs(date_diff('day', a.at, b.at)) > 1 THEN 'time' END, CASE WHEN abs(a.q - b.q) > 1 AND abs(a.q - b.q) / greatest(a.q, b.q) > 0.1 THEN 'number' END]) AS kind {cols}
     FROM e a JOIN e b ON a.s = b.s AND {on} AND a.src <> b.src)"""
+_GRAPH = """x AS (SELECT l_orderkey AS story, * FROM lineitem JOIN part ON l_partkey = p_partkey),
+  e AS (SELECT DISTINCT story, l_partkey AS entity, 'entity:' || CASE WHEN l_partkey % 4 = 0 THEN l_partkey + 1 ELSE l_partkey END AS node, p_brand AS v, CASE WHEN l_partkey % 3 > 0 THEN p_type END AS c,
+      split_part(p_name, ' ', 2) AS a1, CASE WHEN l_partkey % 2 = 0 THEN 'the ' || p_name || ' works' ELSE p_name END AS a2 FROM x WHERE l_linenumber % 2 = 1),
+  k AS (SELECT story, node, entity, 0 AS pos, lower(v) AS name FROM e UNION ALL SELECT story, node, entity, 1, lower(c) FROM e WHERE c IS NOT NULL UNION ALL SELECT story, node, entity, 2, lower(a1) FROM e WHERE c IS NOT NULL UNION ALL SELECT story, node, entity, 3, lower(a2) FROM e WHERE c IS NOT NULL),
+  names AS (SELECT story, name, arg_max(node, (entity, pos)) AS node, min((entity, pos)) AS place FROM k GROUP BY 1, 2),
+  places AS (SELECT DISTINCT story, lower(p_name) AS name FROM x WHERE l_linenumber <> 5),
+  located AS (SELECT p.story, p.name, arg_min(n.node, (n.name <> p.name, n.place)) AS node FROM places p JOIN names n ON n.story = p.story AND (contains(p.name, n.name) OR contains(n.name, p.name)) GROUP BY 1, 2)"""
 _USERS = "u AS (SELECT c_custkey, CAST(c_custkey % 4 + 1 AS INTEGER) AS story_count, CASE WHEN c_nationkey < 10 THEN ['1-URGENT', '2-HIGH', 'none'][c_nationkey % 3 + 1] END AS pref FROM customer)"
 
 
@@ -481,10 +517,19 @@ QUERIES = {
     "jn17_bookmarked": (jn17, "SELECT o_orderkey, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'"),
     "jn18_personal_feed": (jn18, f"""WITH {_USERS}, b AS (SELECT o_orderkey, o_orderpriority AS c, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders UNION ALL SELECT o_orderkey, '*', row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) FROM orders)
         SELECT c_custkey, o_orderkey, CAST(rank AS INTEGER) AS rank FROM u JOIN b ON c = coalesce(pref, '*') WHERE rank <= 3"""),
-    "jn19_knowledge_graph": (jn19, """WITH m AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)), e AS (SELECT * FROM m WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 20))
-        SELECT 'article' AS kind, count(DISTINCT (l_orderkey, l_linenumber)) AS n FROM m UNION ALL SELECT 'source', count(DISTINCT (l_orderkey, l_suppkey)) FROM m UNION ALL SELECT 'entity', count(DISTINCT (l_orderkey, l_partkey)) FROM e
-        UNION ALL SELECT 'reported_by', count(DISTINCT (l_orderkey, l_linenumber, l_suppkey)) FROM m UNION ALL SELECT 'names', count(DISTINCT (l_orderkey, l_linenumber, l_partkey)) FROM m WHERE (l_orderkey, l_partkey) IN (SELECT (l_orderkey, l_partkey) FROM e)"""),
-    "jn20_apply_merges": (jn20, """SELECT story, count(*) AS n, CAST(sum(member) AS BIGINT) AS members FROM (SELECT DISTINCT CASE WHEN o_orderkey IS NOT NULL THEN l_orderkey - 1 ELSE l_orderkey END AS story, l_partkey AS member FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 1) ON o_orderkey = l_orderkey) GROUP BY 1"""),
+    "jn19_knowledge_graph": (jn19, f"""WITH {_GRAPH}, b AS (SELECT l_linenumber AS line, * FROM x)
+        SELECT DISTINCT story, 'article:' || line AS a, 'source:' || l_suppkey AS b, 'reported_by' AS kind, NULL::VARCHAR AS role FROM b WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 > 0)
+        UNION SELECT DISTINCT b.story, 'article:' || line, 'event:' || line, 'describes_event', NULL FROM b WHERE line <> 4
+        UNION SELECT DISTINCT b.story, 'article:99', 'event:' || line, 'describes_event', NULL FROM b WHERE line = 4 AND EXISTS (SELECT 1 FROM b c WHERE c.story = b.story AND c.line = 99)
+        UNION SELECT DISTINCT b.story, n.node, 'event:' || line, 'participated_in', 'actor' FROM b JOIN names n ON n.story = b.story AND n.name = lower(p_brand)
+        UNION SELECT DISTINCT b.story, n.node, 'event:' || line, 'participated_in', 'target' FROM b JOIN names n ON n.story = b.story AND n.name = lower(p_type)
+        UNION SELECT DISTINCT b.story, 'event:' || line, l.node, 'located_at', NULL FROM b JOIN located l ON l.story = b.story AND l.name = lower(p_name) WHERE line <> 5"""),
+    "jn19_graph_nodes": (jn19_nodes, f"""WITH {_GRAPH}, n AS (SELECT DISTINCT story, 'article:' || l_linenumber AS node, 'article' AS kind FROM x UNION SELECT DISTINCT story, 'source:' || l_suppkey, 'source' FROM x WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 > 0)
+        UNION SELECT DISTINCT story, 'event:' || l_linenumber, 'event' FROM x UNION SELECT DISTINCT story, node, 'entity' FROM e) SELECT story, kind, count(*) AS n, min(node) AS first, max(node) AS last FROM n GROUP BY 1, 2"""),
+    "jn20_apply_merges": (jn20, """WITH m(name, story, k, v) AS (SELECT DISTINCT 'members', l_orderkey, l_partkey, 0 FROM lineitem UNION ALL SELECT 'bookmarks', o_orderkey, o_custkey % 3, o_custkey FROM orders UNION ALL SELECT 'views', o_orderkey, o_custkey % 3, o_custkey FROM orders UNION ALL SELECT 'versions', l_orderkey, l_suppkey, 0 FROM lineitem),
+        t AS (SELECT *, CASE WHEN story % 4 IN (1, 2) AND story IN (SELECT o_orderkey FROM orders) THEN CASE WHEN story % 4 = 1 AND story + 1 IN (SELECT o_orderkey FROM orders) THEN story + 2 ELSE story + 1 END END AS dest FROM m),
+        r AS (SELECT *, row_number() OVER (PARTITION BY name, coalesce(dest, story), k ORDER BY dest IS NOT NULL, story, v) AS rn FROM t WHERE NOT (name = 'versions' AND dest IS NOT NULL))
+        SELECT name, coalesce(dest, story) AS story, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys, CAST(sum(v) AS BIGINT) AS values FROM r WHERE rn = 1 OR name IN ('views', 'versions') GROUP BY 1, 2"""),
     "jn21_coreference": (jn21, "SELECT s_suppkey, s_nationkey % 5 = s_suppkey % 5 AND s_suppkey % 2 = 0 AS same, s_nationkey % 5 = s_suppkey % 5 AS same_person FROM supplier"),
     "jn22_story_detail": (jn22, "SELECT o_orderkey, CAST(count(l_linenumber) AS INTEGER) AS members, CAST(count(DISTINCT l_suppkey) AS INTEGER) AS sources, CAST(count(DISTINCT l_partkey) AS INTEGER) AS entities FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"),
     "jn23_story_inspector": (jn23, """WITH m AS (SELECT l_orderkey, l_linenumber, max(l_shipdate) AS at, sum(l_extendedprice) AS c FROM lineitem GROUP BY 1, 2)
@@ -505,8 +550,13 @@ QUERIES = {
     "win12_digests_due": (win12, "SELECT c_custkey, ['morning', 'evening', 'weekly'][c_custkey % 3 + 1] AS edition FROM customer WHERE c_custkey % 3 <> 2 AND (c_custkey % 4 = 0 OR c_custkey % 3 = 1)"),
     "win13_prompt_versions": (win13, "SELECT l_returnflag, l_linenumber, CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY l_linenumber DESC) AS INTEGER) AS rank FROM (SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem)"),
     "win15_recent": (win15, "SELECT * FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS rank FROM orders) WHERE rank <= 3"),
-    "clu1_unique_facts": (clu1, """WITH f AS (SELECT DISTINCT l_orderkey AS s, l_suppkey AS src, p_name AS f FROM lineitem JOIN part ON l_partkey = p_partkey)
-        SELECT s AS l_orderkey, count(*) AS n FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.s = b.s AND a.src <> b.src AND (a.f = b.f OR (length(a.f) >= 5 AND length(b.f) >= 5 AND (contains(a.f, b.f) OR contains(b.f, a.f) OR list_has_all(string_split(a.f, ' '), string_split(b.f, ' ')) OR list_has_all(string_split(b.f, ' '), string_split(a.f, ' ')))))) GROUP BY 1"""),
+    "clu1_unique_facts": (clu1, """WITH m AS (SELECT DISTINCT l_orderkey AS s, l_suppkey AS src, CASE WHEN l_linenumber % 3 = 0 THEN replace(p_name, 'i', 'ii') WHEN l_linenumber % 5 = 0 THEN 'The new ' || p_name ELSE p_name END AS fact FROM lineitem JOIN part ON l_partkey = p_partkey),
+        f AS (SELECT *, regexp_replace(lower(fact), '^the ', '') AS f, string_split(regexp_replace(lower(fact), '^the ', ''), ' ') AS w FROM m),
+        c AS (SELECT *, CASE WHEN f IN (SELECT p_name FROM part WHERE split_part(p_name, ' ', 1) IN ('red', 'blue')) THEN w[2] END AS canon FROM f)
+        SELECT s AS l_orderkey, src AS l_suppkey, fact FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE a.s = b.s AND a.src <> b.src AND (a.canon = b.canon OR a.f = b.f OR (length(a.f) >= 5 AND length(b.f) >= 5 AND (contains(a.f, b.f) OR contains(b.f, a.f) OR list_has_all(a.w, b.w) OR list_has_all(b.w, a.w)
+            OR (levenshtein(a.f, b.f) = 1 AND 2 * (least(length(a.f), length(b.f)) - CASE WHEN length(a.f) = length(b.f) THEN 1 ELSE 0 END) >= 0.9 * (length(a.f) + length(b.f)))
+            OR (levenshtein(a.f, b.f) = 2 AND length(a.f) = length(b.f) AND hamming(a.f, b.f) > 2 AND 2 * (length(a.f) - 1) >= 0.9 * 2 * length(a.f))
+            OR (levenshtein(a.f, b.f) = 2 AND abs(length(a.f) - length(b.f)) = 2 AND 2 * least(length(a.f), length(b.f)) >= 0.9 * (length(a.f) + length(b.f)))))))"""),
     "clu2_shared_facts": (clu2, """WITH f AS (SELECT l_orderkey, l_suppkey, list(DISTINCT p_type) AS f FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT a.l_orderkey, count(*) FILTER (list_has_any(a.f, b.f)) AS sharing FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1"""),
     "clu12_story_changes": (clu12, """WITH b AS (SELECT o_custkey % 50 AS s, o_orderkey AS m FROM orders), a AS (SELECT o_custkey % 45 AS s, o_orderkey AS m FROM orders WHERE o_orderkey % 4 <> 0)
         SELECT CASE WHEN b.m IS NULL THEN 'added' WHEN a.m IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'moved' ELSE 'kept' END AS change, count(*) AS n FROM b FULL JOIN a ON a.m = b.m GROUP BY 1"""),

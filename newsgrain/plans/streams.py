@@ -70,8 +70,9 @@ _WIN = lambda length, step: f"(SELECT *, time_bucket(INTERVAL {step} HOUR, ts, T
 
 QUERIES = {
     "str2_candidates": (str2, """WITH e AS (SELECT event_id // 6 AS h, user_id % 3 AS u, ts, min(ts) OVER (PARTITION BY event_id // 6) AS t0 FROM events),
-        g AS (SELECT h, count(DISTINCT u) FILTER (ts <= t0 + INTERVAL 1800 SECOND) AS urls, max(ts) > any_value(t0) + INTERVAL 1800 SECOND AS later, any_value(t0) + INTERVAL 1800 SECOND < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS passed FROM e GROUP BY h)
-        SELECT CASE WHEN urls >= 3 THEN 'count' ELSE 'time' END AS fired_by, count(*) AS n FROM g WHERE urls >= 3 OR later OR passed GROUP BY 1"""),
+        f AS (SELECT h, u, min(ts) AS ts, any_value(t0) AS t0 FROM e GROUP BY h, u), g AS (SELECT h, list_sort(list(ts))[3] AS third, any_value(t0) + INTERVAL 1800 SECOND AS until FROM f GROUP BY h),
+        w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events), x AS (SELECT CASE WHEN third <= until AND third <= w THEN 'count' WHEN until <= w THEN 'time' END AS fired_by FROM g, w)
+        SELECT fired_by, count(*) AS n FROM x WHERE fired_by IS NOT NULL GROUP BY 1"""),
     "str3_dedup": (str3, "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1"),
     "str4_counts": (str4, "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "str5_velocity": (str5, f"SELECT start, event_type, count(*) AS n FROM {_WIN(6, 2)} GROUP BY 1, 2"),

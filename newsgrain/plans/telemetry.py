@@ -235,7 +235,9 @@ def agg37b(spark, d):
 
 
 def agg38(spark, d):
-    return telemetry.domain_policy(_ev(spark, d), "user_id", "ts", "event_id", F.col("value"), F.col("event_type") != "error")
+    e = _ev(spark, d).withColumn("domain", F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("user_id")))  # one domain has half of all attempts
+    provider = F.element_at(F.array(F.lit("local"), F.lit("search"), F.lit("render")), (F.col("event_id") % 7 % 3 + 1).cast("int"))
+    return telemetry.domain_policy(e, "domain", "ts", "event_id", provider, F.col("event_type") != "error", F.col("value"), F.col("value") * 10, {"local": 0.5, "search": 0.3, "render": 0.2})
 
 
 def agg41(spark, d):
@@ -361,8 +363,14 @@ QUERIES = {
     "agg34_funnel": (agg34, "SELECT o_orderpriority, count(DISTINCT o_orderkey) AS found, count(DISTINCT l_orderkey) AS crawled, count(l_orderkey) AS articles, count(*) FILTER (l_returnflag = 'A') AS clustered FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"),
     "agg37_alerts": (agg37, "WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, quantile_cont(value, 0.95) AS p, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS r FROM events GROUP BY 1) SELECT start, n, round(p, 6) AS p95, round(r, 6) AS rate, p > 100 AS is_slow, r > 0.05 AS is_failing FROM w"),
     "agg37_histogram": (agg37b, "SELECT CAST(CASE WHEN value <= 1 THEN 1 WHEN value <= 5 THEN 5 WHEN value <= 10 THEN 10 WHEN value <= 30 THEN 30 WHEN value <= 60 THEN 60 WHEN value <= 120 THEN 120 ELSE 'inf'::DOUBLE END AS DOUBLE) AS upto, count(*) AS n FROM events GROUP BY 1"),
-    "agg38_domain_policy": (agg38, """WITH x AS (SELECT user_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS age, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-        SELECT user_id, count(*) AS attempts, round(sum(pow(0.9::DOUBLE, age) * CASE WHEN age = n - 1 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END * value), 6) AS average, round(count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE, 6) AS success FROM x GROUP BY 1"""),
+    "agg38_domain_policy": (agg38, """WITH RECURSIVE e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS domain, ['local', 'search', 'render'][event_id % 7 % 3 + 1] AS p, event_type <> 'error' AS ok, value AS v, ts, event_id FROM events),
+        x AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY domain) AS n FROM e),
+        r AS (SELECT domain, rn, n, CASE WHEN p = 'local' AND ok THEN 1.0::DOUBLE ELSE 0 END AS a, CASE WHEN p = 'search' AND ok THEN 1.0::DOUBLE ELSE 0 END AS b, CASE WHEN p = 'render' AND ok THEN 1.0::DOUBLE ELSE 0 END AS c, v AS l, v * 10 AS z, CASE WHEN ok THEN p END AS last, CASE WHEN ok THEN 1.0::DOUBLE ELSE 0 END AS first,
+            (p = 'local')::BIGINT AS na, (p = 'search')::BIGINT AS nb, (p = 'render')::BIGINT AS nc FROM x WHERE rn = 1
+          UNION ALL SELECT x.domain, x.rn, x.n, CASE WHEN p = 'local' THEN 0.9::DOUBLE * a + CASE WHEN ok THEN 0.1::DOUBLE ELSE 0 END ELSE a END, CASE WHEN p = 'search' THEN 0.9::DOUBLE * b + CASE WHEN ok THEN 0.1::DOUBLE ELSE 0 END ELSE b END, CASE WHEN p = 'render' THEN 0.9::DOUBLE * c + CASE WHEN ok THEN 0.1::DOUBLE ELSE 0 END ELSE c END,
+            0.9::DOUBLE * l + 0.1::DOUBLE * v, CASE WHEN ok THEN 0.9::DOUBLE * z + 0.1::DOUBLE * v * 10 ELSE z END, CASE WHEN ok THEN p ELSE last END, first, na + (p = 'local')::BIGINT, nb + (p = 'search')::BIGINT, nc + (p = 'render')::BIGINT FROM r JOIN x ON x.domain = r.domain AND x.rn = r.rn + 1)
+        SELECT domain, n AS attempts, na AS local_attempts, nb AS search_attempts, nc AS render_attempts, round(a, 6) AS local_rate, round(b, 6) AS search_rate, round(c, 6) AS render_rate, round(l, 6) AS latency, round(z, 6) AS length, last AS last_success,
+          round(CASE WHEN n = 1 THEN first ELSE 0.5::DOUBLE * a + 0.3::DOUBLE * b + 0.2::DOUBLE * c END, 6) AS confidence FROM r WHERE rn = n"""),
     "agg41_daily_usage": (agg41, "SELECT l_shipdate, l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS tokens, count(*) AS calls, count(*) FILTER (l_tax > 0.06) AS errors, round(avg(l_extendedprice), 6) AS latency FROM lineitem GROUP BY 1, 2, 3"),
     "win7_worst_attempts": (win7, "SELECT l_orderkey, l_linestatus, l_returnflag, l_shipdate, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END DESC, l_shipdate DESC, l_partkey DESC) AS rn FROM lineitem) WHERE rn = 1"),
     "win8_latest_run": (win8, "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey = (SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)"),

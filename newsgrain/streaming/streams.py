@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..storage import new_place
@@ -29,8 +30,12 @@ def read_feeds(spark: SparkSession, folder: str) -> DataFrame:
     return s.where(F.coalesce(F.trim("link"), F.lit("")) != "").withColumn("canonical", canonicalize_url(F.col("link")))
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run(stream: DataFrame, mode: str, seconds: int = 600) -> DataFrame:
-    """Run a stream over what is there and return what it wrote. Complete results replace each other; rows of append and
+    """Run a stream over what is there and return what it wrote, with its state in RocksDB. Complete results replace each other; rows of append and
     update mode are added (update rows carry ``_batch``, so that the last row of a key can be told).
 
     Each batch has a folder of its own, which a batch that is run again overwrites, so no row is written twice.
@@ -42,7 +47,12 @@ def run(stream: DataFrame, mode: str, seconds: int = 600) -> DataFrame:
     def keep(batch: DataFrame, i: int) -> None:
         batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/_batch={i}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
     if not q.awaitTermination(seconds):
         q.stop()
         raise TimeoutError(f"the stream ran longer than {seconds} s")
@@ -122,39 +132,63 @@ def domain_policy(events: DataFrame, key: str, alpha: float = 0.1, late: str = "
             .applyInPandasWithState(fold, f"{key} long, attempts long, average double", "n long, mean double", "update", "EventTimeTimeout"))
 
 
+class HeadlineWindow(StatefulProcessor):
+    """State of a headline: its entries until it fires, then the time up to which it stays quiet. Nothing is decided before the
+    watermark has passed, so that the order in which entries arrive does not matter."""
+
+    def __init__(self, key: str, needed: int, seconds: int, quiet: int):
+        self.key, self.needed, self.length, self.quiet = key, needed, 1000 * seconds, 1000 * quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entries = handle.getListState("entries", "at long, url string")
+        self.until = handle.getValueState("until", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        quiet = self.until.exists()
+        for frame in rows:
+            if not quiet:
+                times = frame["millis"].tolist()
+                self.entries.appendList(list(zip(times, frame["link"].tolist(), strict=True)))
+                for t in {x for t in times for x in (t, t + self.length)}:
+                    self.handle.registerTimer(t)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.until.exists():
+            if now >= self.until.get()[0]:
+                self.until.clear()
+            return
+        entries = sorted((tuple(x) for x in self.entries.get()), key=lambda x: (x[0], str(x[1])))
+        if not entries:
+            return
+        end = entries[0][0] + self.length
+        urls: set = set()
+        for at, url in entries:
+            if at > min(now, end) or len(urls) >= self.needed:
+                break
+            urls.add(url)
+        fired = "count" if len(urls) >= self.needed else "time" if now >= end else None
+        if fired:
+            self.entries.clear()
+            self.until.update((end + self.quiet,))
+            self.handle.registerTimer(end + self.quiet)
+            yield pd.DataFrame({self.key: [key[0]], "urls": [len(urls)], "fired_by": [fired]})
+
+    def close(self) -> None:
+        pass
+
+
 def candidates(entries: DataFrame, key: str, url: str, needed: int = 3, seconds: int = 60, late: str = "10 minutes", quiet: int = 86_400) -> DataFrame:
     """Headline windows: one opens at a headline's first entry and fires at ``needed`` different URLs or ``seconds``
     later; entries that come after that are ignored, for ``quiet`` seconds, after which the headline's state goes. Emits
-    (key, urls, fired_by)."""
-
-    def collect(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        opened, urls, done = state.get if state.exists else (None, [], False)
-        urls = list(urls)
-        fired = None
-        if state.hasTimedOut:
-            if done:
-                state.remove()
-                return
-            fired = "time"
-        else:
-            for r in pd.concat(list(frames)).sort_values(["ts", url], kind="stable").itertuples(index=False):
-                at = r.ts.timestamp()
-                if done:
-                    break
-                opened = at if opened is None else opened
-                if at > opened + seconds:
-                    fired, done = "time", True
-                    break
-                u = getattr(r, url)
-                if u not in urls:
-                    urls.append(u)
-                if len(urls) >= needed:
-                    fired, done = "count", True
-        done = done or fired is not None
-        state.update((opened, urls if not done else [], done))
-        state.setTimeoutTimestamp(max(int((opened + seconds + (quiet if done else 0)) * 1000), state.getCurrentWatermarkMs() + 1))
-        if fired:
-            yield pd.DataFrame({key: [k[0]], "urls": [len(urls)], "fired_by": [fired]})
+    (key, urls, fired_by).
 
-    return (entries.withWatermark("ts", late).select(key, url, "ts").groupBy(key)
-            .applyInPandasWithState(collect, f"{key} string, urls long, fired_by string", "opened double, urls array<string>, done boolean", "append", "EventTimeTimeout"))
+    Entries wait in a list until the watermark passes, and timers of event time fire the windows, so any split of the
+    entries into batches gives one answer, as long as none is later than ``late``. Needs the state store on RocksDB: see
+    ``run``.
+    """
+    x = entries.withWatermark("ts", late).select(key, F.col(url).cast("string").alias("link"), F.ceil(F.unix_micros("ts") / 1000).alias("millis"), "ts")
+    kind = entries.schema[key].dataType.simpleString()
+    return x.groupBy(key).transformWithStateInPandas(HeadlineWindow(key, needed, seconds, quiet), f"{key} {kind}, urls long, fired_by string", "append", "eventTime")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from newsgrain.operators import clustering, compare, dedup, maintenance, matching, neighbours, serving, telemetry
+from newsgrain.operators import clustering, compare, dedup, facts, maintenance, matching, neighbours, serving, telemetry
 from newsgrain.plans import streams as stream_queries
 from newsgrain.sources import records
 from newsgrain.streaming import streams
@@ -29,10 +29,30 @@ def test_scenarios_and_sitemap(spark, tmp_path):
     assert "&amp;b=2" in body and "&lt;1" in body
 
 
+def test_bloom_holds_its_rate_at_any_size(spark):
+    for n, rate in ((1_000_000, 0.01), (20_000, 0.001), (300, 0.1)):
+        df = spark.range(n + 200_000).select("id", F.concat(F.lit("key"), "id").alias("k"))
+        got = dedup.probe_bloom(df, dedup.build_bloom(df.where(F.col("id") < n), "k", rate), "k").groupBy(F.col("id") < n, "maybe").count().collect()
+        counts = {tuple(r)[:2]: tuple(r)[2] for r in got}
+        assert counts[True, True] == n and (True, False) not in counts
+        assert counts.get((False, True), 0) <= 200_000 * rate * 1.15
+    assert dedup.bloom_shape(10**9, 0.01)[0] * 512 < 13 * 10**9  # bits a key
+
+
+def test_blooms_merge(spark):
+    df = spark.range(3000).select("id", F.concat(F.lit("key"), "id").alias("k")).unionByName(spark.createDataFrame([(-1, None)], "id long, k string"))
+    a, b = (dedup.build_bloom(df.where(c), "k", 0.01, expect=2000) for c in ("id < 1000", "id >= 1000 and id < 2000"))
+    got = {r.id: r.maybe for r in dedup.probe_bloom(df, dedup.merge_blooms(a, b), "k").collect()}
+    assert all(got[i] for i in range(2000)) and sum(got[i] for i in range(2000, 3000)) < 30 and not got[-1]
+    with pytest.raises(Exception, match="different shapes"):
+        dedup.merge_blooms(a, dedup.build_bloom(df, "k", 0.5)).collect()
+    assert not any(r.maybe for r in dedup.probe_bloom(df, a.where("false"), "k").collect())
+
+
 def test_bloom_has_no_false_negatives(spark):
     df = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), "id")
-    b = dedup.build_bloom(df.where("id < 1000"), "k", 1 << 14, 5)
-    rows = dedup.probe_bloom(df, b, "k", 1 << 14, 5).collect()
+    b = dedup.build_bloom(df.where("id < 1000"), "k", 0.005)
+    rows = dedup.probe_bloom(df, b, "k").collect()
     assert all(r.maybe for r in rows if r.id < 1000)
     assert sum(r.maybe for r in rows if r.id >= 1000) < 0.05 * 2000
 
@@ -165,9 +185,9 @@ def test_percentiles_with_frequent_values(spark):
 def test_facts_of_one_source_only(spark):
     rows = [(1, "a", "Dimaagi Naxals"), (1, "b", "dimagi naxals"), (1, "a", "15 dead"), (1, "b", "50 dead"), (1, "b", "The Colombian Government."), (1, "a", "colombian government"), (2, "a", "alone")]
     df = spark.createDataFrame(rows, "story long, source string, fact string")
-    got = {(r.source, r.fact) for r in compare.unique_facts(df, "story", "source", "fact").collect()}
+    got = {(r.source, r.fact) for r in facts.unique_facts(df, "story", "source", "fact").collect()}
     assert got == {("a", "15 dead"), ("b", "50 dead"), ("a", "alone")}
-    plain = {(r.source, r.fact) for r in compare.unique_facts(df, "story", "source", "fact", spelling=False).collect()}
+    plain = {(r.source, r.fact) for r in facts.unique_facts(df, "story", "source", "fact", spelling=False).collect()}
     assert plain == got | {("a", "Dimaagi Naxals"), ("b", "dimagi naxals")}
 
 
@@ -249,6 +269,33 @@ def test_streams_do_not_depend_on_batches(spark, sf, tmp_path):
     assert {tuple(r) for r in stream_queries.str4(spark, str(tmp_path)).collect()} == want
 
 
+def test_candidate_windows_do_not_depend_on_batches(spark, tmp_path):
+    """Entries out of order by less than the allowed lateness, in files of any number: one answer."""
+    r = random.Random(8)
+    start = 1_700_000_000
+    rows = [(i, start + 20 * i + r.randint(-150, 150), f"h{r.randint(0, 40)}", f"u{r.randint(0, 4)}") for i in range(600)] + [(9999, start + 200_000, "end", "u")]
+    want, by = set(), {}
+    for _, t, h, u in sorted(rows, key=lambda x: (x[1], x[3])):
+        by.setdefault(h, []).append((t, u))
+    for h, entries in by.items():
+        end, urls = entries[0][0] + 60, []
+        for t, u in entries:
+            if t <= end and u not in urls and len(urls) < 3:
+                urls.append(u)
+        if end <= start + 200_000 - 600:
+            want.add((h, len(urls), "count" if len(urls) == 3 else "time"))
+    df = spark.createDataFrame([(i, t, 0, h, 0.0, u) for i, t, h, u in rows], "event_id long, t long, user_id long, event_type string, value double, props string")
+    df = df.select("event_id", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
+    for files in (1, 5):
+        place = tmp_path / str(files)
+        place.mkdir()
+        for k in range(files):
+            df.where(F.floor(F.least(F.col("event_id"), F.lit(600)) * files / 601) == k).coalesce(1).write.parquet(str(place / f"d{k}"))
+            next((place / f"d{k}").glob("part*")).rename(place / f"events{k}.parquet")
+        got = streams.run(streams.candidates(streams.read_events(spark, str(place)), "event_type", "props"), "append").collect()
+        assert {(g.event_type, g.urls, g.fired_by) for g in got} == want and len(got) == len(want) > 30
+
+
 def test_candidate_windows(spark, tmp_path):
     rows = [("a", "u1", 0), ("a", "u2", 5), ("a", "u2", 6), ("a", "u3", 7), ("a", "u4", 8), ("b", "u1", 0), ("b", "u2", 100), ("c", "u1", 3)]
     df = spark.createDataFrame([(i, 1_700_000_000 + t, 0, h, 0.0, u) for i, (h, u, t) in enumerate(rows)] + [(99, 1_700_000_000 + 90_000, 0, "late", 0.0, "u")], "event_id long, t long, user_id long, event_type string, value double, props string")
