@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, jaccard
@@ -94,97 +92,6 @@ def resolve_aliases(ids: DataFrame, aliases: DataFrame, key: str = "id", rounds:
     return ids.join(end, key, "left").select(key, F.coalesce("_end", key).alias("target"))
 
 
-def _greedy(fits: Callable[[dict, dict], float], least: float, id_col: str, order: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable").to_dict("records")
-        leader: list[dict] = []
-        out = []
-        for r in rows:
-            best = next((x for x in leader if fits(x, r) >= least), None)
-            if best is None:
-                leader.append(r)
-                best = r
-            out.append((r[id_col], best[id_col]))
-        return pd.DataFrame(out, columns=[id_col, "leader"])
-
-    return run
-
-
-def micro_clusters(df: DataFrame, block: str, id_col: str, vec: str, least: float = 0.70, order: list[str] | None = None) -> DataFrame:
-    """(id, leader): greedy groups in a block, in order: a row joins the first leader at least ``least`` alike, or leads.
-
-    The choice depends on the order, so it is made in one task a block; blocks (a candidate, a day) are small by the way
-    they are chosen, and must not be a category.
-    """
-    import numpy as np
-
-    def like(x, y):
-        a, b = np.asarray(x[vec], float), np.asarray(y[vec], float)
-        n = np.linalg.norm(a) * np.linalg.norm(b)
-        return float(a @ b / n) if n else 0.0
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(block, id_col, vec, *[c for c in (order or []) if c not in (block, id_col, vec)]).groupBy(block).applyInPandas(_greedy(like, least, id_col, order or [id_col]), f"{id_col} {kind}, leader {kind}")
-
-
-def split_clusters(events: DataFrame, cluster: str, id_col: str, actors: str, targets: str, auto: float = 0.60, review: float = 0.40) -> DataFrame:
-    """(cluster, id, part, status): greedy parts of each cluster by the mean likeness of actors and targets with a part's
-    members; between ``review`` and ``auto`` a row joins but needs review."""
-    kind, ckind = events.schema[id_col].dataType.simpleString(), events.schema[cluster].dataType.simpleString()
-
-    def one(c, rows: list[tuple]) -> list[tuple]:
-        jac = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
-        parts: list[list[tuple]] = []
-        out = []
-        for i, x, y in rows:
-            me = (set(x), set(y))
-            score = [round(sum(0.6 * jac(me[0], a) + 0.4 * jac(me[1], t) for a, t in p) / len(p), 12) for p in parts]
-            best = max(range(len(parts)), key=lambda k: (score[k], -k), default=None)
-            if best is not None and score[best] >= review:
-                status = "auto" if score[best] >= auto else "needs_review"
-                parts[best].append(me)
-            else:
-                best, status = len(parts), "auto"
-                parts.append([me])
-            out.append((c, i, best, status))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, rows, types = [cluster, id_col, "part", "status"], None, [], None
-
-        def batch(out: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*types, pa.int32(), pa.string()), strict=True)], names)
-
-        for b in batches:
-            types = types or (b.schema.field(0).type, b.schema.field(1).type)
-            out = []
-            for c, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if rows and c != held:
-                    out += one(held, rows)
-                    rows = []
-                held = c
-                rows.append(tuple(row))
-            yield batch(out)
-        if rows:
-            yield batch(one(held, rows))
-
-    # clusters arrive one after the other, so a task holds one of them at a time and there is no call a cluster
-    ordered = events.select(cluster, id_col, actors, targets).repartition(cluster).sortWithinPartitions(cluster, id_col)
-    return ordered.mapInArrow(run, f"{cluster} {ckind}, {id_col} {kind}, part int, status string")
-
-
-def split_story(members: DataFrame, story: str, id_col: str, vec: str, least: float = 0.80) -> DataFrame:
-    """(id, leader): a story whose mean cosine is under ``least`` falls into greedy groups; another stays whole."""
-    from .story import cohesion
-
-    c = cohesion(members, story, id_col, vec)
-    loose = members.join(c.where(F.col("mean_cosine") < least).select(story), story, "left_semi")
-    whole = members.join(c.where(F.col("mean_cosine") >= least).select(story), story, "left_semi")
-    first = whole.groupBy(story).agg(F.min(id_col).alias("leader"))
-    return micro_clusters(loose, story, id_col, vec, least).unionByName(whole.join(first, story).select(id_col, "leader"))
-
-
 def find_duplicate_stories(stories: DataFrame, id_col: str, vec: str, size: str, sure: float = 0.72, cap: int | None = None, when: str | None = None, now: Column | None = None, hours: int = 48,
                            passes: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None, **kw) -> DataFrame:
     """(survivor, absorbed, cosine): stories with centroids at least ``sure`` alike, the larger (then older) survives; a story
@@ -239,17 +146,44 @@ def same_event(keep: Callable[[str], Column], drop: Callable[[str], Column], ent
     return (first != "FAIL") & (stage_b(cosine(drop(article_vector), keep(centroid)), F.lit(0)) == "PASS")
 
 
+def _longest_of_key(rows: DataFrame, block: str, name: str, asks: str, answers: str) -> DataFrame:
+    """(block, name, rep) for rows (block, name, key) that ask: of the rows of their key that answer, the longest that is
+    longer, or comes before in the alphabet if it is as long; of equally long ones the last. No pairs are made: a key's
+    longest name is an aggregate, and the one before a name is a window's."""
+    size = F.length(name)
+    top = rows.where(answers).groupBy(block, "key").agg(F.max(F.struct(size.alias("n"), F.col(name).alias("rep"))).alias("_top"))
+    before = Window.partitionBy(block, "key", "_n").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    x = rows.withColumn("_n", size).withColumn("_near", F.last(F.when(F.col(answers), F.col(name)), ignorenulls=True).over(before)).where(asks)
+    x = x.join(top, [block, "key"])
+    return x.select(block, name, F.when(F.col("_top.n") > F.col("_n"), F.col("_top.rep")).otherwise(F.when(F.col("_top.n") == F.col("_n"), F.col("_near"))).alias("rep")).where("rep is not null")
+
+
 def coref_groups(mentions: DataFrame, block: str, name: str, person: bool = True) -> DataFrame:
-    """(block, name, representative): names in a block that mean the same; the longest name represents. Pairs are tested
-    by expressions; the first representative in order of length wins."""
-    from .compare import same_organisation, same_person
-
-    m = mentions.select(block, name).distinct()
-    same = same_person if person else same_organisation
-    a, b = m.select(block, F.col(name).alias("_a")), m.select(block, F.col(name).alias("_b"))
-    longer = (F.length("_b") > F.length("_a")) | ((F.length("_b") == F.length("_a")) & (F.col("_b") < F.col("_a")))
-    hit = a.join(b, block).where(longer & same(F.col("_a"), F.col("_b"))).groupBy(block, F.col("_a").alias(name)).agg(F.max_by("_b", F.struct(F.length("_b"), F.col("_b"))).alias("_rep"))
-    one = m.join(hit, [block, name], "left").select(block, name, F.coalesce("_rep", name).alias("representative"))
+    """(block, name, representative): names in a block that mean the same; the longest name represents.
+
+    Which names can mean the same follows from keys: equal cleaned names; of persons, a name of one word (titles aside) and
+    names that hold the word; of organisations, names with the same words but for corporate ones, and initials. The rules
+    of ``compare.same_person`` and ``same_organisation`` hold. A person's names are never paired: each asks its keys for
+    the longest name. Organisations are verified within the names of a key.
+    """
+    from .compare import _clean, _initials, person_words, same_organisation, stripped
+
+    m = cut(mentions.select(block, name).where(F.col(name).isNotNull()).distinct())
+    clean = _clean(F.col(name))
+    same = m.select(block, name, F.concat(F.lit("="), clean).alias("key"), F.lit(True).alias("asks"), F.lit(True).alias("answers"))
+    if person:
+        words = m.select(block, name, person_words(clean).alias("_w"))
+        single = F.size("_w") == 1
+        words = cut(words.select(block, name, F.explode("_w").alias("key"), single.alias("single"), F.lit(True).alias("any")))
+        found = _longest_of_key(words, block, name, "single", "any").unionByName(_longest_of_key(words, block, name, "any", "single"))
+        found = found.unionByName(_longest_of_key(same, block, name, "asks", "answers"))
+    else:
+        a = m.select(block, F.col(name).alias("_a"), F.explode(F.array(F.concat(F.lit("s:"), stripped(clean)), F.concat(F.lit("i:"), _initials(clean)), F.concat(F.lit("i:"), clean), F.concat(F.lit("="), clean))).alias("key")).where("key <> 'i:'").distinct()
+        b = a.withColumnRenamed("_a", "_b")
+        longer = (F.length("_b") > F.length("_a")) | ((F.length("_b") == F.length("_a")) & (F.col("_b") < F.col("_a")))
+        found = a.join(b, [block, "key"]).where(longer).select(block, "_a", "_b").distinct().where(same_organisation(F.col("_a"), F.col("_b"))).select(block, F.col("_a").alias(name), F.col("_b").alias("rep"))
+    hit = found.groupBy(block, name).agg(F.max_by("rep", F.struct(F.length("rep"), F.col("rep"))).alias("_rep"))
+    one = cut(m.join(hit, [block, name], "left").select(block, name, F.coalesce("_rep", name).alias("representative")))
     # a representative may itself be represented; names grow on the way, so a second look-up closes the chain
     up = one.select(block, F.col(name).alias("representative"), F.col("representative").alias("_up"))
     return one.join(up, [block, "representative"], "left").select(block, name, F.coalesce("_up", "representative").alias("representative"))

@@ -133,11 +133,25 @@ def _tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
 
 
+def person_words(clean: Column) -> Column:
+    """Words of a cleaned name but for titles."""
+    return F.array_except(_tokens(clean), F.array(*[F.lit(h) for h in HONORIFICS]))
+
+
+def stripped(clean: Column) -> Column:
+    """Words of a cleaned name but for corporate ones, in order of the alphabet."""
+    return F.array_join(F.array_sort(F.array_except(_tokens(clean), F.array(*[F.lit(h) for h in SUFFIXES]))), " ")
+
+
+def _initials(clean: Column) -> Column:
+    """First letters of a cleaned name's main words; "" if it has fewer than two."""
+    return F.when(F.size(_main(clean)) > 1, F.array_join(F.transform(_main(clean), lambda w: F.substring(w, 1, 1)), "")).otherwise("")
+
+
 def same_person(a: Column, b: Column) -> Column:
     """Equal names, or one a single word (titles aside) that the other holds."""
     x, y = _clean(a), _clean(b)
-    titles = F.array(*[F.lit(h) for h in HONORIFICS])
-    s, t = F.array_except(_tokens(x), titles), F.array_except(_tokens(y), titles)
+    s, t = person_words(x), person_words(y)
     return (x == y) | ((F.size(s) > 0) & (F.size(t) > 0) & (((F.size(s) == 1) | (F.size(t) == 1)) & F.arrays_overlap(s, t)))
 
 
@@ -147,8 +161,7 @@ def same_organisation(a: Column, b: Column) -> Column:
     s, t = _tokens(x), _tokens(y)
     odd = F.concat(F.array_except(s, t), F.array_except(t, s))
     longer = (F.length(x) > 3) & (F.length(y) > 3) & (F.contains(x, y) | F.contains(y, x)) & F.forall(odd, lambda w: w.isin(*SUFFIXES))
-    initials = lambda c: F.when(F.size(_main(c)) > 1, F.array_join(F.transform(_main(c), lambda w: F.substring(w, 1, 1)), "")).otherwise("")
-    ix, iy = initials(x), initials(y)
+    ix, iy = _initials(x), _initials(y)
     return (x == y) | longer | ((ix != "") & (ix == y)) | ((iy != "") & (iy == x))
 
 

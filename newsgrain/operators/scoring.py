@@ -20,6 +20,7 @@ TRUSTED = {
     "washington post": 0.9, "independent": 0.8, "techcrunch": 0.8, "the verge": 0.8,
 }
 PAIR = {"embedding": 0.45, "event": 0.25, "entity": 0.15, "temporal": 0.10, "source": 0.05}
+EVENT = {"actors": 0.25, "targets": 0.20, "place": 0.20, "kind": 0.15, "date": 0.10}
 DECAY = 0.1155
 
 
@@ -71,7 +72,7 @@ def event_similarity(a: Mapping[str, Column], b: Mapping[str, Column]) -> Column
     place = F.when((F.coalesce(la, F.lit("")) == "") | (F.coalesce(lb, F.lit("")) == ""), 0.5).when(la == lb, 1.0).when(F.contains(la, lb) | F.contains(lb, la), 0.8).otherwise(0.0)
     kind = F.when(a["kind"] == b["kind"], 1.0).when(a["parent"] == b["parent"], 0.5).otherwise(0.0)
     day = F.when(a["date"].isNull() | b["date"].isNull(), 0.5).when(a["date"] == b["date"], 1.0).otherwise(0.0)
-    return 0.25 * sim(a["actors"], b["actors"]) + 0.20 * sim(a["targets"], b["targets"]) + 0.20 * place + 0.15 * kind + 0.10 * day
+    return EVENT["actors"] * sim(a["actors"], b["actors"]) + EVENT["targets"] * sim(a["targets"], b["targets"]) + EVENT["place"] * place + EVENT["kind"] * kind + EVENT["date"] * day
 
 
 def stage_a(entities: Column, story_entities: Column, locations: Column, hours: Column, title_jaccard: Column, tier: Column | None = None) -> tuple[Column, Column]:

@@ -129,10 +129,43 @@ def completion(children: DataFrame, parent: str, status: str, terminal: Sequence
     return children.groupBy(parent).agg(F.count(F.lit(1)).alias("children"), F.bool_and(F.col(status).isin(*terminal)).alias("done"))
 
 
-def alerts(df: DataFrame, ts: str, minutes: int, bad: Column, latency: str, slow: float, errors: float) -> DataFrame:
-    """Windows in which the 95th percentile of latency or the error rate is above its limit."""
-    w = df.groupBy(F.window(F.col(ts).cast("timestamp"), f"{minutes} minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.percentile(latency, F.lit(0.95)).alias("p95"), (F.count_if(bad) / F.count(F.lit(1))).alias("rate"))
-    return w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", F.round("p95", 6).alias("p95"), F.round("rate", 6).alias("rate"), (F.col("p95") > slow).alias("is_slow"), (F.col("rate") > errors).alias("is_failing"))
+#: Upper edges of latency buckets, in seconds. Fixed values.
+EDGES = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0)
+
+
+def window_buckets(df: DataFrame, ts: str, minutes: int, bad: Column, latency: str, change: Column | None = None, edges: Sequence[float] = EDGES) -> DataFrame:
+    """(start, upto, n, bad, change): of each window of time and latency bucket the rows, those that are ``bad``, and the sum of
+    what they add to the backlog. Such tables can be kept and added up, see ``merge_windows``. Null latencies count in
+    the bucket ``upto`` null, which no percentile looks at."""
+    b = F.when(F.col(latency).isNotNull(), F.coalesce(*[F.when(F.col(latency) <= e, F.lit(float(e))) for e in edges], F.lit(float("inf"))))
+    w = F.window(F.col(ts).cast("timestamp"), f"{minutes} minutes")
+    rows = df.groupBy(w.alias("w"), b.alias("upto")).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), F.sum(F.lit(0) if change is None else change).alias("change"))
+    return rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "upto", "n", "bad", "change")
+
+
+def merge_windows(buckets: DataFrame, minutes: int) -> DataFrame:
+    """Buckets of windows added up to longer windows; tables of several sources may be united before."""
+    w = F.window(F.col("start").cast("timestamp"), f"{minutes} minutes")
+    return buckets.groupBy(w.alias("w"), "upto").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "change")]).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "upto", "n", "bad", "change")
+
+
+def bucket_quantile(buckets: DataFrame, q: float, edges: Sequence[float] = EDGES) -> DataFrame:
+    """(start, quantile) by linear interpolation in the bucket that holds it; beyond the last edge, that edge. The exact
+    quantile lies in the same bucket, so the error is less than the bucket is wide."""
+    one = buckets.where("upto is not null").groupBy("start", "upto").agg(F.sum("n").alias("n"))
+    c = one.withColumns({"upper": F.sum("n").over(Window.partitionBy("start").orderBy("upto")), "total": F.sum("n").over(Window.partitionBy("start"))})
+    x = c.where(F.col("upper") >= q * F.col("total")).groupBy("start").agg(F.min_by(F.struct("upto", "upper", "n", "total"), "upto").alias("x")).select("start", "x.*")
+    low = F.coalesce(*[F.when(F.col("upto") > e, F.lit(float(e))) for e in reversed(edges)], F.lit(0.0))
+    return x.select("start", F.when(F.col("upto") == float("inf"), F.lit(float(edges[-1]))).otherwise(low + (F.col("upto") - low) * (q * F.col("total") - (F.col("upper") - F.col("n"))) / F.col("n")).alias("quantile"))
+
+
+def alerts(buckets: DataFrame, slow: float = 30.0, errors: float = 0.05, backlog: int = 100, edges: Sequence[float] = EDGES) -> DataFrame:
+    """Windows of ``window_buckets`` with their 95th percentile of latency, error rate and the backlog at their end, and whether
+    each is above its limit. There is a row a window only, so the running backlog is a sum over a short table."""
+    w = buckets.groupBy("start").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("change").alias("change"))
+    w = w.withColumn("backlog", F.sum("change").over(Window.orderBy("start"))).join(bucket_quantile(buckets, 0.95, edges).withColumnRenamed("quantile", "p95"), "start", "left")
+    rate = F.col("bad") / F.col("n")
+    return w.select("start", "n", F.round("p95", 6).alias("p95"), F.round(rate, 6).alias("rate"), "backlog", (F.col("p95") > slow).alias("is_slow"), (rate > errors).alias("is_failing"), (F.col("backlog") > backlog).alias("is_behind"))
 
 
 def histogram(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_line
 from ..functions.vector import cosine, jaccard
-from ..operators import clustering, matching, neighbours, scoring, story
+from ..operators import clustering, greedy, matching, neighbours, scoring, story
 from ..storage import cut
 
 
@@ -130,19 +130,29 @@ def agg36(spark, d):
 
 
 def clu5(spark, d):
-    v = _t(spark, d, "embeddings").withColumn("day", F.floor(F.col("vec_id") / 32))
-    return clustering.micro_clusters(v, "day", "vec_id", "embedding", 0.2)
+    k, near = F.col("vec_id"), F.floor((F.col("vec_id") + 1) / 4)
+    tag = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    v = _v(spark, d).withColumns({"day": F.floor(k / 32), "events": F.array(tag("e", near % 3)), "entities": F.array(tag("f", k % 3), tag("g", near % 5)), "source": k % 2})
+    m = greedy.micro_clusters(v, "day", ["vec_id"], {"id": "vec_id", "vector": "embedding", "events": "events", "entities": "entities", "source": "source"})
+    return m.select(F.col("id").alias("vec_id"), "leader", "part", "event", F.array_join("entities", ",").alias("entities"), F.round(F.element_at("centroid", 1), 6).alias("first"))
+
+
+_EVENT = {"id": "i", "kind": "kind", "parent": "parent", "actors": "actors", "targets": "targets", "location": "location", "date": "date"}
+
+
+def _line_events(spark, d):
+    e = _t(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("i")).agg(*[F.max(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_returnflag", "l_linestatus", "l_shipdate")])
+    tag = lambda p, c: F.concat(F.lit(p), (F.col(c) % 2).cast("string"))
+    return e.select("l_orderkey", "i", F.when(F.col("i") != 6, tag("K", "l_suppkey")).alias("kind"), F.lit("P").alias("parent"), F.array("l_returnflag", "l_linestatus").alias("actors"), F.array(tag("t", "l_partkey")).alias("targets"),
+                    tag("City ", "l_suppkey").alias("location"), (F.year("l_shipdate") % 2).alias("date"), F.array(tag("x", "l_partkey"), F.lit("y")).alias("entities"))
 
 
 def clu6(spark, d):
-    e = _t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("i"), F.array(F.col("l_returnflag"), F.col("l_linestatus")).alias("actors"), (F.col("l_suppkey") % 3).alias("target"))
-    e = e.groupBy("l_orderkey", "i").agg(F.max("actors").alias("actors"), F.array(F.max("target").cast("string")).alias("targets"))
-    return clustering.split_clusters(e, "l_orderkey", "i", "actors", "targets")
+    return greedy.split_clusters(_line_events(spark, d), "l_orderkey", ["i"], _EVENT | {"entities": "entities"}).withColumnRenamed("id", "i")
 
 
 def clu7(spark, d):
-    v = _t(spark, d, "embeddings").withColumn("story", F.floor(F.col("vec_id") / 12))
-    return clustering.split_story(v, "story", "vec_id", "embedding", 0.0)
+    return greedy.split_story(_line_events(spark, d), "l_orderkey", ["i"], _EVENT).withColumnRenamed("id", "i")
 
 
 def clu8(spark, d):
@@ -175,7 +185,11 @@ _COS = "list_cosine_similarity({}::DOUBLE[], {}::DOUBLE[])"
 _MIXED = """v AS (SELECT a.vec_id, CASE WHEN a.vec_id % 4 = 0 AND b.vec_id IS NOT NULL THEN list_transform(list_zip(a.embedding, b.embedding), lambda p: 0.3 * p[1]::DOUBLE + 0.7 * p[2]::DOUBLE) ELSE a.embedding::DOUBLE[] END AS e FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id - 1)"""
 _CLUSTER = f"""WITH RECURSIVE {_MIXED}, l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 1 - 0.9::DOUBLE * 0.9 / 2),
   r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a), c AS (SELECT x AS vec_id, min(y) AS root FROM r GROUP BY x)"""
-_TW = lambda c: f"list_slice(list_distinct_ordered({c}), 1, 12)"
+_LINES = """e AS (SELECT l_orderkey AS o, l_linenumber AS i, CASE WHEN l_linenumber <> 6 THEN max(l_suppkey) % 2 END AS k, [max(l_returnflag), max(l_linestatus)] AS a, max(l_partkey) % 2 AS t, max(l_suppkey) % 2 AS l, year(max(l_shipdate)) % 2 AS d, ['x' || (max(l_partkey) % 2), 'y'] AS n,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem GROUP BY 1, 2)"""
+_ROW = "struct_pack(k := k, a := a, t := t, l := l, d := d, n := n)"
+_ALIKE = """CASE WHEN x.k IS NULL THEN 0 ELSE 0.25::DOUBLE * len(list_intersect(x.a, e.a)) / len(list_distinct(x.a || e.a)) + CASE WHEN x.t = e.t THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN x.l = e.l THEN 0.20::DOUBLE ELSE 0 END
+  + CASE WHEN x.k = e.k THEN 0.15::DOUBLE ELSE 0.075::DOUBLE END + CASE WHEN x.d = e.d THEN 0.10::DOUBLE ELSE 0 END END"""
 
 
 QUERIES = {
@@ -216,24 +230,26 @@ QUERIES = {
         r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a) SELECT x AS vec_id, min(y) AS root FROM r GROUP BY x"""),
     "jn5_recall": (jn5_recall, f"""WITH {_MIXED}, c AS (SELECT list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id < b.vec_id)
         SELECT t.least::DOUBLE AS least, count(*) FILTER (c >= t.least) AS pairs, true AS enough FROM c, (VALUES (0.595::DOUBLE), (0.72::DOUBLE), (0.9::DOUBLE)) AS t(least) GROUP BY 1"""),
-    "clu5_micro_clusters": (clu5, """WITH RECURSIVE v AS (SELECT vec_id // 32 AS day, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY vec_id // 32 ORDER BY vec_id) AS rn FROM embeddings),
-        r AS (SELECT day, rn, vec_id, vec_id AS leader, [struct_pack(id := vec_id, e := e)] AS ls FROM v WHERE rn = 1
-          UNION ALL SELECT day, rn, vec_id, coalesce(hit, vec_id), CASE WHEN hit IS NULL THEN list_append(ls, struct_pack(id := vec_id, e := e)) ELSE ls END
-            FROM (SELECT v.day, v.rn, v.vec_id, v.e, r.ls, list_filter(r.ls, lambda x: list_cosine_similarity(x.e, v.e) >= 0.2)[1].id AS hit FROM r JOIN v ON v.day = r.day AND v.rn = r.rn + 1))
-        SELECT vec_id, leader FROM r"""),
-    "clu6_split_clusters": (clu6, """WITH RECURSIVE e AS (SELECT l_orderkey, l_linenumber AS i, max([l_returnflag, l_linestatus]) AS a, CAST(max(l_suppkey % 3) AS VARCHAR) AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem GROUP BY 1, 2),
-        r AS (SELECT l_orderkey, i, rn, [[struct_pack(a := a, t := t)]] AS ps, 0 AS part, 'auto' AS status FROM e WHERE rn = 1
-          UNION ALL SELECT l_orderkey, i, rn, CASE WHEN top >= 0.4 THEN list_transform(ps, lambda p, k: CASE WHEN k = best THEN list_append(p, struct_pack(a := a, t := t)) ELSE p END) ELSE list_append(ps, [struct_pack(a := a, t := t)]) END,
-              CASE WHEN top >= 0.4 THEN CAST(best - 1 AS INTEGER) ELSE len(ps) END, CASE WHEN top >= 0.6 OR top < 0.4 THEN 'auto' ELSE 'needs_review' END
-            FROM (SELECT *, list_max(s) AS top, list_position(s, list_max(s)) AS best
-              FROM (SELECT e.l_orderkey, e.i, e.rn, e.a, e.t, r.ps, list_transform(r.ps, lambda p: round(list_avg(list_transform(p, lambda x: 0.6::DOUBLE * len(list_intersect(x.a, e.a)) / len(list_distinct(x.a || e.a)) + CASE WHEN x.t = e.t THEN 0.4::DOUBLE ELSE 0 END)), 12)) AS s FROM r JOIN e ON e.l_orderkey = r.l_orderkey AND e.rn = r.rn + 1)))
-        SELECT l_orderkey, i, CAST(part AS INTEGER) AS part, status FROM r"""),
-    "clu7_split_story": (clu7, """WITH RECURSIVE v AS (SELECT vec_id // 12 AS story, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY vec_id // 12 ORDER BY vec_id) AS rn FROM embeddings),
-        m AS (SELECT a.story, avg(list_cosine_similarity(a.e, b.e)) AS mean FROM v a JOIN v b ON a.story = b.story AND a.vec_id < b.vec_id GROUP BY 1),
-        r AS (SELECT story, rn, vec_id, vec_id AS leader, [struct_pack(id := vec_id, e := e)] AS ls FROM v WHERE rn = 1
-          UNION ALL SELECT story, rn, vec_id, coalesce(hit, vec_id), CASE WHEN hit IS NULL THEN list_append(ls, struct_pack(id := vec_id, e := e)) ELSE ls END
-            FROM (SELECT v.story, v.rn, v.vec_id, v.e, r.ls, list_filter(r.ls, lambda x: list_cosine_similarity(x.e, v.e) >= 0.0)[1].id AS hit FROM r JOIN v ON v.story = r.story AND v.rn = r.rn + 1))
-        SELECT vec_id, CASE WHEN coalesce(mean, 1.0) >= 0.0 THEN min(vec_id) OVER (PARTITION BY story) ELSE leader END AS leader FROM r LEFT JOIN m USING (story)"""),
+    "clu5_micro_clusters": (clu5, f"""WITH RECURSIVE {_MIXED}, a AS (SELECT vec_id // 32 AS day, vec_id, e, (vec_id + 1) // 4 % 3 AS ev, ['f' || (vec_id % 3), 'g' || ((vec_id + 1) // 4 % 5)] AS n, vec_id % 2 AS src, row_number() OVER (PARTITION BY vec_id // 32 ORDER BY vec_id) AS rn FROM v),
+        r AS (SELECT day, rn, vec_id, vec_id AS leader, 0 AS part, [struct_pack(id := vec_id, e := e, ev := ev, n := n, src := src)] AS ls FROM a WHERE rn = 1
+          UNION ALL SELECT day, rn, vec_id, coalesce(ls[hit].id, vec_id), coalesce(hit - 1, len(ls)), CASE WHEN hit IS NULL THEN list_append(ls, struct_pack(id := vec_id, e := e, ev := ev, n := n, src := src)) ELSE ls END
+            FROM (SELECT a.day, a.rn, a.vec_id, a.e, a.ev, a.n, a.src, r.ls, nullif(list_position(list_transform(r.ls, lambda x: round(0.45::DOUBLE * list_cosine_similarity(x.e, a.e) + CASE WHEN x.ev = a.ev THEN 0.25::DOUBLE ELSE 0 END
+                + 0.15::DOUBLE * len(list_intersect(x.n, a.n)) / len(list_distinct(x.n || a.n)) + 0.095::DOUBLE + CASE WHEN x.src = a.src THEN 0.04::DOUBLE ELSE 0.05::DOUBLE END, 9) >= 0.7), true), 0) AS hit FROM r JOIN a ON a.day = r.day AND a.rn = r.rn + 1)),
+        g AS (SELECT leader, round(avg(e[1]), 6) AS first, list_sort(list_distinct(flatten(list(n))))[1:5] AS names FROM r JOIN a USING (vec_id) GROUP BY leader)
+        SELECT r.vec_id, r.leader, CAST(part AS INTEGER) AS part, CASE WHEN r.vec_id = r.leader THEN 'e' || a.ev END AS event, CASE WHEN r.vec_id = r.leader THEN array_to_string(names, ',') END AS entities, CASE WHEN r.vec_id = r.leader THEN g.first END AS first
+        FROM r JOIN a USING (vec_id) JOIN g ON g.leader = r.leader"""),
+    "clu6_split_clusters": (clu6, f"""WITH RECURSIVE {_LINES},
+        r AS (SELECT o, i, rn, [[{_ROW}]] AS ps, 0 AS part, 'auto' AS status FROM e WHERE rn = 1
+          UNION ALL SELECT o, i, rn, CASE WHEN best > 0 THEN list_transform(ps, lambda p, j: CASE WHEN j = best THEN list_append(p, {_ROW}) ELSE p END) ELSE list_append(ps, [{_ROW}]) END, CASE WHEN best > 0 THEN best - 1 ELSE len(ps) END,
+              CASE WHEN len(list_filter(CASE WHEN best > 0 THEN s[1:best] ELSE s END, lambda m: m >= 0.7 AND m < 0.9)) > 0 THEN 'needs_review' ELSE 'auto' END
+            FROM (SELECT *, CASE WHEN k IS NULL THEN 0 ELSE coalesce(list_position(list_transform(s, lambda m: m >= 0.8), true), 0) END AS best FROM (SELECT e.*, r.ps, CASE WHEN e.k IS NULL THEN [] ELSE
+              list_transform(r.ps, lambda p: round(list_avg(list_transform(p, lambda x: {_ALIKE} + 0.10::DOUBLE * len(list_intersect(x.n, e.n)) / len(list_distinct(x.n || e.n)))), 9)) END AS s FROM r JOIN e ON e.o = r.o AND e.rn = r.rn + 1)))
+        SELECT o AS l_orderkey, i, CAST(part AS INTEGER) AS part, status FROM r"""),
+    "clu7_split_story": (clu7, f"""WITH RECURSIVE {_LINES},
+        r AS (SELECT o, i, rn, [[{_ROW}]] AS ps, 0 AS part FROM e WHERE rn = 1
+          UNION ALL SELECT o, i, rn, CASE WHEN best > 0 THEN list_transform(ps, lambda p, j: CASE WHEN j = best THEN list_append(p, {_ROW}) ELSE p END) ELSE list_append(ps, [{_ROW}]) END, CASE WHEN best > 0 THEN best - 1 ELSE len(ps) END
+            FROM (SELECT *, CASE WHEN k IS NULL THEN 0 ELSE coalesce(list_position(list_transform(s, lambda m: m >= 0.8), true), 0) END AS best FROM (SELECT e.*, r.ps, list_transform(r.ps, lambda p: round(list_avg(list_transform(p, lambda x: {_ALIKE})), 9)) AS s FROM r JOIN e ON e.o = r.o AND e.rn = r.rn + 1)))
+        SELECT o AS l_orderkey, i, CAST(CASE WHEN max(part) OVER (PARTITION BY o) = 0 AND rn > 1 THEN 1 ELSE part END AS INTEGER) AS part FROM r"""),
     "clu8_duplicate_stories": (clu8, f"""WITH RECURSIVE {_MIXED},
         f AS (SELECT v.vec_id AS k, v.e, embeddings.embedding::DOUBLE[] AS av, TIMESTAMP '2024-01-01' + to_minutes(v.vec_id % 300 * 10) AS t, ['x' || ((v.vec_id + 1) // 4 % 5), 'y' || (v.vec_id % 3)] AS ents,
             CASE WHEN v.vec_id % 3 = 0 THEN ['x' || ((v.vec_id + 1) // 4 % 5)] ELSE [] END AS loc, ['w' || ((v.vec_id + 1) // 4 % 6), 'v' || (v.vec_id % 2)] AS ws, ['w' || ((v.vec_id + 1) // 4 % 6), 'u' || (v.vec_id % 2)] AS aws FROM v JOIN embeddings USING (vec_id)),

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup, gates, maintenance, serving, telemetry
 from ..sources import records
+from ..storage import new_place
+from ..streaming import upserts
 
 NOW, DAY = "2024-01-20 15:30:00", "2024-01-20"
 ONOW = "2001-08-01"
@@ -43,13 +45,25 @@ def src3(spark, d):
 
 def src6(spark, d):
     e = _ev(spark, d)
-    base = e.where("event_id % 3 = 0").groupBy("user_id").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
-    delta = e.where("event_id % 3 = 1 AND user_id % 2 = 0").groupBy("user_id").agg(F.avg("value").alias("v"), F.count(F.lit(1)).alias("k"))
+    known = F.expr("event_id % 3 = 0 AND user_id % 7 > 0 OR user_id % 5 = 0")
+    base = e.where(known).groupBy("user_id").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+    delta = e.where(~known).groupBy("user_id").agg(F.avg("value").alias("v"), F.count(F.lit(1)).alias("k"))
     x = dedup.upsert(base, delta, ["user_id"], {"mean": F.when(F.col("b.mean").isNull(), F.col("d.v")).when(F.col("d.v").isNull(), F.col("b.mean")).otherwise(0.9 * F.col("b.mean") + 0.1 * F.col("d.v")),
                                                 "n": F.coalesce("b.n", F.lit(0)) + F.coalesce("d.k", F.lit(0))})
     return x.select("user_id", F.round("mean", 6).alias("mean"), "n")
 
 
+def src6_stream(spark, d):
+    """Totals by user and type that a stream of four files keeps up."""
+    place = new_place(spark)
+    _ev(spark, d).repartition(4, "event_id").write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(_ev(spark, d).schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    table = upserts.UpsertTable(spark, f"{place}/table", ["user_id", "event_type"], "user_id long, event_type string, n long, most double, last timestamp_ntz", 16)
+    each = [F.count(F.lit(1)).alias("n"), F.max("value").alias("most"), F.max("ts").alias("last")]
+    version = table.follow(stream, each, {"n": F.coalesce("b.n", F.lit(0)) + F.coalesce("d.n", F.lit(0)), "most": F.greatest("b.most", "d.most"), "last": F.greatest("b.last", "d.last")})
+    return table.snapshot(version)
+
+
 def src10(spark, d):
     return records.ingest_events(_ev(spark, d)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
@@ -227,7 +241,10 @@ def agg34(spark, d):
 
 
 def agg37(spark, d):
-    return telemetry.alerts(_ev(spark, d), "ts", 360, F.col("event_type") == "error", "value", 100.0, 0.05)
+    # a queue grows by two of five events and shrinks by two others
+    change = F.when(F.col("event_id") % 5 < 2, 1).when(F.col("event_id") % 5 < 4, -1).otherwise(0) + F.when(F.col("event_type") == "error", 1).otherwise(0)
+    five = telemetry.window_buckets(_ev(spark, d), "ts", 5, F.col("event_type") == "error", "value", change)
+    return telemetry.alerts(telemetry.merge_windows(five, 360), 30.0, 0.05, 100)
 
 
 def agg37b(spark, d):
@@ -314,8 +331,9 @@ _R = lambda c: f"round(count(*) FILTER ({c}) / count(*)::DOUBLE, 6)"  # noqa: E7
 
 QUERIES = {
     "src3_tables": (src3, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"))),
-    "src6_upsert": (src6, """WITH b AS (SELECT user_id, avg(value) AS m, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1), d AS (SELECT user_id, avg(value) AS v, count(*) AS k FROM events WHERE event_id % 3 = 1 AND user_id % 2 = 0 GROUP BY 1)
+    "src6_upsert": (src6, """WITH b AS (SELECT user_id, avg(value) AS m, count(*) AS n FROM events WHERE event_id % 3 = 0 AND user_id % 7 > 0 OR user_id % 5 = 0 GROUP BY 1), d AS (SELECT user_id, avg(value) AS v, count(*) AS k FROM events WHERE NOT (event_id % 3 = 0 AND user_id % 7 > 0 OR user_id % 5 = 0) GROUP BY 1)
         SELECT user_id, round(CASE WHEN m IS NULL THEN v WHEN v IS NULL THEN m ELSE 0.9 * m + 0.1 * v END, 6) AS mean, coalesce(n, 0) + coalesce(k, 0) AS n FROM b FULL JOIN d USING (user_id)"""),
+    "src6_stream_upsert": (src6_stream, "SELECT user_id, event_type, count(*) AS n, max(value) AS most, max(ts) AS last FROM events GROUP BY 1, 2"),
     "src10_ingest_events": (src10, "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1"),
     "src11_validate_events": (src11, "SELECT event_type, CASE WHEN event_type IN ('click', 'view') THEN 'ok' WHEN event_type = 'purchase' THEN 'missing_key' ELSE 'unknown_event' END AS problem, count(*) AS n FROM events GROUP BY 1, 2"),
     "src13_append_log": (src13, "SELECT event_type, count(*) AS n FROM events GROUP BY 1"),
@@ -361,7 +379,13 @@ QUERIES = {
     "agg32_engagement": (agg32, "SELECT event_id % 100 AS story, count(*) FILTER (event_type = 'view') AS views, greatest(count(*) FILTER (event_type = 'signup') - count(*) FILTER (event_type = 'error'), 0) AS bookmarks, count(*) FILTER (event_type = 'click') AS shares FROM events GROUP BY 1"),
     "agg33_completion": (agg33, "SELECT l_orderkey, count(*) AS children, bool_and(l_returnflag IN ('A', 'R')) AS done FROM lineitem GROUP BY 1"),
     "agg34_funnel": (agg34, "SELECT o_orderpriority, count(DISTINCT o_orderkey) AS found, count(DISTINCT l_orderkey) AS crawled, count(l_orderkey) AS articles, count(*) FILTER (l_returnflag = 'A') AS clustered FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"),
-    "agg37_alerts": (agg37, "WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, quantile_cont(value, 0.95) AS p, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS r FROM events GROUP BY 1) SELECT start, n, round(p, 6) AS p95, round(r, 6) AS rate, p > 100 AS is_slow, r > 0.05 AS is_failing FROM w"),
+    "agg37_alerts": (agg37, """WITH e AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type = 'error' AS bad, CASE WHEN event_id % 5 < 2 THEN 1 WHEN event_id % 5 < 4 THEN -1 ELSE 0 END + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS change,
+            coalesce(list_filter([0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0]::DOUBLE[], lambda x: value <= x)[1], 'inf'::DOUBLE) AS upto FROM events),
+        w AS (SELECT start, count(*) AS n, count(*) FILTER (bad) / count(*)::DOUBLE AS rate, CAST(sum(sum(change)) OVER (ORDER BY start) AS BIGINT) AS backlog FROM e GROUP BY start),
+        b AS (SELECT start, upto, count(*) AS k FROM e GROUP BY 1, 2), c AS (SELECT *, sum(k) OVER (PARTITION BY start ORDER BY upto) AS upper, sum(k) OVER (PARTITION BY start) AS total FROM b),
+        q AS (SELECT start, arg_min(upto, upto) AS upto, arg_min(upper, upto) AS upper, arg_min(k, upto) AS k, any_value(total) AS total FROM c WHERE upper >= 0.95::DOUBLE * total GROUP BY start),
+        p AS (SELECT start, CASE WHEN isinf(upto) THEN 300 ELSE low + (upto - low) * (0.95::DOUBLE * total - (upper - k)) / k END AS p95 FROM (SELECT *, coalesce(list_filter([0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0]::DOUBLE[], lambda x: x < upto)[-1], 0) AS low FROM q))
+        SELECT start, n, round(p95, 6) AS p95, round(rate, 6) AS rate, backlog, p95 > 30 AS is_slow, rate > 0.05 AS is_failing, backlog > 100 AS is_behind FROM w JOIN p USING (start)"""),
     "agg37_histogram": (agg37b, "SELECT CAST(CASE WHEN value <= 1 THEN 1 WHEN value <= 5 THEN 5 WHEN value <= 10 THEN 10 WHEN value <= 30 THEN 30 WHEN value <= 60 THEN 60 WHEN value <= 120 THEN 120 ELSE 'inf'::DOUBLE END AS DOUBLE) AS upto, count(*) AS n FROM events GROUP BY 1"),
     "agg38_domain_policy": (agg38, """WITH RECURSIVE e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS domain, ['local', 'search', 'render'][event_id % 7 % 3 + 1] AS p, event_type <> 'error' AS ok, value AS v, ts, event_id FROM events),
         x AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY domain) AS n FROM e),

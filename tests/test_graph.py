@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from newsgrain.operators import graph
+from newsgrain.operators import clustering, compare, graph
 
 
 @pytest.mark.parametrize("q", [1, 3, 5])
@@ -73,3 +74,30 @@ def test_merges_keep_one_row_a_key_and_follow_chains(spark):
     assert sorted(tuple(x) for x in out["log"].collect()) == [(1, "x"), (1, "x"), (4, "y")]
     assert sorted(tuple(x) for x in out["versions"].collect()) == [(1, "x"), (4, "y")]
     assert out["marks"].columns == ["user", "story", "note"]
+
+
+@pytest.mark.parametrize("person", [True, False])
+def test_coreference_equals_all_pairs(spark, person):
+    r = random.Random(3)
+    words = ["Lee", "ann", "Dr", "Mr", "Acme", "Inc", "corp", "World", "Bank", "of", "WB", "wb", "Group", "IBM"]
+    rows = list({(r.randint(0, 2), " ".join(r.choice(words) for _ in range(r.randint(1, 3))) + r.choice(["", "", ".", "!"])) for _ in range(220)}) + [(0, "")]
+    df = spark.createDataFrame([*rows, (0, None)], "story long, name string").repartition(4)
+    got = {(g.story, g.name): g.representative for g in clustering.coref_groups(df, "story", "name", person).collect()}
+    same = compare.same_person if person else compare.same_organisation
+    a, b = df.toDF("story", "a"), df.toDF("story", "b")
+    hits = a.join(b, "story").where(same(F.col("a"), F.col("b"))).collect()
+    first = {}
+    for s, x, y in hits:
+        if len(y) > len(x) or (len(y) == len(x) and y < x):
+            first[s, x] = max(first.get((s, x), y), y, key=lambda n: (len(n), n))
+    one = {k: first.get(k, k[1]) for k in {(s, n) for s, n in rows}}
+    assert got == {(s, n): one.get((s, rep), rep) for (s, n), rep in one.items()}
+    assert sum(n != rep for (_, n), rep in got.items()) > 20
+
+
+def test_one_block_of_many_names(spark):
+    names = spark.range(50_000).select(F.lit(1).alias("story"), F.concat(F.lit("Person"), F.col("id") % 9000, F.lit(" Lee"), F.col("id")).alias("name"))
+    names = names.unionByName(spark.createDataFrame([(1, "Lee7"), (1, "Dr Person5"), (1, "Lee")], "story int, name string"))
+    got = clustering.coref_groups(names, "story", "name")
+    assert got.count() == 50_003
+    assert {r.name: r.representative for r in got.where("name in ('Lee7', 'Dr Person5', 'Lee')").collect()} == {"Lee7": "Person7 Lee7", "Dr Person5": "Person5 Lee45005", "Lee": "Lee"}

@@ -37,7 +37,7 @@ def test_every_name_is_registered_once():
 
 
 def test_native_operators_run_no_python(spark, sf):
-    python = {"src12_html_text", "win3_rank_results", "sc19_fact_tiers", "clu4_vector_clusters", "agg36_cluster_quality", "clu5_micro_clusters", "clu6_split_clusters", "clu7_split_story", "clu8_duplicate_stories"}
+    python = {"src12_html_text", "win3_rank_results", "sc19_fact_tiers", "clu1_unique_facts", "jn5_vector_search", "jn5_recall", "clu4_vector_clusters", "clu4_close_vectors", "agg36_cluster_quality", "clu5_micro_clusters", "clu6_split_clusters", "clu7_split_story", "clu8_duplicate_stories"}
     for name, query in catalog.queries().items():
         if name not in python and not name.startswith("str"):
             plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from newsgrain.operators import clustering, compare, dedup, facts, maintenance, matching, neighbours, serving, telemetry
+from newsgrain.operators import clustering, dedup, facts, greedy, maintenance, neighbours, serving, telemetry
 from newsgrain.plans import streams as stream_queries
 from newsgrain.sources import records
 from newsgrain.streaming import streams
@@ -87,7 +87,9 @@ def test_alias_cycles(spark):
 
 def test_greedy_groups_partition_the_input(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    got = {r.vec_id: r.leader for r in clustering.micro_clusters(v, "label", "vec_id", "embedding", 0.3).collect()}
+    bare = v.withColumns({"names": F.array().cast("array<string>"), "source": F.lit(None).cast("string")})  # then the score is 0.45 * cosine + 0.145
+    cols = {"id": "vec_id", "vector": "embedding", "events": "names", "entities": "names", "source": "source"}
+    got = {r.id: r.leader for r in greedy.micro_clusters(bare, "label", ["vec_id"], cols, 0.45 * 0.3 + 0.145).collect()}
     rows = {r.vec_id: r for r in v.collect()}
     assert set(got) == set(rows)
     cos = lambda a, b: sum(x * y for x, y in zip(rows[a].embedding, rows[b].embedding, strict=True))
