@@ -127,3 +127,23 @@ def test_sanitised_texts(odd, spark):
             assert re.search(r"\[(EMAIL|IP|CARD|PHONE)\]", r.text)
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_personal(none).count() == 0 and pii.sanitise(none).count() == 0
+
+
+def test_native_operators_run_no_python(spark, sf, monkeypatch):
+    """Fingerprints and personal data: no Python function is given to Spark, in any step that leads to the result."""
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    from newsgrain.llm import fingerprints, pii
+
+    def forbidden(*args, **kw):
+        raise AssertionError("a Python function on the main path")
+
+    for name in ("mapInArrow", "mapInPandas", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, forbidden)
+    for name in ("udf", "pandas_udf"):
+        monkeypatch.setattr(F, name, forbidden)
+    for query in (fingerprints.op1_fingerprints, pii.op10_pii):
+        df = query(spark, sf)
+        assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "InArrow"))
+        assert df.count() > 0
