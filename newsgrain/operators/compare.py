@@ -185,3 +185,23 @@ def story_changes(before: DataFrame, after: DataFrame, story: str, member: str)
     b, a = before.select(F.col(story).alias("old_story"), member), after.select(F.col(story).alias("new_story"), member)
     x = b.join(a, member, "full_outer")
     return x.withColumn("change", F.when(F.col("old_story").isNull(), "added").when(F.col("new_story").isNull(), "removed").when(F.col("old_story") != F.col("new_story"), "moved").otherwise("kept"))
+
+
+def story_events(before: DataFrame, after: DataFrame, story: str, member: str) -> DataFrame:
+    """(event, story, others, members): what became of stories between two clusterings.
+
+    created: none of its members was in a story; merged: its members come from several stories (``others``); merged_away: all
+    members that are left went into another story that was merged; split: its members are in several stories;
+    removed: none of its members is in a story. ``members`` counts those of the story that the event is about.
+    """
+    b, a = before.select(F.col(story).alias("old"), member).distinct(), after.select(F.col(story).alias("new"), member).distinct()
+    x = b.join(a, member, "full_outer")
+    listed = lambda c: F.array_sort(F.collect_set(c))
+    news = x.where("new is not null").groupBy("new").agg(F.count(F.lit(1)).alias("members"), listed("old").alias("olds"))
+    olds = x.where("old is not null").groupBy("old").agg(F.count(F.lit(1)).alias("members"), listed("new").alias("news"))
+    none = F.array().cast(news.schema["olds"].dataType)
+    row = lambda df, kind, s, others: df.select(F.lit(kind).alias("event"), s.alias(story), others.alias("others"), "members")
+    merged = news.where("size(olds) > 1")
+    away = olds.where("size(news) = 1").withColumn("new", F.col("news")[0]).where("new <> old").join(merged.select("new"), "new", "left_semi")
+    return (row(news.where("size(olds) = 0"), "created", F.col("new"), none).unionByName(row(merged, "merged", F.col("new"), F.col("olds"))).unionByName(row(away, "merged_away", F.col("old"), F.col("news")))
+            .unionByName(row(olds.where("size(news) > 1"), "split", F.col("old"), F.col("news"))).unionByName(row(olds.where("size(news) = 0"), "removed", F.col("old"), none)))

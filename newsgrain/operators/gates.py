@@ -17,8 +17,13 @@ def publishable(df: DataFrame, headline: str, summary: str, status: str, wanted:
     return df.where((F.coalesce(headline, F.lit("")) != "") & ~F.startswith(F.col(headline), F.lit("[Mock]")) & (F.coalesce(summary, F.lit("")) != "") & (F.col(status) == wanted))
 
 
-def facet(stories: DataFrame, categories: DataFrame, key: str, slug: str, wanted: str) -> DataFrame:
-    return stories.join(categories.where(F.col(slug) == wanted), key)
+def facet(stories: DataFrame, categories: DataFrame, key: str, slug: str, wanted: str | None = None, **places: str | None) -> DataFrame:
+    """Stories of the category with the wanted slug, and with the wanted values in the columns that ``places`` names (country,
+    state, city); what is not wanted is not tested."""
+    for column, value in places.items():
+        if value is not None:
+            stories = stories.where(F.col(column) == value)
+    return stories if wanted is None else stories.join(categories.where(F.col(slug) == wanted), key)
 
 
 def after(df: DataFrame, ts: str, since: Column, zone: str = "UTC") -> DataFrame:

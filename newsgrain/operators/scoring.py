@@ -100,12 +100,33 @@ def trending_rank(sources: Column, hours: Column, recent: Column) -> Column:
     return 0.35 * F.least(F.log(1 + sources) / F.log(F.lit(6.0)), F.lit(1.2)) + 0.35 * F.exp(-DECAY * F.greatest(hours, F.lit(0.0))) + 0.30 * F.least(recent / 5.0, F.lit(1.0))
 
 
-def lifecycle(state: Column, articles: Column, confidence: Column, sources: Column, contradiction: Column, idle_h: Column, undiscovered_h: Column) -> Column:
-    """Next state of a story; archived stays archived."""
-    return (F.when(state == "archived", "archived").when((idle_h >= 168) & (undiscovered_h >= 168), "archived")
-            .when((state == "monitoring") & (confidence >= 0.95) & (idle_h >= 24) & (sources >= 5) & (contradiction <= 0.1), "stable")
-            .when((state == "developing") & (confidence >= 0.8) & (idle_h >= 6) & (sources >= 3) & (contradiction <= 0.2), "monitoring")
-            .when((state == "emerging") & (articles >= 3), "developing").otherwise(state))
+def _transitions(articles: Column, confidence: Column, sources: Column, contradiction: Column, idle_h: Column, undiscovered_h: Column) -> list[tuple[str, str, Column, Column]]:
+    """(from, to, condition, reason) of each transition."""
+    n = lambda c, places: F.format_string(f"%.{places}f", F.bround(c.cast("double"), places))
+    quiet = F.concat(F.lit("Inactivity "), n(idle_h, 1), F.lit("h, Conf "), n(confidence, 2), F.lit(", Sources "), sources.cast("string"), F.lit(", Contradiction "), n(contradiction, 2))
+    return [
+        ("emerging", "developing", articles >= 3, F.concat(F.lit("Articles count ("), articles.cast("string"), F.lit(") met threshold (3)"))),
+        ("developing", "monitoring", (confidence >= 0.8) & (idle_h >= 6) & (sources >= 3) & (contradiction <= 0.2), quiet),
+        ("monitoring", "stable", (confidence >= 0.95) & (idle_h >= 24) & (sources >= 5) & (contradiction <= 0.1), quiet),
+        ("stable", "archived", (idle_h >= 168) & (undiscovered_h >= 168), F.concat(F.lit("No updates for "), n(idle_h, 1), F.lit("h, no discovery for "), n(undiscovered_h, 1), F.lit("h"))),
+    ]
+
+
+def lifecycle(state: Column, *signals: Column) -> Column:
+    """Next state of a story, by ``signals``: articles, confidence, sources, contradiction, idle hours and hours without
+    discovery. Each state has one next state; archived stays archived."""
+    out = F.when(state == "archived", "archived")
+    for old, new, met, _ in _transitions(*signals):
+        out = out.when((state == old) & met, new)
+    return out.otherwise(state)
+
+
+def lifecycle_reason(state: Column, *signals: Column) -> Column:
+    """Why ``lifecycle`` decides as it does."""
+    out = F.when(state == "archived", "Story is already archived.")
+    for old, _, met, why in _transitions(*signals):
+        out = out.when((state == old) & met, why)
+    return out.otherwise("No thresholds met.")
 
 
 def hhi(df: DataFrame, group: str, source: str) -> DataFrame:

@@ -18,17 +18,28 @@ def unclustered(articles: DataFrame, links: DataFrame, key: str, link: str) -> D
     return articles.join(links.select(F.col(link).alias(key)), key, "left_anti")
 
 
-def personal_feed(users: DataFrame, stories: DataFrame, user: str, category: str, order: Sequence[Column | str], k: int) -> DataFrame:
-    """Best ``k`` stories of each user: of the preferred category, or of all where none is preferred.
+def personal_feed(users: DataFrame, stories: DataFrame, user: str, category: str, order: Sequence[Column | str], k: int, country: str | None = None) -> DataFrame:
+    """Best ``k`` stories of each user, with their ``rank``: of the preferred categories and, with ``country``, of the preferred
+    countries; where a user prefers none, of all.
 
-    The best stories of each category, and of all, are found first; users only meet those.
+    Users have pref_<category> and pref_<country>: a value or an array of them; null and empty prefer none. The best
+    stories of each category, of each country, of each two of them and of all are found first, so users only meet those.
     """
-    w = Window.partitionBy(category).orderBy(*order)
-    best = stories.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    top = stories.orderBy(*order).limit(k)
-    top = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("_c", F.lit("*"))
-    every = best.withColumn("_c", F.col(category).cast("string")).unionByName(top)
-    return users.withColumn("_c", F.coalesce(F.col(f"pref_{category}").cast("string"), F.lit("*"))).join(every, "_c").drop("_c")
+    facets = [c for c in (category, country) if c is not None]
+    s = stories.select("*", *[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(facets)])
+    every = None
+    for wild in range(1 << len(facets)):
+        x = s.withColumns({f"_{i}": F.lit("*") if wild >> i & 1 else F.concat(F.lit("="), f"_{i}") for i in range(len(facets))})
+        best = x.where(" and ".join(f"_{i} is not null" for i in range(len(facets)))).withColumn("_rn", F.row_number().over(Window.partitionBy(*[f"_{i}" for i in range(len(facets))]).orderBy(*order))).where(F.col("_rn") <= k)
+        every = best if every is None else every.unionByName(best)
+    out = users
+    for i, c in enumerate(facets):
+        have = users.schema[f"pref_{c}"].dataType
+        wanted = F.col(f"pref_{c}") if have.typeName() == "array" else F.when(F.col(f"pref_{c}").isNotNull(), F.array(f"pref_{c}"))
+        wanted = F.array_compact(F.array_distinct(F.transform(wanted, lambda v: F.concat(F.lit("="), v.cast("string")))))
+        out = out.withColumn(f"_{i}", F.explode(F.when(F.coalesce(F.size(wanted), F.lit(0)) > 0, wanted).otherwise(F.array(F.lit("*")))))
+    met = out.join(every.drop("_rn"), [f"_{i}" for i in range(len(facets))]).drop(*[f"_{i}" for i in range(len(facets))])
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def digests(users: DataFrame, stories: DataFrame, user: str, wanted: str, category: str, order: Sequence[Column | str], most: int = 10) -> DataFrame:

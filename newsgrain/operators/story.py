@@ -80,9 +80,21 @@ def story_detail(stories: DataFrame, story: str, children: dict[str, tuple[DataF
     return out
 
 
-def story_inspector(stories: DataFrame, calls: DataFrame, story: str, when: str, key: str, cost: str, latest: int = 3) -> DataFrame:
-    """Stories with their latest calls and what all of them cost."""
-    w = Window.partitionBy(story).orderBy(F.desc(when), F.desc(key))
-    last = calls.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= latest).groupBy(story).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", key))), lambda x: x[key]).alias("latest"))
-    total = calls.groupBy(story).agg(F.round(F.sum(cost), 2).alias("cost"))
-    return stories.join(total, story, "left").join(last, story, "left")
+def article_lineage(articles: DataFrame, article: str, story: str, own: dict[str, tuple[DataFrame, Sequence[str]]], of_story: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """A row an article with its own spans, and the spans and calls of the story it is in, each a sorted array."""
+    return story_detail(story_detail(articles, article, own), story, of_story)
+
+
+def story_inspector(stories: DataFrame, story: str, children: dict[str, tuple[DataFrame, str, str]], costs: dict[str, str], latest: int = 3) -> DataFrame:
+    """Stories with the keys of the latest rows of each child table (table, time, key), newest first, and the sum of the costs
+    (child to column) of all of them."""
+    out = stories
+    total = F.lit(0.0)
+    for name, (child, when, key) in children.items():
+        w = Window.partitionBy(story).orderBy(F.desc(when), F.desc(key))
+        last = child.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= latest).groupBy(story).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", key))), lambda x: x[key]).alias(f"latest_{name}"))
+        out = out.join(last, story, "left")
+        if name in costs:
+            out = out.join(child.groupBy(story).agg(F.sum(costs[name]).alias(f"_cost_{name}")), story, "left")
+            total = total + F.coalesce(f"_cost_{name}", F.lit(0.0))
+    return out.withColumn("cost", F.round(total, 2)).drop(*[f"_cost_{n}" for n in costs])

@@ -141,6 +141,16 @@ def ded18(spark, d):
     return dedup.fabricated(a, "fp", 2).select("doc_id", "shared_by")
 
 
+def ded18_links(spark, d):
+    a = _read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("fp"))
+    links = a.where("doc_id % 3 > 0").select("doc_id", F.floor(F.col("doc_id") / 10).alias("story"))
+    return dedup.fabricated_links(a, "fp", 2, "doc_id", links, "story")
+
+
+def ded17_groups(spark, d):
+    return dedup.near_duplicate_groups(_read(spark, d, "documents"), "doc_id", "text")
+
+
 def ded17(spark, d):
     return dedup.near_duplicates(_read(spark, d, "documents"), "doc_id", "text")
 
@@ -395,6 +405,13 @@ QUERIES = {
     "ded14_embedding_misses": (ded14, """SELECT 'm1:' || sha256(coalesce(text, '')) AS cache_key, count(*) AS n_rows, bool_or(trim(coalesce(text, '')) = '') AS zero FROM documents
         WHERE coalesce(text, '') NOT IN (SELECT text FROM documents JOIN embeddings ON doc_id = vec_id) GROUP BY 1"""),
     "ded17_near_duplicates": (ded17, None),
+    "ded17_groups": (ded17_groups, r"""WITH RECURSIVE w AS (SELECT min(doc_id) AS id, string_split_regex(lower(trim(text)), '\s+') AS ws FROM documents GROUP BY text),
+        g AS (SELECT id, unnest(list_distinct(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS v FROM w),
+        n AS (SELECT id, count(*) AS n FROM g GROUP BY 1), c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.v = b.v AND a.id < b.id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 75 * (x.n + y.n - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(x, y) AS (SELECT id, id FROM w UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), m AS (SELECT x, min(y) AS root FROM r GROUP BY x), f AS (SELECT text, min(doc_id) AS id FROM documents GROUP BY 1)
+        SELECT d.doc_id, m.root FROM documents d JOIN f ON f.text = d.text JOIN m ON m.x = f.id"""),
+    "ded18_linked_rows": (ded18_links, "SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN doc_id // 10 END AS story FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 2"),
     "ded18_fabricated": (ded18, "SELECT doc_id, n AS shared_by FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 2"),
     "sc1_discovery": (sc1, f"SELECT doc_id, {_DISC} AS score FROM documents"),
     "sc2_metadata": (sc2, f"SELECT doc_id, {_META} AS score, {_META} >= 0.25 AS passed FROM documents"),

@@ -48,8 +48,12 @@ def win6(spark, d):
 
 
 def flt2(spark, d):
-    n = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), "r_name")
-    return gates.facet(_t(spark, d, "supplier"), n, "s_nationkey", "r_name", "ASIA").select("s_suppkey")
+    n = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "r_name")
+    x = _t(spark, d, "supplier").join(n.select("s_nationkey", F.col("n_name").alias("country")), "s_nationkey").withColumns({"state": F.concat(F.lit("state "), F.col("s_suppkey") % 2), "city": F.concat(F.lit("city "), F.col("s_suppkey") % 3)})
+    asia = lambda **places: gates.facet(x, n.select("s_nationkey", "r_name"), "s_nationkey", "r_name", "ASIA", **places).select("s_suppkey")
+    some = gates.facet(x, n, "s_nationkey", "r_name", country=n.agg(F.min("n_name")).first()[0], state="state 1").select("s_suppkey")
+    name = lambda df, w: df.select(F.lit(w).alias("wanted"), "s_suppkey")
+    return name(asia(), "category").unionByName(name(asia(state="state 1", city="city 0"), "category, state, city")).unionByName(name(some, "country, state"))
 
 
 def flt3(spark, d):
@@ -124,7 +128,8 @@ def sc14(spark, d):
                                                        (F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1))).alias("conflict"))
     state = F.element_at(F.array(*[F.lit(x) for x in ("emerging", "developing", "monitoring", "stable", "archived")]), (F.col("o_custkey") % 5 + 1).cast("int"))
     idle = F.timestamp_diff("HOUR", F.col("last"), _ts(NOW)) / 24.0
-    return m.select("o_custkey", scoring.lifecycle(state, F.col("articles"), F.lit(1.0) - F.col("conflict") / 4, F.col("sources"), F.col("conflict"), idle, idle - 20).alias("state"))
+    signals = (F.col("articles"), F.lit(1.0) - F.col("conflict") / 4, F.col("sources"), F.col("conflict"), idle, idle - 20)
+    return m.select("o_custkey", scoring.lifecycle(state, *signals).alias("state"), scoring.lifecycle_reason(state, *signals).alias("reason"))
 
 
 def sc15(spark, d):
@@ -271,8 +276,11 @@ def jn14(spark, d):
 
 def jn16(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
-    out = story.story_detail(o, "o_orderkey", {"spans": (_members(spark, d).select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_suppkey"), ["l_linenumber", "l_suppkey"])})
-    return out.select("o_orderkey", "o_custkey", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_suppkey"].cast("string"))), ",").alias("spans"))
+    own = {"spans": (_members(spark, d).select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_suppkey"), ["l_linenumber", "l_suppkey"])}
+    of_story = {"story_spans": (_t(spark, d, "events").select(F.col("user_id").alias("o_custkey"), "ts", "event_type"), ["ts", "event_type"]), "calls": (_t(spark, d, "conversations").select(F.col("conv_id").alias("o_custkey"), "turn", "role"), ["turn", "role"])}
+    out = story.article_lineage(o, "o_orderkey", "o_custkey", own, of_story)
+    return out.select("o_orderkey", "o_custkey", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_suppkey"].cast("string"))), ",").alias("spans"),
+                      F.array_join(F.transform("story_spans", lambda x: x["event_type"]), ",").alias("story_spans"), F.array_join(F.transform("calls", lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"])), ",").alias("calls"))
 
 
 def jn17(spark, d):
@@ -286,8 +294,10 @@ def _users(spark, d):
 
 
 def jn18(spark, d):
-    s = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
-    return serving.personal_feed(_users(spark, d), s, "c_custkey", "o_orderpriority", [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("c_custkey", "o_orderkey", "rank")
+    s = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate", F.concat(F.lit("n"), F.col("o_custkey") % 5).alias("country"))
+    u = _t(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))).when(F.col("c_custkey") % 3 == 1, F.array(F.lit("5-LOW"))).alias("pref_o_orderpriority"),
+                                        F.when(F.col("c_nationkey") % 4 == 0, F.array(F.lit("n1"), F.lit("n2"), F.lit("n1"))).when(F.col("c_nationkey") % 4 == 1, F.array().cast("array<string>")).when(F.col("c_nationkey") % 4 == 2, F.array(F.lit("n4"))).alias("pref_country"))
+    return serving.personal_feed(u, s, "c_custkey", "o_orderpriority", [F.desc("o_totalprice"), F.desc("o_orderdate"), F.col("o_orderkey")], 3, "country").select("c_custkey", "o_orderkey", "rank")
 
 
 def win11(spark, d):
@@ -352,8 +362,9 @@ def jn22(spark, d):
 
 def jn23(spark, d):
     m = _members(spark, d).select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate", "l_linenumber", "l_extendedprice").groupBy("o_orderkey", "l_linenumber").agg(F.max("l_shipdate").alias("l_shipdate"), F.sum("l_extendedprice").alias("l_extendedprice"))
-    x = story.story_inspector(_t(spark, d, "orders").select("o_orderkey"), m, "o_orderkey", "l_shipdate", "l_linenumber", "l_extendedprice")
-    return x.select("o_orderkey", "cost", F.array_join(F.col("latest").cast("array<string>"), ",").alias("latest"))
+    runs = _t(spark, d, "events").select(F.col("user_id").alias("o_orderkey"), "ts", "event_id", "value")
+    x = story.story_inspector(_t(spark, d, "orders").select("o_orderkey"), "o_orderkey", {"calls": (m, "l_shipdate", "l_linenumber"), "runs": (runs, "ts", "event_id")}, {"calls": "l_extendedprice", "runs": "value"})
+    return x.select("o_orderkey", "cost", F.array_join(F.col("latest_calls").cast("array<string>"), ",").alias("latest_calls"), F.array_join(F.col("latest_runs").cast("array<string>"), ",").alias("latest_runs"))
 
 
 def agg29(spark, d):
@@ -433,6 +444,14 @@ def clu12(spark, d):
     return compare.story_changes(before, after, "story", "member").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
+def clu12_events(spark, d):
+    o = _t(spark, d, "orders")
+    before = o.where("o_orderkey % 7 > 0").select(F.when(F.col("o_custkey") % 40 < 4, F.col("o_custkey") % 40).otherwise(F.floor(F.col("o_custkey") / 3)).alias("story"), F.col("o_orderkey").alias("member"))
+    after = o.where("o_custkey % 11 > 0").select(F.when(F.col("o_custkey") % 40 < 4, F.floor(F.col("o_custkey") % 40 / 2)).when(F.col("o_custkey") % 9 == 0, 100_000 + F.col("o_orderkey") % 50).otherwise(F.floor(F.col("o_custkey") / 3)).alias("story"), F.col("o_orderkey").alias("member"))
+    x = compare.story_events(before, after, "story", "member")
+    return x.select("event", "story", F.array_join(F.col("others").cast("array<string>"), ",").alias("others"), "members")
+
+
 _FP = """substr(sha256(l_returnflag || '::' || array_to_string(list_sort(['p' || (l_partkey % 40), 'q' || (CAST(l_quantity AS INTEGER) % 5)]), ',') || '::' || 's' || (l_suppkey % 10) || '::' || 'city ' || (l_suppkey % 4) || '::' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR)), 1, 32)"""
 _RANK = f"""r AS (SELECT o_orderkey, o_orderdate, coalesce(sources, 0) AS sources, round(0.35 * least(ln(1 + coalesce(sources, 0)) / ln(6.0), 1.2) + 0.35 * exp(-0.1155 * greatest(date_diff('second', o_orderdate, TIMESTAMP '{NOW}') / 3600.0 / 24.0, 0)) + 0.30 * least(coalesce(recent, 0) / 5.0, 1.0), 6) AS rank_score
   FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_suppkey) AS sources, count(*) FILTER (l_shipdate > TIMESTAMP '{RECENT}' AND l_shipdate <= TIMESTAMP '{NOW}') AS recent FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
@@ -453,7 +472,9 @@ QUERIES = {
     "win5_trending": (win5_trending, f"WITH {_RANK} SELECT o_orderkey, sources, rank_score FROM r WHERE o_orderdate <= TIMESTAMP '{NOW}' AND o_orderdate > TIMESTAMP '{EARLY}' ORDER BY rank_score DESC, o_orderkey LIMIT 20"),
     "win6_list_orders": (win6, "(SELECT o_orderkey, 'first_seen' AS sort FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20) UNION ALL (SELECT o_orderkey, 'score' FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 20)"),
     "win16_trending_stored": (win16, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey LIMIT 25"),
-    "flt2_facets": (flt2, "SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
+    "flt2_facets": (flt2, """WITH x AS (SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+        SELECT 'category' AS wanted, s_suppkey FROM x WHERE r_name = 'ASIA' UNION ALL SELECT 'category, state, city', s_suppkey FROM x WHERE r_name = 'ASIA' AND s_suppkey % 2 = 1 AND s_suppkey % 3 = 0
+        UNION ALL SELECT 'country, state', s_suppkey FROM x WHERE n_name = (SELECT min(n_name) FROM nation) AND s_suppkey % 2 = 1"""),
     "flt3_after": (flt3, "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01 00:00:00'"),
     "flt5_eligible": (flt5, f"SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 720 HOUR AND o_orderdate <= TIMESTAMP '{NOW}' ORDER BY o_orderdate DESC, o_orderkey LIMIT 40"),
     "flt10_top_story": (flt10, f"SELECT o_orderkey, o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 60 DAY AND coalesce((SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_orderkey = o_orderkey), 0) >= 3 AS top_story FROM orders"),
@@ -471,7 +492,10 @@ QUERIES = {
         FROM orders JOIN (SELECT l_orderkey, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey"""),
     "sc13_trending_rank": (sc13, f"WITH {_RANK} SELECT o_orderkey, rank_score FROM r"),
     "sc14_lifecycle": (sc14, f"""WITH m AS (SELECT o_custkey, count(*) AS a, count(DISTINCT o_orderpriority) AS s, date_sub('hour', max(o_orderdate), TIMESTAMP '{NOW}') / 24.0 AS idle, count(*) FILTER (o_orderstatus = 'F') / count(*)::DOUBLE AS c, ['emerging', 'developing', 'monitoring', 'stable', 'archived'][o_custkey % 5 + 1] AS st FROM orders GROUP BY o_custkey)
-        SELECT o_custkey, CASE WHEN st = 'archived' OR (idle >= 168 AND idle - 20 >= 168) THEN 'archived' WHEN st = 'monitoring' AND 1.0 - c / 4 >= 0.95 AND idle >= 24 AND s >= 5 AND c <= 0.1 THEN 'stable' WHEN st = 'developing' AND 1.0 - c / 4 >= 0.8 AND idle >= 6 AND s >= 3 AND c <= 0.2 THEN 'monitoring' WHEN st = 'emerging' AND a >= 3 THEN 'developing' ELSE st END AS state FROM m"""),
+        SELECT o_custkey, CASE WHEN st = 'stable' AND idle >= 168 AND idle - 20 >= 168 THEN 'archived' WHEN st = 'monitoring' AND 1.0 - c / 4 >= 0.95 AND idle >= 24 AND s >= 5 AND c <= 0.1 THEN 'stable' WHEN st = 'developing' AND 1.0 - c / 4 >= 0.8 AND idle >= 6 AND s >= 3 AND c <= 0.2 THEN 'monitoring' WHEN st = 'emerging' AND a >= 3 THEN 'developing' ELSE st END AS state,
+          CASE WHEN st = 'archived' THEN 'Story is already archived.' WHEN st = 'stable' AND idle >= 168 AND idle - 20 >= 168 THEN printf('No updates for %.1fh, no discovery for %.1fh', round_even(idle, 1), round_even(idle - 20, 1))
+            WHEN (st = 'monitoring' AND 1.0 - c / 4 >= 0.95 AND idle >= 24 AND s >= 5 AND c <= 0.1) OR (st = 'developing' AND 1.0 - c / 4 >= 0.8 AND idle >= 6 AND s >= 3 AND c <= 0.2) THEN printf('Inactivity %.1fh, Conf %.2f, Sources %d, Contradiction %.2f', round_even(idle, 1), round_even(1.0 - c / 4, 2), s, round_even(c, 2))
+            WHEN st = 'emerging' AND a >= 3 THEN printf('Articles count (%d) met threshold (3)', a) ELSE 'No thresholds met.' END AS reason FROM m"""),
     "sc15_hhi": (sc15, "SELECT l_orderkey, round(sum(n * n) / (sum(n) * sum(n)), 6) AS hhi FROM (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1"),
     "sc16_quality_gate": (sc16, """WITH h AS (SELECT l_orderkey, sum(n * n) / (sum(n) * sum(n)) AS hhi FROM (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1),
         m AS (SELECT l_orderkey, min(l_discount) * 20 AS c, count(*) FILTER (l_tax > 0.04) AS m, count(DISTINCT l_returnflag) AS f, count(*) FILTER (l_quantity > 49) AS k FROM lineitem GROUP BY 1),
@@ -513,10 +537,13 @@ QUERIES = {
           round(coalesce(b.tax, 0) - coalesce(a.tax, 0), 6) AS tax_diff, round(CASE WHEN coalesce(a.tax, 0) = 0 THEN 0 ELSE 100 * (coalesce(b.tax, 0) - a.tax) / a.tax END, 6) AS tax_percent FROM a FULL JOIN b USING (l_returnflag)"""),
     "jn13_comparison_view": (jn13, "SELECT l_orderkey, l_linenumber, coalesce(s_name, 'General coverage') AS coverage FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) ON l_suppkey = s_suppkey"),
     "jn14_entity_timeline": (jn14, """WITH x AS (SELECT DISTINCT l_partkey, o_orderkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT * FROM (SELECT l_partkey, o_orderkey, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS rank FROM x) WHERE rank <= 3"""),
-    "jn16_lineage": (jn16, "SELECT o_orderkey, o_custkey, CASE WHEN count(l_linenumber) > 0 THEN array_to_string(list_transform(list_sort(list((l_linenumber, l_suppkey))), lambda x: x[1] || ':' || x[2]), ',') END AS spans FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2"),
+    "jn16_lineage": (jn16, """WITH a AS (SELECT l_orderkey AS o_orderkey, array_to_string(list_transform(list_sort(list((l_linenumber, l_suppkey))), lambda x: x[1] || ':' || x[2]), ',') AS spans FROM lineitem GROUP BY 1),
+        b AS (SELECT user_id AS o_custkey, array_to_string(list_transform(list_sort(list((ts, event_type))), lambda x: x[2]), ',') AS story_spans FROM events GROUP BY 1), c AS (SELECT conv_id AS o_custkey, array_to_string(list_transform(list_sort(list((turn, role))), lambda x: x[1] || ':' || x[2]), ',') AS calls FROM conversations GROUP BY 1)
+        SELECT o_orderkey, o_custkey, spans, story_spans, calls FROM orders LEFT JOIN a USING (o_orderkey) LEFT JOIN b USING (o_custkey) LEFT JOIN c USING (o_custkey)"""),
     "jn17_bookmarked": (jn17, "SELECT o_orderkey, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'"),
-    "jn18_personal_feed": (jn18, f"""WITH {_USERS}, b AS (SELECT o_orderkey, o_orderpriority AS c, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders UNION ALL SELECT o_orderkey, '*', row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) FROM orders)
-        SELECT c_custkey, o_orderkey, CAST(rank AS INTEGER) AS rank FROM u JOIN b ON c = coalesce(pref, '*') WHERE rank <= 3"""),
+    "jn18_personal_feed": (jn18, """WITH u AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN ['1-URGENT', '2-HIGH'] WHEN 1 THEN ['5-LOW'] ELSE [] END AS ps, CASE c_nationkey % 4 WHEN 0 THEN ['n1', 'n2'] WHEN 2 THEN ['n4'] ELSE [] END AS cs FROM customer),
+        k AS (SELECT DISTINCT ps, cs FROM u), r AS (SELECT ps, cs, o_orderkey, row_number() OVER (PARTITION BY ps, cs ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey) AS rank FROM k, orders WHERE (len(ps) = 0 OR list_contains(ps, o_orderpriority)) AND (len(cs) = 0 OR list_contains(cs, 'n' || (o_custkey % 5))))
+        SELECT c_custkey, o_orderkey, CAST(rank AS INTEGER) AS rank FROM u JOIN r USING (ps, cs) WHERE rank <= 3"""),
     "jn19_knowledge_graph": (jn19, f"""WITH {_GRAPH}, b AS (SELECT l_linenumber AS line, * FROM x)
         SELECT DISTINCT story, 'article:' || line AS a, 'source:' || l_suppkey AS b, 'reported_by' AS kind, NULL::VARCHAR AS role FROM b WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 > 0)
         UNION SELECT DISTINCT b.story, 'article:' || line, 'event:' || line, 'describes_event', NULL FROM b WHERE line <> 4
@@ -532,8 +559,10 @@ QUERIES = {
         SELECT name, coalesce(dest, story) AS story, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys, CAST(sum(v) AS BIGINT) AS values FROM r WHERE rn = 1 OR name IN ('views', 'versions') GROUP BY 1, 2"""),
     "jn21_coreference": (jn21, "SELECT s_suppkey, s_nationkey % 5 = s_suppkey % 5 AND s_suppkey % 2 = 0 AS same, s_nationkey % 5 = s_suppkey % 5 AS same_person FROM supplier"),
     "jn22_story_detail": (jn22, "SELECT o_orderkey, CAST(count(l_linenumber) AS INTEGER) AS members, CAST(count(DISTINCT l_suppkey) AS INTEGER) AS sources, CAST(count(DISTINCT l_partkey) AS INTEGER) AS entities FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"),
-    "jn23_story_inspector": (jn23, """WITH m AS (SELECT l_orderkey, l_linenumber, max(l_shipdate) AS at, sum(l_extendedprice) AS c FROM lineitem GROUP BY 1, 2)
-        SELECT o_orderkey, round(sum(c), 2) AS cost, CASE WHEN count(c) > 0 THEN array_to_string(list_transform(list_reverse_sort(list(struct_pack(a := m.at, b := l_linenumber)))[1:3], lambda x: x.b), ',') END AS latest FROM orders LEFT JOIN m ON o_orderkey = l_orderkey GROUP BY 1"""),
+    "jn23_story_inspector": (jn23, """WITH m AS (SELECT l_orderkey, l_linenumber, max(l_shipdate) AS at, sum(l_extendedprice) AS c FROM lineitem GROUP BY 1, 2),
+        a AS (SELECT l_orderkey AS o_orderkey, sum(c) AS c, array_to_string(list_transform(list_reverse_sort(list(struct_pack(a := m.at, b := l_linenumber)))[1:3], lambda x: x.b), ',') AS latest_calls FROM m GROUP BY 1),
+        r AS (SELECT user_id AS o_orderkey, sum(value) AS v, array_to_string(list_transform(list_reverse_sort(list(struct_pack(a := ts, b := event_id)))[1:3], lambda x: x.b), ',') AS latest_runs FROM events GROUP BY 1)
+        SELECT o_orderkey, round(coalesce(c, 0) + coalesce(v, 0), 2) AS cost, latest_calls, latest_runs FROM orders LEFT JOIN a USING (o_orderkey) LEFT JOIN r USING (o_orderkey)"""),
     "agg29_facts_by_source": (agg29, "SELECT l_orderkey, l_suppkey, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS facts, arg_min(l_quantity, (l_linenumber, l_partkey, l_quantity)) AS first_number FROM lineitem GROUP BY 1, 2"),
     "agg30_timeline": (agg30, "SELECT l_orderkey, array_to_string(list_transform(list_sort(list((l_shipdate, l_linenumber, l_returnflag || ' reported by ' || l_suppkey))), lambda x: x[3]), '; ') AS timeline FROM lineitem GROUP BY 1"),
     "agg31_anchor": (agg31, "SELECT l_orderkey, arg_max(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS headline, array_to_string(list_sort(list(DISTINCT l_suppkey))[1:3], ',') AS entities FROM lineitem GROUP BY 1"),
@@ -558,6 +587,12 @@ QUERIES = {
             OR (levenshtein(a.f, b.f) = 2 AND length(a.f) = length(b.f) AND hamming(a.f, b.f) > 2 AND 2 * (length(a.f) - 1) >= 0.9 * 2 * length(a.f))
             OR (levenshtein(a.f, b.f) = 2 AND abs(length(a.f) - length(b.f)) = 2 AND 2 * least(length(a.f), length(b.f)) >= 0.9 * (length(a.f) + length(b.f)))))))"""),
     "clu2_shared_facts": (clu2, """WITH f AS (SELECT l_orderkey, l_suppkey, list(DISTINCT p_type) AS f FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT a.l_orderkey, count(*) FILTER (list_has_any(a.f, b.f)) AS sharing FROM f a JOIN f b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1"""),
+    "clu12_story_events": (clu12_events, """WITH b AS (SELECT CASE WHEN o_custkey % 40 < 4 THEN o_custkey % 40 ELSE o_custkey // 3 END AS old, o_orderkey AS m FROM orders WHERE o_orderkey % 7 > 0),
+        a AS (SELECT CASE WHEN o_custkey % 40 < 4 THEN o_custkey % 40 // 2 WHEN o_custkey % 9 = 0 THEN 100000 + o_orderkey % 50 ELSE o_custkey // 3 END AS new, o_orderkey AS m FROM orders WHERE o_custkey % 11 > 0),
+        x AS (SELECT old, new FROM b FULL JOIN a USING (m)), n AS (SELECT new, count(*) AS k, list_sort(list(DISTINCT old) FILTER (old IS NOT NULL)) AS os FROM x WHERE new IS NOT NULL GROUP BY 1), o AS (SELECT old, count(*) AS k, list_sort(list(DISTINCT new) FILTER (new IS NOT NULL)) AS ns FROM x WHERE old IS NOT NULL GROUP BY 1),
+        e AS (SELECT 'created' AS event, new AS story, []::BIGINT[] AS others, k FROM n WHERE coalesce(len(os), 0) = 0 UNION ALL SELECT 'merged', new, os, k FROM n WHERE len(os) > 1
+          UNION ALL SELECT 'merged_away', old, ns, k FROM o WHERE len(ns) = 1 AND ns[1] <> old AND ns[1] IN (SELECT new FROM n WHERE len(os) > 1) UNION ALL SELECT 'split', old, ns, k FROM o WHERE len(ns) > 1 UNION ALL SELECT 'removed', old, []::BIGINT[], k FROM o WHERE coalesce(len(ns), 0) = 0)
+        SELECT event, story, array_to_string(others, ',') AS others, k AS members FROM e"""),
     "clu12_story_changes": (clu12, """WITH b AS (SELECT o_custkey % 50 AS s, o_orderkey AS m FROM orders), a AS (SELECT o_custkey % 45 AS s, o_orderkey AS m FROM orders WHERE o_orderkey % 4 <> 0)
         SELECT CASE WHEN b.m IS NULL THEN 'added' WHEN a.m IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'moved' ELSE 'kept' END AS change, count(*) AS n FROM b FULL JOIN a ON a.m = b.m GROUP BY 1"""),
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -33,7 +34,14 @@ class UpsertTable:
         """Which version's folder has each bucket."""
         if not version:
             return {}
-        return {r["bucket"]: r["held_by"] for r in self.spark.read.schema("bucket int, held_by int").parquet(f"{self.path}/manifest/{version}").collect()}  # at most ``buckets`` rows
+        return {r["bucket"]: r["held_by"] for r in self.spark.read.schema("bucket int, held_by int").parquet(f"{self.path}/manifest/version={version}").collect()}  # at most ``buckets`` rows
+
+    def latest(self) -> int:
+        """The last complete version."""
+        try:
+            return self.spark.read.parquet(f"{self.path}/manifest").agg(F.max("version")).first()[0] or 0
+        except AnalysisException:  # nothing was ever merged
+            return 0
 
     def snapshot(self, version: int, only: Sequence[int] | None = None) -> DataFrame:
         """The table as of a version, or some of its buckets."""
@@ -54,20 +62,18 @@ class UpsertTable:
             merged = upsert(self.snapshot(batch, touched), delta, self.keys, exprs).select(self.empty.columns)
             merged.withColumn("bucket", self._bucket()).repartition("bucket", *self.keys).write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/data/{batch + 1}")
             rows = sorted((old | dict.fromkeys(touched, batch + 1)).items())
-            self.spark.createDataFrame(rows, "bucket int, held_by int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{batch + 1}")
+            self.spark.createDataFrame(rows, "bucket int, held_by int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={batch + 1}")
         finally:
             delta.unpersist()
 
     def follow(self, stream: DataFrame, each: Sequence[Column], exprs: dict[str, Column], seconds: int = 600) -> int:
         """Merge what the stream has now, each batch aggregated to one row a key by ``each``; the version reached."""
-        done = [0]
 
         def keep(batch: DataFrame, i: int) -> None:
             self.merge(batch.groupBy(*self.keys).agg(*each), i, exprs)
-            done[0] = i + 1
 
         q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{self.path}/state").trigger(availableNow=True).start()
         if not q.awaitTermination(seconds):
             q.stop()
             raise TimeoutError(f"the stream ran longer than {seconds} s")
-        return done[0]
+        return self.latest()

@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from newsgrain.functions import text
-from newsgrain.operators import facts
+from newsgrain.operators import dedup, facts
 
 WORDS = ["Colombian", "government", "north", "south", "korea", "Red Fort", "Delhi", "New Delhi", "India", "15", "50", "dead", "ministry of", "the", "U.S.", "police", "Straße", "ﬁre", "militia", "naxals", "dimaagi"]
 
@@ -86,3 +86,40 @@ def test_fold_equals_the_plain_one(spark):
     got = {r.x: r.k for r in rows.select("x", text.fold(rows.x).alias("k")).collect()}
     assert got == {x: unicodedata.normalize("NFKC", x or "").casefold() for x in [*odd, None]}
     assert {r.x: r.k for r in rows.select("x", text.normalize_fact(rows.x).alias("k")).collect() if r.x != "İ"} == {x: key(x) for x in [*odd, None] if x != "İ"}
+
+
+def test_near_duplicate_groups_equal_all_pairs(spark):
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [None, "", " ", "a", "A", "one two", "One  two", "a b c d e", "a b c d e f"]
+    for _ in range(12):  # groups of edited copies that share a passage
+        base = [f"w{r.randint(0, 400)}" for _ in range(r.randint(20, 60))]
+        for _ in range(r.randint(1, 25)):
+            words = list(base)
+            for _ in range(r.randint(0, 2)):
+                words[r.randrange(len(words))] = f"x{r.randint(0, 9)}"
+            texts.append(" ".join(words + (passage if r.random() < 0.3 else [])))
+    docs = [(i, t) for i, t in enumerate(texts)]
+    r.shuffle(docs)
+    got = {g.id: g.root for g in dedup.near_duplicate_groups(spark.createDataFrame(docs, "id long, t string").repartition(5), "id", "t").collect()}
+
+    def grams(t):
+        w = (t or "").strip(" ").lower()
+        w = re.split(r"\s+", w)
+        return {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if (texts[i] or "") == (texts[j] or "") or 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 12

@@ -126,12 +126,13 @@ def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
     frames = [spark.createDataFrame(b, "k string, v double").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("most")) for b in batches]
     show = lambda v: {tuple(x) for x in table.snapshot(v).collect()}
     plain = lambda n: {(k, sum(x == k for b in batches[:n] for x, _ in b), max(v for b in batches[:n] for x, v in b if x == k)) for k in {x for b in batches[:n] for x, _ in b}}
-    assert show(0) == set()
+    assert show(0) == set() and table.latest() == 0
     for i, f in enumerate(frames):
         table.merge(f, i, totals())
         assert show(i + 1) == plain(i + 1)
         table.merge(f, i, totals())  # the same batch after a failure
         assert show(i + 1) == plain(i + 1) and show(i) == plain(i)
+    assert table.latest() == 5
     held = table.manifest(5)
     assert set(held.values()) <= set(range(1, 6)) and len(held) <= 8
 
@@ -145,6 +146,7 @@ def test_a_stream_of_any_files_keeps_the_same_totals(spark, sf, tmp_path):
         table = upserts.UpsertTable(spark, str(tmp_path / f"t{files}"), ["user_id"], "user_id long, n long, most double", 4)
         assert table.follow(stream, [F.count(F.lit(1)).alias("n"), F.max("value").alias("most")], totals()) == files
         assert {tuple(x) for x in table.snapshot(files).collect()} == want
+        assert table.follow(stream, [F.count(F.lit(1)).alias("n"), F.max("value").alias("most")], totals()) == files  # nothing new
 
 
 @pytest.mark.parametrize("minutes", [5, 60])
