@@ -18,20 +18,34 @@ def _rarest(grams: DataFrame, block: str, many: Column) -> DataFrame:
     return grams.join(df, [block, "gram"]).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= many).drop("_rn", "_df")
 
 
-def equal_facts(keys: DataFrame, block: str, ratio: float = 0.90, least: int = _GRAM, spelling: bool = True) -> DataFrame:
+def equal_facts(keys: DataFrame, block: str, ratio: float = 0.90, least: int = _GRAM, spelling: bool = True, few: int = 24) -> DataFrame:
     """(block, item, other, tier): pairs of different keys of a block that state the same fact.
 
     ``keys`` has the block, ``key`` (of ``normalize_fact``) and a boolean ``asked``: an item is a key that asks, the other is any.
     Tiers as in ``functions.text.match_facts``, the first that holds: contained, subset (of words), spelling.
 
-    No pairs are made within a block to look for them. A key that is contained in another has its rarest run of five
+    Blocks of up to ``few`` keys are compared whole: no key meets more than these. In larger ones no pairs are made to look
+    for equal facts, and the result is the same. There a key that is contained in another has its rarest run of five
     letters there; one whose words are among another's has its rarest word there: so each key is looked up once in the
-    lists of grams and of words. Keys alike in spelling share so many pairs of letters that the rarest of both, as many as
-    may be missing and one more, have one in common. What is found is verified.
+    lists of grams and of words. Keys alike in spelling share so many runs of three letters that the rarest of both, as
+    many as may be missing and one more, have one in common. What is found is verified; spelling last, of pairs that do
+    share as many runs.
     """
     k = keys.where(F.length("key") >= least).groupBy(block, "key").agg(F.max("asked").alias("asked"))
-    asking = k.groupBy(block).agg(F.bool_or("asked").alias("_some"), F.count(F.lit(1)).alias("_n")).where("_some and _n > 1").select(block)
-    k = cut(k.join(asking, block, "left_semi"))
+    asking = k.groupBy(block).agg(F.bool_or("asked").alias("_some"), F.count(F.lit(1)).alias("_n")).where("_some and _n > 1").select(block, "_n")
+    every = cut(k.join(asking, block))
+    k, small_blocks = every.where(F.col("_n") > few).drop("_n"), every.where(F.col("_n") <= few).drop("_n")
+    may_be_spelt = (2 * F.least(F.length("item"), F.length("other")) >= ratio * (F.length("item") + F.length("other"))) & ~F.concat("item", "other").rlike(r"\d")
+    met = small_blocks.where("asked").select(block, F.col("key").alias("item")).join(small_blocks.select(block, F.col("key").alias("other")), block).where("item <> other")
+    x, y = F.split("item", " "), F.split("other", " ")
+    met = met.withColumn("tier", F.when(F.contains("item", "other") | F.contains("other", "item"), "contained").when((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0), "subset"))
+    met = met.where(F.col("tier").isNotNull() | may_be_spelt if spelling else F.col("tier").isNotNull())
+    if spelling:
+        met = cut(met)
+        open_ = met.where("tier is null").where(spelling_ratio(F.col("item"), F.col("other")) >= ratio).withColumn("tier", F.lit("spelling"))
+        met = met.where("tier is not null").unionByName(open_)
+    if not k.limit(1).count():
+        return met
     grams = k.select(block, "key", "asked", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - (least - 1)), lambda i: F.substring("key", i, least)))).alias("gram"))
     words = k.select(block, "key", "asked", F.explode(F.array_distinct(F.split("key", " "))).alias("gram"))
 
@@ -46,19 +60,23 @@ def equal_facts(keys: DataFrame, block: str, ratio: float = 0.90, least: int = _
     both = contained.unionByName(subset)
     out = both.where("_a").select(block, F.col("small").alias("item"), F.col("large").alias("other"), "tier").unionByName(both.where("_b").select(block, F.col("large").alias("item"), F.col("small").alias("other"), "tier"))
     if spelling:
+        out = cut(out)
         n = F.length("key")
-        # keys of n and n' letters, of which m are matched in r runs: 2m >= ratio * (n + n'), and r <= n + n' - 2m + 1, so
-        # m - r pairs of letters are common; that is least for the shortest partner, where n + n' = 2n / (2 - ratio)
-        common = F.ceil(n * (2 / (2 - ratio) * (1.5 * ratio - 1)) - 1 - 1e-9)
-        two = k.where(~F.col("key").rlike(r"\d")).select(block, "key", "asked", (n - F.greatest(F.lit(0), common)).alias("_many"), F.posexplode(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring("key", i, 2))).alias("_at", "gram"))
-        again = F.row_number().over(Window.partitionBy(block, "key", "gram").orderBy("_at"))  # a pair of letters that comes twice is two
-        two = two.withColumn("gram", F.concat("gram", again.cast("string"))).drop("_at")
-        head = _rarest(two, block, F.col("_many"))
+        # keys of n and n' letters, of which m are matched in r pieces: 2m >= ratio * (n + n'), and r <= n + n' - 2m + 1, so
+        # m - 2r runs of three letters are common; that is least for the shortest partner, where n + n' = 2n / (2 - ratio)
+        common = lambda both: F.ceil(both * (2.5 * ratio - 2) - 2 - 1e-9)
+        three = k.where(~F.col("key").rlike(r"\d")).select(block, "key", "asked", (n - 1 - F.greatest(F.lit(0), common(2 * n / (2 - ratio)))).alias("_many"),
+                                                           F.posexplode(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring("key", i, 3))).alias("_at", "gram"))
+        again = F.row_number().over(Window.partitionBy(block, "key", "gram").orderBy("_at"))  # a run that comes twice is two
+        three = cut(three.withColumn("gram", F.concat("gram", again.cast("string"))).drop("_at"))
+        head = cut(_rarest(three, block, F.col("_many")))
         near = head.where("asked").select(block, F.col("key").alias("item"), "gram").join(head.select(block, F.col("key").alias("other"), "gram"), [block, "gram"])
-        near = near.where((F.col("item") != F.col("other")) & (2 * F.least(F.length("item"), F.length("other")) >= ratio * (F.length("item") + F.length("other")))).select(block, "item", "other").distinct()
-        near = near.join(out.select(block, "item", "other"), [block, "item", "other"], "left_anti")
+        near = near.where("item <> other").where(may_be_spelt).select(block, "item", "other").distinct().join(out.select(block, "item", "other"), [block, "item", "other"], "left_anti")
+        lists = cut(three.groupBy(block, "key").agg(F.collect_list("gram").alias("_g")))
+        near = near.join(lists.select(block, F.col("key").alias("item"), F.col("_g").alias("_x")), [block, "item"]).join(lists.select(block, F.col("key").alias("other"), F.col("_g").alias("_y")), [block, "other"])
+        near = cut(near.where(F.size(F.array_intersect("_x", "_y")) >= common(F.length("item") + F.length("other"))).select(block, "item", "other"))
         out = out.unionByName(near.where(spelling_ratio(F.col("item"), F.col("other")) >= ratio).withColumn("tier", F.lit("spelling")))
-    return out.groupBy(block, "item", "other").agg(F.min("tier").alias("tier"))  # in the order of the alphabet, as it happens
+    return met.unionByName(out.groupBy(block, "item", "other").agg(F.min("tier").alias("tier")))  # in the order of the alphabet, as it happens
 
 
 def unique_facts(df: DataFrame, story: str, source: str, fact: str, resolver: DataFrame | None = None, spelling: bool = True) -> DataFrame:
