@@ -41,7 +41,8 @@ def normalize_headline(col: Column) -> Column:
 
 
 def fold(col: Column) -> Column:
-    """NFKC, then case folding, by the Unicode library that Spark has for its collations; null gives ""."""
+    """NFKC, then case folding, by the Unicode library that Spark has for its collations; null gives "". Spark takes such calls
+    for nondeterministic, so they stand in a select, not within an aggregate."""
     x = F.coalesce(col, F.lit(""))
     composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
     return F.when(has_non_ascii(x), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))).otherwise(F.lower(x))

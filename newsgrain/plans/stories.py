@@ -435,7 +435,8 @@ def clu1(spark, d):
 def clu2(spark, d):
     m = _members(spark, d).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey", "l_suppkey").agg(F.collect_set("p_type").alias("f"))
     a, b = m.select("l_orderkey", F.col("l_suppkey").alias("i"), F.col("f").alias("x")), m.select("l_orderkey", F.col("l_suppkey").alias("j"), F.col("f").alias("y"))
-    return a.join(b, "l_orderkey").where("i < j").groupBy("l_orderkey").agg(F.count_if(compare.share_fact(F.col("x"), F.col("y"))).alias("sharing"))
+    pairs = a.join(b, "l_orderkey").where("i < j").select("l_orderkey", compare.share_fact(F.col("x"), F.col("y")).alias("same"))
+    return pairs.groupBy("l_orderkey").agg(F.count_if("same").alias("sharing"))
 
 
 def clu12(spark, d):
