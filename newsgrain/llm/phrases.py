@@ -71,8 +71,8 @@ def phrase_hash(phrase: bytes, seed: int) -> int:
 
 def count_grams(data: bytes, more: bytes, seed: int, t: int, marks: np.ndarray | None, shards: int, longest: int = LONGEST) -> list[tuple[int, pa.Array, np.ndarray]]:
     """(k, phrases, counts) of a block at visit ``t``: in the first cycle its number of words (k 0) and each word (k 1); and the
-    longer phrases that begin in it and are being counted: whose subphrases were both first marked before ``t``, the later
-    of them at most ``shards`` visits ago.
+    longer phrases that begin in it and are being counted: whose subphrases, and theirs, were all marked before ``t``, the
+    last of them at most ``shards`` visits ago.
 
     Phrases are told apart by the numbers of their words, not by their hashes.
     """
@@ -111,8 +111,9 @@ def count_grams(data: bytes, more: bytes, seed: int, t: int, marks: np.ndarray |
                 _, first, number = np.unique(number * len(words) + codes[now + j], return_index=True, return_inverse=True)
             texts = pa.compute.binary_join_element_wise(*[words.take(pa.array(codes[now[first] + j])) for j in range(k)], b" ")
             out.append((k, texts, np.bincount(number)))
-        if k < longest:
+        if k < longest:  # a place that another phrase marked before the subphrases were must not make an earlier start
             since = marks[(h & mask).astype(np.int64)].astype(np.int64)
+            since = np.where(since == _NEVER, _NEVER, np.maximum(since, start))
             keep = since != _NEVER
             at, h, since = at[keep], h[keep], since[keep]
     return out

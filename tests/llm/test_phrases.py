@@ -90,6 +90,21 @@ def test_blocks_lose_and_repeat_nothing(size):
     assert total == whole == {(p.count(" ") + 1, p.encode()): c for p, c in f["x"].items()}
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_places_marked_by_other_phrases_do_not_spoil_counts(seed):
+    """However the marks fall, a phrase is counted in a whole cycle once its subphrases are marked: all of it, or none of it."""
+    shards, cycles = 3, 5
+    text = " ".join(random.Random(seed).choices(["a", "b", "c", "d"], k=300)).encode()
+    when = np.random.default_rng(seed).choice([0, 0, 1, 2, 4, 7, phrases._NEVER], 1 << 8).astype(np.uint8)
+    total = Counter()
+    for t in range(1, shards * cycles):  # every shard holds the same text; a visit sees only what earlier ones marked
+        marks = np.where(when < t, when, phrases._NEVER).astype(np.uint8)
+        total.update({k: c for k, c in flat(phrases.count_grams(text, b"", 7, t, marks, shards)).items() if k[0] > 1})
+    f, _ = slow_counts([(0, text.decode(), "x")])
+    assert any(k > 3 for k, _ in total)
+    assert total == {(k, p): shards * f["x"][p.decode()] for k, p in total}
+
+
 def test_exact_scores_beyond_64_bits(spark):
     big = 10**13
     row = spark.createDataFrame([(big - 7, 10**14 + 3, big, big - 1)], "a long, n long, l long, r long")
