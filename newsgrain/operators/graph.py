@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def _grams(c: Column, least: int, most: int) -> Column:
     """All different runs of ``least`` to ``most`` letters."""
@@ -54,6 +56,64 @@ def locate(places: DataFrame, names: DataFrame) -> DataFrame:
     return exact.select("story", "location", "node").unionByName(rest.join(first, ["story", "name"]).select("story", "location", "node"))
 
 
+def _tag(kind: str, c: str) -> Column:
+    return F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+
+
+def graph_nodes(articles: DataFrame, events: DataFrame, entities: DataFrame, sources: DataFrame) -> DataFrame:
+    """Nodes (story, node, label, kind) of all stories; see ``knowledge_graph``."""
+    known = articles.where("source is not null").join(sources.select("source", "name"), "source")
+    labels = entities.select("story", F.concat(F.lit("entity:"), F.coalesce("canonical", "entity").cast("string")).alias("node"), F.coalesce("canonical_name", "value").alias("label"), "entity")
+    nodes = (articles.select("story", _tag("article", "article").alias("node"), F.coalesce("title", F.lit("Untitled Article")).alias("label"), F.lit("article").alias("kind"))
+             .unionByName(known.select("story", _tag("source", "source").alias("node"), F.col("name").alias("label"), F.lit("source").alias("kind")))
+             .unionByName(events.select("story", _tag("event", "event").alias("node"), F.coalesce("event_type", F.lit("EVENT")).alias("label"), F.lit("event").alias("kind")))
+             .unionByName(labels.groupBy("story", "node").agg(F.min_by("label", F.struct("entity", "label")).alias("label")).withColumn("kind", F.lit("entity"))))
+    return nodes.groupBy("story", "node", "kind").agg(F.min("label").alias("label")).select("story", "node", "label", "kind")
+
+
+def _edges_of_names(events: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges (story, a, b, kind, role) between entities and events, where a story has many names: by inverted indexes."""
+    names = cut(entity_names(entities))
+    parts = events.select("story", "event", F.explode(F.array(F.struct(F.lit("actor").alias("role"), F.col("actors").alias("who")), F.struct(F.lit("target").alias("role"), F.col("targets").alias("who")))).alias("p"))
+    parts = parts.select("story", "event", "p.role", F.explode("p.who").alias("who")).select("story", "event", "role", F.lower("who").alias("name")).join(names.select("story", "name", "node"), ["story", "name"])
+    at = events.where("location <> ''").select("story", "event", "location").join(locate(events.select("story", "location"), names), ["story", "location"])
+    parts = parts.select("story", F.col("node").alias("a"), _tag("event", "event").alias("b"), F.lit("participated_in").alias("kind"), "role")
+    return parts.unionByName(at.select("story", _tag("event", "event").alias("a"), F.col("node").alias("b"), F.lit("located_at").alias("kind"), F.lit(None).cast("string").alias("role"))).distinct()
+
+
+def _edges_of_few_names(events: DataFrame, entities: DataFrame) -> DataFrame:
+    """The same where a story has few names: each of its events is held against all of them in one row, and no pairs or runs of
+    letters are made. Entities and events are shuffled once, by story."""
+    names = entity_names(entities.repartition("story")).groupBy("story").agg(F.collect_list(F.struct("name", "place", "node")).alias("_names"))
+    x = events.select("story", "event", "actors", "targets", F.lower("location").alias("_at")).join(names, "story")
+    none = F.lit(None).cast("string")
+    edge = lambda a, b, kind, role: F.struct(a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"), role.alias("role"))
+    event = _tag("event", "event")
+    names_in = lambda who: F.filter("_names", lambda n: F.array_contains(F.transform(who, F.lower), n["name"]))
+    parts = [F.transform(names_in("actors"), lambda n: edge(n["node"], event, "participated_in", F.lit("actor"))), F.transform(names_in("targets"), lambda n: edge(n["node"], event, "participated_in", F.lit("target")))]
+    met = F.filter("_names", lambda n: (F.col("_at") != "") & (F.contains(F.col("_at"), n["name"]) | F.contains(n["name"], F.col("_at"))))
+    first = F.array_min(F.transform(met, lambda n: F.struct((n["name"] != F.col("_at")).alias("part"), n["place"].alias("place"), n["node"].alias("node"))))["node"]
+    at = F.transform(F.filter(F.array(first), lambda n: n.isNotNull()), lambda n: edge(event, n, "located_at", none))
+    found = F.concat(*[F.coalesce(p, F.array().cast("array<struct<a:string,b:string,kind:string,role:string>>")) for p in (*parts, at)])
+    return x.select("story", F.explode(found).alias("_x")).select("story", "_x.*").distinct()
+
+
+def graph_edges(articles: DataFrame, events: DataFrame, entities: DataFrame, sources: DataFrame, few: int = 64) -> DataFrame:
+    """Edges (story, a, b, kind, role) of all stories; see ``knowledge_graph``. Stories of up to ``few`` names are compared
+    whole, the others by inverted indexes, with the same result."""
+    known = articles.where("source is not null").select("story", "article", "source").join(sources.select("source").distinct(), "source", "left_semi").distinct()
+    told = events.where("article is not null").select("story", "article", "event").join(articles.select("story", "article").distinct(), ["story", "article"], "left_semi").distinct()
+    edge = lambda df, a, b, kind: df.select("story", a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("role"))
+    many = cut(entities.groupBy("story").agg(F.sum(F.lit(2) + F.greatest(F.lit(0), F.coalesce(F.size("aliases"), F.lit(0)))).alias("_n")).where(F.col("_n") > few).select("story"))
+    if many.limit(1).count():
+        rest = [df.join(many, "story", "left_anti") for df in (events, entities)]
+        named = _edges_of_few_names(*rest).unionByName(_edges_of_names(*[df.join(many, "story", "left_semi") for df in (events, entities)]))
+    else:
+        named = _edges_of_few_names(events, entities)
+    return (edge(known, _tag("article", "article"), _tag("source", "source"), "reported_by")
+            .unionByName(edge(told, _tag("article", "article"), _tag("event", "event"), "describes_event")).unionByName(named))
+
+
 def knowledge_graph(articles: DataFrame, events: DataFrame, entities: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (story, node, label, kind) and edges (story, a, b, kind, role) of all stories at once.
 
@@ -62,23 +122,7 @@ def knowledge_graph(articles: DataFrame, events: DataFrame, entities: DataFrame,
     describes an event, an entity participated_in an event as actor or target, an event is located_at an entity.
     Edges to rows that are not there are dropped, and equal nodes and edges are listed once.
     """
-    tag = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    names = entity_names(entities)
-    known = articles.where("source is not null").join(sources.select("source", "name"), "source")
-    labels = entities.select("story", F.concat(F.lit("entity:"), F.coalesce("canonical", "entity").cast("string")).alias("node"), F.coalesce("canonical_name", "value").alias("label"), "entity")
-    nodes = (articles.select("story", tag("article", "article").alias("node"), F.coalesce("title", F.lit("Untitled Article")).alias("label"), F.lit("article").alias("kind"))
-             .unionByName(known.select("story", tag("source", "source").alias("node"), F.col("name").alias("label"), F.lit("source").alias("kind")))
-             .unionByName(events.select("story", tag("event", "event").alias("node"), F.coalesce("event_type", F.lit("EVENT")).alias("label"), F.lit("event").alias("kind")))
-             .unionByName(labels.groupBy("story", "node").agg(F.min_by("label", F.struct("entity", "label")).alias("label")).withColumn("kind", F.lit("entity"))))
-    nodes = nodes.groupBy("story", "node", "kind").agg(F.min("label").alias("label")).select("story", "node", "label", "kind")
-    edge = lambda df, a, b, kind, role=F.lit(None).cast("string"): df.select("story", a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"), role.alias("role"))
-    told = events.where("article is not null").join(articles.select("story", "article").distinct(), ["story", "article"], "left_semi")
-    parts = events.select("story", "event", F.explode(F.array(F.struct(F.lit("actor").alias("role"), F.col("actors").alias("who")), F.struct(F.lit("target").alias("role"), F.col("targets").alias("who")))).alias("p"))
-    parts = parts.select("story", "event", "p.role", F.explode("p.who").alias("who")).select("story", "event", "role", F.lower("who").alias("name")).join(names.select("story", "name", "node"), ["story", "name"])
-    at = events.where("location <> ''").select("story", "event", "location").join(locate(events.select("story", "location"), names), ["story", "location"])
-    edges = (edge(known, tag("article", "article"), tag("source", "source"), "reported_by").unionByName(edge(told, tag("article", "article"), tag("event", "event"), "describes_event"))
-             .unionByName(edge(parts, F.col("node"), tag("event", "event"), "participated_in", F.col("role"))).unionByName(edge(at, tag("event", "event"), F.col("node"), "located_at")))
-    return nodes, edges.distinct()
+    return graph_nodes(articles, events, entities, sources), graph_edges(articles, events, entities, sources)
 
 
 def merge_stories(tables: dict[str, DataFrame], merges: DataFrame, story: str, unique: dict[str, list[str]], derived: list[str]) -> dict[str, DataFrame]:

@@ -49,6 +49,17 @@ def slow_graph(articles, events, entities, sources):
     return nodes, edges
 
 
+@pytest.mark.parametrize("few", [0, 9, 64])
+def test_typed_graph_equals_a_loop_by_either_way(spark, few, monkeypatch):
+    monkeypatch.setattr(graph.graph_edges, "__defaults__", (few,))
+    test_typed_graph_equals_a_loop(spark)
+
+
+def test_small_stories_make_no_runs_of_letters(spark, monkeypatch):
+    monkeypatch.setattr(graph, "contained_in", lambda *x: pytest.fail("names of a small story were cut into runs of letters"))
+    test_typed_graph_equals_a_loop(spark)
+
+
 def test_typed_graph_equals_a_loop(spark):
     r = random.Random(6)
     names = ["Delhi", "New Delhi", "Red Fort", "north korea", "Korea", "UN", "Acme Corp", "", "Lee", "Seoul city"]
