@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..storage import new_place
@@ -34,7 +33,7 @@ _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run(stream: DataFrame, mode: str, seconds: int = 600) -> DataFrame:
+def run(stream: DataFrame, mode: str, seconds: int = 7200) -> DataFrame:
     """Run a stream over what is there and return what it wrote, with its state in RocksDB. Complete results replace each other; rows of append and
     update mode are added (update rows carry ``_batch``, so that the last row of a key can be told).
 
@@ -132,63 +131,60 @@ def domain_policy(events: DataFrame, key: str, alpha: float = 0.1, late: str = "
             .applyInPandasWithState(fold, f"{key} long, attempts long, average double", "n long, mean double", "update", "EventTimeTimeout"))
 
 
-class HeadlineWindow(StatefulProcessor):
-    """State of a headline: its entries until it fires, then the time up to which it stays quiet. Nothing is decided before the
-    watermark has passed, so that the order in which entries arrive does not matter."""
-
-    def __init__(self, key: str, needed: int, seconds: int, quiet: int):
-        self.key, self.needed, self.length, self.quiet = key, needed, 1000 * seconds, 1000 * quiet
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.entries = handle.getListState("entries", "at long, url string")
-        self.until = handle.getValueState("until", "at long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        quiet = self.until.exists()
-        for frame in rows:
-            if not quiet:
-                times = frame["millis"].tolist()
-                self.entries.appendList(list(zip(times, frame["link"].tolist(), strict=True)))
-                for t in {x for t in times for x in (t, t + self.length)}:
-                    self.handle.registerTimer(t)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if self.until.exists():
-            if now >= self.until.get()[0]:
-                self.until.clear()
-            return
-        entries = sorted((tuple(x) for x in self.entries.get()), key=lambda x: (x[0], str(x[1])))
-        if not entries:
-            return
-        end = entries[0][0] + self.length
-        urls: set = set()
-        for at, url in entries:
-            if at > min(now, end) or len(urls) >= self.needed:
-                break
-            urls.add(url)
-        fired = "count" if len(urls) >= self.needed else "time" if now >= end else None
-        if fired:
-            self.entries.clear()
-            self.until.update((end + self.quiet,))
-            self.handle.registerTimer(end + self.quiet)
-            yield pd.DataFrame({self.key: [key[0]], "urls": [len(urls)], "fired_by": [fired]})
-
-    def close(self) -> None:
-        pass
-
-
-def candidates(entries: DataFrame, key: str, url: str, needed: int = 3, seconds: int = 60, late: str = "10 minutes", quiet: int = 86_400) -> DataFrame:
+def candidates(entries: DataFrame, key: str, url: str, needed: int = 3, seconds: int = 60, late: str = "10 minutes", quiet: int = 86_400, buckets: int = 8192) -> DataFrame:
     """Headline windows: one opens at a headline's first entry and fires at ``needed`` different URLs or ``seconds``
     later; entries that come after that are ignored, for ``quiet`` seconds, after which the headline's state goes. Emits
     (key, urls, fired_by).
 
-    Entries wait in a list until the watermark passes, and timers of event time fire the windows, so any split of the
-    entries into batches gives one answer, as long as none is later than ``late``. Needs the state store on RocksDB: see
-    ``run``.
+    Entries wait in the state until the watermark passes the moment at which they decide, so any split of the entries into
+    batches gives one answer, as long as none is later than ``late``. Headlines are dealt into ``buckets`` by their hash; a
+    bucket has one state, one timer (the next moment at which one of its headlines decides or ends its quiet time) and one
+    call a batch, so calls do not grow with headlines or entries.
     """
-    x = entries.withWatermark("ts", late).select(key, F.col(url).cast("string").alias("link"), F.ceil(F.unix_micros("ts") / 1000).alias("millis"), "ts")
     kind = entries.schema[key].dataType.simpleString()
-    return x.groupBy(key).transformWithStateInPandas(HeadlineWindow(key, needed, seconds, quiet), f"{key} {kind}, urls long, fired_by string", "append", "eventTime")
+    x = entries.withWatermark("ts", late).select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_b"), F.col(key).alias("_k"), F.col(url).cast("string").alias("link"), F.ceil(F.unix_micros("ts") / 1000).alias("millis"), "ts")
+    length, rest = 1000 * seconds, 1000 * quiet
+
+    def decide(found: list[tuple]) -> tuple[int, int, str]:
+        """When the entries of a headline decide, on how many URLs, and by what."""
+        found.sort(key=lambda x: (x[0], str(x[1])))
+        end, urls = found[0][0] + length, set()
+        for at, link in found:
+            if at > end:
+                break
+            urls.add(link)
+            if len(urls) >= needed:
+                return at, len(urls), "count"
+        return end, len(urls), "time"
+
+    def fold(_: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        keys, times, links, silent, until = state.get if state.exists else ([], [], [], [], [])
+        still, waiting = dict(zip(silent, until, strict=True)), {}
+        for k, t, u in zip(keys, times, links, strict=True):
+            waiting.setdefault(k, []).append((t, u))
+        if not state.hasTimedOut:
+            for f in frames:
+                for k, t, u in zip(f["_k"].tolist(), f["millis"].tolist(), f["link"].tolist(), strict=True):
+                    if k not in still:
+                        waiting.setdefault(k, []).append((t, u))
+        now = state.getCurrentWatermarkMs()
+        still = {k: t for k, t in still.items() if t > now}
+        fired, moments = [], []
+        for k in list(waiting):
+            at, n, by = decide(waiting[k])
+            if at <= now:
+                fired.append((k, n, by))
+                still[k] = waiting.pop(k)[0][0] + length + rest
+            else:
+                moments.append(at)
+        if waiting or still:
+            rows = [(k, t, u) for k, found in waiting.items() for t, u in found]
+            state.update(([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], list(still), list(still.values())))
+            state.setTimeoutTimestamp(max(min([*moments, *still.values()]) - 1, now))  # a timer fires behind its time
+        elif state.exists:
+            state.remove()
+        if fired:
+            yield pd.DataFrame(fired, columns=[key, "urls", "fired_by"])
+
+    held = f"keys array<{kind}>, times array<long>, links array<string>, silent array<{kind}>, until array<long>"
+    return x.groupBy("_b").applyInPandasWithState(fold, f"{key} {kind}, urls long, fired_by string", held, "append", "EventTimeTimeout")

@@ -298,6 +298,19 @@ def test_candidate_windows_do_not_depend_on_batches(spark, tmp_path):
         assert {(g.event_type, g.urls, g.fired_by) for g in got} == want and len(got) == len(want) > 30
 
 
+def test_headlines_of_a_batch_share_calls(spark, tmp_path):
+    """Twenty thousand headlines, each with a window of its own, in one bucket or in many: one row a headline."""
+    df = spark.range(60_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 3).cast("timestamp_ntz").alias("ts"), F.lit(0).cast("long").alias("user_id"),
+                                    F.concat(F.lit("h"), F.floor(F.col("id") / 3)).alias("event_type"), F.lit(0.0).alias("value"), F.concat(F.lit("u"), F.col("id") % (2 + F.floor(F.col("id") / 3) % 2)).alias("props"))
+    end = df.limit(1).withColumn("ts", F.lit("2023-12-01").cast("timestamp_ntz")).withColumn("event_type", F.lit("end"))
+    df.unionByName(end).coalesce(1).write.parquet(str(tmp_path / "d"))
+    next((tmp_path / "d").glob("part*")).rename(tmp_path / "events.parquet")
+    want = {(2, "time"): 10_000, (3, "count"): 10_000}
+    for buckets in (1, 64):
+        got = streams.run(streams.candidates(streams.read_events(spark, str(tmp_path)), "event_type", "props", buckets=buckets), "append")
+        assert {(r.urls, r.fired_by): r["count"] for r in got.groupBy("urls", "fired_by").count().collect()} == want
+
+
 def test_candidate_windows(spark, tmp_path):
     rows = [("a", "u1", 0), ("a", "u2", 5), ("a", "u2", 6), ("a", "u3", 7), ("a", "u4", 8), ("b", "u1", 0), ("b", "u2", 100), ("c", "u1", 3)]
     df = spark.createDataFrame([(i, 1_700_000_000 + t, 0, h, 0.0, u) for i, (h, u, t) in enumerate(rows)] + [(99, 1_700_000_000 + 90_000, 0, "late", 0.0, "u")], "event_id long, t long, user_id long, event_type string, value double, props string")
