@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .scoring import EVENT, PAIR
 
@@ -29,7 +31,7 @@ def _jaccard(m: np.ndarray, i: int) -> np.ndarray:
     both = m @ m[i]
     size = m.sum(axis=1)
     union = size + size[i] - both
-    return np.divide(both, union, out=np.zeros(len(m)), where=union > 0)
+    return np.divide(both, union, out=np.zeros(len(m)), where=union > 0, dtype=np.float64)
 
 
 def _codes(values: list) -> np.ndarray:
@@ -99,30 +101,30 @@ def _by_block(df: DataFrame, block: str, order: list[str], cols: dict[str, str],
     extra = [c for c in order if c not in cols.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                t = pa.Table.from_batches(held)
-                got = {k: t.column(c).to_pylist() for k, c in cols.items()}
-                out = each(Block(got), [key] * t.num_rows)
-                yield pa.RecordBatch.from_pydict({n: out[n] for n in names}, schema=target[0])
-
-        target: list[pa.Schema] = []
+        held: dict[str, list] = {}
+        key, target = None, None
         for b in batches:
-            if not target:
+            if target is None:
                 kinds = {block: b.schema.field(block).type, "id": b.schema.field(cols["id"]).type}
-                target.append(pa.schema([(n, _TYPES[k.split()[1]] if k.split()[1] in _TYPES else kinds[block if n == block else "id"]) for n, k in zip(names, schema.split(", "), strict=True)]))
+                target = pa.schema([(n, _TYPES[k.split()[1]] if k.split()[1] in _TYPES else kinds[block if n == block else "id"]) for n, k in zip(names, schema.split(", "), strict=True)])
             keys = b.column(b.schema.get_field_index(block)).to_pylist()
+            got = {k: b.column(b.schema.get_field_index(c)).to_pylist() for k, c in cols.items()}
             edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)] if keys else []
+            rows: dict[str, list] = {n: [] for n in names}  # of all blocks that end in this batch
             for x, y in zip(edges, edges[1:]):
-                if held and keys[x] != key:
-                    yield from done()
-                    held = []
-                key = keys[x]
-                held.append(b.slice(x, y - x))
-        yield from done()
+                if held and keys[x] == key:
+                    for k, v in got.items():
+                        held[k] += v[x:y]
+                    continue
+                if held:
+                    for n, v in each(Block(held), [key] * len(held["id"])).items():
+                        rows[n] += v
+                held, key = {k: v[x:y] for k, v in got.items()}, keys[x]
+            if rows[names[0]]:
+                yield pa.RecordBatch.from_pydict(rows, schema=target)
+        if held:
+            out = each(Block(held), [key] * len(held["id"]))
+            yield pa.RecordBatch.from_pydict({n: out[n] for n in names}, schema=target)
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (block, cols["id"])}
     told = ", ".join(f"{n} {t if t in _TYPES else kinds[block if n == block else cols['id']]}" for n, t in (x.split() for x in schema.split(", ")))
@@ -186,6 +188,89 @@ def _first_fit(b: Block, score: Callable[[int], np.ndarray], fits: Callable[[flo
     return part, status
 
 
+_SMALL, _MOST = 32, 200_000  # rows of a block that is compared row by row; likenesses a task keeps
+
+
+class _Likeness:
+    """``Block.events`` (and a tenth of the overlap of entities) of two rows at a time: in a small block that costs less than
+    arrays. Rows of equal contents have one number, and what is known of two numbers is not computed again."""
+
+    def __init__(self, names: tuple[str, ...], entities: bool):
+        self.names, self.entities = names, entities
+        self.number, self.rows, self.known = {}, [], {}
+
+    def numbers(self, rows: list[str]) -> list[int]:
+        """Of rows as ``_as_block`` has them."""
+        if len(self.known) > _MOST or len(self.rows) > _MOST:
+            self.number, self.rows, self.known = {}, [], {}
+        out = []
+        for row in rows:
+            n = self.number.get(row)
+            if n is None:
+                n = self.number[row] = len(self.rows)
+                r = {k: v for k, v in zip(self.names, json.loads(row), strict=True)}
+                sets = {k: {v for v in r[k] or () if v is not None} for k in ("actors", "targets", "entities") if k in r}
+                self.rows.append(r | sets | {"location": (r["location"] or "").strip().lower()})
+            out.append(n)
+        return out
+
+    def block(self, rows: list[str]) -> Block:
+        return Block(dict(zip(self.names, map(list, zip(*map(json.loads, rows), strict=True)), strict=True)))
+
+    def __call__(self, i: int, j: int) -> float:
+        at = (i, j)
+        s = self.known.get(at)
+        if s is None:
+            s = self.known[at] = self._of(self.rows[i], self.rows[j])
+        return s
+
+    def _of(self, x: dict, y: dict) -> float:
+        if x["kind"] is None:
+            return -1.0
+        overlap = lambda k: len(x[k] & y[k]) / len(x[k] | y[k]) if x[k] or y[k] else 0.0
+        s = 0.0
+        if y["kind"] is not None:
+            kind = 1.0 if x["kind"] == y["kind"] else 0.5 if x["parent"] is not None and x["parent"] == y["parent"] else 0.0
+            day = 0.5 if x["date"] is None or y["date"] is None else float(x["date"] == y["date"])
+            p, q = x["location"], y["location"]
+            place = 0.5 if not p or not q else 1.0 if p == q else 0.8 if p in q or q in p else 0.0
+            s = EVENT["actors"] * overlap("actors") + EVENT["targets"] * overlap("targets") + EVENT["place"] * place + EVENT["kind"] * kind + EVENT["date"] * day
+        return s + 0.10 * overlap("entities") if self.entities else s
+
+
+def _as_block(df: DataFrame, block: str, order: list[str], cols: dict[str, str], names: tuple[str, ...]) -> tuple:
+    """What ``_by_block`` takes, with a row's contents as one text (JSON, a list in the order of ``names``): Python takes one value
+    a row, and reads each different one once."""
+    parts = [F.to_json(F.array(F.col(cols[n]))) for n in names]
+    inner = [F.substring(p, F.lit(2), F.length(p) - 2) for p in parts]
+    return df.withColumn("_row", F.concat(F.lit("["), F.concat_ws(",", *inner), F.lit("]"))), block, order, {"id": cols["id"], "row": "_row"}
+
+
+def _first_fit_small(likeness: _Likeness, rows: list[int], fits: Callable[[float], bool], doubt: Callable[[float], bool]) -> tuple[list[int], list[str]]:
+    """What ``_first_fit`` gives, with plain loops."""
+    part, sizes, status = [], [], []
+    for i, x in enumerate(rows):
+        sums = [0.0] * len(sizes)
+        for j in range(i):
+            sums[part[j]] += likeness(x, rows[j])
+        unsure, chosen = False, len(sizes)
+        for k, total in enumerate(sums):
+            mean = round(total / sizes[k], _PLACES)
+            unsure |= doubt(mean)
+            if fits(mean):
+                chosen = k
+                break
+        if chosen == len(sizes):
+            sizes.append(0)
+        part.append(chosen)
+        sizes[chosen] += 1
+        status.append("needs_review" if unsure else "auto")
+    return part, status
+
+
+_EVENT_COLS = ("kind", "parent", "actors", "targets", "location", "date")
+
+
 def split_clusters(df: DataFrame, cluster: str, order: list[str], cols: dict[str, str], auto: float = 0.90, review: float = 0.70, sure: float = 0.80) -> DataFrame:
     """(cluster, id, part, status): verified parts of each cluster. A row joins the first part whose mean likeness of events, and
     a tenth of whose mean overlap of entities, make ``auto``; from ``review`` up the match needs review, and is made if it
@@ -194,13 +279,20 @@ def split_clusters(df: DataFrame, cluster: str, order: list[str], cols: dict[str
     ``cols`` names id, kind, parent, actors, targets, location, date and entities.
     """
 
+    likeness = _Likeness((*_EVENT_COLS, "entities"), True)
+    fits, doubt = lambda m: m >= min(auto, sure), lambda m: review <= m < auto
+
     def each(b: Block, keys: list) -> dict[str, list]:
-        none = b.missing("kind")
-        score = lambda i: np.where(none[i], -1.0, b.events(i) + 0.10 * b.jaccard("entities", i))
-        part, status = _first_fit(b, score, lambda m: m >= min(auto, sure), lambda m: review <= m < auto)
+        if b.n <= _SMALL:
+            part, status = _first_fit_small(likeness, likeness.numbers(b.cols["row"]), fits, doubt)
+            return {cluster: keys, "id": b.cols["id"], "part": part, "status": status}
+        x = likeness.block(b.cols["row"])
+        none = x.missing("kind")
+        score = lambda i: np.where(none[i], -1.0, x.events(i) + 0.10 * x.jaccard("entities", i))
+        part, status = _first_fit(x, score, fits, doubt)
         return {cluster: keys, "id": b.cols["id"], "part": part.tolist(), "status": status}
 
-    return _by_block(df, cluster, order, cols, each, f"{cluster} block, id id, part int, status string")
+    return _by_block(*_as_block(df, cluster, order, cols, likeness.names), each, f"{cluster} block, id id, part int, status string")
 
 
 def split_story(df: DataFrame, story: str, order: list[str], cols: dict[str, str], least: float = 0.80) -> DataFrame:
@@ -208,11 +300,18 @@ def split_story(df: DataFrame, story: str, order: list[str], cols: dict[str, str
     ``least``; if all are one part, the first row leaves it. Stories of one row stay whole. ``cols`` as in
     ``split_clusters``, without entities."""
 
-    def each(b: Block, keys: list) -> dict[str, list]:
-        none = b.missing("kind")
-        part, _ = _first_fit(b, lambda i: np.where(none[i], -1.0, b.events(i)), lambda m: m >= least, lambda m: False)
-        if b.n > 1 and not part.any():
-            part[1:] = 1
-        return {story: keys, "id": b.cols["id"], "part": part.tolist()}
+    likeness = _Likeness(_EVENT_COLS, False)
+    fits, doubt = lambda m: m >= least, lambda m: False
 
-    return _by_block(df, story, order, cols, each, f"{story} block, id id, part int")
+    def each(b: Block, keys: list) -> dict[str, list]:
+        if b.n <= _SMALL:
+            part = _first_fit_small(likeness, likeness.numbers(b.cols["row"]), fits, doubt)[0]
+        else:
+            x = likeness.block(b.cols["row"])
+            none = x.missing("kind")
+            part = _first_fit(x, lambda i: np.where(none[i], -1.0, x.events(i)), fits, doubt)[0].tolist()
+        if b.n > 1 and not any(part):
+            part = [0] + [1] * (b.n - 1)
+        return {story: keys, "id": b.cols["id"], "part": part}
+
+    return _by_block(*_as_block(df, story, order, cols, likeness.names), each, f"{story} block, id id, part int")

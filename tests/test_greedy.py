@@ -1,6 +1,7 @@
 """Groups that depend on order, streamed upserts and mergeable percentiles against plain loops."""
 
 import datetime as dt
+import json
 import random
 
 import numpy as np
@@ -167,3 +168,24 @@ def test_percentiles_of_merged_buckets_lie_in_the_bucket_of_the_exact_ones(spark
         k = next((i for i in range(1, len(edges)) if exact <= edges[i]), None)
         assert (edges[k - 1] <= g.p95 <= edges[k]) if k else g.p95 == 300
         assert (g.n, g.backlog, g.is_behind, g.is_slow) == (len(mine), backlog, backlog > 1000, g.p95 > 30)
+
+
+@pytest.mark.parametrize("entities", [True, False])
+def test_small_blocks_are_compared_as_large_ones(entities):
+    """Row by row, or by arrays: the same parts and doubts, and no likeness twice."""
+    r = random.Random(11)
+    names = (*greedy._EVENT_COLS, "entities")
+    some = lambda xs: [r.choice(xs) for _ in range(r.randint(0, 3))]
+    likeness = greedy._Likeness(names if entities else names[:-1], entities)
+    fits, doubt = lambda m: m >= 0.6, lambda m: 0.4 <= m < 0.7
+    parts = set()
+    for _ in range(200):
+        n = r.randint(1, 12)
+        cols = {"kind": [r.choice("ab") if r.random() < 0.8 else None for _ in range(n)], "parent": [r.choice(["p", "q", None]) for _ in range(n)], "actors": [some("xyz") or None for _ in range(n)], "targets": [some(["t", "u", None]) for _ in range(n)],
+                "location": [r.choice([" Rome", "rome", "North Rome", "Oslo", "", None]) for _ in range(n)], "date": [r.choice([1, 2, None]) for _ in range(n)], "entities": [some("ef") for _ in range(n)]}
+        b = greedy.Block(cols)
+        none = b.missing("kind")
+        part, status = greedy._first_fit(b, lambda i: np.where(none[i], -1.0, b.events(i) + (0.10 * b.jaccard("entities", i) if entities else 0)), fits, doubt)
+        assert greedy._first_fit_small(likeness, likeness.numbers([json.dumps(x) for x in zip(*[cols[n] for n in likeness.names])]), fits, doubt) == (part.tolist(), status)
+        parts |= set(part.tolist())
+    assert len(parts) > 4
