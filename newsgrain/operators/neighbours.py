@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..storage import cut
 
-#: Vectors of a side of a tile: a task holds two such sides, and a slab of products of one of them.
-TILE, _SLAB = 16_384, 1024
+#: Vectors of a side of a tile: a task holds two such sides, and a slab of products of one of them; what it finds leaves it
+#: slab by slab, in batches of ``_ROWS``.
+TILE, _SLAB = 16_384, 128
+_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -59,8 +61,9 @@ def plane_plan(least: float, recall: float, n: int, most: int = 4096) -> PlanePl
 
 def _unit(column) -> np.ndarray:
     """Rows of unit length; zero vectors stay zero, so they are like nothing."""
-    x = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-300)
+    return x
 
 
 def _keys(dims: int, plan: PlanePlan, seed: int):
@@ -105,7 +108,7 @@ def _dealt(rows: DataFrame, cap: int, two_sided: bool) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, each: Callable, schema: str, cap: int, two_sided: bool = False) -> DataFrame:
-    """``each`` (ids, unit vectors, halves, diagonal) of every tile gives columns of the result, or None."""
+    """``each`` (ids, unit vectors, halves, diagonal) of every tile gives columns of the result, a slab of products at a time."""
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,13 +117,15 @@ def _tiles(rows: DataFrame, each: Callable, schema: str, cap: int, two_sided: bo
         def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not parts:
                 return
-            t = pa.Table.from_batches(parts).combine_chunks()
+            t = pa.Table.from_batches(parts)
+            parts.clear()
             if t.num_rows < 2:
                 return
-            ids = t.column("id").combine_chunks()
+            ids, half = t.column("id").combine_chunks(), t.column("half").to_numpy()
             diagonal = not two_sided and t.column("i")[0].as_py() == t.column("j")[0].as_py()
-            cols = each(ids, _unit(t.column("v").combine_chunks()), t.column("half").to_numpy(), diagonal)
-            if cols is not None:
+            v = np.concatenate([_unit(c) for c in t.column("v").chunks])
+            del t  # of the tile only the unit vectors stay
+            for cols in each(ids, v, half, diagonal):
                 yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names)
 
         last = None
@@ -159,13 +164,11 @@ def _hits(v: np.ndarray, half: np.ndarray, diagonal: bool, least: float) -> Iter
 
 def _pairs(least: float):
     def each(ids, v, half, diagonal):
-        found = [f for f in _hits(v, half, diagonal, least) if len(f[0])]
-        if not found:
-            return None
-        x, y, c = (np.concatenate([f[k] for f in found]) for k in range(3))
-        a, b = ids.take(pa.array(x)), ids.take(pa.array(y))
-        swap = pa.compute.greater(a, b)
-        return [pa.compute.if_else(swap, b, a), pa.compute.if_else(swap, a, b), c]
+        for x, y, c in _hits(v, half, diagonal, least):
+            for at in range(0, len(x), _ROWS):
+                a, b = ids.take(pa.array(x[at : at + _ROWS])), ids.take(pa.array(y[at : at + _ROWS]))
+                swap = pa.compute.greater(a, b)
+                yield [pa.compute.if_else(swap, b, a), pa.compute.if_else(swap, a, b), c[at : at + _ROWS]]
 
     return each
 
@@ -187,7 +190,8 @@ def _forest(least: float):
                 while (root[root] != root).any():
                     root = root[root]
         x, y = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (left, right))
-        return [ids.take(pa.array(x)), ids.take(pa.array(y))] if len(x) else None
+        if len(x):
+            yield [ids.take(pa.array(x)), ids.take(pa.array(y))]
 
     return each
 
@@ -206,9 +210,9 @@ def _best(s: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
 def _best_of_tile(k: int, least: float):
     def each(ids, v, half, diagonal):
         cut_at = int(np.searchsorted(half, 1))
-        query, found, cos = [], [], []
         names = ids.to_pylist()
         for a in range(0, cut_at, _SLAB):
+            query, found, cos = [], [], []
             s = v[a : min(cut_at, a + _SLAB)] @ v[cut_at:].T
             for q in np.flatnonzero(s.max(axis=1, initial=-2) >= least - 1e-9).tolist():
                 at, c = _best(s[q], k + 1, least)  # one more, as the query itself may be among them
@@ -217,7 +221,8 @@ def _best_of_tile(k: int, least: float):
                         query.append(a + q)
                         found.append(f)
                         cos.append(x)
-        return [ids.take(pa.array(query, pa.int64())), ids.take(pa.array(found, pa.int64())), pa.array(cos, pa.float64())] if query else None
+            if query:
+                yield [ids.take(pa.array(query, pa.int64())), ids.take(pa.array(found, pa.int64())), pa.array(cos, pa.float64())]
 
     return each
 

@@ -129,3 +129,14 @@ def test_duplicate_stories_in_the_window_that_pass_both_stages(spark):
     run = lambda **kw: {(r.survivor, r.absorbed) for r in clustering.find_duplicate_stories(s, "id", "centroid", "n", 0.6, when="time", now=F.lit(day).cast("timestamp"), passes=clustering.same_event, method="exact", **kw).collect()}
     assert run() == {(1, 2), (1, 5)}  # 3 fails stage A, 4 is too old
     assert run(cap=1) == {(1, 5)}
+
+
+def test_a_tile_gives_its_pairs_slab_by_slab():
+    """All vectors near each other: no batch holds more than a slab's share, and together they are all pairs."""
+    import pyarrow as pa
+
+    n = 600
+    v = np.ones((n, 4)) / 2
+    got = list(neighbours._pairs(0.9)(pa.array(range(n)), v, np.zeros(n, int), True))
+    assert len(got) > 1 and max(len(c[0]) for c in got) <= neighbours._ROWS
+    assert sum(len(c[0]) for c in got) == n * (n - 1) // 2
