@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import facts_equivalent, normalize_fact
+from ..functions.text import equal_keys, normalize_fact
 
 # Titles of persons, and words that organisations' names may differ in.
 HONORIFICS = ("mr", "ms", "mrs", "dr", "prof", "president", "minister", "pm", "chief", "leader")
@@ -174,10 +174,15 @@ def with_coverage(differences: DataFrame, coverage: DataFrame, source: str, defa
     return differences.join(coverage.select(source, "coverage"), source, "left").withColumn("coverage", F.coalesce("coverage", F.lit(default)))
 
 
+def share_key(x: Column, y: Column) -> Column:
+    """Whether two lists of keys (of ``normalize_fact``) have one in common, by itself or by equivalence."""
+    return F.arrays_overlap(x, y) | F.exists(x, lambda p: F.exists(y, lambda q: equal_keys(p, q, F.split(p, " "), F.split(q, " "))))
+
+
 def share_fact(x: Column, y: Column) -> Column:
-    """Whether two lists of facts have one in common, by key or by equivalence."""
-    keys = lambda a: F.transform(a, normalize_fact)
-    return F.arrays_overlap(keys(x), keys(y)) | F.exists(x, lambda p: F.exists(y, lambda q: facts_equivalent(p, q)))
+    """Whether two lists of facts have one in common, by key or by equivalence. Lists that meet many others should be made
+    keys before they meet: see ``share_key``."""
+    return share_key(F.transform(x, normalize_fact), F.transform(y, normalize_fact))
 
 
 def story_changes(before: DataFrame, after: DataFrame, story: str, member: str) -> DataFrame:
