@@ -18,13 +18,19 @@ def _rarest(grams: DataFrame, block: str, many: Column) -> DataFrame:
     return grams.join(df, [block, "gram"]).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= many).drop("_rn", "_df")
 
 
+def _runs_in(a: str, b: str) -> Column:
+    """How many of the runs of three letters of ``a`` lie in ``b``."""
+    return F.size(F.filter(F.transform(F.sequence(F.lit(1), F.length(a) - 2), lambda i: F.substring(a, i, F.lit(3))), lambda g: F.contains(F.col(b), g)))
+
+
 def equal_facts(keys: DataFrame, block: str, ratio: float = 0.90, least: int = _GRAM, spelling: bool = True, few: int = 24) -> DataFrame:
     """(block, item, other, tier): pairs of different keys of a block that state the same fact.
 
     ``keys`` has the block, ``key`` (of ``normalize_fact``) and a boolean ``asked``: an item is a key that asks, the other is any.
     Tiers as in ``functions.text.match_facts``, the first that holds: contained, subset (of words), spelling.
 
-    Blocks of up to ``few`` keys are compared whole: no key meets more than these. In larger ones no pairs are made to look
+    Blocks of up to ``few`` keys are compared whole: no key meets more than these, and spelling is left to pairs that have as
+    many runs of three letters in common as it takes. In larger ones no pairs are made to look
     for equal facts, and the result is the same. There a key that is contained in another has its rarest run of five
     letters there; one whose words are among another's has its rarest word there: so each key is looked up once in the
     lists of grams and of words. Keys alike in spelling share so many runs of three letters that the rarest of both, as
@@ -39,7 +45,10 @@ def equal_facts(keys: DataFrame, block: str, ratio: float = 0.90, least: int = _
     met = small_blocks.where("asked").select(block, F.col("key").alias("item")).join(small_blocks.select(block, F.col("key").alias("other")), block).where("item <> other")
     x, y = F.split("item", " "), F.split("other", " ")
     met = met.withColumn("tier", F.when(F.contains("item", "other") | F.contains("other", "item"), "contained").when((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0), "subset"))
-    met = met.where(F.col("tier").isNotNull() | may_be_spelt if spelling else F.col("tier").isNotNull())
+    # keys of n and n' letters, of which m are matched in r pieces: 2m >= ratio * (n + n'), and r <= n + n' - 2m + 1, so
+    # m - 2r runs of three letters are common
+    common = lambda both: F.ceil(both * (2.5 * ratio - 2) - 2 - 1e-9)
+    met = met.where(F.col("tier").isNotNull() | (may_be_spelt & (_runs_in("item", "other") >= common(F.length("item") + F.length("other")))) if spelling else F.col("tier").isNotNull())
     if spelling:
         met = cut(met)
         open_ = met.where("tier is null").where(spelling_ratio(F.col("item"), F.col("other")) >= ratio).withColumn("tier", F.lit("spelling"))
@@ -62,9 +71,7 @@ def equal_facts(keys: DataFrame, block: str, ratio: float = 0.90, least: int = _
     if spelling:
         out = cut(out)
         n = F.length("key")
-        # keys of n and n' letters, of which m are matched in r pieces: 2m >= ratio * (n + n'), and r <= n + n' - 2m + 1, so
-        # m - 2r runs of three letters are common; that is least for the shortest partner, where n + n' = 2n / (2 - ratio)
-        common = lambda both: F.ceil(both * (2.5 * ratio - 2) - 2 - 1e-9)
+        # the common runs of three letters are fewest for the shortest partner, where n + n' = 2n / (2 - ratio)
         three = k.where(~F.col("key").rlike(r"\d")).select(block, "key", "asked", (n - 1 - F.greatest(F.lit(0), common(2 * n / (2 - ratio)))).alias("_many"),
                                                            F.posexplode(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring("key", i, 3))).alias("_at", "gram"))
         again = F.row_number().over(Window.partitionBy(block, "key", "gram").orderBy("_at"))  # a run that comes twice is two

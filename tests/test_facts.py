@@ -123,3 +123,15 @@ def test_near_duplicate_groups_equal_all_pairs(spark):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 12
+
+
+def test_spelling_sees_only_pairs_that_share_runs_of_letters(spark, monkeypatch):
+    """In small blocks as in large ones, Python compares near pairs only."""
+    asked = []
+    plain = facts.spelling_ratio
+    monkeypatch.setattr(facts, "cut", lambda df: asked.append(df) or df)
+    monkeypatch.setattr(facts, "spelling_ratio", plain)
+    names = ["crimson winter morning", "crimsom winter morning", "bright yellow pencils", "silent forest walkers"]
+    got = facts.equal_facts(spark.createDataFrame([(1, n, True) for n in names], "story int, key string, asked boolean"), "story")
+    assert {(r.item, r.other, r.tier) for r in got.collect()} == {(names[0], names[1], "spelling"), (names[1], names[0], "spelling")}
+    assert asked[-1].count() == 2  # of twelve
