@@ -143,7 +143,9 @@ def quality_gate(hhi_: Column, min_cosine: Column, missing: Column, fingerprints
 
 def missing_entities(nodes: DataFrame, texts: DataFrame, key: str, label: str, text: str) -> DataFrame:
     """Labels of over two characters that their story's text does not hold: (key, label)."""
-    return nodes.where(F.length(label) > 2).join(texts, key).where(~F.contains(F.lower(text), F.lower(label))).select(key, label)
+    low = nodes.where(F.length(label) > 2).withColumn("_l", F.lower(label))
+    texts = texts.select(key, F.lower(text).alias("_t"))  # once a text, not once a label it meets
+    return low.join(texts, key).where(~F.contains("_t", "_l")).select(key, label)
 
 
 def numbers_conflict(a: Column, b: Column) -> Column:
