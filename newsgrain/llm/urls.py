@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,38 +46,49 @@ def url_items(host: Column, path: Column, url: Column) -> Column:
                                      F.when(F.endswith(path, F.lit("/")), F.array(F.lit("/end"))).otherwise(F.array().cast("array<string>"))))
 
 
-def _telling(labelled: DataFrame, min_support: float, width: int) -> DataFrame:
-    """``labelled`` with at most ``width`` frequent tokens a URL, those that tell block from allow best (then by name)."""
-    rows = cut(labelled.select(F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("items"), (F.col("verdict") == "block").cast("int").alias("bad")))
-    n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    df = rows.select(F.explode("items").alias("t"), "bad").groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b")).where(F.col("n") >= min_support * n)
-    tells = F.abs(F.log((F.col("b") + 0.5) / (F.col("n") - F.col("b") + 0.5)) - F.log(F.lit((bad + 0.5) / (n - bad + 0.5))))
-    df = df.select("t", F.round(tells, 6).alias("tells"))
-    sets = rows.select("items").distinct()
-    best = Window.partitionBy("items").orderBy(F.desc("tells"), "t")
-    few = (sets.select("items", F.explode("items").alias("t")).join(df, "t").withColumn("r", F.row_number().over(best)).where(F.col("r") <= width)
-           .groupBy("items").agg(F.array_sort(F.collect_list("t")).alias("few")))
-    return rows.join(few, "items", "left").select(F.coalesce("few", F.array().cast("array<string>")).alias("items"), "bad")
+def _frequent(labelled: DataFrame, min_support: float, longest: int) -> tuple[DataFrame, int]:
+    """(items, n, hits) of all combinations of up to ``longest`` tokens that enough blocked URLs have, but those which have a
+    part that as many URLs have, or that only blocked URLs have, and no rule of their own to add; and the number of URLs.
 
-
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.85, longest: int = 4, width: int = 12) -> DataFrame:
+    Pattern growth over tables: equal token sets are one row; of each combination the tokens that may follow it, with
+    counts, are its conditional pattern base, from which the combinations with one token more come.
+    """
+    rows = labelled.select(F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>")))).alias("rest"), (F.col("verdict") == "block").cast("int").alias("hits"))
+    rows = cut(rows.groupBy("rest").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits")))
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(1, math.ceil(min_support * total))
+    often = rows.select(F.explode("rest").alias("t"), "hits").groupBy("t").agg(F.sum("hits").alias("h")).where(F.col("h") >= least).select("t")
+    base = rows.select("rest", "n", "hits", F.explode("rest").alias("t")).join(often, "t").groupBy("rest").agg(F.first("n").alias("n"), F.first("hits").alias("hits"), F.array_sort(F.collect_list("t")).alias("few"))
+    base = base.groupBy(F.col("few").alias("rest")).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).withColumn("items", F.array().cast("array<string>"))
+    out = before = None
+    for k in range(1, longest + 1):
+        grown = base.select("items", "rest", "n", "hits", F.posexplode("rest").alias("at", "t"))
+        grown = grown.select(F.concat("items", F.array("t")).alias("items"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"), "n", "hits")
+        base = cut(grown.groupBy("items", "rest").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")))
+        found = cut(base.groupBy("items").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(F.col("hits") >= least))
+        out = found if out is None else out.unionByName(found)
+        alive = found.where("n > hits")
+        if before is not None:
+            parts = alive.select("items", "n", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part"))
+            alive = alive.join(parts.join(before.select(F.col("items").alias("part"), "n"), ["part", "n"]).select("items").distinct(), "items", "left_anti")
+        alive = cut(alive.select("items"))
+        if k == longest or not alive.limit(1).count():
+            break
+        base, before = base.where(F.size("rest") > 0).join(alive, "items", "left_semi"), found
+    return out, total
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.85, longest: int = 4) -> DataFrame:
     """Association rules items -> block: ``labelled`` has (items array<string>, verdict). Returns (items, confidence, support).
 
-    FP-growth finds the frequent token combinations; rules under ``min_confidence`` are dropped, then every rule that has
-    a subset with at least its confidence, so of rules that tie the shortest stay. Combinations of more than ``longest``
-    tokens make no rule. Of each URL the ``width`` most telling frequent tokens are mined, so there are at most
-    2**(width + 1) / min_support combinations however many tokens URLs share and however many pages there are. A rule is
-    compared with its own subsets only (an inverted look-up, at most 2**longest a rule), never with all others.
+    Pattern growth finds the token combinations that enough blocked URLs have; rules under ``min_confidence`` are dropped,
+    then every rule that has a subset with at least its confidence, so of rules that tie the shortest stay. Combinations of
+    more than ``longest`` tokens make no rule; all tokens of a URL take part, however many it has. A combination of which
+    a part occurs as often, or that only blocked URLs have, is not grown: what it would become ties with something shorter.
+    A rule is compared with its own subsets only (an inverted look-up, at most 2**longest a rule), never with all others.
     """
-    block = F.when(F.col("bad") == 1, F.array(F.lit("=block"))).otherwise(F.array().cast("array<string>"))
-    rows = cut(_telling(labelled, min_support, width).select(F.concat("items", block).alias("all")))
-    n = rows.count()
-    found = FPGrowth(itemsCol="all", minSupport=min_support, minConfidence=min_confidence).fit(rows).freqItemsets.where(F.size("items") <= longest + 1)
-    found = cut(found.select(F.array_sort("items").alias("items"), "freq"))
-    has = F.array_contains("items", "=block")
-    both = found.where(has & (F.size("items") > 1)).select(F.array_remove("items", "=block").alias("items"), F.col("freq").alias("hits"))
-    made = both.join(found.where(~has), "items").select("items", (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / F.lit(max(n, 1))).alias("support"))
-    made = cut(made.where(F.col("confidence") >= min_confidence))
+    found, n = _frequent(labelled, min_support, longest)
+    made = cut(found.select("items", (F.col("hits") / F.col("n")).alias("confidence"), (F.col("hits") / F.lit(max(n, 1))).alias("support")).where(F.col("confidence") >= min_confidence))
     parts = F.expr("transform(sequence(1, shiftleft(1, size(items)) - 2), m -> filter(items, (x, i) -> (shiftright(m, i) & 1) = 1))")
     asked = made.where(F.size("items") > 1).select("items", "confidence", F.explode(parts).alias("part"))
     weaker = (asked.join(made.select(F.col("items").alias("part"), F.col("confidence").alias("c")), "part").where(F.col("c") >= F.col("confidence"))

@@ -8,6 +8,8 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+import random
+
 import pytest
 
 from newsgrain.llm import media, mixing, packing, tokens, urls
@@ -294,3 +296,23 @@ def test_hot_null_ids_are_spread(spark):
     assert taken.where("doc_id is null").count() == 400
     fine, coarse = (sorted(map(tuple, mixing.mix_sources(docs, in_range=n).collect()), key=str) for n in (0.001, 10**9))
     assert fine == coarse  # how many ranges there are changes nothing
+
+
+def test_rules_use_all_tokens_of_a_url(spark):
+    """Twenty tokens a URL, more than were mined once, and rules of up to three: those of a loop over all combinations."""
+    from itertools import combinations
+
+    r = random.Random(3)
+    rows = [[f"t{i:02}" for i in range(20) if r.random() < 0.8] for _ in range(80)]
+    rows = [(x, "block" if {"t18", "t19"} <= set(x) or r.random() < 0.3 else "allow") for x in rows]
+    least = 0.2 * len(rows)
+    rules = {}
+    for k in (1, 2, 3):
+        for c in combinations([f"t{i:02}" for i in range(20)], k):
+            verdicts = [v for items, v in rows if set(c) <= set(items)]
+            hits = verdicts.count("block")
+            if hits >= least and hits >= 0.85 * len(verdicts):
+                rules[c] = hits / len(verdicts)
+    want = {c: x for c, x in rules.items() if not any(rules.get(s, -1) >= x for k in range(1, len(c)) for s in combinations(c, k))}
+    got = {tuple(x["items"]): x.confidence for x in urls.mine_rules(spark.createDataFrame(rows, "items array<string>, verdict string"), 0.2, 0.85, 3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-12 for c in want) and len(want) > 5
