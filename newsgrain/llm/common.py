@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ def counted_cut(df: DataFrame, *more: Column) -> tuple:
     return out, seen.get["n"], *[seen.get[f"m{i}"] for i in range(len(more))]
 
 
+def on_driver(df: DataFrame) -> pd.DataFrame:
+    """A bounded table on the driver; what Arrow held to bring it there is given back, not kept for the rest of the session."""
+    found = df.toPandas()
+    pa.default_memory_pool().release_unused()
+    return found
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Hold Arrow batches to ``rows`` rows, so that a worker holds few texts at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -54,5 +63,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     sizes = rows.groupBy("y", "_k", "_id").agg(F.sum(F.octet_length("text")).alias("n"))
     upto = Window.partitionBy("y").orderBy("_k", "_id").rowsBetween(Window.unboundedPreceding, -1)
     chosen = cut(sizes.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("before") < max_bytes).select("_id"))
-    found = rows.join(F.broadcast(chosen), "_id").select("_k", "_id", "text", "y").toPandas()
+    found = on_driver(rows.join(F.broadcast(chosen), "_id").select("_k", "_id", "text", "y"))
     return found.sort_values(["_k", "_id", "text"], ignore_index=True)[["text", "y"]]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clustering import components
-from .common import bounded_batches, counted_cut, cut, table
+from .common import bounded_batches, counted_cut, cut, on_driver, table
 
 GRAM, PERCENT = 5, 75
 _SPACE = np.zeros(256, bool)
@@ -393,8 +393,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, often: int, most: int,
     prof = cut(profiles(docs, id_col, text_col))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "tk")
     sets = cut(prof.where("sk is not null").groupBy("sk").agg(F.min(first).alias("x"), F.min("doc_id").alias("least")).select("sk", "least", "x.doc_id", "x.tk"))
-    counted = (prof.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("df")).where(F.col("df") > often)
-               .orderBy(F.desc("df"), "token").limit(most).orderBy("df", "token")).toPandas()
+    counted = on_driver(prof.where("token is not null").groupBy("token").agg(F.sum("cnt").alias("df")).where(F.col("df") > often)
+                        .orderBy(F.desc("df"), "token").limit(most).orderBy("df", "token"))
     shared = cut(shared_postings(docs, text_col, counted["token"].to_numpy(np.int64), counted["df"].to_numpy(np.int64)))
 
     links = verified(docs, leaders(shared), sets, id_col, text_col)

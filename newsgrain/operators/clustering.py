@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, jaccard
@@ -15,24 +15,28 @@ from .neighbours import near_links, nearby
 from .scoring import stage_a, stage_b
 
 
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every node of the different links (u, v) has one v, which itself has none."""
+    ends = e.select("u", F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("up")))
+    by_node = ends.groupBy("u").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return by_node.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("least") == 0))).agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): the least node of its component.
 
     Alternating large-star and small-star steps, each a minimum by key and a join; no neighbour list is gathered. The
-    number of rounds is about the logarithm of the longest path.
+    number of rounds is about the logarithm of the longest path. Links that are stars already need none, and rounds end as
+    soon as they are: a count by node tells, where another round would shuffle the links five times to find them unchanged.
     """
-    e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    before = now = None
-    while before is None or now != before:
-        before = now or {}
+    e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        seen = Observation()
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("check")))
-        now = dict(seen.get)
+        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

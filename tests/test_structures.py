@@ -79,6 +79,18 @@ def test_components(spark, seed):
     assert clustering.connected_components(nodes, spark.createDataFrame([], "a long, b long")).where("id <> root").count() == 0
 
 
+def test_components_end_when_links_are_stars(spark, monkeypatch):
+    """Stars need no round, and no round is made only to find that nothing changes."""
+    written = []
+    plain = clustering.cut
+    monkeypatch.setattr(clustering, "cut", lambda df: written.append(1) or plain(df))
+    for links, rounds in (([(1, 2), (1, 3), (5, 4)], 0), ([(1, 2), (2, 3)], 1), ([], 0)):
+        written.clear()
+        got = {(r.node, r.root) for r in clustering.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == ({(1, 1), (2, 1), (3, 1)} | ({(4, 4), (5, 4)} if rounds == 0 else set()) if links else set())
+        assert len(written) == 1 + rounds
+
+
 def test_alias_cycles(spark):
     aliases = spark.createDataFrame([(5, 6), (6, 7), (7, 5), (1, 5), (20, 21), (21, 22)], "alias long, target long")
     got = clustering.resolve_aliases(spark.createDataFrame([(i,) for i in (1, 5, 6, 7, 20, 21, 22, 30)], "id long"), aliases, rounds=6).collect()
