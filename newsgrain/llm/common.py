@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import bounded_batches, counted_cut, cut, on_driver  # noqa: F401
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -17,28 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def counted_cut(df: DataFrame, *more: Column) -> tuple:
-    """What ``cut`` gives, with the number of rows, and more aggregates, all taken while the table is written."""
-    seen = Observation()
-    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(f"m{i}") for i, c in enumerate(more)]))
-    return out, seen.get["n"], *[seen.get[f"m{i}"] for i in range(len(more))]
-
-
-def on_driver(df: DataFrame) -> pd.DataFrame:
-    """A bounded table on the driver; what Arrow held to bring it there is given back, not kept for the rest of the session."""
-    found = df.toPandas()
-    pa.default_memory_pool().release_unused()
-    return found
-
-
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Hold Arrow batches to ``rows`` rows, so that a worker holds few texts at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 def held_out(id_col: str = "doc_id"):
     """Rows whose labels no model may learn from: crc32 of the id's text leaves 2 modulo 4 (a null id is never held out)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

@@ -212,47 +212,23 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, least: float = 0.7, s
     return found.distinct()
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text: str, least: float = 0.75, shingle: int = 5) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, root): groups of texts that chains of near duplicates join, named by their least id; exact.
 
-    Two texts are near duplicates if the sets of their runs of ``shingle`` words (lower case; fewer words: all of them) have
-    Jaccard similarity ``least`` or more, and equal texts always are. Of each set only the rarest runs are indexed, as
-    many as two such sets cannot both lack: rare ones first, so what many texts share is seldom among them.
-
-    Each text is first compared with the least id of every run it is indexed by. That joins most of a group of near copies,
-    whatever its size, by as many comparisons as it has members. Then only texts of a run that are in different groups
-    so far are compared with each other, if their sizes allow the similarity. Null texts are empty ones.
+    Two texts are near duplicates if the sets of their runs of five words (lower case; fewer words: all of them) have
+    Jaccard similarity 0.75 or more, and equal texts always are. Null texts are empty ones. Links are found as in
+    ``set_join.near_duplicates``: runs stay in arrays until the few that are indexed, and those of many texts are indexed by
+    combinations.
     """
-    from .clustering import components, connected_components
-
-    t = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.col(id_col).alias("doc"), F.sha2(t, 256).alias("_h"), t.alias("_t"))
-    one = docs.groupBy("_h").agg(F.min("doc").alias("id"), F.min("_t").alias("_t"))
-    w = one.select("id", F.split(F.lower(F.trim("_t")), r"\s+").alias("w"))
-    runs = F.arrays_zip(*[F.slice("w", i + 1, F.greatest(F.size("w") - shingle + 1, F.lit(1))).alias(f"w{i}") for i in range(shingle)])
-    grams = cut(w.select("id", F.inline(runs)).select("id", F.xxhash64(*[f"w{i}" for i in range(shingle)]).alias("v")).distinct())
-    size = grams.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    shared = grams.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    listed = grams.join(shared, "v").withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("df", "v"))).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("id")))
-    # runs of one text only come first in the order; they can be met by no other and only count
-    enough = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    post = cut(listed.join(size, "id").where(F.col("n") - F.col("held") + F.col("rn") <= enough).select("v", "id", "n"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9).select("a", "b", "na", "nb").distinct())
-        common = pairs.join(grams.select(F.col("id").alias("a"), "v"), "a").join(grams.select(F.col("id").alias("b"), "v"), ["b", "v"])
-        both = common.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        return cut(both.where(F.col("c") >= least * (F.col("na") + F.col("nb") - F.col("c")) - 1e-9).select("a", "b"))
-
-    lead = post.groupBy("v").agg(F.min(F.struct("id", "n")).alias("x")).select("v", F.col("x.id").alias("a"), F.col("x.n").alias("na"))
-    first = alike(post.join(lead, "v").where("id != a").select("a", "na", F.col("id").alias("b"), F.col("n").alias("nb")))
-    known = cut(components(first)).select(F.col("node").alias("id"), "root")
-    rooted = cut(post.join(known, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    several = rooted.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("v")
-    open_ = cut(rooted.join(several, "v", "left_semi"))
-    cross = open_.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")).join(open_.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")), "v").where("a < b and ra != rb")
-    groups = connected_components(one, first.unionByName(alike(cross)), "id")
-    return docs.join(one.select("_h", "id"), "_h").join(groups, "id").select(F.col("doc").alias(id_col), "root")
+    from .set_join import near_duplicates as joined
+
+    t = F.lower(F.trim(F.coalesce(F.col(text), F.lit(""))))
+    # an empty word before or after white space counts: it is a byte that no text has
+    empty, none = F.lit(bytearray(b"\xff")), F.lit(bytearray())
+    space = F.lit(bytearray(b" "))
+    whole = F.concat(F.when(t == "", empty).when(t.rlike(r"^\s"), F.concat(empty, space)).otherwise(none), t.cast("binary"), F.when(t.rlike(r"\s\z"), F.concat(space, empty)).otherwise(none))
+    found = joined(df.select(F.col(id_col).alias("doc_id"), whole.alias("text")))
+    return found.select(F.col("doc_id").alias(id_col), F.col("component_id").alias("root"))
 
 
 def fabricated(df: DataFrame, fp: str, cap: int) -> DataFrame:

@@ -125,6 +125,31 @@ def test_near_duplicate_groups_equal_all_pairs(spark):
     assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 12
 
 
+def test_near_duplicate_groups_index_no_crowded_run_alone(spark, monkeypatch):
+    """Texts of passages that many texts share, in ever other choices, are not all compared with each other; white space at
+    the ends of a text is an empty word."""
+    from newsgrain.operators import set_join
+
+    r = random.Random(5)
+    passages = [[f"p{k}w{i}" for i in range(12)] for k in range(24)]
+    texts = [" ".join(w for k in r.sample(range(24), 8) for w in passages[k]) for _ in range(160)] + ["\ta b c", "a b c", "a b c\n", "\t a b c", "", "\n", None]
+    asked = []
+    plain = set_join.verified
+    monkeypatch.setattr(set_join, "verified", lambda docs, pairs, *a: plain(docs, asked.append(p := set_join.cut(pairs)) or p, *a))
+    got = {g.id: g.root for g in dedup.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").collect()}
+    assert [got[i] for i in range(160, 167)] == [160, 161, 162, 160, 164, 165, 164]
+    assert sum(p.count() for p in asked) < 160 * 159 // 2 // 4
+
+
+def test_words_of_a_long_text_across_blocks(monkeypatch):
+    from newsgrain.operators import set_join
+
+    data = b"one two\tthree  four " * 40
+    whole = set_join.word_hashes(data)
+    monkeypatch.setattr(set_join, "_BLOCK", 64)
+    assert all((a == b).all() for a, b in zip(whole, set_join.word_hashes(data), strict=True))
+
+
 def test_spelling_sees_only_pairs_that_share_runs_of_letters(spark, monkeypatch):
     """In small blocks as in large ones, Python compares near pairs only."""
     asked = []
