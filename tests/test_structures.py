@@ -331,3 +331,14 @@ def test_candidate_windows(spark, tmp_path):
     next((tmp_path / "d").glob("part*")).rename(tmp_path / "events.parquet")
     got = streams.run(streams.candidates(streams.read_events(spark, str(tmp_path)), "event_type", "props"), "append").collect()
     assert {(r.event_type, r.urls, r.fired_by) for r in got} >= {("a", 3, "count"), ("b", 1, "time"), ("c", 1, "time")}
+
+
+def test_contradictions_deal_events_before_they_sum_up(spark):
+    """One shuffle by story, before any sum, so that no task sorts a whole file."""
+    from newsgrain.operators import compare
+
+    e = spark.createDataFrame([(1, 1, "a", "2024-01-01", 1.0), (1, 2, "b", "2024-01-01", 1.0)], "story int, src int, v string, d string, n double")
+    found = compare.contradictions(e.withColumn("d", F.to_date("d")), "story", "src", {"v": F.col("v")}, "d", "n")
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 2, "v")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [story") == 2
