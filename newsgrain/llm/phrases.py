@@ -24,6 +24,9 @@ _MOST_BITS = 25
 _AT_ONCE = 500_000
 _NEVER = 255
 _ROWS = "part string, k int, phrase string, c long"
+_CODED = ["part", "size", "words", "hashes", "codes", "shard"]
+_BLOCKS = "part string, size int, words binary, hashes binary, codes binary, shard int"
+_FILE = 16  # blocks of a file: what a reader holds at once
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,21 +72,34 @@ def phrase_hash(phrase: bytes, seed: int) -> int:
     return int(h[0])
 
 
+def encode(data: bytes, more: bytes, seed: int) -> tuple[int, bytes, bytes, bytes] | None:
+    """A block as numbers, so that no scan splits its text again: how many of its tokens are its own, its different words
+    (space-joined; they hold no spaces), their hashes, and the tokens as places among the words; two bytes each where these do."""
+    own = tokens(data)
+    if not own:
+        return None
+    coded = pa.array(own + tokens(more), pa.binary()).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.uint16 if len(words) <= 1 << 16 else np.int32)
+    return len(own), b" ".join(words), _hash_words(words, seed).tobytes(), codes.tobytes()
+
+
 def count_grams(data: bytes, more: bytes, seed: int, t: int, marks: np.ndarray | None, shards: int, longest: int = LONGEST) -> list[tuple[int, pa.Array, np.ndarray]]:
+    """What ``count_coded`` gives for a block that is still text."""
+    coded = encode(data, more, seed)
+    return count_coded(*coded, t, marks, shards, longest) if coded else []
+
+
+def count_coded(size: int, words: bytes, hashes: bytes, codes: bytes, t: int, marks: np.ndarray | None, shards: int, longest: int = LONGEST) -> list[tuple[int, pa.Array, np.ndarray]]:
     """(k, phrases, counts) of a block at visit ``t``: in the first cycle its number of words (k 0) and each word (k 1); and the
     longer phrases that begin in it and are being counted: whose subphrases, and theirs, were all marked before ``t``, the
     last of them at most ``shards`` visits ago.
 
     Phrases are told apart by the numbers of their words, not by their hashes.
     """
-    own = tokens(data)
-    size = len(own)
-    if not size:
-        return []
-    coded = pa.array(own + tokens(more), pa.binary()).dictionary_encode()
-    del own
-    codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-    hashes = _hash_words(words.to_pylist(), seed)
+    hashes = np.frombuffer(hashes, np.uint64)
+    codes = np.frombuffer(codes, np.uint16 if len(hashes) <= 1 << 16 else np.int32).astype(np.int64)
+    words = pa.array(words.split(b" "), pa.binary())
     stop = pa.compute.equal(words, _STOP).to_numpy(zero_copy_only=False)
     out = []
     if t < shards:
@@ -94,10 +110,9 @@ def count_grams(data: bytes, more: bytes, seed: int, t: int, marks: np.ndarray |
     if marks is None:
         return out
     mask = np.uint64(len(marks) - 1)
-    at, h = np.arange(len(codes)), hashes[codes]  # phrases of k - 1 words whose own subphrases are marked, where they begin
     since = np.where(stop, _NEVER, marks[(hashes & mask).astype(np.int64)])[codes]
-    keep = since != _NEVER
-    at, h, since = at[keep], h[keep], since[keep].astype(np.int64)
+    at = np.flatnonzero(since != _NEVER)  # phrases of k - 1 words whose own subphrases are marked, where they begin
+    h, since = hashes[codes[at]], since[at].astype(np.int64)
     for k in range(2, longest + 1):
         front = np.flatnonzero(at[1:] == at[:-1] + 1)  # the next one begins one word later: it is the other subphrase
         if not len(front):
@@ -108,9 +123,12 @@ def count_grams(data: bytes, more: bytes, seed: int, t: int, marks: np.ndarray |
         if len(now):
             number = codes[now]
             for j in range(1, k):
-                _, first, number = np.unique(number * len(words) + codes[now + j], return_index=True, return_inverse=True)
-            texts = pa.compute.binary_join_element_wise(*[words.take(pa.array(codes[now[first] + j])) for j in range(k)], b" ")
-            out.append((k, texts, np.bincount(number)))
+                number = pa.array(number * len(words) + codes[now + j]).dictionary_encode().indices.to_numpy().astype(np.int64)
+            times = np.bincount(number)
+            one = np.empty(len(times), np.int64)
+            one[number] = now  # any place of a phrase
+            texts = pa.compute.binary_join_element_wise(*[words.take(pa.array(codes[one + j])) for j in range(k)], b" ")
+            out.append((k, texts, times))
         if k < longest:  # a place that another phrase marked before the subphrases were must not make an earlier start
             since = marks[(h & mask).astype(np.int64)].astype(np.int64)
             since = np.where(since == _NEVER, _NEVER, np.maximum(since, start))
@@ -119,33 +137,47 @@ def count_grams(data: bytes, more: bytes, seed: int, t: int, marks: np.ndarray |
     return out
 
 
-def _scan(t: int, step, shards: int, longest: int, block: int):
-    """From rows (part, text): counts of a shard at visit ``t``, see ``count_grams``; ``step`` is a broadcast array."""
+def _encoded(longest: int, block: int):
+    """From rows (part, text, shard): rows of blocks (part, size, words, hashes, codes, shard), see ``encode``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.frombuffer(step.value, np.uint8) if step is not None else None
-
-        def told(part: str, data: bytes, more: bytes = b"") -> Iterator[pa.RecordBatch]:
-            for k, texts, times in count_grams(data, more, xxhash.xxh64_intdigest(part.encode()), t, marks, shards, longest):
-                n = len(times)
-                yield pa.RecordBatch.from_arrays([pa.repeat(part, n), pa.repeat(pa.scalar(k, pa.int32()), n), texts.cast(pa.string()), pa.array(times, pa.int64())], ["part", "k", "phrase", "c"])
+        def told(part: str, shard: int, data: bytes, more: bytes = b"") -> Iterator[pa.RecordBatch]:
+            coded = encode(data, more, xxhash.xxh64_intdigest(part.encode()))
+            if coded:
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([coded[0]], pa.int32()), *[pa.array([c], pa.binary()) for c in coded[1:]], pa.array([shard], pa.int32())], _CODED)
 
         held, sizes = {}, {}
         for b in batches:
-            for part, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for part, text, shard in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = (text or b"").translate(_FOLD)
                 if len(data) > block:
                     for x in blocks(data, block, longest - 1):
-                        yield from told(part, *x)
+                        yield from told(part, shard, *x)
                     continue
-                held.setdefault(part, []).append(data)
-                sizes[part] = sizes.get(part, 0) + len(data) + 1
-                if sizes[part] >= block or sum(sizes.values()) >= 2 * block:
+                key = part, shard
+                held.setdefault(key, []).append(data)
+                sizes[key] = sizes.get(key, 0) + len(data) + 1
+                if sizes[key] >= block or sum(sizes.values()) >= 2 * block:
                     full = max(sizes, key=sizes.get)
                     sizes.pop(full)
-                    yield from told(full, _STOP.join(held.pop(full)))
-        for part, texts in held.items():
-            yield from told(part, _STOP.join(texts))
+                    yield from told(*full, _STOP.join(held.pop(full)))
+        for key, texts in held.items():
+            yield from told(*key, _STOP.join(texts))
+
+    return run
+
+
+def _scan(t: int, step, shards: int, longest: int):
+    """From rows of blocks: counts of a shard at visit ``t``, see ``count_coded``; ``step`` is a broadcast array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(step.value, np.uint8) if step is not None else None
+        for b in batches:
+            for i in range(b.num_rows):
+                part, *coded = [c[i].as_py() for c in b.columns]
+                for k, texts, times in count_coded(*coded, t, marks, shards, longest):
+                    n = len(times)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(part, n), pa.repeat(pa.scalar(k, pa.int32()), n), texts.cast(pa.string()), pa.array(times, pa.int64())], ["part", "k", "phrase", "c"])
 
     return run
 
@@ -202,7 +234,7 @@ def frequent_phrases(docs: DataFrame, part: str = "lang", text_col: str = "text"
     Texts (null: empty; A-Z lower-cased) are split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and these into words; phrases do not
     leave a piece, and overlapping occurrences count. A null part is ``und``.
 
-    Dynamic itemset counting: documents are dealt once into ``shards``, which are scanned in a cycle. Words are counted from
+    Dynamic itemset counting: documents are dealt once into ``shards``, as blocks of numbered words, which are scanned in a cycle. Words are counted from
     the first scan on; a longer phrase from the scan after both its subphrases (all but the last, all but the first word)
     have reached ``least`` in what was counted so far, whatever its length, until it has seen each shard once. Scans end
     when no phrase is counted any more: after at most ``longest`` cycles.
@@ -218,13 +250,13 @@ def frequent_phrases(docs: DataFrame, part: str = "lang", text_col: str = "text"
     bounded_batches(spark)
     place = new_place(spark)
     rows = docs.select(F.coalesce(F.col(part).cast("string"), F.lit("und")).alias("part"), F.col(text_col).cast("string").alias("text"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
-    rows.write.partitionBy("shard").parquet(place)
-    rows = spark.read.schema("part string, text string, shard int").parquet(place)
+    rows.mapInArrow(_encoded(longest, block), _BLOCKS).write.option("maxRecordsPerFile", _FILE).partitionBy("shard").parquet(place)
+    rows = spark.read.schema(_BLOCKS).parquet(place)
     if longest * shards >= _NEVER:
         raise ValueError("longest * shards must be under 255")
     visits, marks, step, t, last = _Visits(spark, least, shards), None, None, 0, shards - 1
     while t <= last:
-        found = rows.where(F.col("shard") == t % shards).select("part", "text").mapInArrow(_scan(t, step, shards, longest, block), _ROWS)
+        found = rows.where(F.col("shard") == t % shards).select(*_CODED[:-1]).mapInArrow(_scan(t, step, shards, longest), _ROWS)
         visits.add(found.groupBy(*_KEY).agg(F.sum("c").alias("c")))
         reached = visits.frequent(max(0, t - shards + 1)).where(F.col("k").between(1, longest - 1))
         if marks is None:

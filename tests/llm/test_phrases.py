@@ -119,3 +119,23 @@ def test_equals_sql(spark, sf):
     got = phrases.op11_collocations(spark, sf)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({phrases.OP11_SQL})").fetchall()
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [50, 70_000])
+def test_a_block_is_numbered_once_and_counted_without_its_text(n):
+    """Scans read numbers: of few words two bytes each, of many four; phrases and counts are those of the text."""
+    text = (" ".join(f"w{i}" for i in range(n)) + ". w1 w2 w3 w1 w2. é ü ").encode()
+    size, words, hashes, codes = phrases.encode(text, b" w4 w5", 7)
+    own = phrases.tokens(text)
+    assert size == len(own) and len(codes) == (2 if n == 50 else 4) * (size + 2)
+    listed = words.split(b" ")
+    numbers = np.frombuffer(codes, np.uint16 if n == 50 else np.int32)
+    assert [listed[i] for i in numbers] == [*own, b"w4", b"w5"] and len(set(listed)) == len(listed) == len(hashes) // 8
+    got = flat(phrases.count_coded(size, words, hashes, codes, 1, np.zeros(1 << 16, np.uint8), 3))
+    f, _ = slow_counts([(0, text.decode() + "w4 w5", "x")])
+    assert got[2, "ü w4".encode()] == 1 and got[2, b"w1 w2"] == f["x"]["w1 w2"] == 3 and got[3, b"w1 w2 w3"] == 2
+    assert sum(c for (k, _), c in got.items() if k == 2) == sum(c for p, c in f["x"].items() if p.count(" ") == 1) - 1  # the last pair begins behind the block
+
+
+def test_a_block_without_words_is_no_row():
+    assert phrases.encode(b"  ", b"", 7) is None and phrases.count_grams(b"", b"", 7, 0, None, 3) == []
