@@ -60,15 +60,22 @@ def _tag(kind: str, c: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
 
 
-def graph_nodes(articles: DataFrame, events: DataFrame, entities: DataFrame, sources: DataFrame) -> DataFrame:
-    """Nodes (story, node, label, kind) of all stories; see ``knowledge_graph``."""
+def graph_nodes(articles: DataFrame, events: DataFrame, entities: DataFrame, sources: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Nodes (story, node, label, kind) of all stories; see ``knowledge_graph``.
+
+    Rows are dealt by story into ``tasks`` parts (else as Spark's settings say) before equal nodes meet, so that what a
+    task holds does not follow the size of files; the result lies by story, and what is counted of stories is not dealt again.
+    """
     known = articles.where("source is not null").join(sources.select("source", "name"), "source")
-    labels = entities.select("story", F.concat(F.lit("entity:"), F.coalesce("canonical", "entity").cast("string")).alias("node"), F.coalesce("canonical_name", "value").alias("label"), "entity")
-    nodes = (articles.select("story", _tag("article", "article").alias("node"), F.coalesce("title", F.lit("Untitled Article")).alias("label"), F.lit("article").alias("kind"))
-             .unionByName(known.select("story", _tag("source", "source").alias("node"), F.col("name").alias("label"), F.lit("source").alias("kind")))
-             .unionByName(events.select("story", _tag("event", "event").alias("node"), F.coalesce("event_type", F.lit("EVENT")).alias("label"), F.lit("event").alias("kind")))
-             .unionByName(labels.groupBy("story", "node").agg(F.min_by("label", F.struct("entity", "label")).alias("label")).withColumn("kind", F.lit("entity"))))
-    return nodes.groupBy("story", "node", "kind").agg(F.min("label").alias("label")).select("story", "node", "label", "kind")
+    none = F.lit(None).cast(entities.schema["entity"].dataType)
+    rows = lambda df, node, label, kind, entity=none: df.select("story", node.alias("node"), label.alias("label"), F.lit(kind).alias("kind"), entity.alias("_e"))
+    nodes = (rows(articles, _tag("article", "article"), F.coalesce("title", F.lit("Untitled Article")), "article")
+             .unionByName(rows(known, _tag("source", "source"), F.col("name"), "source"))
+             .unionByName(rows(events, _tag("event", "event"), F.coalesce("event_type", F.lit("EVENT")), "event"))
+             .unionByName(rows(entities, F.concat(F.lit("entity:"), F.coalesce("canonical", "entity").cast("string")), F.coalesce("canonical_name", "value"), "entity", F.col("entity"))))
+    nodes = nodes.repartition(tasks, "story") if tasks else nodes.repartition("story")
+    first = F.struct("_e", (F.col("label").isNull() & (F.col("kind") != "entity")).alias("_none"), "label")  # the first entity's label, else the least
+    return nodes.groupBy("story", "node", "kind").agg(F.min_by("label", first).alias("label")).select("story", "node", "label", "kind")
 
 
 def _edges_of_names(events: DataFrame, entities: DataFrame) -> DataFrame:

@@ -112,3 +112,19 @@ def test_one_block_of_many_names(spark):
     got = clustering.coref_groups(names, "story", "name")
     assert got.count() == 50_003
     assert {r.name: r.representative for r in got.where("name in ('Lee7', 'Dr Person5', 'Lee')").collect()} == {"Lee7": "Person7 Lee7", "Dr Person5": "Person5 Lee45005", "Lee": "Lee"}
+
+
+def test_nodes_are_dealt_by_story_once(spark):
+    """No equal nodes are sought where files are read, and counts of a story need no second deal."""
+    articles = spark.createDataFrame([(1, 1, "t", 1), (1, 1, "s", 1), (2, 1, None, None)], "story long, article long, title string, source long")
+    events = spark.createDataFrame([(1, 5, "attack"), (2, 6, None)], "story long, event long, event_type string")
+    entities = spark.createDataFrame([(1, 7, 9, "b", "z"), (1, 8, 9, "a", None), (2, 3, None, None, None)], "story long, entity long, canonical long, value string, canonical_name string")
+    sources = spark.createDataFrame([(1, None), (1, "one")], "source long, name string")
+    nodes = graph.graph_nodes(articles, events, entities, sources, 3)
+    want = {(1, "article:1", "s", "article"), (2, "article:1", "Untitled Article", "article"), (1, "source:1", "one", "source"), (1, "event:5", "attack", "event"), (2, "event:6", "EVENT", "event"), (1, "entity:9", "z", "entity"), (2, "entity:3", None, "entity")}
+    got = [tuple(n) for n in nodes.collect()]
+    assert set(got) == want and len(got) == len(want)
+    counts = nodes.groupBy("story", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+    plan = counts._jdf.queryExecution().sparkPlan().toString() + counts._jdf.queryExecution().executedPlan().toString()
+    deals = [x for x in plan.split("AdaptiveSparkPlan")[-1].splitlines() if "Exchange hashpartitioning" in x]
+    assert sum("story" in x for x in deals) == 1 and nodes.rdd.getNumPartitions() == 3
