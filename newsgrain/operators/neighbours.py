@@ -66,29 +66,53 @@ def _unit(column) -> np.ndarray:
     return x
 
 
-def _keys(dims: int, plan: PlanePlan, seed: int):
-    """From batches (id, v, half) rows (bucket, id, v, half): the sides of the planes of each table."""
+def _sketch(u: np.ndarray) -> pa.Array:
+    """Unit vectors in a byte a number, each with its step and how far off it is at most (two floats before the bytes)."""
+    step = np.abs(u).max(axis=1, initial=0).astype(np.float32) / np.float32(127)
+    q = np.nan_to_num(np.clip(np.rint(u / np.maximum(step, 1e-30)[:, None]), -127, 127)).astype(np.int8)
+    off = (np.linalg.norm(u - step[:, None].astype(np.float64) * q, axis=1) * 1.000001 + 1e-9).astype(np.float32)
+    return pa.array([x.tobytes() for x in np.concatenate([np.stack([step, off], axis=1).view(np.int8), q], axis=1)], pa.binary())
+
+
+def _unsketch(column) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1)
+    two = np.ascontiguousarray(raw[:, :8]).view(np.float32).astype(np.float64)
+    return raw[:, 8:] * two[:, :1], two[:, 1]
+
+
+def _keys(dims: int, plan: PlanePlan, seed: int, sketched: bool):
+    """From batches (id, v, half) rows (bucket, id, v, half): the sides of the planes of each table. ``sketched`` vectors leave as
+    bytes, as a row becomes as many rows as there are tables."""
     normals = np.random.default_rng(seed).standard_normal((dims, plan.tables * plan.planes))
     weight = 1 << np.arange(plan.planes, dtype=np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):  # a row becomes as many rows as there are tables
+            for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 x = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
                 bits = (x @ normals > 0).reshape(len(x), plan.tables, plan.planes)
-                keys = ((bits * weight).sum(axis=2) * plan.tables + np.arange(plan.tables)).T.reshape(-1)
-                again = pa.array(np.tile(np.arange(len(x)), plan.tables))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *[b.column(i).take(again) for i in range(3)]], ["bucket", "id", "v", "half"])
+                yield b, ((bits * weight).sum(axis=2) * plan.tables + np.arange(plan.tables)).T.reshape(-1)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, keys in keyed(batches):
+            again = pa.array(np.tile(np.arange(b.num_rows), plan.tables))
+            cols = [b.column(0), _sketch(_unit(b.column(1))) if sketched else b.column(1), b.column(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *[c.take(again) for c in cols]], ["bucket", "id", "v", "half"])
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, keys in keyed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(2).take(pa.array(np.tile(np.arange(b.num_rows), plan.tables)))], ["bucket", "half"])
 
-    return run
+    return rows, sizes
 
 
-def _dealt(rows: DataFrame, cap: int, two_sided: bool) -> DataFrame:
+def _dealt(rows: DataFrame, sizes: DataFrame, cap: int, two_sided: bool) -> DataFrame:
     """Rows (bucket, id, v, half) dealt to tiles (bucket, i, j): a bucket with more than ``cap`` vectors on a side is cut into
-    strips, and each pair of strips is a tile of its own. In a self-join ``half`` says which strip of its tile a row is of."""
+    strips, and each pair of strips is a tile of its own. In a self-join ``half`` says which strip of its tile a row is of.
+    ``sizes`` has the same buckets and halves, without vectors."""
     side = ["bucket", "half"] if two_sided else ["bucket"]
-    n = rows.groupBy(*side).agg(F.count(F.lit(1)).alias("n"))
+    n = sizes.groupBy(*side).agg(F.count(F.lit(1)).alias("n"))
     strips = F.ceil(F.col("n") / cap).cast("int")
     if two_sided:
         at = lambda k: F.coalesce(F.max(F.when(F.col("half") == k, strips)), F.lit(0)).alias(f"g{k}")
@@ -107,9 +131,11 @@ def _dealt(rows: DataFrame, cap: int, two_sided: bool) -> DataFrame:
     return rows.select("bucket", i.alias("i"), j.alias("j"), half.alias("half"), "id", "v")
 
 
-def _tiles(rows: DataFrame, each: Callable, schema: str, cap: int, two_sided: bool = False) -> DataFrame:
-    """``each`` (ids, unit vectors, halves, diagonal) of every tile gives columns of the result, a slab of products at a time."""
+def _tiles(rows: tuple[DataFrame, DataFrame], each: Callable, schema: str, cap: int, two_sided: bool = False) -> DataFrame:
+    """``each`` (ids, unit vectors, halves, diagonal) of every tile gives columns of the result, a slab of products at a time.
+    Of sketches it gets the pairs (sketches, how far off they are)."""
     names = [x.split()[0] for x in schema.split(",")]
+    sketched = rows[0].schema["v"].dataType.simpleString() == "binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -123,7 +149,10 @@ def _tiles(rows: DataFrame, each: Callable, schema: str, cap: int, two_sided: bo
                 return
             ids, half = t.column("id").combine_chunks(), t.column("half").to_numpy()
             diagonal = not two_sided and t.column("i")[0].as_py() == t.column("j")[0].as_py()
-            v = np.concatenate([_unit(c) for c in t.column("v").chunks])
+            if sketched:
+                v = tuple(np.concatenate(x) for x in zip(*map(_unsketch, t.column("v").chunks), strict=True))
+            else:
+                v = np.concatenate([_unit(c) for c in t.column("v").chunks])
             del t  # of the tile only the unit vectors stay
             for cols in each(ids, v, half, diagonal):
                 yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names)
@@ -142,7 +171,7 @@ def _tiles(rows: DataFrame, each: Callable, schema: str, cap: int, two_sided: bo
                 last = key[x]
         yield from done(held)
 
-    tiles = _dealt(rows, cap, two_sided)
+    tiles = _dealt(*rows, cap, two_sided)
     return tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "half", "id").mapInArrow(run, schema)
 
 
@@ -173,6 +202,38 @@ def _pairs(least: float):
     return each
 
 
+def _candidates(least: float):
+    """Pairs (a, b, sure) of a tile of sketches that may have cosine ``least``: what two sketches are off is allowed for, so none
+    is missed, and those are sure that have it whatever they are off."""
+
+    def each(ids, v, half, diagonal):
+        near, off = v
+        most = np.fmax.reduce(off, initial=0)  # a vector with NaN is near nothing and hides nothing
+        for x, y, c in _hits(near, half, diagonal, least - 2 * most - most**2 - 1e-6):
+            slack = off[x] + off[y] + off[x] * off[y] + 1e-6
+            maybe = c >= least - slack
+            x, y, sure = x[maybe], y[maybe], (c >= least + slack)[maybe]
+            for at in range(0, len(x), _ROWS):
+                a, b = ids.take(pa.array(x[at : at + _ROWS])), ids.take(pa.array(y[at : at + _ROWS]))
+                swap = pa.compute.greater(a, b)
+                yield [pa.compute.if_else(swap, b, a), pa.compute.if_else(swap, a, b), sure[at : at + _ROWS]]
+
+    return each
+
+
+def _measured(pairs: DataFrame, vecs: DataFrame, least: float, kind: str) -> DataFrame:
+    """(a, b, cosine) of the pairs (a, b) that have cosine ``least`` or more by their whole vectors (id, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                c = np.round(np.einsum("ij,ij->i", _unit(b.column(2)), _unit(b.column(3))), 12)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c)], ["a", "b", "cosine"]).filter(pa.array(c >= least))
+
+    side = lambda c, v: vecs.select(F.col("id").alias(c), F.col("v").alias(v))
+    return pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").select("a", "b", "_x", "_y").mapInArrow(run, f"a {kind}, b {kind}, cosine double")
+
+
 def _forest(least: float):
     """Of a tile's pairs only as many as join what they join: each of them links two groups that were apart."""
 
@@ -232,14 +293,18 @@ def _vectors(df: DataFrame, id_col: str, vec: str, half: int = 0) -> DataFrame:
     return df.where(F.size(vec) > 0).select(F.col(id_col).alias("id"), F.col(vec).cast(f"array<{'float' if floats else 'double'}>").alias("v"), F.lit(half).alias("half"))
 
 
-def _in_buckets(x: DataFrame, n: int, dims: int, least: float, method: str, recall: float, seed: int) -> tuple[DataFrame, PlanePlan | None]:
+def _in_buckets(x: DataFrame, n: int, dims: int, least: float, method: str, recall: float, seed: int, sketched: bool = False) -> tuple[tuple[DataFrame, DataFrame], PlanePlan | None]:
+    """Rows of buckets, the same without vectors, and the plan of planes. Rows are made twice rather than written."""
     if method == "exact" or not n:
-        return x.select(F.lit(0).cast("long").alias("bucket"), "id", "v", "half"), None
+        rows = x.select(F.lit(0).cast("long").alias("bucket"), "id", "v", "half")
+        return (rows, rows.select("bucket", "half")), None
     if method != "planes":
         raise ValueError("method is 'planes' or 'exact'")
     plan = plane_plan(least, recall, n)
     kinds = {c: x.schema[c].dataType.simpleString() for c in ("id", "v")}
-    return cut(x.select("id", "v", "half").mapInArrow(_keys(dims, plan, seed), f"bucket long, id {kinds['id']}, v {kinds['v']}, half int")), plan
+    rows, sizes = _keys(dims, plan, seed, sketched)
+    x = x.select("id", "v", "half")
+    return (x.mapInArrow(rows, f"bucket long, id {kinds['id']}, v {'binary' if sketched else kinds['v']}, half int"), x.mapInArrow(sizes, "bucket long, half int")), plan
 
 
 def _chance(plan: PlanePlan | None, c: Column) -> Column:
@@ -267,7 +332,8 @@ def nearby(vecs: DataFrame, id_col: str, vec: str, least: float, method: str = "
     ``exact`` compares all vectors in tiles: pairs of strips of ``cap`` vectors, each a matrix product in a task, so any
     number of vectors is spread over tasks of one size. ``planes`` compares vectors on the same side of all planes of one
     of several tables; their numbers follow from ``least``, ``recall`` and the number of vectors (``plane_plan``), and a
-    bucket that is larger than a tile is cut into tiles. ``chance`` is the probability with which a pair of that cosine
+    bucket that is larger than a tile is cut into tiles; vectors go to their buckets as a byte a number, and pairs that are
+    near by those are measured by whole vectors. ``chance`` is the probability with which a pair of that cosine
     is found, at least ``recall``: 1 divided by it weighs a pair in an unbiased count. Vectors must not be related to
     ``seed``.
 
@@ -275,16 +341,30 @@ def nearby(vecs: DataFrame, id_col: str, vec: str, least: float, method: str = "
     false: then all pairs count. Null and empty vectors pair with nothing, and neither do zero vectors.
     """
     one, same, n, dims = _distinct(vecs, id_col, vec, collapse)
-    rows, plan = _in_buckets(one.select("id", "v", "half"), n, dims, least, method, recall, seed)
+    rows, plan = _in_buckets(one.select("id", "v", "half"), n, dims, least, method, recall, seed, sketched=True)
     kind = one.schema["id"].dataType.simpleString()
-    found = _tiles(rows, _pairs(least), f"a {kind}, b {kind}, cosine double", cap)
-    if plan is not None:  # a pair may meet in several tables
-        found = found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    if plan is None:
+        found = _tiles(rows, _pairs(least), f"a {kind}, b {kind}, cosine double", cap)
+    else:  # a pair may meet in several tables
+        found = _measured(_tiles(rows, _candidates(least), f"a {kind}, b {kind}, sure boolean", cap).select("a", "b").distinct(), one, least, kind)
     if same is not None:
         found = found.unionByName(same.where("q > 0").select("a", "b", F.lit(1.0).alias("cosine")))
     return found.withColumn("chance", _chance(plan, F.col("cosine")))
 
 
+def planes_pairs(vecs: DataFrame, id_col: str, vec: str, least: float, recall: float = 0.95, seed: int = 5, cap: int = TILE) -> DataFrame:
+    """The pairs (a, b) that ``nearby`` finds by planes, without their cosines: whole vectors are asked only about pairs whose
+    bytes leave it open whether they reach ``least``, so what is shuffled for pairs does not follow the vectors' length."""
+    one, same, n, dims = _distinct(vecs, id_col, vec)
+    rows, plan = _in_buckets(one.select("id", "v", "half"), n, dims, least, "planes", recall, seed, sketched=True)
+    kind = one.schema["id"].dataType.simpleString()
+    found = same.where("q > 0").select("a", "b")
+    if plan is None:  # there are no vectors
+        return found
+    near = cut(_tiles(rows, _candidates(least), f"a {kind}, b {kind}, sure boolean", cap).groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    return found.unionByName(near.where("sure").select("a", "b")).unionByName(_measured(near.where("not sure").select("a", "b"), one, least, kind).select("a", "b"))
+
+
 def near_links(vecs: DataFrame, id_col: str, vec: str, least: float, method: str = "planes", recall: float = 0.95, seed: int = 5, cap: int = TILE) -> DataFrame:
     """Links (a, b) that join all vectors that the pairs of ``nearby`` join: of each tile's pairs no more than its rows, so
     that a large group of vectors near each other does not make all its pairs."""

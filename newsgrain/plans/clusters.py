@@ -115,12 +115,12 @@ def clu4_close(spark, d):
 
 def jn5_recall(spark, d):
     """How many pairs at three thresholds there are, and whether planes with recall 0.95 find nine tenths of them."""
-    v = cut(_v(spark, d))
-    out = None
-    for least in (0.595, 0.72, 0.9):
-        every = neighbours.nearby(v, "vec_id", "embedding", least, method="exact").agg(F.count(F.lit(1)).alias("pairs"))
-        found = neighbours.nearby(v, "vec_id", "embedding", least).agg(F.count(F.lit(1)).alias("found"))
-        row = every.crossJoin(found).select(F.lit(least).alias("least"), "pairs", (F.col("found") * 10 >= F.col("pairs") * 9).alias("enough"))
+    v, at, out = cut(_v(spark, d)), (0.595, 0.72, 0.9), None
+    every = neighbours.nearby(v, "vec_id", "embedding", min(at), method="exact")  # all pairs once, whatever the threshold
+    every = cut(every.agg(*[F.count_if(F.col("cosine") >= least).alias(f"n{i}") for i, least in enumerate(at)]))
+    for i, least in enumerate(at):
+        found = neighbours.planes_pairs(v, "vec_id", "embedding", least).agg(F.count(F.lit(1)).alias("found"))
+        row = every.crossJoin(found).select(F.lit(least).alias("least"), F.col(f"n{i}").alias("pairs"), (F.col("found") * 10 >= F.col(f"n{i}") * 9).alias("enough"))
         out = row if out is None else out.unionByName(row)
     return out
 
