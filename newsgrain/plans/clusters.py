@@ -58,9 +58,9 @@ def sc11(spark, d):
 
 
 def jn3(spark, d):
-    x = _t(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("P"), F.col("l_partkey") % 500).alias("e"))
-    o = _t(spark, d, "orders").join(x.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("e").alias("ents")), "o_orderkey", "left")
-    o = o.withColumn("ents", F.when(F.col("o_orderkey") % 11 > 0, F.col("ents")))  # some have no entities
+    x = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.col("l_partkey") % 500).alias("ents"))
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate").join(x.withColumn("ents", F.transform("ents", lambda e: F.concat(F.lit("P"), e))), "o_orderkey", "left")
+    o = cut(o.withColumn("ents", F.when(F.col("o_orderkey") % 11 > 0, F.col("ents"))))  # some have no entities
     a = o.where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("article"), F.transform("ents", F.lower).alias("ents"), F.col("o_orderdate").alias("seen"))
     state = F.element_at(F.array(*[F.lit(x) for x in ("emerging", "developing", "archived", "stable", "monitoring")]), (F.col("o_custkey") % 5 + 1).cast("int"))
     s = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("story"), "o_orderdate", "ents", state.alias("state"))

@@ -185,3 +185,27 @@ def test_pairs_of_odd_vectors(spark):
     odd = spark.createDataFrame([(1, None), (2, []), (3, [0.0, 0.0]), (4, [0.0, 0.0]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), (7, [2.0, 0.0])], "id long, v array<double>")
     assert {(r.a, r.b) for r in neighbours.planes_pairs(odd, "id", "v", 0.5).collect()} == {(5, 6), (6, 7)}
     assert neighbours.planes_pairs(odd.where("id > 10"), "id", "v", 0.5).count() == 0
+
+
+def test_articles_that_ask_at_one_moment_share_what_is_found(spark, monkeypatch):
+    """Stories and articles of whole days: what is written follows moments, entities and what can be chosen, not the articles."""
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+    r = random.Random(4)
+    ents = lambda: r.choice([None, ["a"], ["B", "c"], ["d"], ["a", "D"]])
+    stories = [(i, ents(), day(r.randint(0, 6))) for i in range(600)]
+    articles = [(i, ents(), day(r.randint(0, 6))) for i in range(500)]
+    linked = [(i, r.randint(0, 599)) for i in range(0, 500, 2)]
+    written = []
+    for f in {"cut", "counted_cut"} & set(vars(matching)):
+        monkeypatch.setattr(matching, f, lambda df, *more, real=getattr(matching, f): (written.append((df.columns, df.count())), real(df, *more))[1])
+    a = spark.createDataFrame(articles, "article long, ents array<string>, seen timestamp")
+    s = spark.createDataFrame(stories, "story long, ents array<string>, updated timestamp")
+    got = matching.candidates(a, s, spark.createDataFrame(linked, "article long, story long"), "article", "story", "ents", "updated", 3, "seen").collect()
+    want, gone = set(), set(linked)
+    for i, e, seen in articles:
+        mine = {x.lower() for x in e or []}
+        fits = [(-t.timestamp(), j) for j, f, t in stories if seen - dt.timedelta(hours=72) <= t <= seen and (i, j) not in gone and (not mine or not f or mine & {x.lower() for x in f})]
+        want |= {(i, j) for _, j in sorted(fits)[:3]}
+    assert {(g.article, g.story) for g in got} == want and len(got) == len(want) == 1500
+    moments, keys = 7, 6
+    assert all(n <= moments * keys * (4 + 2) for columns, n in written if "_es" not in columns) and len(written) > 1
