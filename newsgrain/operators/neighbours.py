@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..storage import cut
 
-#: Vectors of a side of a tile: a task holds two such sides, and a slab of products of one of them; what it finds leaves it
-#: slab by slab, in batches of ``_ROWS``.
-TILE, _SLAB = 16_384, 128
+#: Vectors of a side of a tile: a task holds two such sides, and a slab of products of one of them, made ``_WIDE`` at a time where
+#: pairs are sought; what it finds leaves it slab by slab, in batches of ``_ROWS``.
+TILE, _SLAB, _WIDE = 16_384, 128, 1024
 _ROWS = 100_000
 
 
@@ -42,10 +42,12 @@ def plane_plan(least: float, recall: float, n: int, most: int = 4096) -> PlanePl
 
     More planes make smaller buckets but need more tables; the cost counts a row in a table, and of the ``n`` vectors those
     that share its bucket by chance. An error says so if ``most`` tables do not suffice: such a threshold asks for the exact
-    method.
+    method. A recall of 1 leaves nothing to planes: all vectors are in one bucket, and all of its tiles are compared.
     """
-    if not 0 < recall < 1 or not -1 < least <= 1:
+    if not 0 < recall <= 1 or not -1 < least <= 1:
         raise ValueError("recall must lie between 0 and 1, the cosine above -1")
+    if recall == 1:
+        return PlanePlan(least, 0, 1)
     one = 1 - math.acos(least) / math.pi
     plans = []
     for k in range(1, 49):
@@ -180,15 +182,18 @@ def _hits(v: np.ndarray, half: np.ndarray, diagonal: bool, least: float) -> Iter
     cut_at = len(v) if diagonal else int(np.searchsorted(half, 1))
     for a in range(0, cut_at, _SLAB):
         upto = min(cut_at, a + _SLAB)
-        first = a if diagonal else cut_at
-        s = v[a:upto] @ v[first:].T
-        x, y = np.nonzero(s >= least - 1e-9)
-        if diagonal:
-            keep = y > x
-            x, y = x[keep], y[keep]
-        c = np.round(s[x, y], 12)
-        ok = c >= least
-        yield x[ok] + a, y[ok] + first, c[ok]
+        for first in range(a if diagonal else cut_at, len(v), _WIDE):
+            s = v[a:upto] @ v[first : first + _WIDE].T
+            at = np.flatnonzero(s >= least - 1e-9)
+            if not len(at):
+                continue
+            x, y = divmod(at, s.shape[1])
+            if diagonal:
+                keep = y + first > x + a
+                x, y = x[keep], y[keep]
+            c = np.round(s[x, y], 12)
+            ok = c >= least
+            yield x[ok] + a, y[ok] + first, c[ok]
 
 
 def _pairs(least: float):
@@ -203,14 +208,15 @@ def _pairs(least: float):
 
 
 def _candidates(least: float):
-    """Pairs (a, b, sure) of a tile of sketches that may have cosine ``least``: what two sketches are off is allowed for, so none
-    is missed, and those are sure that have it whatever they are off."""
+    """Pairs (a, b, sure) of a tile of sketches that may have cosine ``least``: what two sketches and the rounding of their
+    products are off is allowed for, so none is missed, and those are sure that have it whatever they are off."""
 
     def each(ids, v, half, diagonal):
         near, off = v
         most = np.fmax.reduce(off, initial=0)  # a vector with NaN is near nothing and hides nothing
-        for x, y, c in _hits(near, half, diagonal, least - 2 * most - most**2 - 1e-6):
-            slack = off[x] + off[y] + off[x] * off[y] + 1e-6
+        rounding = 1e-6 + 1.5e-7 * near.shape[1]
+        for x, y, c in _hits(near.astype(np.float32), half, diagonal, least - 2 * most - most**2 - rounding):
+            slack = off[x] + off[y] + off[x] * off[y] + rounding
             maybe = c >= least - slack
             x, y, sure = x[maybe], y[maybe], (c >= least + slack)[maybe]
             for at in range(0, len(x), _ROWS):
@@ -352,9 +358,10 @@ def nearby(vecs: DataFrame, id_col: str, vec: str, least: float, method: str = "
     return found.withColumn("chance", _chance(plan, F.col("cosine")))
 
 
-def planes_pairs(vecs: DataFrame, id_col: str, vec: str, least: float, recall: float = 0.95, seed: int = 5, cap: int = TILE) -> DataFrame:
-    """The pairs (a, b) that ``nearby`` finds by planes, without their cosines: whole vectors are asked only about pairs whose
-    bytes leave it open whether they reach ``least``, so what is shuffled for pairs does not follow the vectors' length."""
+def planes_pairs(vecs: DataFrame, id_col: str, vec: str, least: float, recall: float = 1.0, seed: int = 5, cap: int = TILE) -> DataFrame:
+    """The pairs (a, b) of ``nearby``, without their cosines: whole vectors are asked only about pairs whose bytes leave it
+    open whether they reach ``least``, so what is shuffled for pairs does not follow the vectors' length. They are all pairs,
+    found without planes in tiles of vectors of a byte a number, unless the caller asks for a ``recall`` under 1."""
     one, same, n, dims = _distinct(vecs, id_col, vec)
     rows, plan = _in_buckets(one.select("id", "v", "half"), n, dims, least, "planes", recall, seed, sketched=True)
     kind = one.schema["id"].dataType.simpleString()
@@ -365,6 +372,18 @@ def planes_pairs(vecs: DataFrame, id_col: str, vec: str, least: float, recall: f
     return found.unionByName(near.where("sure").select("a", "b")).unionByName(_measured(near.where("not sure").select("a", "b"), one, least, kind).select("a", "b"))
 
 
+def with_copies(pairs: DataFrame, vecs: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """Rows (a, b, n) for ``pairs`` among which equal vectors are collapsed: ``n`` pairs of vectors stand behind a pair of different
+    ones, each copy with each; the pairs of a vector's own copies are one row (a, a). Cosines are kept."""
+    x = _vectors(vecs, id_col, vec).groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    x = cut(x.select("id", "n", (F.aggregate("v", F.lit(0.0), lambda s, y: s + y.cast("double") * y) > 0).alias("some")))
+    side = lambda c: x.select(F.col("id").alias(c), F.col("n").alias(f"_{c}"))
+    cosine = ["cosine"] if "cosine" in pairs.columns else []
+    different = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *cosine, (F.col("_a") * F.col("_b")).alias("n"))
+    own = x.where("n > 1 and some").select(F.col("id").alias("a"), F.col("id").alias("b"), *[F.lit(1.0).alias(c) for c in cosine], F.shiftright(F.col("n") * (F.col("n") - 1), 1).alias("n"))
+    return different.unionByName(own)
+
+
 def near_links(vecs: DataFrame, id_col: str, vec: str, least: float, method: str = "planes", recall: float = 0.95, seed: int = 5, cap: int = TILE) -> DataFrame:
     """Links (a, b) that join all vectors that the pairs of ``nearby`` join: of each tile's pairs no more than its rows, so
     that a large group of vectors near each other does not make all its pairs."""

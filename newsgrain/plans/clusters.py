@@ -114,13 +114,13 @@ def clu4_close(spark, d):
 
 
 def jn5_recall(spark, d):
-    """How many pairs at three thresholds there are, and whether planes with recall 0.95 find nine tenths of them."""
+    """How many pairs at three thresholds there are, by whole vectors, and whether the join by bytes finds each of them."""
     v, at, out = cut(_v(spark, d)), (0.595, 0.72, 0.9), None
-    every = neighbours.nearby(v, "vec_id", "embedding", min(at), method="exact")  # all pairs once, whatever the threshold
-    every = cut(every.agg(*[F.count_if(F.col("cosine") >= least).alias(f"n{i}") for i, least in enumerate(at)]))
+    every = neighbours.with_copies(neighbours.nearby(v, "vec_id", "embedding", min(at), method="exact"), v, "vec_id", "embedding")  # all pairs once, whatever the threshold
+    every = cut(every.agg(*[F.coalesce(F.sum(F.when(F.col("cosine") >= least, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, least in enumerate(at)]))
     for i, least in enumerate(at):
-        found = neighbours.planes_pairs(v, "vec_id", "embedding", least).agg(F.count(F.lit(1)).alias("found"))
-        row = every.crossJoin(found).select(F.lit(least).alias("least"), F.col(f"n{i}").alias("pairs"), (F.col("found") * 10 >= F.col(f"n{i}") * 9).alias("enough"))
+        found = neighbours.with_copies(neighbours.planes_pairs(v, "vec_id", "embedding", least), v, "vec_id", "embedding").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("found"))
+        row = every.crossJoin(found).select(F.lit(least).alias("least"), F.col(f"n{i}").alias("pairs"), (F.col("found") == F.col(f"n{i}")).alias("enough"))
         out = row if out is None else out.unionByName(row)
     return out
 
